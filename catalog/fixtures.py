@@ -11,6 +11,24 @@ from textkin.operators import tokens as tk
 from textkin.schemas import LABELS
 
 
+def r6(col, name=None):
+    """Six digits; the shift makes both engines round exact halves the same way."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c + 1e-10, 6).alias(name or col)
+
+
+def r6s(*cols):
+    return [r6(c) for c in cols]
+
+
+def q6(expr, name=None):
+    return f"round({expr} + 1e-10, 6) AS {name or expr}"
+
+
+def q6s(*cols):
+    return ", ".join(q6(c) for c in cols)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -101,15 +119,15 @@ def predictions(spark, sf):
     e = edges(spark, sf)
     name = table(spark, sf, "part").select("p_partkey", "p_name")
     e = e.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b")
-    weights = [F.expr(_weight(k)).cast("double") for k in range(10)]
-    rest = sum(weights[1:], F.lit(0.0))
-    whole = sum(weights, F.lit(0.0))
-    same = F.col("na") == F.col("nb")
+    e = e.withColumns({f"w{k}": F.expr(_weight(k)).cast("double") for k in range(10)})
+    w = [F.col(f"w{k}") for k in range(10)]
+    e = e.withColumns({"whole": sum(w, F.lit(0.0)), "rest": sum(w[1:], F.lit(0.0)),
+                       "same": F.col("na") == F.col("nb")})
     return e.select(
         volume_id("a").alias("target"), volume_id("b").alias("candidate"),
-        F.when(same, F.col("r")).otherwise(weights[0] / whole).alias(LABELS[0]),
-        *[F.when(same, (F.lit(1.0) - F.col("r")) * w / rest).otherwise(w / whole).alias(c)
-          for w, c in zip(weights[1:], LABELS[1:])])
+        F.when(F.col("same"), F.col("r")).otherwise(w[0] / F.col("whole")).alias(LABELS[0]),
+        *[F.when(F.col("same"), (F.lit(1.0) - F.col("r")) * x / F.col("rest")).otherwise(x / F.col("whole")).alias(c)
+          for x, c in zip(w[1:], LABELS[1:])])
 
 
 _W = [f"CAST({_weight(k)} AS DOUBLE)" for k in range(10)]
@@ -157,21 +175,15 @@ SELECT htid, page, token, count(*) AS count FROM (
 WHERE token <> '' GROUP BY htid, page, token"""
 
 # ---- catalogue of a second library (from part) -----------------------------
-# Every volume is also a catalogue record; similar books are the other parts on
-# neighbouring lines of its orders.
+# Every volume is also a catalogue record; its similar books are the parts on
+# neighbouring lines of the same orders (``edges``).
 
 
 def books(spark, sf):
-    p = table(spark, sf, "part")
-    similar = edges(spark, sf).groupBy("a").agg(
-        F.sort_array(F.collect_set(F.col("b"))).alias("similar_books"))
-    return (
-        p.join(similar, p["p_partkey"] == similar["a"], "left")
-        .select(F.col("p_partkey").alias("book_id"),
-                F.concat(F.upper("p_name"), F.lit(": a tale")).alias("title"),
-                F.array(F.struct(F.col("p_brand").alias("author_id"))).alias("authors"),
-                F.coalesce("similar_books", F.array().cast("array<bigint>")).alias("similar_books"))
-    )
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("book_id"),
+        F.concat(F.upper("p_name"), F.lit(": a tale")).alias("title"),
+        F.array(F.struct(F.col("p_brand").alias("author_id"))).alias("authors"))
 
 
 BOOK_SQL = """
