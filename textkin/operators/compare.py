@@ -1,11 +1,259 @@
+"""Pairwise comparison of volumes, for all pairs at once.
+
+Input is a pair table ``(left, right)`` plus chunk vectors ``(htid, seq, vec)``
+or token lists. Chunks are packed into blocks of 64 and pairs are joined with
+blocks, so a shuffle moves vectors instead of matrix cells and one row of the
+kernel holds two blocks, whatever the size of the volumes. Summaries are made
+from block margins without writing the matrix out.
+"""
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textkin.functions import vectors as vx
+from textkin.operators.ranks import positions, top_per_group
+from textkin.operators.tokens import page_totals
+from textkin.operators.vectorize import mean_vectors, median_vectors, weighted_quantiles
+
+BLOCK = 64
+
+# ---- fixed values -------------------------------------------------------
+DISTANCE_THRESHOLDS = [0.002, 0.005, 0.01, 0.02, 0.03]
+RUN_THRESHOLDS = [0.990, 0.995, 0.996, 0.999]
+QUANTILES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+LOG_SHIFT = 1e-7
+DROP_COMMON = 200
+# -------------------------------------------------------------------------
+
+
+def vector_blocks(chunks: DataFrame) -> DataFrame:
+    """Up to 64 consecutive chunks of a volume per row."""
+    packed = chunks.groupBy("htid", F.floor((F.col("seq") - 1) / BLOCK).alias("blk")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", F.col("vec").cast("array<float>").alias("vec")))).alias("c"))
+    return packed.select("htid", "blk", F.col("c.seq").alias("seqs"), F.flatten("c.vec").alias("flat"))
+
+
+def pair_blocks(pairs: DataFrame, chunks: DataFrame, right_chunks: DataFrame = None) -> DataFrame:
+    """Every pair with every combination of its sides' blocks."""
+    lb = vector_blocks(chunks)
+    rb = lb if right_chunks is None else vector_blocks(right_chunks)
+    left = lb.select(F.col("htid").alias("left"), F.col("blk").alias("lblk"),
+                     F.col("seqs").alias("lseqs"), F.col("flat").alias("lflat"))
+    right = rb.select(F.col("htid").alias("right"), F.col("blk").alias("rblk"),
+                      F.col("seqs").alias("rseqs"), F.col("flat").alias("rflat"))
+    return pairs.select("left", "right").distinct().join(left, "left").join(right, "right")
+
+
+def _block_matrix(lflat, nl, rflat, nr, center, metric):
+    a = np.asarray(lflat, dtype=np.float64).reshape(nl, -1)
+    b = np.asarray(rflat, dtype=np.float64).reshape(nr, -1)
+    if center is not None:
+        a, b = a - np.asarray(center), b - np.asarray(center)
+    if metric == "dot":
+        return a @ b.T
+    na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1.0 - (a @ b.T) / np.outer(na, nb)
+
+
+def _cells_udf(metric, centred):
+    def flat(l, nl, r, nr, c):
+        return _block_matrix(l, nl, r, nr, c, metric).ravel()
+
+    if centred:
+        @F.pandas_udf("array<double>")
+        def cells(l: pd.Series, nl: pd.Series, r: pd.Series, nr: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series([flat(*x) for x in zip(l, nl, r, nr, c)])
+    else:
+        @F.pandas_udf("array<double>")
+        def cells(l: pd.Series, nl: pd.Series, r: pd.Series, nr: pd.Series) -> pd.Series:
+            return pd.Series([flat(*x, None) for x in zip(l, nl, r, nr)])
+    return cells
+
+
+def _cells(blocks: DataFrame, metric="cosine", center=None) -> DataFrame:
+    args = ["lflat", F.size("lseqs"), "rflat", F.size("rseqs")] + ([center] if center else [])
+    return (
+        blocks.withColumn("v", _cells_udf(metric, center is not None)(*args))
+        .select("left", "right", "lseqs", "rseqs", F.posexplode("v").alias("i", "value"))
+        .select("left", "right",
+                F.element_at("lseqs", (F.floor(F.col("i") / F.size("rseqs")) + 1).cast("int")).alias("left_seq"),
+                F.element_at("rseqs", (F.col("i") % F.size("rseqs") + 1).cast("int")).alias("right_seq"),
+                "value")
+    )
+
+
+def distance_cells(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Cosine distance of every chunk pair of every volume pair."""
+    return _cells(pair_blocks(pairs, chunks)).withColumnRenamed("value", "dist")
+
+
+def similarity_cells(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    return distance_cells(pairs, chunks).select(
+        "left", "right", "left_seq", "right_seq", (F.lit(1.0) - F.col("dist")).alias("sim"))
+
+
+def recentred_cells(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Cosine distances after subtracting the mean of the two volumes' mean vectors."""
+    m = mean_vectors(chunks)
+    blocks = (
+        pair_blocks(pairs, chunks)
+        .join(m.select(F.col("htid").alias("left"), F.col("vec").alias("lm")), "left")
+        .join(m.select(F.col("htid").alias("right"), F.col("vec").alias("rm")), "right")
+        .withColumn("center", vx.mean_of(F.col("lm"), F.col("rm")))
+    )
+    return _cells(blocks, center="center").withColumnRenamed("value", "dist")
+
+
+def median_centred_dots(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Dot products after subtracting the component-wise median of both volumes' chunks."""
+    p = pairs.select("left", "right").distinct()
+    members = p.select("left", "right", F.explode(F.array("left", "right")).alias("htid"))
+    medians = median_vectors(members.join(chunks, "htid"), ["left", "right"])
+    blocks = pair_blocks(p, chunks).join(
+        medians.withColumnRenamed("vec", "center"), ["left", "right"])
+    return _cells(blocks, "dot", center="center").withColumnRenamed("value", "sim")
+
+
+def paired_similarities(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Dot products between the chunks of two id sets, for the volume pairs asked for."""
+    return _cells(pair_blocks(pairs, left, right), "dot").withColumnRenamed("value", "sim")
+
+
+def unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFrame:
+    """Similarity matrix cut or zero-padded to ``max_size`` squared, row by row.
+
+    Chunks beyond the size are dropped before any shuffle, so a side is at most
+    ``max_size`` vectors.
+    """
+    side = chunks.where(F.col("seq") <= max_size).groupBy("htid").agg(
+        F.sort_array(F.collect_list(F.struct("seq", F.col("vec").cast("array<float>").alias("vec")))).alias("c"))
+    side = side.select("htid", F.col("c.seq").alias("seqs"), F.flatten("c.vec").alias("flat"))
+
+    @F.pandas_udf("array<float>")
+    def unroll(l: pd.Series, ls: pd.Series, r: pd.Series, rs: pd.Series) -> pd.Series:
+        out = []
+        for lf, lq, rf, rq in zip(l, ls, r, rs):
+            full = np.zeros((max_size, max_size), dtype=np.float32)
+            sim = 1.0 - _block_matrix(lf, len(lq), rf, len(rq), None, "cosine")
+            full[np.ix_(np.asarray(lq) - 1, np.asarray(rq) - 1)] = np.nan_to_num(sim)
+            out.append(full.ravel())
+        return pd.Series(out)
+
+    return (
+        pairs.select("left", "right").distinct()
+        .join(side.toDF("left", "lseqs", "lflat"), "left").join(side.toDF("right", "rseqs", "rflat"), "right")
+        .select("left", "right", unroll("lflat", "lseqs", "rflat", "rseqs").alias("sim_x"))
+    )
+
+
+# ---- summaries of the distance matrix -------------------------------------
+
+def margins(pairs: DataFrame, chunks: DataFrame):
+    """Row and column minima, and matrix totals, from block summaries.
+
+    Returns ``(minima, totals)``: ``(left, right, side, seq, dist)`` with side L
+    for rows and R for columns, and ``(left, right, total, cells)``.
+    """
+    @F.pandas_udf("struct<rows:array<double>,cols:array<double>,total:double,cells:long>")
+    def summarise(l: pd.Series, nl: pd.Series, r: pd.Series, nr: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, n, b, m in zip(l, nl, r, nr):
+            d = _block_matrix(a, n, b, m, None, "cosine")
+            out.append((d.min(axis=1), d.min(axis=0), d.sum(), d.size))
+        return pd.DataFrame(out, columns=["rows", "cols", "total", "cells"])
+
+    s = pair_blocks(pairs, chunks).select(
+        "left", "right", "lblk", "rblk", "lseqs", "rseqs",
+        summarise("lflat", F.size("lseqs"), "rflat", F.size("rseqs")).alias("s"))
+    sides = F.array(
+        F.struct(F.lit("L").alias("side"), F.arrays_zip(F.col("lseqs").alias("seq"), F.col("s.rows").alias("d")).alias("m")),
+        F.struct(F.lit("R").alias("side"), F.arrays_zip(F.col("rseqs").alias("seq"), F.col("s.cols").alias("d")).alias("m")))
+    minima = (
+        s.select("left", "right", F.explode(sides).alias("x"))
+        .select("left", "right", "x.side", F.explode("x.m").alias("m"))
+        .groupBy("left", "right", "side", F.col("m.seq").alias("seq")).agg(F.min("m.d").alias("dist"))
+    )
+    totals = s.groupBy("left", "right").agg(F.sum("s.total").alias("total"), F.sum("s.cells").alias("cells"))
+    return minima, totals
+
+
+def threshold_name(t: float) -> str:
+    return f"{round(t * 1000):04d}"
+
+
+def matrix_stats(pairs: DataFrame, chunks: DataFrame, thresholds=DISTANCE_THRESHOLDS) -> DataFrame:
+    """Sizes, mean distance, mean and truncated minima, shares under thresholds."""
+    minima, totals = margins(pairs, chunks)
+    shares = [F.avg((F.col("dist") < t).cast("double")).alias("prop_dist_" + threshold_name(t)) for t in thresholds]
+    per = minima.groupBy("left", "right", "side").agg(
+        F.count("*").alias("size"), F.avg("dist").alias("mean_min_dist"), *shares)
+    size = per.groupBy("left", "right").agg(F.min("size").alias("min_size"))
+    # Ranks are counted inside narrow distance bands, never over a whole side.
+    ranked = positions(minima, ["left", "right", "side"], F.floor(F.col("dist") * 4096), ["dist", "seq"])
+    trunc = ranked.join(size, ["left", "right"]).where(F.col("pos") < F.col("min_size")).groupBy(
+        "left", "right", "side").agg(F.avg("dist").alias("trunc_dist"))
+    per = per.join(trunc, ["left", "right", "side"])
+    names = ["size", "mean_min_dist", "trunc_dist"] + ["prop_dist_" + threshold_name(t) for t in thresholds]
+    wide = per.groupBy("left", "right").agg(*[
+        F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s.lower()}_{n}") for s in ("L", "R") for n in names])
+    return wide.join(totals.select("left", "right", (F.col("total") / F.col("cells")).alias("mean_dist")),
+                     ["left", "right"]).withColumn("min_size", F.least("l_size", "r_size"))
+
+
+def margin_quantiles(pairs: DataFrame, chunks: DataFrame, quantiles=QUANTILES) -> DataFrame:
+    """Quantiles of row and column minima: one column per side and quantile."""
+    minima, _ = margins(pairs, chunks)
+    counts = minima.groupBy("left", "right", "side", "dist").agg(F.count("*").alias("c"))
+    q = weighted_quantiles(counts, ["left", "right", "side"], "dist", "c", quantiles)
+    return q.groupBy("left", "right").agg(*[
+        F.max(F.when((F.col("side") == s) & (F.round("q", 4) == v), F.col("value"))).alias(
+            f"{s.lower()}_quantile_{round(v * 10):d}") for s in ("L", "R") for v in quantiles])
+
+
+def page_count_stats(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    m = meta.select("htid", "page_count")
+    l, r = F.col("left_page_count"), F.col("right_page_count")
+    return (
+        pairs.select("left", "right")
+        .join(m.toDF("left", "left_page_count"), "left").join(m.toDF("right", "right_page_count"), "right")
+        .select("left", "right", l, r, (l - r).alias("page_diff"),
+                F.try_divide((l - r).cast("double"), l).alias("page_prop_diff"))
+    )
+
+
+def mean_vector_features(pairs: DataFrame, chunks: DataFrame, form="mean_diff") -> DataFrame:
+    """Book-level features: mean and difference of mean vectors, or their concatenation."""
+    m = mean_vectors(chunks)
+    l, r = F.col("lv"), F.col("rv")
+    parts = (vx.mean_of(l, r), vx.difference(l, r)) if form == "mean_diff" else (l, r)
+    return (
+        pairs.select("left", "right").distinct()
+        .join(m.toDF("left", "lv"), "left").join(m.toDF("right", "rv"), "right")
+        .select("left", "right", F.concat(*parts).alias("wem_x"))
+    )
+
+
+def derived_stats(stats: DataFrame) -> DataFrame:
+    """Shares and log transforms that replace the raw statistics."""
+    run_cols = [c for c in stats.columns if c.startswith("sw_") and c.endswith("_len")]
+    logged = [c for c in stats.columns if c.endswith(("mean_dist", "min_dist", "trunc_dist")) or "quantile" in c]
+    new = {}
+    for c in run_cols:
+        for s in ("l", "r"):
+            new[f"{s}_{c[:-4]}_prop"] = F.col(c) / F.col(f"{s}_size")
+    for c in logged:
+        new[c + "_log"] = F.ln(F.col(c) + LOG_SHIFT)
+    new["prop_size"] = F.col("l_size") / F.col("r_size")
+    return stats.withColumns(new).drop("l_size", "r_size", "min_size", *run_cols, *logged)
+
 
 def outlier_slice(pairs: DataFrame, low_col, low_q, high_col, high_q, size_col, min_size=4) -> DataFrame:
     """Pairs below one statistic's quantile and above another's, large enough to matter."""
-    from textkin.operators.vectorize import weighted_quantiles
-
     def cut_at(col, q, name):
         counts = pairs.groupBy(F.lit(0).alias("g"), F.col(col).alias("x")).agg(F.count("*").alias("c"))
         return weighted_quantiles(counts, ["g"], "x", "c", [q]).select(F.col("value").alias(name))
@@ -16,3 +264,77 @@ def outlier_slice(pairs: DataFrame, low_col, low_q, high_col, high_q, size_col,
         .where((F.col(low_col) < F.col("_lo")) & (F.col(high_col) > F.col("_hi")) & (F.col(size_col) > min_size))
         .drop("_lo", "_hi")
     )
+
+
+# ---- page sets -------------------------------------------------------------
+
+def page_index(tokens: DataFrame) -> DataFrame:
+    """Dense 0-based index of every page that holds tokens, with its token count."""
+    return positions(page_totals(tokens), ["htid"], F.floor(F.col("page") / 1024), ["page"], pos="idx")
+
+
+def page_sets(tokens: DataFrame) -> DataFrame:
+    """Distinct (htid, idx, token)."""
+    return tokens.select("htid", "page", "token").distinct().join(
+        page_index(tokens).select("htid", "page", "idx"), ["htid", "page"]).select("htid", "idx", "token")
+
+
+def _pair_members(pairs: DataFrame, sets: DataFrame, drop_common: int) -> DataFrame:
+    """Page tokens of both sides of every pair, without the pair's most frequent tokens."""
+    p = pairs.select("left", "right").distinct()
+    sides = p.select("left", "right", F.explode(F.array(
+        F.struct(F.lit("L").alias("side"), F.col("left").alias("htid")),
+        F.struct(F.lit("R").alias("side"), F.col("right").alias("htid")))).alias("s"))
+    rows = sides.select("left", "right", "s.side", "s.htid").join(sets, "htid").drop("htid")
+    if not drop_common:
+        return rows
+    df = rows.groupBy("left", "right", "token").agg(F.count("*").alias("df"))
+    common = top_per_group(df, ["left", "right"], [F.desc("df"), "token"], drop_common)
+    return rows.join(common.drop("df"), ["left", "right", "token"], "left_anti")
+
+
+def jaccard_cells(pairs: DataFrame, sets: DataFrame, drop_common=DROP_COMMON) -> DataFrame:
+    """Non-zero cells of the page-by-page Jaccard matrix of every pair.
+
+    ``sets`` is ``(htid, idx, token)``; every cell not listed is 0. ``drop_common``
+    removes the tokens found on most pages of the two volumes.
+    """
+    rows = _pair_members(pairs, sets, drop_common)
+    sizes = rows.groupBy("left", "right", "side", "idx").agg(F.count("*").alias("n"))
+    l = rows.where("side = 'L'").select("left", "right", "token", F.col("idx").alias("left_seq"))
+    r = rows.where("side = 'R'").select("left", "right", "token", F.col("idx").alias("right_seq"))
+    inter = l.join(r, ["left", "right", "token"]).groupBy("left", "right", "left_seq", "right_seq").agg(
+        F.count("*").alias("inter"))
+    ls = sizes.where("side = 'L'").select("left", "right", F.col("idx").alias("left_seq"), F.col("n").alias("ln"))
+    rs = sizes.where("side = 'R'").select("left", "right", F.col("idx").alias("right_seq"), F.col("n").alias("rn"))
+    return (
+        inter.join(ls, ["left", "right", "left_seq"]).join(rs, ["left", "right", "right_seq"])
+        .select("left", "right", "left_seq", "right_seq",
+                (F.col("inter") / F.greatest(F.col("ln") + F.col("rn") - F.col("inter"), F.lit(1))).alias("sim"))
+    )
+
+
+def four_points(pairs: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Largest cell values read at a quarter, half, one and two lengths of the shorter side.
+
+    ``sizes`` is ``(htid, n)``, pages per volume; cells not listed count as 0.
+    """
+    p = (
+        pairs.select("left", "right").distinct()
+        .join(sizes.toDF("left", "nl"), "left").join(sizes.toDF("right", "nr"), "right")
+        .withColumn("shorter", F.least("nl", "nr"))
+    )
+    ranked = positions(cells, ["left", "right"], F.floor((1 - F.col("sim")) * 4096),
+                       [F.desc("sim"), "left_seq", "right_seq"])
+    points = {"sim_at_quarter_length": F.floor(F.col("shorter") / 4), "sim_at_half_length": F.floor(F.col("shorter") / 2),
+              "sim_at_full_length": F.col("shorter"), "sim_at_double_length": F.col("shorter") * 2}
+    wanted = p.join(ranked.select("left", "right", "pos", "sim"), ["left", "right"], "left").where(
+        F.col("pos").isNull() | (F.col("pos") <= F.col("shorter") * 2))
+    return wanted.groupBy("left", "right").agg(*[
+        F.coalesce(F.max(F.when(F.col("pos") == at, F.col("sim"))), F.lit(0.0)).alias(name)
+        for name, at in points.items()])
+
+
+def join_stats(parts) -> DataFrame:
+    """One wide row per pair from several statistics tables."""
+    return reduce(lambda a, b: a.join(b, ["left", "right"], "full"), parts)

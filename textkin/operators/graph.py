@@ -1,8 +1,233 @@
-"""placeholder"""
+"""Components, communities, cluster labels and cluster reports over edge tables.
+
+Iterative jobs write every round to the shared folder, so a lost executor costs
+one round and plans stay short. Labels are the smallest member id, which makes
+results independent of partitioning and of row order.
+"""
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textkin.functions.labels import canonical
+from textkin.operators.ranks import global_positions
+from textkin.schemas import LABELS
+from textkin.session import cut
+
+MAX_ROUNDS = 50
+
+
+def _fingerprint(df: DataFrame):
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns) % 1000000007).alias("h")).first()
+    return r["n"], r["h"]
+
+
+def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_ROUNDS) -> DataFrame:
+    """``(id, label)`` for every id with an edge; label is the smallest id reached.
+
+    Alternates large-star and small-star steps (Kiveris et al. 2014): neighbours
+    are only ever reduced by a minimum per node, so a hub is aggregated map-side
+    and re-joined as one row.
+    """
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
+    e = cut(e, "edges")
+    nodes = cut(e.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "nodes")
+
+    def large_star(e):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+    def small_star(e):
+        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        pulled = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+    before = None
+    for _ in range(max_rounds):
+        e = cut(small_star(large_star(e)), "star")
+        now = _fingerprint(e)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select(
+        "id", F.coalesce("label", "id").alias("label"))
+
+
+def _modularity(edges: DataFrame, comm: DataFrame, m2: float, resolution: float) -> float:
+    inner = (
+        edges.join(comm.toDF("src", "cs"), "src").join(comm.toDF("dst", "cd"), "dst")
+        .where("cs = cd").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("x")).first()["x"]
+    )
+    deg = edges.groupBy("src").agg(F.sum("w").alias("k")).join(comm.toDF("src", "c"), "src")
+    outer = deg.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("x")).first()["x"]
+    return inner / m2 - resolution * (outer or 0.0) / (m2 * m2)
+
+
+def _move(edges, degrees, comm, m2, resolution, turn):
+    """Best community of each node among its neighbours', for one hash half of the nodes."""
+    tot = degrees.join(comm, "id").groupBy("c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    links = (
+        edges.where("src <> dst").join(comm.toDF("dst", "c"), "dst")
+        .groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("kin"))
+    )
+    own = comm.select("id", F.col("c").alias("own"))
+    options = links.unionByName(comm.select("id", "c", F.lit(0.0).alias("kin"))).groupBy("id", "c").agg(
+        F.sum("kin").alias("kin"))
+    alone = tot.select(F.col("c").alias("own"), (F.col("size") == 1).alias("alone"))
+    # Two single nodes join under the smaller id, so neighbours never swap places.
+    scored = (
+        options.join(own, "id").join(degrees, "id").join(tot, "c").join(alone, "own")
+        .where(~(F.col("alone") & (F.col("size") == 1) & (F.col("c") > F.col("own"))))
+        .withColumn("others", F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
+        .withColumn("gain", F.round(F.col("kin") - resolution * F.col("k") * F.col("others") / m2, 12))
+    )
+    best = scored.groupBy("id").agg(
+        F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"),
+        F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.first("own").alias("own"))
+    mine = F.pmod(F.xxhash64("id"), F.lit(2)) == turn
+    return best.select("id", F.when(mine & (-F.col("b.g") > F.col("stay")), F.col("b.c")).otherwise(
+        F.col("own")).alias("c"))
+
+
+def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001, resolution=1.0,
+            max_rounds=20, max_levels=10) -> DataFrame:
+    """Communities by greedy modularity (Blondel et al. 2008) as DataFrame rounds.
+
+    Two hash halves of the nodes move in turn, which stops neighbours from
+    swapping places; a round is kept only if modularity rises. Output
+    ``(id, label)`` with the smallest member id as label.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    one = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("w")).where("src <> dst")
+    sym = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    level = cut(sym.groupBy("src", "dst").agg(F.sum("w").alias("w")), "graph")
+    m2 = level.agg(F.sum("w").alias("x")).first()["x"]
+    nodes = level.select(F.col("src").alias("id")).distinct()
+    labels = cut(nodes.select("id", F.col("id").alias("label")), "labels")
+    if not m2:
+        return labels
+    for _ in range(max_levels):
+        degrees = cut(level.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degrees")
+        comm = degrees.select("id", F.col("id").alias("c"))
+        start = q = _modularity(level, comm, m2, resolution)
+        idle = 0
+        for i in range(max_rounds):
+            moved = cut(_move(level, degrees, comm, m2, resolution, i % 2), "moves")
+            new_q = _modularity(level, moved, m2, resolution)
+            if new_q >= q + tolerance:
+                comm, q, idle = moved, new_q, 0
+            else:
+                idle += 1
+                if idle == 2:
+                    break
+        if q < start + tolerance:
+            break
+        labels = cut(labels.join(comm.toDF("label", "c"), "label").select("id", F.col("c").alias("label")), "labels")
+        level = cut(
+            level.join(comm.toDF("src", "cs"), "src").join(comm.toDF("dst", "cd"), "dst")
+            .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")), "graph")
+    smallest = labels.groupBy("label").agg(F.min("id").alias("low"))
+    return labels.join(smallest, "label").select("id", F.col("low").alias("label"))
+
+
+def communities(edges: DataFrame, method="louvain", **options) -> DataFrame:
+    """Cluster label of every volume with a strong edge; ``components`` is the baseline."""
+    if method == "components":
+        return connected_components(edges, "target", "candidate")
+    return louvain(edges, "target", "candidate", **options)
+
+
+def number_labels(labels: DataFrame) -> DataFrame:
+    """Replace label ids by integers counted from 0."""
+    numbers = global_positions(labels.select("label").distinct(), ["label"], "number")
+    return labels.join(numbers, "label").select(F.col("number").alias("label"), "id")
+
+
+def single_clusters(everyone: DataFrame, labelled: DataFrame, count_from=0) -> DataFrame:
+    """Own labels for volumes without one, numbered from ``count_from``.
+
+    ``everyone`` is a pair table; both of its ends are volumes.
+    """
+    ids = everyone.select(F.explode(F.array("target", "candidate")).alias("id")).distinct()
+    free = ids.join(labelled.select("id"), "id", "left_anti")
+    return global_positions(free, ["id"], "label").select((F.col("label") + count_from).alias("label"), "id")
+
+
+def cluster_all(predictions: DataFrame, edges: DataFrame, id_col="man_id", method="louvain") -> DataFrame:
+    """Label of every volume: communities first, then singletons; ``(id_col, htid)``."""
+    grouped = number_labels(communities(edges, method))
+    n = grouped.agg(F.coalesce(F.max("label") + 1, F.lit(0)).alias("n")).first()["n"]
+    return grouped.unionByName(single_clusters(predictions, grouped, n)).select(
+        F.col("label").alias(id_col), F.col("id").alias("htid"))
+
+
+def merge_labels(old: DataFrame, new: DataFrame, label: str, last: str, history: str) -> DataFrame:
+    """Compose labels: volumes of ``old`` take the label their ``last`` id got in ``new``.
+
+    ``new`` is ``(label, htid)`` with htid holding ids of the last pass; the
+    last ids stay as column ``history``.
+    """
+    n = new.select(F.col("htid").alias(last), F.col(label).alias("_new"))
+    out = old.join(n, last).withColumnRenamed(last, history)
+    return out.drop(label).withColumnRenamed("_new", label) if label in out.columns else out.withColumnRenamed("_new", label)
+
+
+def relabel_pairs(predictions: DataFrame, clusters: DataFrame, id_col: str) -> DataFrame:
+    """Both ends of every pair mapped to cluster ids."""
+    c = clusters.select("htid", id_col)
+    return (
+        predictions.join(c.toDF("target", "_t"), "target").join(c.toDF("candidate", "_c"), "candidate")
+        .drop("target", "candidate").withColumnRenamed("_t", "target").withColumnRenamed("_c", "candidate")
+    )
+
+
+def weighted_means(pairs: DataFrame) -> DataFrame:
+    """Count-weighted mean probabilities per pair, and the summed count."""
+    cols = [c for c in LABELS + ["relatedness"] if c in pairs.columns]
+    n = F.sum("count")
+    return pairs.groupBy("target", "candidate").agg(
+        *[(F.sum(F.col(c) * F.col("count")) / n).alias(c) for c in cols], n.alias("count"))
+
+
+def clustered_predictions(predictions: DataFrame, clusters: DataFrame, id_col: str) -> DataFrame:
+    """Cluster-level predictions, every pair of clusters in one canonical row."""
+    return weighted_means(canonical(relabel_pairs(predictions, clusters, id_col)).drop("flipped"))
+
+
+def same_cluster_edges(predictions: DataFrame, clusters: DataFrame, id_col: str) -> DataFrame:
+    """Pairs inside one cluster, for all clusters at once."""
+    c = clusters.select("htid", id_col)
+    return (
+        predictions.join(c.toDF("target", "cluster"), "target").join(c.toDF("candidate", "_c"), "candidate")
+        .where(F.col("cluster") == F.col("_c")).drop("_c")
+    )
+
+
+def cluster_stats(clusters: DataFrame, meta: DataFrame, id_col: str) -> DataFrame:
+    """Volumes, government documents and serials per cluster, with proportions."""
+    joined = clusters.select("htid", id_col).join(meta.select("htid", "us_gov_doc_flag", "bib_fmt"), "htid")
+    counts = joined.groupBy(id_col).agg(
+        F.count("*").alias("label_count"), F.count_if(F.col("us_gov_doc_flag") == 1).alias("gov_count"),
+        F.count_if(F.col("bib_fmt") == "SE").alias("serial_count"))
+    return counts.withColumns({
+        "gov_prop": F.col("gov_count") / F.col("label_count"),
+        "serial_prop": F.col("serial_count") / F.col("label_count")})
+
 
 def ordinary_works(stats: DataFrame) -> DataFrame:
     """Works that are neither mostly government documents nor serials and hold several volumes."""
     return stats.where("gov_prop < 0.5 AND serial_prop < 0.5 AND label_count > 1")
+
+
+def cluster_history(clusters: DataFrame, id_col: str, pass_cols) -> DataFrame:
+    """Distinct ids of every pass inside each final cluster."""
+    return clusters.groupBy(id_col).agg(*[F.count_distinct(c).alias("n_" + c) for c in pass_cols])
+
+
+def internal_coherence(cluster_predictions: DataFrame, stats: DataFrame, id_col: str, min_size=2) -> DataFrame:
+    """Self pairs of cluster-level predictions for clusters of a minimum size."""
+    big = stats.where(F.col("label_count") >= min_size).select(F.col(id_col).alias("target"), "label_count")
+    return cluster_predictions.where("target = candidate").join(big, "target")
