@@ -288,3 +288,27 @@ def neighbour_votes(neighbours: DataFrame, minimum_matches=5, top=10) -> DataFra
     votes = neighbours.groupBy("target", "match").agg(F.count("*").alias("hits"))
     ranked = top_per_group(votes, ["target"], [F.desc("hits"), "match"], top)
     return ranked.where((F.col("hits") > minimum_matches) & (F.col("match") != F.col("target")))
+
+
+def random_pairs(chunks: DataFrame, n=100, element: str = None, seed=1234) -> DataFrame:
+    """Similarities of ``n`` random chunk pairs, optionally inside one value of a column.
+
+    Two shuffled orders are matched position by position; the column value is
+    itself drawn from the shuffled distinct values.
+    """
+    from textkin.functions.vectors import cosine
+    from textkin.operators.ranks import sample_rows, shuffled_positions
+
+    pool = chunks
+    if element:
+        value = sample_rows(chunks.select(element).distinct(), 1, [element], seed)
+        pool = chunks.join(value, element, "left_semi")
+    ids = ["htid", "seq"]
+    cols = [*ids, "vec"]
+    left = shuffled_positions(sample_rows(pool.select(*cols), n, ids, seed), [], ids, seed)
+    right = shuffled_positions(sample_rows(pool.select(*cols), n, ids, seed + 1), [], ids, seed + 1)
+    return left.select("pos", *[F.col(c).alias("l_" + c) for c in cols]).join(
+        right.select("pos", *[F.col(c).alias("r_" + c) for c in cols]), "pos").select(
+        F.col("l_htid").alias("target"), F.col("l_seq").alias("target_seq"),
+        F.col("r_htid").alias("match"), F.col("r_seq").alias("match_seq"),
+        cosine(F.col("l_vec"), F.col("r_vec")).alias("sim"), F.lit(element or "random").alias("relation"))
