@@ -211,3 +211,19 @@ def sql(body: str, *views: str, **extra: str) -> str:
         add(v)
     ctes = [f"{v} AS ({VIEWS[v]})" for v in order] + [f"{k} AS ({q})" for k, q in extra.items()]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+
+
+# ---- document pairs (copies and versions start with the same line) ----------
+
+def doc_pairs(spark, sf):
+    """Each document with the first document that opens with the same line: star pairs."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5(F.substring_index("text", "\n", 1)).alias("k"))
+    first = d.groupBy("k").agg(F.min("doc_id").alias("first"))
+    return d.join(first, "k").where("doc_id <> first").select(
+        F.concat(F.lit("d."), F.col("first").cast("string")).alias("left"),
+        F.concat(F.lit("d."), F.col("doc_id").cast("string")).alias("right"))
+
+
+VIEWS["fx_pairs"] = """
+SELECT 'd.' || f AS "left", 'd.' || doc_id AS "right" FROM (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY split_part(text, chr(10), 1)) AS f FROM documents) WHERE f <> doc_id"""

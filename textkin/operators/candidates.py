@@ -227,3 +227,16 @@ def near_titles(meta: DataFrame, targets: DataFrame = None, cutoff=0.05, n=100,
     nn = knn_join(wanted, vecs, n, keys=("htid",), max_dist=(2 * cutoff) ** 0.5)
     return nn.select(F.col("t_htid").alias("target"), F.col("m_htid").alias("match"),
                      (F.col("dist") * F.col("dist") / 2).alias("cos_dist")).where(F.col("cos_dist") < cutoff)
+
+
+def title_distances(pairs: DataFrame, meta: DataFrame, dims=50) -> DataFrame:
+    """Cosine distance of the cleaned-title vectors of given pairs ``(left, right)``."""
+    from textkin.functions.text import clean_title
+    from textkin.functions.vectors import cosine
+
+    cleaned = meta.select("htid", clean_title(F.col("title")).alias("title"))
+    v = title_vectors(cleaned, dims, full_weight=0.0, clean_weight=1.0).select("htid", "vec")
+    return (
+        pairs.select("left", "right").join(v.toDF("left", "lv"), "left").join(v.toDF("right", "rv"), "right")
+        .select("left", "right", (1 - cosine(F.col("lv"), F.col("rv"))).alias("title_distance"))
+    )

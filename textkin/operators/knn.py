@@ -169,9 +169,10 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
     keys = list(keys)
     want = n + 1
     self_join = targets is corpus if self_join is None else self_join
-    raw = _with_vid(corpus, keys, vec)
-    t_raw = raw if self_join else _with_vid(targets, keys, vec)
-    n_rows = corpus.count()
+    # Read several times below, so the inputs' own plans run once.
+    raw = cut(_with_vid(corpus, keys, vec), "corpus")
+    t_raw = raw if self_join else cut(_with_vid(targets, keys, vec), "targets")
+    n_rows = raw.count()
     n_pivots = pivots or max(1, min(MAX_PIVOTS, n_rows // ROWS_PER_CELL))
     rep_cols = [f"r{i}" for i in range(len(keys))]
     ids = F.sort_array(F.collect_list(F.struct(*[F.col(k).alias("m_" + k) for k in keys])))
@@ -201,7 +202,7 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
         assigned = cut(distinct.withColumn("cell", F.lit(0)), "cells")
         t_distinct = assigned if self_join else t_raw.groupBy("vid").agg(F.first("vec").alias("vec"))
         probed = t_distinct.select("vid", "vec", F.array(F.lit(0)).alias("cells"))
-        counts, t_counts = np.array([n_rows]), np.array([n_rows if self_join else targets.count()])
+        counts, t_counts = np.array([n_rows]), np.array([t_raw.count()])
 
     c_blocks = F.lit(np.maximum(1, -(-counts // BLOCK_ROWS)).tolist())
     t_blocks = F.lit(np.maximum(1, -(-t_counts // BLOCK_ROWS)).tolist())
