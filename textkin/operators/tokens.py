@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textkin.functions.text import text_tokens
-from textkin.operators.ranks import running_total
+from textkin.operators.ranks import positions, running_total
+from textkin.session import cut
 
 
 def token_list(docs: DataFrame, htid="htid", text="text", page_break="\n") -> DataFrame:
@@ -32,12 +33,16 @@ def token_sets(tokens: DataFrame, scope=("htid", "page")) -> DataFrame:
 
 
 def running_counts(tokens: DataFrame) -> DataFrame:
-    """Tokens on each page and up to its end."""
-    return running_total(page_totals(tokens), ["htid"], "page", "n_tokens", "running")
+    """Tokens on each page and up to its end.
+
+    The page totals, one row per page, are written once; everything after reads
+    them instead of the tokens.
+    """
+    return running_total(cut(page_totals(tokens), "pages"), ["htid"], "page", "n_tokens", "running")
 
 
 def chunk_pages(tokens: DataFrame, chunk_size=10000) -> DataFrame:
-    """Chunk number (from 1) of every page.
+    """Chunk number (from 1) and chunk size of every page.
 
     A chunk closes when ``chunk_size`` tokens have passed; a short last chunk
     (under half the size) joins the one before it.
@@ -45,35 +50,38 @@ def chunk_pages(tokens: DataFrame, chunk_size=10000) -> DataFrame:
     pages = running_counts(tokens).withColumn(
         "raw", F.floor((F.col("running") - F.col("n_tokens")) / chunk_size))
     # Chunk numbers with no page of their own would leave gaps, so number the used ones.
+    # One row per chunk of a volume.
     sizes = pages.groupBy("htid", "raw").agg(F.sum("n_tokens").alias("size"))
-    # One row per chunk of a volume: a bounded window.
-    per = Window.partitionBy("htid").orderBy("raw")
-    sizes = (
-        sizes.withColumn("k", F.row_number().over(per))
-        .withColumn("last", F.lead("raw").over(per).isNull())
-        .withColumn("seq", F.when(
-            F.col("last") & (F.col("k") > 1) & (F.col("size") * 2 < chunk_size),
-            F.col("k") - 1).otherwise(F.col("k")))
-    )
-    return pages.join(sizes.select("htid", "raw", "seq"), ["htid", "raw"]).select(
-        "htid", "page", "seq", "n_tokens")
+    numbered = positions(sizes, ["htid"], F.floor(F.col("raw") / 1024), ["raw"], pos="k", size="n_raw")
+    numbered = numbered.withColumn("last", F.col("k") == F.col("n_raw") - 1).withColumn(
+        "short", F.col("last") & (F.col("k") > 0) & (F.col("size") * 2 < chunk_size)).withColumn(
+        "seq", (F.col("k") + F.when(F.col("short"), 0).otherwise(1)).cast("int"))
+    totals = numbered.groupBy("htid", "seq").agg(F.sum("size").alias("chunk_tokens"))
+    placed = numbered.select("htid", "raw", "seq").join(totals, ["htid", "seq"])
+    return pages.join(placed, ["htid", "raw"]).select("htid", "page", "seq", "n_tokens", "chunk_tokens")
+
+
+def page_extents(pages: DataFrame) -> DataFrame:
+    """Page range and size of every chunk, from ``chunk_pages``."""
+    return pages.groupBy("htid", "seq").agg(
+        F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def chunks(tokens: DataFrame, chunk_size=10000) -> DataFrame:
     """Page range and size of every chunk."""
+    return page_extents(chunk_pages(tokens, chunk_size))
+
+
+def count_by_chunk(tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """Token counts per chunk; ``chunk_tokens`` is the chunk's size."""
     return (
-        chunk_pages(tokens, chunk_size).groupBy("htid", "seq")
-        .agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"),
-             F.sum("n_tokens").alias("n_tokens"))
+        tokens.join(pages.select("htid", "page", "seq", "chunk_tokens"), ["htid", "page"])
+        .groupBy("htid", "seq", "token").agg(F.sum("count").alias("count"), F.max("chunk_tokens").alias("chunk_tokens"))
     )
 
 
 def chunk_token_list(tokens: DataFrame, chunk_size=10000) -> DataFrame:
-    """Token counts per chunk."""
-    return (
-        tokens.join(chunk_pages(tokens, chunk_size).drop("n_tokens"), ["htid", "page"])
-        .groupBy("htid", "seq", "token").agg(F.sum("count").alias("count"))
-    )
+    return count_by_chunk(tokens, chunk_pages(tokens, chunk_size))
 
 
 def page_bounds(tokens: DataFrame) -> DataFrame:

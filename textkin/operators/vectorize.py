@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textkin.functions import text as tx
 from textkin.functions import vectors as vx
-from textkin.operators.tokens import chunk_pages, chunks
+from textkin.operators.tokens import chunk_pages, count_by_chunk, page_extents
+from textkin.session import cut
 
 BITS_PER_BLOCK = 160  # one sha1 digest
 BLOCK_TOKENS = 20000  # distinct tokens projected by one row of the kernel
@@ -38,42 +39,42 @@ def _project(dims: int):
     return project
 
 
-def add_arrays(df: DataFrame, keys, col: str, dims: int) -> DataFrame:
-    """Component-wise sum of equally long arrays per group."""
-    long = df.select(*keys, F.posexplode(col).alias("pos", "x"))
-    return collect_components(long.groupBy(*keys, "pos").agg(F.sum("x").alias("x")), keys, col)
-
-
 def collect_components(long: DataFrame, keys, col="vec") -> DataFrame:
     """(keys, pos, x) rows back to one array per key, in component order."""
     return long.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(col))
 
 
-def hash_project(counts: DataFrame, keys=("htid", "seq"), dims=640, log=True) -> DataFrame:
+def hash_project(counts: DataFrame, keys=("htid", "seq"), dims=640, log=True, short_groups=False) -> DataFrame:
     """Stable random projection of token counts ``(keys, token, count)``.
 
     Dimension i of a token has the sign of bit i of its digest chain; a vector
-    is the sum of sign times ln(1 + count). Large groups are projected in
-    token-hash blocks whose partial vectors are added, so no group is held whole.
+    is the sum of sign times ln(1 + count). A group is projected in token-hash
+    blocks whose partial vectors are added, so no large group is held whole. The
+    number of blocks follows from ``chunk_tokens`` where the table has it, else
+    from a count; ``short_groups`` says that none is needed (titles, names).
     """
     keys = list(keys)
     weight = F.log1p(F.col("count")) if log else F.col("count").cast("double")
-    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if short_groups:
+        sized = counts.withColumn("_n", F.lit(1))
+    elif "chunk_tokens" in counts.columns:
+        sized = counts.withColumnRenamed("chunk_tokens", "_n")
+    else:
+        sized = counts.join(counts.groupBy(*keys).agg(F.count("count").alias("_n")), keys)
     rows = (
-        counts.select(*keys, "token", weight.alias("w"))
-        .join(sizes, keys)
-        .withColumn("_blk", F.pmod(F.xxhash64("token"), F.ceil(F.col("_n") / BLOCK_TOKENS)))
+        sized.withColumn("_blk", F.pmod(F.xxhash64("token"), F.ceil(F.col("_n") / BLOCK_TOKENS)))
         .groupBy(*keys, "_blk")
-        .agg(F.collect_list(F.struct(_signature(F.col("token"), dims).alias("s"), "w")).alias("ts"),
-             F.max("_n").alias("_n"))
-        .withColumn("v", _project(dims)(F.col("ts.s"), F.col("ts.w")))
+        .agg(F.collect_list(F.struct("token", weight.alias("w"))).alias("ts"))
     )
-    partial = rows.select(*keys, "_n", "v")
-    whole = partial.where(F.col("_n") <= BLOCK_TOKENS).select(*keys, F.col("v").alias("vec"))
-    blocks = partial.where(F.col("_n") > BLOCK_TOKENS)
-    merged = add_arrays(blocks, keys, "v", dims).withColumnRenamed("v", "vec")
-    return whole.unionByName(merged).withColumn("vec", F.col("vec").cast("array<float>"))
+    sigs = F.transform("ts.token", lambda t: _signature(t, dims))
+    partial = rows.withColumn("v", _project(dims)(sigs, F.col("ts.w"))).select(*keys, "v")
+    if short_groups:
+        return partial.select(*keys, F.col("v").cast("array<float>").alias("vec"))
+    # One partial vector per 20,000 tokens of a group: a short list.
+    total = F.reduce(F.collect_list("v"), F.array_repeat(F.lit(0.0), dims),
+                     lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return partial.groupBy(*keys).agg(total.cast("array<float>").alias("vec"))
 
 
 def embed_words(counts: DataFrame, words: DataFrame, keys=("htid", "seq"), stop_words: DataFrame = None,
@@ -100,11 +101,9 @@ def embed_words(counts: DataFrame, words: DataFrame, keys=("htid", "seq"), stop_
 
 def vectorise_volumes(tokens: DataFrame, words: DataFrame = None, chunk_size=10000, dims=640) -> DataFrame:
     """Both representations of every chunk: ``(htid, seq, start, end, kind, vec)``."""
-    extents = chunks(tokens, chunk_size)
-    counts = (
-        tokens.join(chunk_pages(tokens, chunk_size).drop("n_tokens"), ["htid", "page"])
-        .groupBy("htid", "seq", "token").agg(F.sum("count").alias("count"))
-    )
+    pages = cut(chunk_pages(tokens, chunk_size), "pages")
+    extents = page_extents(pages)
+    counts = cut(count_by_chunk(tokens, pages), "counts")
     out = hash_project(counts, dims=dims).withColumn("kind", F.lit("srp"))
     if words is not None:
         glove = embed_words(counts, words).withColumn("kind", F.lit("glove"))
@@ -128,7 +127,7 @@ def title_vectors(meta: DataFrame, dims=50, full_weight=0.3, clean_weight=0.7, k
         forms.select("title", F.col("f.w").alias("w"), F.explode(tx.char_ngrams(F.col("f.form"))).alias("token"))
         .groupBy("title", "token").agg(F.sum("w").alias("count"))
     )
-    vecs = hash_project(grams, keys=("title",), dims=dims, log=False)
+    vecs = hash_project(grams, keys=("title",), dims=dims, log=False, short_groups=True)
     return meta.select(*keep, "title").join(vecs, "title").select(*keep, "title", "vec")
 
 
@@ -146,7 +145,7 @@ def field_vectors(meta: DataFrame, fields: dict, keep=("htid",)) -> DataFrame:
             .select(col, F.explode(tx.char_ngrams(F.col(col))).alias("token"))
             .groupBy(col, "token").agg(F.count("*").alias("count"))
         )
-        part = hash_project(grams, keys=(col,), dims=dims).withColumnRenamed("vec", "v_" + name)
+        part = hash_project(grams, keys=(col,), dims=dims, short_groups=True).withColumnRenamed("vec", "v_" + name)
         base = base.join(part, col, "left").withColumn(
             "v_" + name, F.coalesce("v_" + name, F.array_repeat(F.lit(0.0).cast("float"), dims)))
     return base.select(*keep, F.concat(*["v_" + n for n in fields]).alias("vec"))
