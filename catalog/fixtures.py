@@ -119,15 +119,19 @@ def predictions(spark, sf):
     e = edges(spark, sf)
     name = table(spark, sf, "part").select("p_partkey", "p_name")
     e = e.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b")
-    e = e.withColumns({f"w{k}": F.expr(_weight(k)).cast("double") for k in range(10)})
-    w = [F.col(f"w{k}") for k in range(10)]
-    e = e.withColumns({"whole": sum(w, F.lit(0.0)), "rest": sum(w[1:], F.lit(0.0)),
-                       "same": F.col("na") == F.col("nb")})
+    # One array column instead of ten aliases: Catalyst's constraint inference
+    # would otherwise substitute every combination of the aliases into the sums.
+    add = (lambda s, x: s + x)
+    e = e.select(
+        "a", "b", "r", (F.col("na") == F.col("nb")).alias("same"),
+        F.array(*[F.expr(_weight(k)).cast("double") for k in range(10)]).alias("w"))
+    e = e.withColumns({"whole": F.aggregate("w", F.lit(0.0), add),
+                       "rest": F.aggregate(F.slice("w", 2, 9), F.lit(0.0), add)})
+    first = F.when(F.col("same"), F.col("r")).otherwise(F.get("w", 0) / F.col("whole"))
     return e.select(
-        volume_id("a").alias("target"), volume_id("b").alias("candidate"),
-        F.when(F.col("same"), F.col("r")).otherwise(w[0] / F.col("whole")).alias(LABELS[0]),
-        *[F.when(F.col("same"), (F.lit(1.0) - F.col("r")) * x / F.col("rest")).otherwise(x / F.col("whole")).alias(c)
-          for x, c in zip(w[1:], LABELS[1:])])
+        volume_id("a").alias("target"), volume_id("b").alias("candidate"), first.alias(LABELS[0]),
+        *[F.when(F.col("same"), (F.lit(1.0) - F.col("r")) * F.get("w", i) / F.col("rest")).otherwise(
+            F.get("w", i) / F.col("whole")).alias(c) for i, c in list(enumerate(LABELS))[1:]])
 
 
 _W = [f"CAST({_weight(k)} AS DOUBLE)" for k in range(10)]

@@ -13,10 +13,14 @@ def total(cols) -> Column:
 
 
 def guess(labels=JUDGMENTS) -> Column:
-    """Most probable judgment; the earlier label wins a tie."""
-    probs = F.array(*[F.col(label_col(j)) for j in labels])
-    names = F.array(*[F.lit(j) for j in labels])
-    return F.element_at(names, F.array_position(probs, F.array_max(probs)).cast("int"))
+    """Most probable judgment; the earlier label wins a tie.
+
+    Every probability occurs once in the expression, which keeps generated code
+    small however the columns were computed.
+    """
+    best = F.greatest(*[F.struct(F.col(label_col(j)).cast("double").alias("p"), F.lit(-i).alias("i"))
+                        for i, j in enumerate(labels)])
+    return F.element_at(F.array(*[F.lit(j) for j in labels]), F.lit(1) - best["i"])
 
 
 def relatedness(weights=RELATEDNESS_WEIGHTS) -> Column:
@@ -36,8 +40,16 @@ def confidence(p: Column) -> Column:
 
 
 def complete(df: DataFrame) -> DataFrame:
-    """Rows whose ten probabilities are all present and not NaN."""
-    return df.na.drop(subset=[c for c in LABELS if c in df.columns])
+    """Rows whose ten probabilities are all present and not NaN.
+
+    One condition per column: a single predicate over all ten would make
+    Catalyst's constraint inference try every combination of aliases.
+    """
+    ok = F.lit(True)
+    for c in LABELS:
+        if c in df.columns:
+            ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    return df.where(ok)
 
 
 def canonical(df: DataFrame, left="target", right="candidate") -> DataFrame:

@@ -7,6 +7,7 @@ from textkin.functions.ids import volume_link
 from textkin.functions.labels import confidence
 from textkin.operators.ranks import positions, top_per_group
 from textkin.schemas import DEFAULT_FIELDS, label_col
+from textkin.session import cut
 
 # ---- fixed values -------------------------------------------------------
 SAME_WORK = ("SWSM", "SWDE")
@@ -40,7 +41,8 @@ def structured_rows(scored: DataFrame, meta: DataFrame) -> DataFrame:
     metadata value or the related volume's id. Long form keeps a target with very
     many relations spread over tasks; only the 20 similar books are a cut.
     """
-    rows = _with_target(scored, meta)
+    # Read once per list below.
+    rows = cut(_with_target(scored, meta), "scored")
     same = rows.where(F.col("author") == F.col("t_author"))
     blank_book = [F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in BOOK]
     out = []

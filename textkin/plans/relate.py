@@ -33,5 +33,4 @@ def relate(chunks: DataFrame, meta: DataFrame, targets: DataFrame, predict, done
 
 
 def documents(scored: DataFrame, meta: DataFrame, targets: DataFrame) -> DataFrame:
-    scored = cut(scored, "scored")
-    return structured_documents(structured_rows(scored, meta), meta, targets)
+    return structured_documents(cut(structured_rows(scored, meta), "rows"), meta, targets)

@@ -110,7 +110,7 @@ def largest_table(spark: SparkSession) -> str:
     for t in spark.catalog.listTables():
         if not t.isTemporary:
             plan = spark.table(t.name)._jdf.queryExecution().optimizedPlan()
-            bytes_ = int(plan.stats().sizeInBytes().toString())
+            bytes_ = int(str(plan.stats().sizeInBytes()))
             if bytes_ > size:
                 best, size = t.name, bytes_
     return best
