@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.filters import GUESS_SQL  # noqa: F401  (shared SQL text)
 from catalog.fixtures import q6, r6, sql
 from catalog.joins import SHOPS, TRUTH, shops, truth
 from textkin.operators import candidates, evaluate, knn, vectorize
 from textkin.operators import tokens as tk
+from textkin.session import cut
 
 N = 12
 
@@ -23,8 +23,8 @@ def neighbours(spark, sf, n=N, max_dist=None, drop_self=False, **kw):
 
 def doc_chunks(spark, sf, size=300, dims=64):
     """Hash-projection vectors of the documents' text chunks."""
-    counts = tk.chunk_token_list(fx.tokens(spark, sf), size)
-    return vectorize.hash_project(counts, dims=dims)
+    tokens = cut(fx.tokens(spark, sf), "tokens")
+    return vectorize.hash_project(tk.chunk_token_list(tokens, size), dims=dims)
 
 
 _DOT = "list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])"

@@ -12,12 +12,14 @@ from textkin.operators import tokens as tk
 from textkin.plans import relate
 from textkin.plans.features import feature_table
 from textkin.schemas import JUDGMENTS, LABELS
+from textkin.session import cut
 
 
 def related_documents(spark, sf, chunk_size=500, dims=160):
     """Flagship: whole texts to chunk vectors, neighbours, match statistics, metadata."""
     d = fx.docs(spark, sf)
-    chunks = vectorize.hash_project(tk.chunk_token_list(tk.token_list(d), chunk_size), dims=dims)
+    tokens = cut(tk.token_list(d), "tokens")
+    chunks = cut(vectorize.hash_project(tk.chunk_token_list(tokens, chunk_size), dims=dims), "chunks")
     pairs = candidates.ann_candidates(chunks, n=30, min_count=2, max_dist=0.6)
     m = d.select("htid", "lang", "source")
     return (
@@ -135,8 +137,6 @@ def a20_structured_rows(spark, sf):
 
 
 def a20_structured_documents(spark, sf):
-    from textkin.session import cut
-
     m = fx.meta(spark, sf)
     rows = cut(export.structured_rows(_scored(spark, sf), m), "rows")
     return export.structured_documents(rows, m, m.select("htid"))

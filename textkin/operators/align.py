@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textkin.operators.ranks import running_total
 from textkin.session import cut
 
-MAX_CELLS = 2_000_000  # strong cells of one pair aligned in one task without splitting
+MAX_CELLS = 200_000  # strong cells of one pair aligned in one task without splitting
 
 
 def extract_runs(cells: dict, threshold: float):
@@ -49,20 +49,29 @@ def extract_runs(cells: dict, threshold: float):
         yield -s, run
 
 
-def _run_table(threshold, min_length, min_strength):
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = dict(zip(zip(pdf["left_seq"], pdf["right_seq"]), pdf["sim"]))
+RUN_FIELDS = "k:array<long>,peak:array<double>,start_l:array<long>,start_r:array<long>,l:array<long>,r:array<long>,s:array<double>"
+
+
+def _aligner(threshold, min_length, min_strength):
+    """Runs of many pairs per call: one entry per cell of a kept run, one with l = -1 for any other run."""
+    names = ["k", "peak", "start_l", "start_r", "l", "r", "s"]
+
+    def one(left, right, sim):
+        cells = dict(zip(zip(left.tolist(), right.tolist()), sim.tolist()))
         rows = []
         for k, (peak, run) in enumerate(extract_runs(cells, threshold)):
+            head = (k, peak, run[0][0], run[0][1])
             if len(run) > min_length and sum(c[2] for c in run) > min_strength:
-                rows.extend((k, peak, run[0][0], run[0][1], *c) for c in run)
-        out = pd.DataFrame(rows, columns=["k", "peak", "start_l", "start_r", "left_seq", "right_seq", "sim"])
-        out.insert(0, "part", pdf["part"].iloc[0])
-        out.insert(0, "right", pdf["right"].iloc[0])
-        out.insert(0, "left", pdf["left"].iloc[0])
-        return out
+                rows.extend((*head, *c) for c in run)
+            else:
+                rows.append((*head, -1, -1, 0.0))
+        return [list(c) for c in zip(*rows)]
+
+    @F.pandas_udf(f"struct<{RUN_FIELDS}>")
+    def align(left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(left, right, sim)], columns=names)
 
-    return table
+    return align
 
 
 def _split(strong: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def alignment_runs(cells: DataFrame, threshold=0.05, min_length=3, min_strength=
     """Runs with more than ``min_length`` cells and total similarity above ``min_strength``.
 
     ``cells`` is ``(left, right, left_seq, right_seq, sim)``. Output rows carry
-    ``run_num``, the order of the kept runs by the score they start from.
+    ``run_num``, which counts all runs of the pair in order of extraction, kept or not.
     """
     strong = cells.where(F.col("sim") > threshold).select(
         "left", "right", F.col("left_seq").cast("long").alias("left_seq"),
@@ -97,17 +106,26 @@ def alignment_runs(cells: DataFrame, threshold=0.05, min_length=3, min_strength=
     parts = strong.join(big, ["left", "right"], "left_anti").withColumn("part", F.lit(""))
     if not big.isEmpty():
         parts = parts.unionByName(_split(strong.join(big, ["left", "right"], "left_semi")))
-    schema = ("left string, right string, part string, k long, peak double, start_l long, start_r long, "
-              "left_seq long, right_seq long, sim double")
-    runs = parts.groupBy("left", "right", "part").applyInPandas(
-        _run_table(threshold, min_length, min_strength), schema)
+    keys = ["left", "right", "part"]
+    packed = parts.groupBy(*keys).agg(F.collect_list(F.struct("left_seq", "right_seq", "sim")).alias("c"))
+    found = packed.select(*keys, _aligner(threshold, min_length, min_strength)(
+        "c.left_seq", "c.right_seq", "c.sim").alias("f"))
+    fields = [f.split(":")[0] for f in RUN_FIELDS.split(",")]
+    runs = cut(found.select(*keys, F.explode(F.arrays_zip(*[F.col("f." + c).alias(c) for c in fields])).alias("x")).select(
+        *keys, "x.k", "x.peak", "x.start_l", "x.start_r", F.when(F.col("x.l") >= 0, F.col("x.l")).alias("left_seq"),
+        F.col("x.r").alias("right_seq"), F.col("x.s").alias("sim")), "runs")
+    kept = runs.where("left_seq IS NOT NULL")
+    out = ["left", "right", "run_num", "left_seq", "right_seq", "sim"]
+    plain = kept.where("part = ''").withColumn("run_num", F.col("k")).select(*out)
     # Removal only ever zeroes cells, so starting scores fall from run to run and
     # sorting by them restores the order across parts. One row per run is numbered.
-    order = Window.partitionBy("left", "right").orderBy(F.desc("peak"), "start_l", "start_r", "part", "k")
-    numbers = runs.select("left", "right", "part", "k", "peak", "start_l", "start_r").distinct().withColumn(
-        "run_num", F.row_number().over(order) - 1)
-    return runs.join(numbers.select("left", "right", "part", "k", "run_num"), ["left", "right", "part", "k"]).select(
-        "left", "right", "run_num", "left_seq", "right_seq", "sim")
+    order = Window.partitionBy("left", "right").orderBy(F.desc("peak"), "start_l", "start_r")
+    heads = ["left", "right", "part", "k", "peak", "start_l", "start_r"]
+    numbers = runs.where("part <> ''").select(*heads).distinct().withColumn(
+        "run_num", (F.row_number().over(order) - 1).cast("long"))
+    split = kept.where("part <> ''").join(
+        numbers.select("left", "right", "part", "k", "run_num"), ["left", "right", "part", "k"]).select(*out)
+    return plain.unionByName(split)
 
 
 def run_lengths(pairs: DataFrame, cells: DataFrame, thresholds) -> DataFrame:

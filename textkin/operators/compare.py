@@ -274,8 +274,8 @@ def page_index(tokens: DataFrame) -> DataFrame:
 
 
 def page_sets(tokens: DataFrame) -> DataFrame:
-    """Distinct (htid, idx, token)."""
-    return tokens.select("htid", "page", "token").distinct().join(
+    """(htid, idx, token): a token list holds each token of a page once."""
+    return tokens.select("htid", "page", "token").join(
         page_index(tokens).select("htid", "page", "idx"), ["htid", "page"]).select("htid", "idx", "token")
 
 

@@ -15,6 +15,7 @@ def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, roun
     w)`` and undirected. Ranks add up to 1 per cluster; volumes without edges
     spread their rank over the cluster.
     """
+    edges = cut(edges.select("cluster", "target", "candidate", "w"), "edges")
     both = edges.select("cluster", F.col("target").alias("src"), F.col("candidate").alias("dst"), "w").unionByName(
         edges.select("cluster", F.col("candidate").alias("src"), F.col("target").alias("dst"), "w"))
     flows = both.where("src <> dst AND w > 0").groupBy("cluster", "src", "dst").agg(F.sum("w").alias("w"))

@@ -52,3 +52,13 @@ def cut(df: DataFrame, name="cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer partitions than the cluster has cores.
+
+    A single-file input is read by one task; heavy per-row work after it would
+    stay there. Inputs with enough splits are returned unchanged, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
