@@ -139,8 +139,7 @@ def v8_false_positives(spark, sf):
 
 def v9_condition_sweep(spark, sf):
     c = chunks(spark, sf)
-    cond = spark.sql("""SELECT * FROM VALUES ('n5', 5, 1.3D, 1), ('n10', 10, 1.3D, 1), ('n10c2', 10, 1.3D, 2),
-        ('n12d', 12, 1.2D, 1) AS t(condition, n, max_dist, min_count)""")
+    cond = [("n5", 5, 1.3, 1), ("n10", 10, 1.3, 1), ("n10c2", 10, 1.3, 2), ("n12d", 12, 1.2, 1)]
     return evaluate.sweep(neighbours(spark, sf), candidates.volume_extents(c), cond).groupBy("condition").agg(
         F.count("*").alias("pairs"), F.sum("count").alias("matches"), r6(F.avg("mean"), "mean"))
 

@@ -207,14 +207,13 @@ def fill_by_author(meta: DataFrame, targets: DataFrame, taken: DataFrame, k: int
 
 def random_matches(meta: DataFrame, targets: DataFrame, k: int, seed=1234) -> DataFrame:
     """``k`` pseudo-random volumes per target from one shuffled numbering."""
-    placed = shuffled_positions(meta.select("htid"), [], ["htid"], seed, size="size")
+    placed = shuffled_positions(meta.select("htid"), [], ["htid"], seed)
     draw = F.conv(F.substring(shuffle_key(F.col("target"), F.col("i"), seed=seed), 1, 14), 16, 10).cast("long")
-    total = meta.agg(F.count("*").alias("size"))
+    total = meta.agg(F.count("*")).scalar()
     wanted = (
         targets.select(F.col("htid").alias("target")).distinct()
         .withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        .join(F.broadcast(total))
-        .select("target", F.pmod(draw, F.col("size")).alias("pos"))
+        .select("target", F.pmod(draw, total).alias("pos"))
     )
     return wanted.join(placed.select("pos", F.col("htid").alias("match")), "pos").where(
         "target <> match").select("target", "match", F.lit("random").alias("rule")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.functions import vectors as vx
-from textkin.operators.ranks import positions, top_per_group
+from textkin.operators.ranks import positions, running_total, top_per_group
 from textkin.operators.tokens import page_totals
 from textkin.operators.vectorize import mean_vectors, median_vectors, weighted_quantiles
 
@@ -193,10 +193,12 @@ def matrix_stats(pairs: DataFrame, chunks: DataFrame, thresholds=DISTANCE_THRESH
     per = minima.groupBy("left", "right", "side").agg(
         F.count("*").alias("size"), F.avg("dist").alias("mean_min_dist"), *shares)
     size = per.groupBy("left", "right").agg(F.min("size").alias("min_size"))
-    # Ranks are counted inside narrow distance bands, never over a whole side.
-    ranked = positions(minima, ["left", "right", "side"], F.floor(F.col("dist") * 4096), ["dist", "seq"])
-    trunc = ranked.join(size, ["left", "right"]).where(F.col("pos") < F.col("min_size")).groupBy(
-        "left", "right", "side").agg(F.avg("dist").alias("trunc_dist"))
+    # Equal minima are counted first and ranked as one, in narrow distance bands.
+    valued = minima.groupBy("left", "right", "side", "dist").agg(F.count("*").alias("c"))
+    ranked = running_total(valued, ["left", "right", "side"], "dist", "c", "upto", block=1 / 4096)
+    used = F.least("c", F.greatest(F.col("min_size") - (F.col("upto") - F.col("c")), F.lit(0)))
+    trunc = ranked.join(size, ["left", "right"]).groupBy("left", "right", "side").agg(
+        (F.sum(F.col("dist") * used) / F.max("min_size")).alias("trunc_dist"))
     per = per.join(trunc, ["left", "right", "side"])
     names = ["size", "mean_min_dist", "trunc_dist"] + ["prop_dist_" + threshold_name(t) for t in thresholds]
     wide = per.groupBy("left", "right").agg(*[
@@ -254,16 +256,13 @@ def derived_stats(stats: DataFrame) -> DataFrame:
 
 def outlier_slice(pairs: DataFrame, low_col, low_q, high_col, high_q, size_col, min_size=4) -> DataFrame:
     """Pairs below one statistic's quantile and above another's, large enough to matter."""
-    def cut_at(col, q, name):
-        counts = pairs.groupBy(F.lit(0).alias("g"), F.col(col).alias("x")).agg(F.count("*").alias("c"))
-        return weighted_quantiles(counts, ["g"], "x", "c", [q]).select(F.col("value").alias(name))
+    def cut_at(col, q):
+        counts = pairs.groupBy(F.col(col).alias("x")).agg(F.count("*").alias("c"))
+        return weighted_quantiles(counts, [], "x", "c", [q]).select("value").scalar()
 
-    # Both thresholds are one-row tables.
-    return (
-        pairs.join(F.broadcast(cut_at(low_col, low_q, "_lo"))).join(F.broadcast(cut_at(high_col, high_q, "_hi")))
-        .where((F.col(low_col) < F.col("_lo")) & (F.col(high_col) > F.col("_hi")) & (F.col(size_col) > min_size))
-        .drop("_lo", "_hi")
-    )
+    return pairs.where(
+        (F.col(low_col) < cut_at(low_col, low_q)) & (F.col(high_col) > cut_at(high_col, high_q))
+        & (F.col(size_col) > min_size))
 
 
 # ---- page sets -------------------------------------------------------------
@@ -324,15 +323,18 @@ def four_points(pairs: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFra
         .join(sizes.toDF("left", "nl"), "left").join(sizes.toDF("right", "nr"), "right")
         .withColumn("shorter", F.least("nl", "nr"))
     )
-    ranked = positions(cells, ["left", "right"], F.floor((1 - F.col("sim")) * 4096),
-                       [F.desc("sim"), "left_seq", "right_seq"])
+    # Equal values are ranked as one: a value covers the ranks from upto - c to upto - 1.
+    valued = cells.groupBy("left", "right", (-F.col("sim")).alias("neg")).agg(F.count("*").alias("c"))
+    ranked = running_total(valued, ["left", "right"], "neg", "c", "upto", block=1 / 4096)
     points = {"sim_at_quarter_length": F.floor(F.col("shorter") / 4), "sim_at_half_length": F.floor(F.col("shorter") / 2),
               "sim_at_full_length": F.col("shorter"), "sim_at_double_length": F.col("shorter") * 2}
-    wanted = p.join(ranked.select("left", "right", "pos", "sim"), ["left", "right"], "left").where(
-        F.col("pos").isNull() | (F.col("pos") <= F.col("shorter") * 2))
-    return wanted.groupBy("left", "right").agg(*[
-        F.coalesce(F.max(F.when(F.col("pos") == at, F.col("sim"))), F.lit(0.0)).alias(name)
-        for name, at in points.items()])
+
+    def read(at):
+        hit = (F.col("upto") - F.col("c") <= at) & (at < F.col("upto"))
+        return F.coalesce(F.max(F.when(hit, -F.col("neg"))), F.lit(0.0))
+
+    return p.join(ranked, ["left", "right"], "left").groupBy("left", "right").agg(
+        *[read(at).alias(name) for name, at in points.items()])
 
 
 def join_stats(parts) -> DataFrame:

@@ -61,11 +61,11 @@ def global_positions(df: DataFrame, ids, pos="pos") -> DataFrame:
 
 
 def running_total(df: DataFrame, keys, order: str, value: str, out: str, block=1024) -> DataFrame:
-    """Inclusive running sum over an integer order column.
+    """Inclusive running sum over a numeric order column.
 
-    Blocks of consecutive order values are summed first; the prefix over blocks
-    plus the running sum inside a block is the result. One row per (keys, order)
-    is expected.
+    Blocks of ``block`` order units are summed first; the prefix over blocks plus
+    the running sum inside a block is the result. One row per (keys, order) is
+    expected.
     """
     keys = list(keys)
     d = df.withColumn("_blk", F.floor(F.col(order) / block))

@@ -117,10 +117,12 @@ def format_scores(predictions: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def zscore_profile(df: DataFrame, cluster: str, cols) -> DataFrame:
-    """Mean z-score of every column per cluster; the global moments are one row."""
-    moments = df.agg(*[F.avg(c).alias("m_" + c) for c in cols], *[F.stddev_pop(c).alias("s_" + c) for c in cols])
-    return df.join(F.broadcast(moments)).groupBy(cluster).agg(*[
-        F.avg(F.try_divide(F.col(c) - F.col("m_" + c), F.col("s_" + c))).alias("z_" + c) for c in cols])
+    """Mean z-score of every column per cluster; the global moments are a scalar subquery."""
+    moments = df.agg(F.struct(
+        *[F.avg(c).alias("m_" + c) for c in cols], *[F.stddev_pop(c).alias("s_" + c) for c in cols]).alias("m")).scalar()
+    z = df.withColumn("_m", moments)
+    return z.groupBy(cluster).agg(*[
+        F.avg(F.try_divide(F.col(c) - F.col("_m.m_" + c), F.col("_m.s_" + c))).alias("z_" + c) for c in cols])
 
 
 def group_features(df: DataFrame, cols, k=8, dims=4, seed=1234) -> DataFrame:

@@ -27,10 +27,10 @@ def groups_having(df: DataFrame, keys, condition) -> DataFrame:
 
 
 def quantile_below(df: DataFrame, col: str, q: float) -> DataFrame:
-    """Rows under a quantile of a column (a one-row table joined back)."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.lit(0).alias("g"), F.col(col).alias("x")).agg(F.count("*").alias("c"))
-    cut_at = weighted_quantiles(counts, ["g"], "x", "c", [q]).select(F.col("value").alias("_cut"))
-    return df.join(F.broadcast(cut_at)).where(F.col(col) < F.col("_cut")).drop("_cut")
+    """Rows under a quantile of a column (a scalar subquery)."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count("*").alias("c"))
+    cut_at = weighted_quantiles(counts, [], "x", "c", [q]).select("value").scalar()
+    return df.where(F.col(col) < cut_at)
 
 
 def short_book_pool(meta: DataFrame, q=POOL_QUANTILE, min_titles=3) -> DataFrame:

@@ -269,17 +269,21 @@ def median_vectors(df: DataFrame, keys, vec="vec") -> DataFrame:
 def weighted_quantiles(counts: DataFrame, keys, value: str, count: str, qs) -> DataFrame:
     """Exact linear-interpolation quantiles of counted values per group.
 
-    Output ``(keys, q, value)``. Values are split into 256 equal-width blocks
-    between the group's extremes; block totals locate the block holding each
-    wanted rank, and only rows of those blocks are ordered.
+    Output ``(keys, q, value)``. Without keys the whole table is one group. Values
+    are split into equal-width blocks between the group's extremes; block totals
+    locate the block holding each wanted rank, and only rows of those blocks are
+    ordered.
     """
     keys = list(keys)
-    ext = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("_n"))
+    stats = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("_n")]
+    if keys:
+        sized, blocks = counts.join(counts.groupBy(*keys).agg(*stats), keys), 256
+    else:
+        whole = counts.agg(F.struct(*stats)).scalar()
+        sized, blocks = counts.withColumn("_e", whole).select(value, count, "_e.*"), 4096
     width = F.col("_hi") - F.col("_lo")
-    blocked = counts.join(ext, keys).withColumn(
-        "_blk", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * 256), F.lit(255)))
-        .otherwise(F.lit(0)))
+    blocked = sized.withColumn("_blk", F.when(width > 0, F.least(
+        F.floor((F.col(value) - F.col("_lo")) / width * blocks), F.lit(blocks - 1))).otherwise(F.lit(0)))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     per = (
         blocked.groupBy(*keys, "_blk").agg(F.sum(count).alias("_c"), F.max("_n").alias("_n"))
