@@ -6,6 +6,7 @@ from catalog import fixtures as fx
 from catalog.filters import GUESS_SQL, RELATED_SQL
 from catalog.fixtures import q6, q6s, r6, r6s, sql
 from catalog.joins import next_books, shops
+from catalog.windows import chunk_ctes
 from textkin.functions import labels
 from textkin.operators import candidates, evaluate, export, score, vectorize
 from textkin.operators import tokens as tk
@@ -169,7 +170,29 @@ _A20 = " UNION ALL ".join(
        "SELECT target, 'recommendations', 'similar books', rn - 1, candidate, NULL FROM simi",
        "SELECT DISTINCT target, 'recommendations', 'related authors', CAST(0 AS BIGINT), author, NULL FROM simi"])
 
+_FLAG_DIMS = 160
+FLAGSHIP = {
+    **chunk_ctes(500),
+    "counts": """SELECT t.htid, seq, token, CAST(sum(count) AS BIGINT) AS n FROM fx_token t JOIN chunk_pages p ON p.htid = t.htid AND p.page = t.page GROUP BY ALL""",
+    "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * CASE WHEN instr('89abcdef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 0
+          OR instr('4567cdef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 1 OR instr('2367abef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 2
+          OR instr('13579bdf', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 3 THEN 1 ELSE -1 END) AS FLOAT) AS x
+      FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, {_FLAG_DIMS})) AS pos FROM counts) GROUP BY htid, seq, pos""",
+    "vecs": """SELECT htid, seq, list(x::DOUBLE ORDER BY pos) AS vec, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM comps GROUP BY htid, seq""",
+    "nn": """SELECT * FROM (SELECT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq,
+        round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM vecs a, vecs b)
+      WHERE dist <= 0.6 QUALIFY row_number() OVER (PARTITION BY target, target_seq ORDER BY dist, match, match_seq) <= 30""",
+    "ext": "SELECT htid, count(*) AS length FROM vecs GROUP BY htid",
+    "ds": """SELECT target, match, count, mean, count / t.length AS prop_target, count / m.length AS prop_match, t.length AS tl FROM (
+        SELECT target, match, count(*) AS count, avg(dist) AS mean FROM (SELECT target, match, match_seq, min(dist) AS dist FROM nn GROUP BY ALL) GROUP BY ALL)
+      JOIN ext t ON t.htid = target JOIN ext m ON m.htid = match""",
+    "dm": "SELECT 'd.' || doc_id AS htid, lang, source FROM documents",
+}
+
 ORACLE = {
+    "flagship_related_documents": sql("""SELECT target, match, count, round(mean, 6) AS mean, round(prop_target, 6) AS prop_target,
+        round(prop_match, 6) AS prop_match, a.lang AS target_lang, b.lang AS match_lang, a.source AS target_source, b.source AS match_source
+        FROM ds JOIN dm a ON a.htid = target JOIN dm b ON b.htid = match WHERE count >= least(2, tl) AND target <> match""", "fx_token", **FLAGSHIP),
     "i4_format_scores": sql(f"""SELECT target, candidate, {GUESS_SQL} AS guess, title, author, CAST(rights_date_used AS BIGINT) AS rights_date_used, oclc_num,
         round({RELATED_SQL}::FLOAT::DOUBLE + 1e-9, 4) AS relatedness FROM fx_rel JOIN fx_meta ON htid = candidate""", "fx_rel", "fx_meta"),
     "i8_classification_report": sql(f"""SELECT label, CAST(s AS BIGINT) AS support, {q6('p', 'precision')}, {q6('r', 'recall')},
