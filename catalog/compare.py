@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import q6, r6, r6s, sql
 from catalog.joins import next_books
+from catalog.sets import ring
 from textkin.functions.vectors import set_jaccard
 from textkin.operators import align, candidates, compare
 from textkin.session import cut
@@ -123,7 +124,7 @@ def c19_title_distances(spark, sf):
     """Title distance of every volume to others by its author."""
     m = fx.meta(spark, sf)
     p = candidates.same_author_candidates(m, max_results=5).select(F.col("target").alias("left"), F.col("match").alias("right"))
-    return candidates.title_distances(p, m)
+    return candidates.title_distances(p, m).select("left", "right", r6("title_distance"))
 
 
 def f13_set_jaccard(spark, sf):
@@ -237,6 +238,8 @@ ORACLE = {
         {q6('l_size * 2 / l_size', 'l_sw_0005_prop')}, {q6('l_size * 2 / r_size', 'r_sw_0005_prop')},
         {", ".join(q6(f"ln({c} + 1e-7)", c + "_log") for c in ("mean_dist", "l_mean_min_dist", "r_mean_min_dist", "l_trunc_dist", "r_trunc_dist"))},
         {q6('l_size / r_size', 'prop_size')} FROM ({_stats_sql([0.8])})""", "fx_chunk", **_STATS),
+    "c19_title_distances": sql(f"""SELECT target AS "left", match AS "right", {q6('1 - cos', 'title_distance')} FROM {ring('author', 5)}
+        JOIN fx_meta a ON a.htid = target JOIN fx_meta b ON b.htid = match JOIN td ON t1 = a.title AND t2 = b.title""", "fx_meta", **fx.title_views()),
     "f13_set_jaccard": sql(f"""SELECT l_orderkey, {q6("(len(list_intersect(m, m2)) / greatest(len(list_distinct(list_concat(m, m2))), 1))", "jaccard")} FROM
         (SELECT l_orderkey, list(DISTINCT part % 20) AS m FROM fx_lines GROUP BY 1) JOIN
         (SELECT l_orderkey - 1 AS l_orderkey, list(DISTINCT part % 20) AS m2 FROM fx_lines GROUP BY 1) USING (l_orderkey)""", "fx_lines"),

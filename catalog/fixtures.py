@@ -231,3 +231,27 @@ def doc_pairs(spark, sf):
 VIEWS["fx_pairs"] = """
 SELECT 'd.' || f AS "left", 'd.' || doc_id AS "right" FROM (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY split_part(text, chr(10), 1)) AS f FROM documents) WHERE f <> doc_id"""
+
+
+def sign_sql(h="h", pos="pos"):
+    """+1 or -1: bit ``pos`` of a digest given as hex text."""
+    digit = f"substr({h}, {pos} // 4 + 1, 1)"
+    return (f"CASE WHEN instr('89abcdef', {digit}) > 0 AND {pos} % 4 = 0 OR instr('4567cdef', {digit}) > 0 AND {pos} % 4 = 1 "
+            f"OR instr('2367abef', {digit}) > 0 AND {pos} % 4 = 2 OR instr('13579bdf', {digit}) > 0 AND {pos} % 4 = 3 THEN 1 ELSE -1 END")
+
+
+def title_views(dims=50):
+    """Title vectors of ``fx_meta`` (cleaning leaves its titles as they are) and their distances."""
+    return {
+        "tw": r"""SELECT title, '<' || w || '>' AS w FROM (SELECT title, unnest(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+')) AS w
+          FROM (SELECT DISTINCT title FROM fx_meta)) WHERE w <> ''""",
+        "tg": """SELECT title, substr(w, CAST(i AS BIGINT), n) AS g, count(*) AS c FROM (SELECT title, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM tw, (VALUES (3), (4)) k(n)) GROUP BY ALL""",
+        "tc": f"""SELECT title, pos, CAST(sum(c * {sign_sql()}) AS FLOAT)::DOUBLE AS x FROM (SELECT title, c, sha1(g || '#0') AS h,
+          unnest(range(0, {dims})) AS pos FROM tg) GROUP BY ALL""",
+        "tv": "SELECT title, list(x ORDER BY pos) AS vec, sqrt(sum(x * x)) AS n FROM tc GROUP BY title",
+        "td": """SELECT a.title AS t1, b.title AS t2, list_dot_product(a.vec, b.vec) / (a.n * b.n) AS cos FROM tv a, tv b""",
+        "tn": """SELECT *, row_number() OVER (PARTITION BY target ORDER BY dist, match) - 1 AS rank FROM (
+          SELECT a.htid AS target, b.htid AS match, round(sqrt(greatest(0, 2 - 2 * cos)), 7) AS dist
+          FROM td JOIN fx_meta a ON a.title = t1 JOIN fx_meta b ON b.title = t2)""",
+    }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import q6, r6, sql
 from catalog.joins import SHOPS, TRUTH, shops, truth
+from catalog.sets import ring
 from textkin.operators import candidates, evaluate, knn, vectorize
 from textkin.operators import tokens as tk
 from textkin.session import cut
@@ -167,7 +168,16 @@ _EVAL = {**_STATS, "shops": SHOPS, "truth0": TRUTH,
            AND NOT EXISTS (SELECT 1 FROM truth g WHERE g."left" = l.htid AND g."right" = r.htid)""",
          "full_gt": 'SELECT * FROM truth UNION ALL SELECT * FROM author_gt'}
 
+_TITLE = """SELECT match, target, 'meta' AS note FROM tn WHERE dist <= 0.35 AND target <> match AND (rank < 25 OR rank < 100 AND target IN
+  (SELECT target FROM tn WHERE rank = 24 AND dist < 0.3))"""
+
 ORACLE = {
+    "j21_title_candidates": sql(_TITLE, "fx_meta", **fx.title_views()),
+    "i2_meta_candidates": sql(f"SELECT target, match, 'author' AS note FROM {ring('author', 20)} UNION ALL SELECT target, match, note FROM ({_TITLE})",
+                              "fx_meta", **fx.title_views()),
+    "c20_near_titles": sql(f"""SELECT target, match, {q6('dist * dist / 2', 'cos_dist')} FROM (SELECT *, row_number() OVER (PARTITION BY target
+        ORDER BY dist, match) AS r FROM tn WHERE target <> match AND dist <= sqrt(0.1)) WHERE r <= 30 AND dist * dist / 2 < 0.05""",
+        "fx_meta", **fx.title_views()),
     "j18_exact_knn": sql(f"SELECT target, target_seq, match, match_seq, rank, {q6('dist')} FROM nn", "fx_chunk", nn=knn_sql(N, _NOT_SELF)),
     "j18_exact_knn_cells": sql(f"SELECT target, target_seq, match, match_seq, rank, {q6('dist')} FROM nn WHERE dist <= 1.3", "fx_chunk", nn=knn_sql(N, _NOT_SELF)),
     "j20_volume_knn": sql(f"""SELECT target, match, match_seq, target_seq, {q6('dist')} FROM nn

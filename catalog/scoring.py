@@ -174,9 +174,7 @@ _FLAG_DIMS = 160
 FLAGSHIP = {
     **chunk_ctes(500),
     "counts": """SELECT t.htid, seq, token, CAST(sum(count) AS BIGINT) AS n FROM fx_token t JOIN chunk_pages p ON p.htid = t.htid AND p.page = t.page GROUP BY ALL""",
-    "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * CASE WHEN instr('89abcdef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 0
-          OR instr('4567cdef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 1 OR instr('2367abef', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 2
-          OR instr('13579bdf', substr(h, pos // 4 + 1, 1)) > 0 AND pos % 4 = 3 THEN 1 ELSE -1 END) AS FLOAT) AS x
+    "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * {fx.sign_sql()}) AS FLOAT) AS x
       FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, {_FLAG_DIMS})) AS pos FROM counts) GROUP BY htid, seq, pos""",
     "vecs": """SELECT htid, seq, list(x::DOUBLE ORDER BY pos) AS vec, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM comps GROUP BY htid, seq""",
     "nn": """SELECT * FROM (SELECT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq,

@@ -73,3 +73,7 @@ def test_numeric_or_null(spark):
     assert one(spark, "12", text.numeric_or_null) == 12.0
     assert one(spark, "None", text.numeric_or_null) is None
     assert one(spark, "n/a", text.numeric_or_null) is None
+
+
+def test_char_ngrams(spark):
+    assert one(spark, "Red ox", text.char_ngrams) == ["<re", "red", "ed>", "<red", "red>", "<ox", "ox>", "<ox>"]

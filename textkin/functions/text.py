@@ -107,13 +107,13 @@ def char_ngrams(c: Column, lo=3, hi=4) -> Column:
     """Character n-grams of every word, words marked at both ends."""
     words = F.transform(text_tokens(c), lambda w: F.concat(F.lit("<"), w, F.lit(">")))
 
+    def sized(w, n):
+        # A lambda with two arguments would be handed the element's index.
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+        return F.when(F.length(w) >= n, F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
     def grams(w):
-        return F.flatten(F.array(*[
-            F.when(F.length(w) >= n, F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))),
-                lambda i, n=n: F.substring(w, i, F.lit(n)),
-            )).otherwise(F.array().cast("array<string>"))
-            for n in range(lo, hi + 1)
-        ]))
+        return F.flatten(F.array(*[sized(w, n) for n in range(lo, hi + 1)]))
 
     return F.flatten(F.transform(words, grams))
