@@ -321,6 +321,19 @@ ORACLE = {
     "j23_author_truth": sql("""SELECT l.htid AS "left", (SELECT count(*) FROM shops r WHERE r.author = l.author AND r.htid <> l.htid
           AND NOT EXISTS (SELECT 1 FROM truth g WHERE g."left" = l.htid AND g."right" = r.htid)) AS author_truth
         FROM shops l WHERE l.htid IN (SELECT "left" FROM truth)""", "fx_chunk", shops=SHOPS, truth=TRUTH),
+    "j24_rating_lists": sql("""SELECT target, match, min(rule) AS rule FROM (SELECT * FROM init UNION ALL SELECT * FROM auth UNION ALL SELECT * FROM rnd)
+        GROUP BY target, match""", "fx_meta",
+        t="SELECT htid FROM fx_meta ORDER BY md5('1234|' || htid), htid LIMIT 20",
+        k="""SELECT htid, 'oclc' AS rule, oclc_num AS v FROM fx_meta UNION ALL SELECT htid, 'lccn', lccn FROM fx_meta UNION ALL SELECT htid, 'isbn', isbn FROM fx_meta
+          UNION ALL SELECT htid, 'title', title FROM fx_meta UNION ALL SELECT htid, 'short_title', substr(title, 1, 30) FROM fx_meta""",
+        init="""SELECT a.htid AS target, b.htid AS match, min(a.rule) AS rule FROM k a JOIN k b ON a.rule = b.rule AND a.v = b.v AND a.htid <> b.htid
+          WHERE a.htid IN (SELECT htid FROM t) GROUP BY 1, 2""",
+        auth="""SELECT x.htid AS target, y.htid AS match, 'author' AS rule FROM fx_meta x JOIN fx_meta y ON x.author = y.author AND x.htid <> y.htid
+          WHERE x.htid IN (SELECT htid FROM t) AND NOT EXISTS (SELECT 1 FROM init i WHERE i.target = x.htid AND i.match = y.htid)
+          QUALIFY row_number() OVER (PARTITION BY x.htid ORDER BY md5('1234|' || y.htid), y.htid) <= 5""",
+        rnd="""SELECT DISTINCT d.htid AS target, m.htid AS match, 'random' AS rule FROM (SELECT htid, unnest([1, 2, 3]) AS i FROM t) d JOIN
+          (SELECT htid, row_number() OVER (ORDER BY md5('1234|' || htid), htid) - 1 AS pos FROM fx_meta) m
+          ON m.pos = CAST('0x' || substr(md5('1234|' || d.htid || '|' || d.i), 1, 14) AS BIGINT) % (SELECT count(*) FROM fx_meta) WHERE m.htid <> d.htid"""),
     "j25_code_alignment": sql("""SELECT code, (SELECT count(*) FROM bk WHERE bk.code = v.code) AS books, count(*) AS volumes FROM vo v
         WHERE code IN (SELECT code FROM bk) GROUP BY code""", "fx_meta", "fx_books", bk=KEYED["bk"], vo=KEYED["vo"]),
     "j26_similar_codes": sql("""SELECT code, (SELECT count(*) FROM bk WHERE bk.code = c.code) AS books,

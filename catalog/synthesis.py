@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import sql
 from textkin.operators import synthesis
+from textkin.operators import tokens as tk
 
 
 def _numbered(spark, sf):
@@ -51,8 +52,13 @@ def y5_short_book_pool(spark, sf):
     return synthesis.short_book_pool(fx.meta(spark, sf).select("htid", "author", "title", "page_count"))
 
 
+def e10_split_parts(spark, sf):
+    s = tk.split_parts(fx.tokens(spark, sf), 3, 3)
+    return s.groupBy("htid", "part").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("count").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    y1_anthology_choices, y2_consecutive_volumes, y3_assemble_volumes, y3_source_notes, y4_ground_truth, y5_short_book_pool)}
+    e10_split_parts, y1_anthology_choices, y2_consecutive_volumes, y3_assemble_volumes, y3_source_notes, y4_ground_truth, y5_short_book_pool)}
 
 _CONSEC = """SELECT htid, author, title, page_count, page_count // 10 AS descint FROM fx_meta m WHERE EXISTS (
   SELECT 1 FROM fx_meta a JOIN fx_meta b ON a.author = b.author AND a.title = b.title AND b.page_count = a.page_count + 10
@@ -75,6 +81,8 @@ ORACLE = {
           SELECT new_id, CASE part WHEN 'front' THEN -1 WHEN 'back' THEN 9 ELSE part_no END AS p, page, count FROM parts JOIN split USING (htid)
           WHERE part = 'center' OR part_no = first_no) GROUP BY ALL) GROUP BY new_id""", "fx_token", cuts=CUTS, split=SPLIT,
         parts0=_PARTS, parts="SELECT *, min(part_no) OVER (PARTITION BY new_id) AS first_no FROM parts0 WHERE htid IN (SELECT htid FROM fx_token)"),
+    "e10_split_parts": sql("""SELECT htid, part, CAST(min(page) AS INTEGER) AS lo, CAST(max(page) AS INTEGER) AS hi, CAST(sum(count) AS BIGINT) AS n
+        FROM split GROUP BY htid, part""", "fx_token", cuts=CUTS, split=SPLIT),
     "y3_source_notes": sql("""SELECT new_id, part_no, htid, part, min(page) || '-' || max(page) AS pages FROM parts0 JOIN split USING (htid)
         GROUP BY new_id, part_no, htid, part""", "fx_token", cuts=CUTS, split=SPLIT, parts0=_PARTS),
     "y4_ground_truth": sql("""SELECT new_id AS "left", htid AS "right", 'CONTAINS' AS judgment, 'fake anthology' AS notes FROM parts0

@@ -57,11 +57,6 @@ def e9_chunks(spark, sf):
     return tk.chunks(fx.tokens(spark, sf), 200)
 
 
-def e10_split_parts(spark, sf):
-    s = tk.split_parts(fx.tokens(spark, sf), 3, 3)
-    return s.groupBy("htid", "part").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("count").alias("n"))
-
-
 def e11_cap_per_group(spark, sf):
     m = fx.meta(spark, sf).select("htid", "author")
     from textkin.functions.ids import shuffle_key
@@ -111,7 +106,7 @@ def l8_slice(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     e3_first_per_group, e4_running_tokens, e5_page_cap, e6_consecutive_numbers, e7_islands, e8_renumber_pages, e9_chunks,
-    e10_split_parts, e11_cap_per_group, e12_singleton_numbers, l1_label_sort, l2_count_mean_sort, l5_order_limit,
+    e11_cap_per_group, e12_singleton_numbers, l1_label_sort, l2_count_mean_sort, l5_order_limit,
     l6_sample_rows, l7_sample_groups, l8_slice)}
 
 from catalog.filters import STATS_SQL  # noqa: E402
