@@ -1,6 +1,5 @@
 """Session settings and durable cuts of long lineages."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,32 +25,38 @@ def build_session(app="textkin", master=None, **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can read: ``spark.checkpoint.dir``.
+    """The folder every executor and the driver can read: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Where that is unset, a subfolder of the warehouse, which is shared wherever tables are.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def cut(df: DataFrame, name="cut") -> DataFrame:
+def remove(spark: SparkSession, path: str):
+    """Delete a folder of intermediate data on any Hadoop file system."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def cut(df: DataFrame, name="cut", replaces=()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives lost executors and ends the lineage, so
     iterative jobs re-read files instead of re-running earlier rounds.
+    ``replaces``: earlier cuts that nothing needs once this one is written; their folders go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in replaces:
+        remove(spark, old.cut_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
