@@ -2,12 +2,35 @@
 
 from pyspark.sql import functions as F
 
-from textkin.llm import line_dedup, mixing
+from textkin.llm import line_dedup, mixing, near_dedup
 from textkin.llm.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op2_near_dedup(spark, sf):
+    """Component of near copies of every document."""
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle FROM w),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+                        GROUP BY x.doc_id, y.doc_id) c
+  JOIN size p ON p.doc_id = c.a JOIN size q ON q.doc_id = c.b WHERE 100 * c.c >= 75 * (p.n + q.n - c.c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN size z USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
+"""
+
+
 def op7_mix_to_targets(spark, sf):
     """Raked sampling probability and draw of every document."""
     out = mixing.mix_to_targets(table(spark, sf, "documents"))
@@ -72,5 +95,5 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
-QUERIES = {"op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
-ORACLE = {"op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
+ORACLE = {"op2_near_dedup": OP2_SQL, "op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}
