@@ -16,11 +16,6 @@ from textkin.session import cut
 MAX_ROUNDS = 50
 
 
-def _fingerprint(df: DataFrame):
-    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns) % 1000000007).alias("h")).first()
-    return r["n"], r["h"]
-
-
 def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_ROUNDS) -> DataFrame:
     """``(id, label)`` for every id with an edge; label is the smallest id reached.
 
@@ -43,13 +38,13 @@ def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_
         pulled = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    before = None
     for _ in range(max_rounds):
-        e = cut(small_star(large_star(e)), "star")
-        now = _fingerprint(e)
-        if now == before:
+        e = cut(small_star(large_star(e)), "star", replaces=[e])
+        # Done when every node has one link, to a node without any.
+        split = e.groupBy("u").agg(F.count("*").alias("links")).where("links > 1").select("u")
+        deep = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if split.unionByName(deep).isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select(
