@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textkin.llm import line_dedup, mixing, near_dedup
+from textkin.llm import line_dedup, mixing, near_dedup, substring_dedup
 from textkin.llm.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,27 @@ FROM documents d LEFT JOIN size z USING (doc_id) JOIN (SELECT a AS doc_id, min(b
 """
 
 
+def op4_substring_dedup(spark, sf):
+    """Every document without the 13-word windows that an earlier one holds."""
+    out = substring_dedup.remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS ws FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+origin AS (SELECT seq, min(doc_id) AS lowest FROM win GROUP BY seq),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM (SELECT w.doc_id, w.i FROM win w JOIN origin o USING (seq) WHERE o.lowest < w.doc_id)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.j) AS kept, count(*) AS n
+         FROM each e ANTI JOIN covered c ON c.doc_id = e.doc_id AND c.j = e.j GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op7_mix_to_targets(spark, sf):
     """Raked sampling probability and draw of every document."""
     out = mixing.mix_to_targets(table(spark, sf, "documents"))
@@ -95,5 +116,5 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
-QUERIES = {"op2_near_dedup": op2_near_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
-ORACLE = {"op2_near_dedup": OP2_SQL, "op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
+ORACLE = {"op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}
