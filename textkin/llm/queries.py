@@ -2,12 +2,31 @@
 
 from pyspark.sql import functions as F
 
-from textkin.llm import line_dedup, mixing, near_dedup, substring_dedup
+from textkin.llm import language_id, line_dedup, mixing, near_dedup, substring_dedup, toxicity
 from textkin.llm.tables import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _fold(k):
+    """Remainder of the checksum of the id; null ids are in no fold."""
+    return F.crc32(F.col("doc_id").cast("string")) % k
+
+
+def op1_language_id(spark, sf):
+    """Language of every document, learned from three of four folds."""
+    docs = table(spark, sf, "documents")
+    model = language_id.fit(docs.where(_fold(4) != 2))
+    return language_id.predict(docs.withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False))), model, keep=("doc_id", "held_out"))
+
+
+def op6_toxicity(spark, sf):
+    """Toxicity of every document, learned from the labels of four of five folds."""
+    docs = table(spark, sf, "documents")
+    grammar = toxicity.fit(docs, table(spark, sf, "labels").where(_fold(5) != 0))
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False))), grammar, keep=("doc_id", "held_out"))
+
+
 def op2_near_dedup(spark, sf):
     """Component of near copies of every document."""
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
@@ -116,5 +135,5 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
-QUERIES = {"op2_near_dedup": op2_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op6_toxicity": op6_toxicity, "op2_near_dedup": op2_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}

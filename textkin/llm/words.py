@@ -83,20 +83,30 @@ class Words:
         """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
         if not len(self.starts):
             return np.empty(0, U64)
+        return self.prefixes(lower)(None)
+
+    def prefixes(self, lower: bool = False):
+        """A function that hashes the first ``k`` bytes of each word; ``None`` and shorter words: the whole word."""
         up, down = _power_tables(len(self.data) + 1)
         sums = np.empty(len(self.data) + 1, U64)
         sums[0] = 0
         np.cumsum(np.take(_LOWER if lower else _TABLE, self.data) * up[:len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
+        def of(k):
+            ends = self.ends if k is None else np.minimum(self.starts + k, self.ends)
+            return mix((sums[ends] - sums[self.starts]) * down[self.starts])
+
+        return of
 
 
-def words_of(texts: pa.Array) -> Words:
+def words_of(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
+    """Words of the texts; ``space`` marks the bytes that separate them."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]] if body is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     begins, stops = solid.copy(), solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]
