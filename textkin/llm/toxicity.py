@@ -33,9 +33,10 @@ from textkin.llm.tables import fresh
 from textkin.llm.words import U64, blocks, words_of
 from textkin.session import cut
 
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 FIT_TASKS = 8
-#: A lexicon entry: share of toxic rows that hold it at least, rows at least, and its share among holders with classes of equal size.
+#: A lexicon entry: different words before it in toxic rows, as a share of these rows and in number at least, and toxic share of such words
+#: with classes of equal size.
 SUPPORT, LEAST, PRECISION = 0.01, 3, 0.97
 #: Longest list of entries; entries are taken by support.
 MAX_ENTRIES = 5000
@@ -227,24 +228,28 @@ def sample(docs: DataFrame, labels: DataFrame, id="doc_id", text="text", label="
 def lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     """``(letters, is a beginning)`` of the insult entries.
 
-    Rows are counted by groups of alike ones (the smallest word hash of a text), so a text with many copies is no proof
-    that its rare words are insults.
+    An entry is counted by the different words it follows. Insults follow any word; the rare words of a passage that
+    toxic texts copied from each other always follow the same one and prove nothing.
     """
-    found = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("words"))
-    found = found.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("alike")).where("alike is not null")
-    entries = F.array_distinct(F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("entry"), F.lit(False).alias("begins"))),
-        *[F.transform(F.filter("words", lambda w, k=k: F.length(w) > k),
-                      lambda w, k=k: F.struct(F.substring(w, 1, k).alias("entry"), F.lit(True).alias("begins"))) for k in BEGINNINGS]))
-    totals = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count_distinct("alike").alias("n")).collect()}
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return []
-    each = found.select("toxic", "alike", F.explode(entries).alias("e")).distinct()
-    counted = each.groupBy("e").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    bad, good = F.col("bad") / totals[1], F.col("good") / totals[0]
-    chosen = counted.where((F.col("bad") >= max(LEAST, SUPPORT * totals[1])) & (bad / (bad + good) >= PRECISION))
-    chosen = chosen.orderBy(F.desc("bad"), "e").limit(MAX_ENTRIES).select("e.*").collect()
-    return [(r["entry"], r["begins"]) for r in chosen]
+    words = rows.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")).alias("words"))
+    each = cut(words.select("toxic", F.explode(F.transform("words", lambda w, i: F.struct(
+        w.alias("entry"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("after")))).alias("w")).select("toxic", "w.*").distinct(), "words")
+
+    def chosen(each):
+        counted = each.groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+        bad, good = F.col("bad") / totals[1], F.col("good") / totals[0]
+        found = counted.where((F.col("bad") >= max(LEAST, SUPPORT * totals[1])) & (bad / (bad + good) >= PRECISION))
+        return found.orderBy(F.desc("bad"), "entry").limit(MAX_ENTRIES).select("entry")
+
+    whole = cut(chosen(each), "insults")
+    # Beginnings must earn their place with words that are no entries yet.
+    rest = each.join(F.broadcast(whole), "entry", "left_anti")
+    begins = F.array_compact(F.array(*[F.when(F.length("entry") > k, F.substring("entry", 1, k)) for k in BEGINNINGS]))
+    begins = chosen(rest.select("toxic", "after", F.explode(begins).alias("entry")).distinct())
+    return [(r["entry"], False) for r in whole.collect()] + [(r["entry"], True) for r in begins.collect()]
 
 
 def _grammar(entries, weights=None, bias=BIAS):
