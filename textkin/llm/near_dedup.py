@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id="doc_id", text="text", percent=PERCENT)
 
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
     wanted = clusters.join(sizes, "label").select(F.col("id").alias("doc_id"), F.col("label").alias("g"), "n")
-    sets = texts.join(wanted, "doc_id").mapInArrow(_full_sets, "g long, n long, node long, data binary")
+    # Texts are always dealt out by id: ids of all clusters are no bounded broadcast.
+    sets = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_full_sets, "g long, n long, node long, data binary")
     links = _in_blocks(sets, SET_BLOCK).mapInArrow(_confirmed(percent), "src long, dst long")
     many = keyed.where("n_shingles > 0").select("doc_id", "rep").distinct()
     several = many.groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top")
