@@ -2,34 +2,51 @@
 
 import uuid
 
-from textkin.llm import line_dedup, mixing
+from pyspark.sql import functions as F
+
+from textkin.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from textkin.llm.tables import fresh, table
 from textkin.session import shared_dir
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def clean(spark, docs, sf_dir):
+    """Documents that are not toxic. Labels of one fold of five are left for judging the scores."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    grammar = toxicity.fit(docs, labels)
+    verdict = fresh(docs, "predicted")
+    return toxicity.score(docs, grammar, keep=tuple(docs.columns)).where(F.col(verdict) == 0).select(*docs.columns)
 
 
 def lines(spark, docs, sf_dir):
     """Documents without the boilerplate lines of their source."""
-    out = line_dedup.drop_boilerplate(docs, n_lines="_lines", n_dropped="_dropped")
-    return out.select(*docs.columns)
+    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+
+
+def unique(spark, docs, sf_dir):
+    """One document of each group of near copies."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def untested(spark, docs, sf_dir):
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):
-    """Documents drawn by raked weights, with their weight and probability."""
-    out = mixing.mix_to_targets(docs)
-    return out.where("sampled").drop("sampled")
+    """Documents drawn by raked weights, with tokens, topic, probability and weight."""
+    return mixing.mix_to_targets(docs).where("sampled").drop("sampled")
 
 
-STAGES = [("line dedup", lines), ("mixing", mix)]
+STAGES = [("toxicity", clean), ("line dedup", lines), ("near dedup", unique), ("decontamination", untested), ("mixing", mix)]
 
-#: Toxicity scores are learned, so no SQL gives these rows; tests compare with a brute-force version.
+#: Toxicity scores are learned, so no SQL gives these rows; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over ``documents``, each written to the shared folder and read again."""
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")

@@ -2,8 +2,9 @@
 
 Tokens are summed per cell (one value of every dimension, by default source x language x topic). Raking scales the cells
 until their sums follow a target for each dimension in turn; the factor of a cell is its raked weight divided by its
-tokens. A document is sampled with probability factor / largest factor, so expected token shares of the sample are
-those of the raked table and none is clipped.
+tokens. A document is sampled with probability min(1, c * factor), where c makes the expected tokens the part ``keep`` of all.
+Where a cell would need more than all its documents, they count more than once: ``weight`` = c * factor / p, which is 1 elsewhere.
+Expected weighted token shares of the sample are those of the raked table.
 
 Nulls and edges: a null dimension is a category of its own (``NO_VALUE``). A document without words has no tokens; its
 cell counts ``SMALLEST`` tokens if it holds nothing else, so it takes part. Documents with one id are drawn together
@@ -21,6 +22,7 @@ from textkin.session import cut
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = 0.5
+KEEP = 0.5
 ROUNDS = 8
 NO_VALUE = "(none)"
 SMALLEST = 1e-3
@@ -88,15 +90,34 @@ def gap(raked: DataFrame, targets: dict) -> float:
     return reduce(DataFrame.unionByName, parts).agg(F.max("gap").alias("gap")).first()["gap"] or 0.0
 
 
+def calibrate(factors: DataFrame, keep=KEEP) -> float:
+    """c, so that the sum of tokens * min(1, c * factor) is ``keep`` of all tokens.
+
+    Cells that c fills are set aside and c is found for the rest, until no further cell is filled; c only grows.
+    """
+    whole = factors.agg(F.sum("n")).first()[0]
+    if not whole:
+        return 1.0
+    c = 0.0
+    while True:
+        full = F.col("factor") * F.lit(c) >= 1
+        r = factors.agg(F.sum(F.when(full, F.col("n")).otherwise(0.0)).alias("full"),
+                        F.sum(F.when(full, 0.0).otherwise(F.col("n") * F.col("factor"))).alias("rest")).first()
+        new = (keep * whole - r["full"]) / r["rest"] if r["rest"] else c
+        if new <= c * (1 + 1e-12):
+            return c
+        c = new
+
+
 def draw(key, seed=SEED):
     """A uniform number in [0, 1) that depends on the key and the seed alone: 52 bits of an md5."""
     bits = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(bits, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_to_targets(docs: DataFrame, id="doc_id", text="text", dims=None, targets=None, flatten=FLATTEN, rounds=ROUNDS,
+def mix_to_targets(docs: DataFrame, id="doc_id", text="text", dims=None, targets=None, flatten=FLATTEN, keep=KEEP, rounds=ROUNDS,
                    seed=SEED) -> DataFrame:
-    """``docs`` with ``tokens``, one column per dimension that is not among them, ``factor``, ``p`` and ``sampled``.
+    """``docs`` with ``tokens``, one column per dimension that is not among them, ``p``, ``weight`` and ``sampled``.
 
     ``dims``: name -> column expression, by default source, lang and a topic of the text. ``targets``: name ->
     DataFrame ``(value, share)`` with shares that sum to 1; by default the flattened shares of the documents.
@@ -106,13 +127,14 @@ def mix_to_targets(docs: DataFrame, id="doc_id", text="text", dims=None, targets
     cells = cut(cells_of(docs, dims, tokens), "cells")
     raked = rake(cells, targets or flat_targets(cells, dims, flatten), rounds)
     keys = {d: fresh(docs, f"cell_{d}") for d in dims}
-    factor, p, n, sampled = (fresh(docs, c) for c in ("factor", "p", "tokens", "sampled"))
-    factors = raked.withColumn("factor", F.col("w") / F.col("n"))
-    top = factors.agg(F.max("factor")).first()[0] or 1.0
-    lookup = factors.select(*[F.col(d).alias(keys[d]) for d in dims], F.col("factor").alias(factor),
-                            (F.col("factor") / F.lit(top)).alias(p))
+    p, weight, n, sampled = (fresh(docs, c) for c in ("p", "weight", "tokens", "sampled"))
+    factors = cut(raked.withColumn("factor", F.col("w") / F.col("n")), "factors")
+    c = calibrate(factors, keep)
+    rate = F.col("factor") * F.lit(c)
+    lookup = factors.select(*[F.col(d).alias(keys[d]) for d in dims], F.least(rate, F.lit(1.0)).alias(p),
+                            F.greatest(rate, F.lit(1.0)).alias(weight))
     tagged = docs.withColumns({n: tokens} | {f"{keys[d]}_own": F.coalesce(e.cast("string"), F.lit(NO_VALUE)) for d, e in dims.items()})
     same = reduce(lambda a, b: a & b, [F.col(f"{k}_own") == F.col(k) for k in keys.values()])
-    joined = join_lookup(tagged, lookup, same, "inner", "factors")
+    joined = join_lookup(tagged, lookup, same, "inner", "rates")
     new = [F.col(f"{keys[d]}_own").alias(d) for d in dims if d.lower() not in {c.lower() for c in docs.columns}]
-    return joined.select(*docs.columns, n, *new, factor, p).withColumn(sampled, draw(F.col(id), seed) < F.col(p))
+    return joined.select(*docs.columns, n, *new, p, weight).withColumn(sampled, draw(F.col(id), seed) < F.col(p))

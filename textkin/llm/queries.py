@@ -1,9 +1,12 @@
 """The registered queries of the subpackage and their SQL (DuckDB)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from textkin.llm import language_id, line_dedup, mixing, near_dedup, substring_dedup, toxicity
+from textkin.llm import chat, decontaminate, language_id, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
 from textkin.llm.tables import table
+from textkin.session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,10 +74,59 @@ FROM w LEFT JOIN kept k USING (doc_id)
 """
 
 
+#: How speakers are marked in the four styles of raw transcripts that op3 is given.
+STYLES = [{"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
+          {"system": "Setup: ", "user": "Human: ", "assistant": "AI: "},
+          {"system": "<|rules|> ", "user": "<|person|> ", "assistant": "<|bot|> "},
+          {"system": "[S] ", "user": "[Q] ", "assistant": "[A] "}]
+
+
+def raw_turns(spark, sf):
+    """``conversations`` as raw transcripts have them: a style per conversation, and no marker on a fifth of the turns."""
+    style = F.crc32(F.concat(F.lit("style"), F.col("conv_id").cast("string"))) % len(STYLES)
+    marker = F.lit("")
+    for k, marks in enumerate(STYLES):
+        for role, mark in marks.items():
+            marker = F.when((style == k) & (F.col("role") == role), mark).otherwise(marker)
+    bare = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) % 5 == 0
+    text = F.concat(F.when(bare, "").otherwise(F.coalesce(marker, F.lit(""))), F.coalesce("text", F.lit("")))
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", F.split(text, "\n", -1).alias("lines"))
+
+
+def recovered_lines(spark, sf):
+    turns = raw_turns(spark, sf)
+    model = chat.fit(turns.where(F.crc32(F.col("conv").cast("string")) % 4 != 2))
+    lines = turns.select("conv", F.col("turn").alias("major"), F.posexplode("lines").alias("minor", "line"))
+    return chat.recover_roles(lines, model)
+
+
+def op3_chat_format(spark, sf):
+    """Canonical turns of every conversation, recovered from its raw transcript."""
+    return chat.render(recovered_lines(spark, sf)).withColumnRenamed("conv", "conv_id")
+
+
+def op5_top_k(spark, sf):
+    """The five largest inner products of every fiftieth vector with all others."""
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+best AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(q.v, c.v))::BIGINT AS score
+         FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM best) WHERE rank <= 5
+"""
+
+
 def op7_mix_to_targets(spark, sf):
     """Raked sampling probability and draw of every document."""
     out = mixing.mix_to_targets(table(spark, sf, "documents"))
-    return out.select("doc_id", "tokens", "topic", F.round("p", 6).alias("p"), "sampled")
+    return out.select("doc_id", "tokens", "topic", F.round("p", 6).alias("p"), F.round("weight", 6).alias("weight"), "sampled")
 
 
 def _rake_sql():
@@ -106,10 +158,62 @@ cells AS MATERIALIZED (SELECT source, lang, topic, greatest(sum(tokens)::DOUBLE,
                        FROM tagged GROUP BY source, lang, topic),
 w0 AS (SELECT source, lang, topic, n, n / sum(n) OVER () AS w FROM cells),
 {_steps},
-factors AS (SELECT source, lang, topic, w / n / max(w / n) OVER () AS p FROM {_last})
-SELECT doc_id, tokens, topic, round(p, 6) AS p,
+factors AS (SELECT source, lang, topic, n, w / n AS f FROM {_last}),
+-- With the cells of the k largest factors filled: c for the rest. The right k is the first whose c fills no further cell.
+filled AS (SELECT f, ({mixing.KEEP} * sum(n) OVER () - coalesce(sum(n) OVER before, 0)) / (sum(n * f) OVER () - coalesce(sum(n * f) OVER before, 0)) AS c
+           FROM (SELECT f, sum(n) AS n FROM factors GROUP BY f) WINDOW before AS (ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (SELECT c FROM filled WHERE c * f < 1 ORDER BY f DESC LIMIT 1),
+cell AS (SELECT source, lang, topic, least(c * f, 1) AS p, greatest(c * f, 1) AS weight FROM factors, rate)
+SELECT doc_id, tokens, topic, round(p, 6) AS p, round(weight, 6) AS weight,
        ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {1 << 52}.0 < p AS sampled
-FROM tagged JOIN factors USING (source, lang, topic)
+FROM tagged JOIN cell USING (source, lang, topic)
+"""
+
+
+def op8_warc(spark, sf):
+    """Every page from the archives it was written to, with its place in the history of its URL."""
+    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf, "pages"), at)
+    out = warc.merge_index(warc.read_archives(spark, at))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, url, strlen(payload) AS payload_bytes,
+        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+        regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', '', 's'), '^.*?://', '', 's') AS rest FROM p),
+k AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host, substr(rest, 1 + length(regexp_extract(rest, '^[^/?]*'))) AS path FROM d),
+s AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(host, '^.*@', ''), ':.*$', '')), '^www\\.', '') AS name FROM k),
+u AS (SELECT *, array_to_string(list_reverse(string_split(name, '.')), ',') || ')' || CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END AS url_key FROM s),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM u)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, url_key,
+       row_number() OVER (PARTITION BY url_key ORDER BY page_id % 315360000, page_id) AS capture
+FROM f
+"""
+
+
+def op9_decontaminate(spark, sf):
+    """Benchmark items that every document contains."""
+    return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _shingles_sql(source, id):
+    return f"""SELECT {id}, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle
+    FROM (SELECT {id}, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS ws
+          FROM {source})"""
+
+
+OP9_SQL = f"""
+WITH i AS MATERIALIZED ({_shingles_sql("benchmark", "item_id")}),
+d AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+SELECT d.doc_id, i.item_id, count(*) AS shared, n.n_item
+FROM d JOIN i ON i.shingle = d.shingle JOIN n ON n.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id, n.n_item HAVING 100 * count(*) >= {decontaminate.PERCENT} * n.n_item
 """
 
 
@@ -135,5 +239,11 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op6_toxicity": op6_toxicity, "op2_near_dedup": op2_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mix_to_targets": op7_mix_to_targets, "op10_line_dedup": op10_line_dedup}
-ORACLE = {"op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_mix_to_targets": OP7_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {
+    "op1_language_id": op1_language_id, "op2_near_dedup": op2_near_dedup, "op3_chat_format": op3_chat_format,
+    "op4_substring_dedup": op4_substring_dedup, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity,
+    "op7_mix_to_targets": op7_mix_to_targets, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup}
+ORACLE = {
+    "op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op7_mix_to_targets": OP7_SQL,
+    "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
