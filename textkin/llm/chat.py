@@ -182,8 +182,6 @@ def _ordered(table):
 
 def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", minor="minor", line="line", segment=SEGMENT, fan=FAN) -> DataFrame:
     """``(conv, major, minor, line, turn, role, begins)`` of every line; ``turn`` counts the recovered turns from 0."""
-    spark = lines.sparkSession
-    held = spark.sparkContext.broadcast(model)
     rows = lines.select(F.col(conv).cast("long").alias("conv"), F.col(major).cast("long").alias("major"),
                         F.coalesce(F.col(minor).cast("long"), F.lit(0)).alias("minor"), F.coalesce(F.col(line), F.lit("")).alias("line"))
     odd = rows.where("conv is null or major is null").select("*", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("begins"))
@@ -196,7 +194,6 @@ def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", mi
     several = rows.select("conv", "seg").distinct().groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
     def found(table, entry, goal, before):
-        model = held.value
         text = table["line"].to_pylist()
         path = decode(model, model.steps(text, before), entry, goal)
         begins = np.array([s % 2 == 0 for s in path])
@@ -211,7 +208,7 @@ def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", mi
     else:
         before = last.select("conv", "seg", "x.blank").withColumn("blank", F.lag("blank", 1, False).over(W.partitionBy("conv").orderBy("seg")))
         rows = rows.join(before, ["conv", "seg"])
-        states = _border_states(cut(rows, "lines"), held, fan)
+        states = _border_states(cut(rows, "lines"), model, fan)
         joined = rows.join(states, ["conv", "seg"])
         decoded = joined.groupBy("conv", "seg").applyInArrow(
             lambda t: found(_ordered(t), t["entry"][0].as_py(), t["goal"][0].as_py(), t["blank"][0].as_py()), DECODED)
@@ -223,25 +220,24 @@ def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", mi
     return out.unionByName(odd.select(out.columns))
 
 
-def _border_states(rows, held, fan):
+def _border_states(rows, model, fan):
     """``(conv, seg, entry, goal)``: the state before and at the end of every segment on the best path."""
     kind = "conv long, seg long, blob binary"
 
     def segment(t):
         t = _ordered(t)
-        model = held.value
         m = product(model, model.steps(t["line"].to_pylist(), t["blank"][0].as_py()))
         return pa.table({"conv": t["conv"].slice(0, 1), "seg": t["seg"].slice(0, 1), "blob": pa.array([m.tobytes()], pa.binary())})
 
     def combine(t):
         t = t.sort_by("seg")
-        n = len(held.value.start)
+        n = len(model.start)
         m = chain([_square(b, n) for b in t["blob"].to_pylist()])
         return pa.table({"conv": t["conv"].slice(0, 1), "seg": t["up"].slice(0, 1), "blob": pa.array([m.tobytes()], pa.binary())})
 
     def fix(t):
         t = t.sort_by("seg")
-        n = len(held.value.start)
+        n = len(model.start)
         goal = t["goal"][0].as_py()
         entry = t["entry"][0].as_py()
         states = borders([_square(b, n) for b in t["blob"].to_pylist()], entry, None if goal < 0 else goal)

@@ -117,13 +117,13 @@ def fit(labelled: DataFrame, text="text", label="lang", max_chars=MAX_CHARS) ->
 
 def predict(docs: DataFrame, model: Model, text="text", keep=("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.prior))
     kept = docs.select(*keep)
     pred, score, source = fresh(kept, "lang_pred"), fresh(kept, "score"), fresh(kept, "text")
     kept = docs.select(*keep, F.col(text).alias(source))
 
     def run(batches):
-        model = held.value
+        model = Model(*held.value)
         for batch in blocks(batches, source):
             texts = [t or "" for t in batch[source].to_pylist()]
             known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(model.langs)

@@ -137,6 +137,10 @@ class Grammar:
     weights: np.ndarray
     bias: float
 
+    def fields(self):
+        """What is broadcast: arrays and lists, from which tasks build the grammar again."""
+        return self.words, self.beginnings, self.outputs, self.weights, self.bias
+
     def __post_init__(self):
         self.table = machine()
         place = {o: i for i, o in enumerate(self.outputs)}
@@ -281,13 +285,14 @@ def regress(x, y, weight, prior, bias, strength=1.0, steps=100):
 def fit(docs: DataFrame, labels: DataFrame, id="doc_id", text="text", label="toxic", max_rows=MAX_ROWS) -> Grammar:
     rows = sample(docs, labels, id, text, label, max_rows)
     grammar = _grammar(lexicon(rows))
-    held = rows.sparkSession.sparkContext.broadcast(grammar)
+    held = rows.sparkSession.sparkContext.broadcast(grammar.fields())
     fields = ", ".join(["toxic int", *[f"`{o}` double" for o in grammar.outputs]])
 
     def count(batches):
+        own = Grammar(*held.value)
         for batch in blocks(batches, "text"):
-            x = held.value.counts(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["toxic"], *[pa.array(c) for c in x.T]], ["toxic", *held.value.outputs])
+            x = own.counts(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], *[pa.array(c) for c in x.T]], ["toxic", *own.outputs])
 
     # Rows with equal counts are one row with their number; the sample bounds how many there are.
     seen = rows.mapInArrow(count, fields).groupBy("toxic", *[F.col(f"`{o}`") for o in grammar.outputs]).count().collect()
@@ -304,14 +309,15 @@ def fit(docs: DataFrame, labels: DataFrame, id="doc_id", text="text", label="tox
 
 def score(docs: DataFrame, grammar: Grammar, text="text", keep=("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row with ``score`` and ``predicted``."""
-    held = docs.sparkSession.sparkContext.broadcast(grammar)
+    held = docs.sparkSession.sparkContext.broadcast(grammar.fields())
     kept = docs.select(*keep)
     names = [fresh(kept, n) for n in ("score", "predicted")]
     source = fresh(kept, "text")
 
     def run(batches):
+        own = Grammar(*held.value)
         for batch in blocks(batches, source):
-            s = held.value.scores(batch[source])
+            s = own.scores(batch[source])
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

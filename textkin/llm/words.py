@@ -21,7 +21,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = 1 << 64
-_powers = (np.ones(1, U64), np.ones(1, U64))
+
+
+class _Powers:
+    """Tables that a process fills for itself; functions that are sent to tasks take an empty one along."""
+
+    tables = (np.ones(1, U64), np.ones(1, U64))
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,8 +52,7 @@ _LOWER[65:91] = _TABLE[97:123]
 
 def _power_tables(n: int):
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _powers
-    if len(_powers[0]) < n:
+    if len(_powers.tables[0]) < n:
         n = max(n, BLOCK_BYTES + 1)
         inverse = pow(_BASE, -1, _WRAP)
         tables = []
@@ -56,8 +66,8 @@ def _power_tables(n: int):
             tables.append(t)
         if n > 8 * BLOCK_BYTES:
             return tables  # of one very long text: not kept
-        _powers = tuple(tables)
-    return _powers
+        _powers.tables = tuple(tables)
+    return _powers.tables
 
 
 @dataclass
