@@ -216,7 +216,7 @@ def j26_similar_codes(spark, sf):
 
 def j27_similar_pairs(spark, sf):
     b, v = crosswalk.align(*_keyed(spark, sf))
-    return crosswalk.similar_pairs(b, v, _links(spark, sf))
+    return crosswalk.similar_pairs(b, v, _links(spark, sf), fx.meta(spark, sf).where("key % 20 = 0"))
 
 
 def j28_zip_vectors(spark, sf):
@@ -331,18 +331,18 @@ ORACLE = {
         auth="""SELECT x.htid AS target, y.htid AS match, 'author' AS rule FROM fx_meta x JOIN fx_meta y ON x.author = y.author AND x.htid <> y.htid
           WHERE x.htid IN (SELECT htid FROM t) AND NOT EXISTS (SELECT 1 FROM init i WHERE i.target = x.htid AND i.match = y.htid)
           QUALIFY row_number() OVER (PARTITION BY x.htid ORDER BY md5('1234|' || y.htid), y.htid) <= 5""",
-        rnd="""SELECT DISTINCT d.htid AS target, m.htid AS match, 'random' AS rule FROM (SELECT htid, unnest([1, 2, 3]) AS i FROM t) d JOIN
+        rnd="""SELECT d.htid AS target, m.htid AS match, 'random' AS rule FROM (SELECT htid, unnest([0, 1, 2, 3]) AS i FROM t) d JOIN
           (SELECT htid, row_number() OVER (ORDER BY md5('1234|' || htid), htid) - 1 AS pos FROM fx_meta) m
-          ON m.pos = CAST('0x' || substr(md5('1234|' || d.htid || '|' || d.i), 1, 14) AS BIGINT) % (SELECT count(*) FROM fx_meta) WHERE m.htid <> d.htid"""),
+          ON m.pos = (CAST('0x' || substr(md5('1234|' || d.htid), 1, 14) AS BIGINT) + d.i) % (SELECT count(*) FROM fx_meta) WHERE m.htid <> d.htid
+          QUALIFY row_number() OVER (PARTITION BY d.htid ORDER BY d.i) <= 3"""),
     "j25_code_alignment": sql("""SELECT code, (SELECT count(*) FROM bk WHERE bk.code = v.code) AS books, count(*) AS volumes FROM vo v
         WHERE code IN (SELECT code FROM bk) GROUP BY code""", "fx_meta", "fx_books", bk=KEYED["bk"], vo=KEYED["vo"]),
     "j26_similar_codes": sql("""SELECT code, (SELECT count(*) FROM bk WHERE bk.code = c.code) AS books,
         (SELECT count(*) FROM vo WHERE vo.code = c.code) AS volumes, count(*) AS similar_codes,
         CAST(sum((SELECT count(*) FROM vo WHERE vo.code = c.similar_code)) AS BIGINT) AS similar_volumes
         FROM codes c GROUP BY code""", "fx_meta", "fx_books", "fx_edges", **KEYED),
-    "j27_similar_pairs": sql("""SELECT vo.htid AS "left", f.htid AS "right", 'GRSIM' AS relationship FROM vo JOIN codes USING (code)
-        JOIN (SELECT code AS similar_code, min(htid) AS htid FROM vo GROUP BY code) f USING (similar_code)
-        WHERE vo.htid <> f.htid""", "fx_meta", "fx_books", "fx_edges", **KEYED),
+    "j27_similar_pairs": sql("""SELECT DISTINCT l.htid AS "left", r.htid AS "right", 'GRSIM' AS relationship FROM vo l JOIN codes USING (code)
+        JOIN vo r ON r.code = similar_code WHERE l.htid <> r.htid AND CAST(split_part(l.htid, '.', 2) AS BIGINT) % 20 = 0""", "fx_meta", "fx_books", "fx_edges", **KEYED),
     "j28_zip_vectors": sql("""SELECT htid, seq, 128 AS dims, 'both' AS state FROM fx_chunk WHERE label NOT IN (3, 7)
         UNION ALL SELECT htid, seq, 0, CASE label WHEN 3 THEN 'left' ELSE 'right' END FROM fx_chunk WHERE label IN (3, 7)""", "fx_chunk"),
     "j30_first_author": sql("SELECT book_id, title, author_id FROM fx_books", "fx_books"),

@@ -25,7 +25,12 @@ def _dump(spark, sf, sep):
     out = m.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA])
     path = scratch(spark, "dump")
-    out.write.option("sep", sep).option("compression", "gzip").option("quote", "").csv(path)
+    quote = ""
+    if sep == ",":  # commas and quotes inside values, and years written as floats
+        quote = '"'
+        out = out.withColumns({"title": F.concat("title", F.lit(', "'), "description", F.lit('"')),
+                               "rights_date_used": F.col("rights_date_used").cast("double")})
+    out.write.option("sep", sep).option("compression", "gzip").option("quote", quote).option("escape", quote or "\\").csv(path)
     return path
 
 
@@ -34,8 +39,11 @@ _meta_out = "SELECT " + ", ".join(META_FIELDS) + " FROM fx_meta"
 
 
 def s1_metadata_ingest(spark, sf):
-    path = scratch(spark, "store")
-    metadata.create_store(metadata.read_delimited(spark, _dump(spark, sf, ","), sep=","), path)
+    """A comma-separated dump with quoted values, clustered by id."""
+    path, dump = scratch(spark, "store"), _dump(spark, sf, ",")
+    if metadata.rejected_lines(spark, dump, sep=",").take(1):
+        raise ValueError("lines of the dump could not be read")
+    metadata.create_store(metadata.read_delimited(spark, dump, sep=","), path)
     return metadata.read_store(spark, path, META_FIELDS)
 
 
@@ -191,7 +199,7 @@ QUERIES = {f.__name__: f for f in (
     s16_json_field, s17_concatenate_vectors, k2_stub_columns, k15_extend_store)}
 
 ORACLE = {
-    "s1_metadata_ingest": sql(_meta_out, "fx_meta"),
+    "s1_metadata_ingest": sql(_meta_out.replace("title,", """title || ', "' || description || '"' AS title,"""), "fx_meta"),
     "s2_metadata_tsv": sql(_meta_out, "fx_meta"),
     "s3_metadata_in_list": sql(f"""SELECT htid, title, author FROM fx_meta
         WHERE key IN (SELECT b FROM fx_edges)""", "fx_meta", "fx_edges"),

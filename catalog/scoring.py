@@ -131,10 +131,20 @@ def i11_group_features(spark, sf):
     return score.zscore_profile(g, "cluster", ["q", "p", "d", "t"])
 
 
-def a20_structured_rows(spark, sf):
-    scored = _scored(spark, sf).withColumn("relatedness", F.round(F.col("relatedness").cast("double"), 4))
+def _blank_some(author):
+    """Some volumes have no author, so blank authors stand on either side of a pair."""
+    return F.when(F.col("htid").substr(-1, 1).isin("3") & (F.col("title") > "m"), F.lit(None)).otherwise(author)
+
+
+def structured(spark, sf):
+    m = fx.meta(spark, sf).withColumn("author", _blank_some(F.col("author")))
+    scored = score.format_scores(fx.predictions(spark, sf), m).withColumn("relatedness", F.round(F.col("relatedness").cast("double"), 4))
     scored = scored.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in LABELS})
-    return export.structured_rows(scored, fx.meta(spark, sf)).select("target", "section", "field", "rank", "value", "confidence")
+    return export.structured_rows(scored, m)
+
+
+def a20_structured_rows(spark, sf):
+    return structured(spark, sf).select("target", "section", "field", "rank", "value", "confidence")
 
 
 def a20_structured_documents(spark, sf):
@@ -152,7 +162,8 @@ _SC = f"""SELECT target, candidate, {GUESS_SQL} AS guess, {", ".join(f"round({c}
   round({RELATED_SQL}::FLOAT::DOUBLE, 4) AS relatedness FROM fx_rel"""
 _J = """SELECT s.*, m.title, m.author, m.description, m.rights_date_used, m.oclc_num, t.title AS t_title, t.author AS t_author,
   t.description AS t_description, t.rights_date_used AS t_rights_date_used, t.oclc_num AS t_oclc_num
-  FROM sc s JOIN fx_meta m ON m.htid = candidate JOIN fx_meta t ON t.htid = target"""
+  FROM sc s JOIN blanked m ON m.htid = candidate JOIN blanked t ON t.htid = target"""
+_BLANKED = "SELECT * REPLACE (CASE WHEN right(htid, 1) = '3' AND title > 'm' THEN NULL ELSE author END AS author) FROM fx_meta"
 
 
 def _values_sql(field, col, limit):
@@ -168,7 +179,13 @@ _A20 = " UNION ALL ".join(
     + ["""SELECT target, 'relationships', field, row_number() OVER (PARTITION BY target, field ORDER BY p DESC, candidate) - 1, candidate,
         CAST(trunc(p * 100) AS INTEGER) FROM r""",
        "SELECT target, 'recommendations', 'similar books', rn - 1, candidate, NULL FROM simi",
-       "SELECT DISTINCT target, 'recommendations', 'related authors', CAST(0 AS BIGINT), author, NULL FROM simi"])
+       "SELECT DISTINCT target, 'recommendations', 'related authors', CAST(0 AS BIGINT), author, NULL FROM simi WHERE author IS NOT NULL"])
+A20 = _A20
+A20_VIEWS = dict(
+    sc=_SC, blanked=_BLANKED, j=_J,
+    r=f"SELECT target, candidate, CASE guess {_REL} END AS field, CASE guess {_PROB} END AS p FROM j WHERE author = t_author AND guess IN ({', '.join(repr(x) for x in export.RELATIONSHIPS.values())})",
+    simi="""SELECT *, row_number() OVER (PARTITION BY target ORDER BY relatedness DESC, candidate) AS rn FROM j
+      WHERE NOT coalesce(author = t_author, false) AND relatedness > 0.15 QUALIFY rn <= 20""")
 
 _FLAG_DIMS = 160
 FLAGSHIP = {
@@ -201,8 +218,5 @@ ORACLE = {
         pr=f"SELECT {_G8} AS t, {GUESS_SQL} AS g FROM fx_rel"),
     "i9_split": sql("""SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'test' ELSE 'validate' END AS part, count(*) AS n FROM (
         SELECT CAST('0x' || substr(md5('1234|' || target || '|' || candidate), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM fx_rel) GROUP BY 1""", "fx_rel"),
-    "a20_structured_rows": sql(_A20, "fx_rel", "fx_meta", sc=_SC, j=_J,
-        r=f"SELECT target, candidate, CASE guess {_REL} END AS field, CASE guess {_PROB} END AS p FROM j WHERE author = t_author AND guess IN ({', '.join(repr(x) for x in export.RELATIONSHIPS.values())})",
-        simi="""SELECT *, row_number() OVER (PARTITION BY target ORDER BY relatedness DESC, candidate) AS rn FROM j
-          WHERE author <> t_author AND relatedness > 0.15 QUALIFY rn <= 20"""),
+    "a20_structured_rows": sql(_A20, "fx_rel", "fx_meta", **A20_VIEWS),
 }

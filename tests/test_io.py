@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import catalog
 from catalog import fixtures as fx
 from textkin.operators import relations, vectorize
-from textkin.schemas import LABELS
+from textkin.schemas import LABELS, METADATA
 from textkin.session import shared_dir
 from textkin.sources import files, metadata, sinks, tables
 from textkin.streaming import ingest
@@ -60,6 +60,33 @@ def test_stage_skips_volumes_already_saved(spark, scratch):
     assert {r["v"] for r in sinks.save_missing(both, scratch, force=True).collect()} == {"new"}
 
 
+def test_forced_rewrite_keeps_the_other_volumes_of_a_library(spark, scratch):
+    stage = spark.createDataFrame([("mdp.1", "old"), ("mdp.2", "old"), ("uc.1", "old")], "htid string, v string")
+    sinks.save_missing(stage, scratch)
+    out = sinks.save_missing(spark.createDataFrame([("mdp.1", "new")], "htid string, v string"), scratch, force=True)
+    assert {(r["htid"], r["v"]) for r in out.collect()} == {("mdp.1", "new"), ("mdp.2", "old"), ("uc.1", "old")}
+
+
+def test_quoted_dumps_and_years_as_floats(spark, scratch):
+    head = ",".join(f.name for f in METADATA)
+    names = [f.name for f in METADATA]
+    row = {"htid": "a.1", "title": '"Works, ""vol"" 1"', "author": '"Smith, John"', "rights_date_used": "1999.0", "us_gov_doc_flag": "1"}
+    good = ",".join(row.get(n, "") for n in names)
+    bad = ",".join({"htid": "a.2", "rights_date_used": "soon"}.get(n, "") for n in names)
+    spark.createDataFrame([("\n".join([head, good, bad]),)], "value string").coalesce(1).write.text(scratch)
+    got = metadata.read_delimited(spark, scratch, sep=",", header=True).where("htid = 'a.1'").first()
+    assert (got["title"], got["author"], got["rights_date_used"], got["us_gov_doc_flag"]) == ('Works, "vol" 1', "Smith, John", 1999, 1)
+    lost = metadata.rejected_lines(spark, scratch, sep=",", header=True).collect()
+    assert [r["htid"] for r in lost] == ["a.2"] and "soon" in lost[0]["line"]
+
+
+def test_a_bad_record_fails_whichever_columns_are_read(spark, scratch):
+    spark.createDataFrame([("a", "b", [1.0], [1.0], [0] * 10, "SWSM")], "left string, right string, sim_x array<float>, wem_x array<float>, y array<int>, judgment string").write.parquet(scratch)
+    with pytest.raises(Exception, match="bad record"):
+        sinks.read_records(spark, scratch, 4, 1).groupBy("judgment").count().collect()
+    assert sinks.bad_records(spark.read.parquet(scratch), 4, 1).count() == 1
+
+
 def test_ingest_reads_each_file_once_and_equals_batch(spark, sf, scratch):
     p = fx.predictions(spark, sf).withColumnRenamed("candidate", "htid").cache()
     ids = [r["target"] for r in p.select("target").distinct().orderBy("target").limit(6).collect()]

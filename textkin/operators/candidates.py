@@ -184,7 +184,7 @@ def rating_lists(meta: DataFrame, targets: DataFrame, near: DataFrame = None, ma
 
 
 def fill_by_author(meta: DataFrame, targets: DataFrame, taken: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` volumes by id of each target's author that are not taken yet.
+    """The first ``k`` volumes, in shuffled order, of each target's author that are not taken yet.
 
     A target needs at most k + (its taken volumes by that author) of the author's
     list, so each author's rank list is only entered that deep.
@@ -206,17 +206,22 @@ def fill_by_author(meta: DataFrame, targets: DataFrame, taken: DataFrame, k: int
 
 
 def random_matches(meta: DataFrame, targets: DataFrame, k: int, seed=1234) -> DataFrame:
-    """``k`` pseudo-random volumes per target from one shuffled numbering."""
-    placed = shuffled_positions(meta.select("htid"), [], ["htid"], seed)
-    draw = F.conv(F.substring(shuffle_key(F.col("target"), F.col("i"), seed=seed), 1, 14), 16, 10).cast("long")
-    total = meta.agg(F.count("*")).scalar()
+    """``k`` pseudo-random volumes per target, all others if there are fewer.
+
+    A target takes the volumes from a place of its own on, in one shuffled order that closes to a ring.
+    """
+    placed = shuffled_positions(meta.select("htid").distinct(), [], ["htid"], seed)
+    total = placed.count()
+    if total < 2:
+        return placed.select(F.col("htid").alias("target"), F.col("htid").alias("match"), F.lit("random").alias("rule")).limit(0)
+    begin = F.conv(F.substring(shuffle_key(F.col("target"), seed=seed), 1, 14), 16, 10).cast("long")
     wanted = (
         targets.select(F.col("htid").alias("target")).distinct()
-        .withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        .select("target", F.pmod(draw, total).alias("pos"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(min(k, total - 1)))))
+        .select("target", "i", F.pmod(begin + F.col("i"), F.lit(total)).alias("pos"))
     )
-    return wanted.join(placed.select("pos", F.col("htid").alias("match")), "pos").where(
-        "target <> match").select("target", "match", F.lit("random").alias("rule")).distinct()
+    found = wanted.join(placed.select("pos", F.col("htid").alias("match")), "pos").where("target <> match")
+    return top_per_group(found, ["target"], ["i"], k).select("target", "match", F.lit("random").alias("rule"))
 
 
 def near_titles(meta: DataFrame, targets: DataFrame = None, cutoff=0.05, n=100, dims=50) -> DataFrame:

@@ -26,7 +26,6 @@ MAX_SIMILAR = 20
 # -------------------------------------------------------------------------
 
 BOOK = ["title", "author", "description", "rights_date_used", "oclc_num", "isbn"]
-PART_SIZE = 1000
 
 
 def _with_target(scored: DataFrame, meta: DataFrame) -> DataFrame:
@@ -64,7 +63,8 @@ def structured_rows(scored: DataFrame, meta: DataFrame) -> DataFrame:
     out.append(ranked.select("target", F.lit("relationships").alias("section"), "field", "rank",
                              F.col("candidate").alias("value"), confidence(F.col("p")).alias("confidence"), *BOOK))
 
-    others = rows.where((F.col("author") != F.col("t_author")) & (F.col("relatedness") > MIN_RELATEDNESS))
+    # A blank author is nobody's, so such books are by another author than any target.
+    others = rows.where(~F.coalesce(F.col("author") == F.col("t_author"), F.lit(False)) & (F.col("relatedness") > MIN_RELATEDNESS))
     similar = top_per_group(others, ["target"], [F.desc("relatedness"), "candidate"], MAX_SIMILAR, rank_col="rn")
     out.append(similar.select(
         "target", F.lit("recommendations").alias("section"), F.lit("similar books").alias("field"),
@@ -80,27 +80,24 @@ def structured_rows(scored: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def structured_documents(rows: DataFrame, meta: DataFrame, targets: DataFrame) -> DataFrame:
-    """Nested JSON result per target: ``(target, part, document)``.
+    """Nested JSON result per target: ``(target, document)``.
 
-    Lists longer than 1,000 entries continue in the next part, so that no list is
-    gathered whole; an ordinary target has part 0 only. Targets without any
-    relation get a document holding the volume alone.
+    ``structured_rows`` is the form that any number of relations fits; this is its nested copy for output, one document for
+    each of ``targets``. Targets without any relation get a document holding the volume alone.
     """
-    numbered = positions(rows, ["target", "section", "field"], F.floor(F.col("rank") / 256), ["rank", "value"], pos="at")
     item = F.when(
         (F.col("section") == "relationships") | (F.col("field") == "similar books"),
         F.to_json(F.struct(F.col("value").alias("htid"), "title", "author", "description",
                            F.col("rights_date_used").alias("year"), "oclc_num", "isbn", "confidence"))
     ).otherwise(F.to_json(F.struct("value")))
+    wanted = targets.select(F.col("htid").alias("target")).distinct()
     lists = (
-        numbered.withColumns({"part": F.floor(F.col("at") / PART_SIZE), "item": item})
-        .groupBy("target", "part", "section", "field")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda s: s["item"]).alias("items"))
+        rows.join(wanted, "target", "left_semi").withColumn("item", item).groupBy("target", "section", "field")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "item"))), lambda s: s["item"]).alias("items"))
     )
-    nested = lists.groupBy("target", "part").agg(  # at most 13 fields
+    nested = lists.groupBy("target").agg(  # at most 13 fields
         F.sort_array(F.collect_list(F.struct("section", "field", "items"))).alias("lists"))
-    base = meta.join(targets.select("htid").distinct(), "htid", "left_semi").select(
+    base = meta.join(wanted.withColumnRenamed("target", "htid"), "htid", "left_semi").select(
         F.col("htid").alias("target"), F.struct(*DEFAULT_FIELDS, volume_link(F.col("htid")).alias("link")).alias("volume"))
     doc = F.struct("volume", F.coalesce("lists", F.array().cast(nested.schema["lists"].dataType)).alias("lists"))
-    return base.join(nested, "target", "left").select(
-        "target", F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.to_json(doc).alias("document"))
+    return base.join(nested, "target", "left").select("target", F.to_json(doc).alias("document"))

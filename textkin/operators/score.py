@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
-from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
@@ -49,8 +49,13 @@ def hash_split(df: DataFrame, ids, shares=(0.7, 0.15, 0.15), seed=1234):
     return parts
 
 
-def sample_classes(df: DataFrame, fractions: dict, label="judgment", seed=1234) -> DataFrame:
-    return df.sampleBy(label, fractions, seed)
+def sample_classes(df: DataFrame, fractions: dict, ids, label="judgment", seed=1234) -> DataFrame:
+    """A share of each class (none of classes that ``fractions`` leaves out), the same rows on every run."""
+    u = F.conv(F.substring(shuffle_key(*[F.col(c) for c in ids], seed=seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    share = F.lit(0.0)
+    for name, part in fractions.items():
+        share = F.when(F.col(label) == name, part).otherwise(share)
+    return df.where(u < share)
 
 
 def train_classifier(rows: DataFrame, features, label="judgment", kind="forest", **options):
@@ -126,11 +131,11 @@ def zscore_profile(df: DataFrame, cluster: str, cols) -> DataFrame:
 
 
 def group_features(df: DataFrame, cols, k=8, dims=4, seed=1234) -> DataFrame:
-    """Unsupervised groups of pair features: scaling, PCA, bisecting k-means."""
+    """Unsupervised groups of pair features: scaling, PCA, k-means."""
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
         PCA(k=min(dims, len(cols)), inputCol="_scaled", outputCol="_pca"),
-        BisectingKMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="cluster"),
+        KMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="cluster"),
     ]
     return Pipeline(stages=stages).fit(df).transform(df).drop("_raw", "_scaled", "_pca")

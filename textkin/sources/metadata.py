@@ -2,19 +2,38 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from textkin.schemas import DEFAULT_FIELDS, METADATA
 from textkin.sources.files import read_version, write_version
 
+REJECTED = "_rejected"
+
+
+def _reader(spark, path, sep, schema, header, quote):
+    # Years come as floats from some writers ("1999.0").
+    loose = StructType([StructField(f.name, DoubleType() if isinstance(f.dataType, IntegerType) else f.dataType) for f in schema]
+                       + [StructField(REJECTED, StringType())])
+    quote = ('"' if sep == "," else "") if quote is None else quote
+    return (spark.read.schema(loose).option("sep", sep).option("header", header).option("quote", quote).option("escape", quote or "\\")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).csv(path))
+
 
 def read_delimited(spark: SparkSession, path: str, sep="\t", columns=None, schema=METADATA,
-                   header=False) -> DataFrame:
-    """Typed scan of a delimited metadata dump (plain or gzip), pruned to ``columns``."""
-    df = (
-        spark.read.schema(schema).option("sep", sep).option("header", header)
-        .option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    )
-    return df.select(*columns) if columns else df
+                   header=False, quote=None) -> DataFrame:
+    """Typed scan of a delimited metadata dump (plain or gzip), pruned to ``columns``.
+
+    ``quote``: by default ``"`` for comma-separated dumps (doubled inside a value) and none for others.
+    """
+    df = _reader(spark, path, sep, schema, header, quote)
+    kinds = {f.name: f.dataType for f in schema}
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns or kinds])
+
+
+def rejected_lines(spark: SparkSession, path: str, sep="\t", schema=METADATA, header=False, quote=None) -> DataFrame:
+    """Lines of a dump with another number of fields or with values of another type: ``(line, ...)`` with what could be read."""
+    df = _reader(spark, path, sep, schema, header, quote)
+    return df.where(F.col(REJECTED).isNotNull()).select(F.col(REJECTED).alias("line"), *[f.name for f in schema])
 
 
 def create_store(df: DataFrame, path: str, key="htid", partitions=None) -> None:
@@ -55,11 +74,6 @@ def get_fields(meta: DataFrame, fields=None, offset=0, limit=None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
-def partitions_of(meta: DataFrame, fields=None):
-    """Iterate the table batch by batch without holding it on the driver."""
-    yield from meta.select(*(fields or DEFAULT_FIELDS)).toLocalIterator(prefetchPartitions=False)
-
-
 def compare(pairs: DataFrame, meta: DataFrame,
             fields=("title", "author", "oclc_num", "page_count", "description")) -> DataFrame:
     """Both sides' metadata of every pair, side by side."""

@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 
 from textkin.functions.ids import library, shuffle_key, stub
 from textkin.functions.labels import one_hot
-from textkin.operators.ranks import shuffled_positions
+from textkin.session import cut
 from textkin.sources.files import list_dir
 
-LIST_PART = 1000  # items per nested list, so that no group is gathered whole
-
 
 def with_stub(df: DataFrame, col="htid") -> DataFrame:
     """Storage partition columns of an id."""
@@ -32,10 +30,18 @@ def remaining(targets: DataFrame, done: DataFrame, key="htid") -> DataFrame:
 
 
 def save_missing(df: DataFrame, path: str, key="htid", force=False) -> DataFrame:
-    """Append only volumes the stage table does not hold; ``force`` rewrites all."""
+    """Append only volumes the stage table does not hold; ``force`` replaces those it does.
+
+    Replacing rewrites the libraries of the new volumes, with all other volumes in them.
+    """
     spark = df.sparkSession
-    if force or not list_dir(spark, path):
+    if not list_dir(spark, path):
         write_stage(df, path, key)
+    elif force:
+        held = spark.read.parquet(path)
+        new = with_stub(df, key)
+        kept = held.join(new.select("lib").distinct(), "lib", "left_semi").join(new.select(key).distinct(), key, "left_anti")
+        write_stage(cut(kept.drop("lib", "stub").unionByName(df), "stage"), path, key)
     else:
         new = remaining(df, spark.read.parquet(path), key)
         (with_stub(new, key).repartitionByRange("lib", "stub", key).sortWithinPartitions("lib", "stub", key)
@@ -63,6 +69,11 @@ def copy_to_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def copy_to_text(df: DataFrame, path: str) -> None:
+    """One line per row of a single text column, such as documents that are JSON already."""
+    df.write.mode("overwrite").text(path)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").csv(path)
 
@@ -79,12 +90,19 @@ def feature_records(rows: DataFrame) -> DataFrame:
         F.coalesce("notes", F.lit("")).alias("notes"))
 
 
+def _fits(sim_size, wem_size, labels):
+    return F.coalesce((F.size("sim_x") == sim_size) & (F.size("wem_x") == wem_size) & (F.size("y") == labels), F.lit(False))
+
+
+def bad_records(records: DataFrame, sim_size: int, wem_size: int, labels=10) -> DataFrame:
+    """Records whose arrays have other lengths."""
+    return records.where(~_fits(sim_size, wem_size, labels))
+
+
 def read_records(spark: SparkSession, path: str, sim_size: int, wem_size: int, labels=10) -> DataFrame:
-    """Records back from parquet; a wrong length fails the job."""
-    df = spark.read.parquet(path)
-    ok = (F.size("sim_x") == sim_size) & (F.size("wem_x") == wem_size) & (F.size("y") == labels)
-    return df.withColumn("sim_x", F.when(ok, F.col("sim_x")).otherwise(
-        F.raise_error(F.concat(F.lit("bad record "), "left", F.lit(" "), "right"))))
+    """Records back from parquet; a wrong length fails the job, whichever columns are read."""
+    bad = F.raise_error(F.concat(F.lit("bad record "), "left", F.lit(" "), "right"))
+    return spark.read.parquet(path).where(F.when(_fits(sim_size, wem_size, labels), F.lit(True)).otherwise(bad.cast("boolean")))
 
 
 def write_inventory(states: DataFrame, path: str) -> None:
@@ -116,12 +134,10 @@ def largest_table(spark: SparkSession) -> str:
     return best
 
 
-def list_parts(rows: DataFrame, key: str, item_cols, ids, part_size=LIST_PART) -> DataFrame:
-    """``(key, part, data[])``: items in shuffled order, at most ``part_size`` per row."""
-    placed = shuffled_positions(rows, [key], ids)
-    return (
-        placed.withColumn("part", F.floor(F.col("pos") / part_size))
-        .groupBy(key, "part")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*item_cols).alias("item")))),
-                         lambda s: s["item"]).alias("data"))
-    )
+def nested_lists(rows: DataFrame, key: str, item_cols, ids) -> DataFrame:
+    """``(key, data[])``: all items of a key in shuffled order, in one record as judges read it.
+
+    ``rows`` is the form that any number of items per key fits; this is its nested copy for output.
+    """
+    order = F.struct(shuffle_key(*[F.col(c) for c in ids]).alias("k"), *ids, F.struct(*item_cols).alias("item"))
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(order)), lambda s: s["item"]).alias("data"))
