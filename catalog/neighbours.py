@@ -6,11 +6,14 @@ from catalog import fixtures as fx
 from catalog.fixtures import q6, r6, sql
 from catalog.joins import SHOPS, TRUTH, shops, truth
 from catalog.sets import ring
+from catalog.windows import chunk_ctes
 from textkin.operators import candidates, evaluate, knn, vectorize
 from textkin.operators import tokens as tk
+from textkin.operators.bands import bands_sql, width_for
 from textkin.session import cut
 
 N = 12
+DOC_DIST = 0.4
 
 
 def chunks(spark, sf):
@@ -57,6 +60,13 @@ def j18_exact_knn_cells(spark, sf):
 
 
 def j19_approximate_knn(spark, sf):
+    """Search by bands of sign bits, over document chunk vectors."""
+    d = doc_chunks(spark, sf)
+    return knn.chunk_neighbours(d, d, 10, max_dist=DOC_DIST, banded=True).select(
+        "target", "target_seq", "match", "match_seq", "rank", r6("dist"))
+
+
+def j19_nearest_cells(spark, sf):
     """Search of the nearest cells only, over document chunk vectors."""
     d = doc_chunks(spark, sf)
     return knn.chunk_neighbours(d, d, 10, max_dist=0.8, probes=3, pivots=12)
@@ -81,7 +91,7 @@ def a2_volume_extents(spark, sf):
 
 
 def i1_ann_candidates(spark, sf):
-    return candidates.ann_candidates(chunks(spark, sf), n=N, min_count=2, max_dist=1.25, min_prop_match=0.03).select(
+    return candidates.ann_candidates(chunks(spark, sf), n=N, min_count=2, max_dist=1.25, min_prop_match=0.03, exact=True).select(
         "target", "match", "count", "length", r6("mean"), r6("prop_target"), r6("prop_match"))
 
 
@@ -146,17 +156,34 @@ def v9_condition_sweep(spark, sf):
 
 
 def v10_recall_by_band(spark, sf):
-    c = chunks(spark, sf)
-    exact = knn.chunk_neighbours(c, c, 10).withColumn("sim", knn.similarity(F.col("dist")))
-    approx = knn.chunk_neighbours(c, c, 10, probes=4, pivots=8)
-    return evaluate.recall_by_band(exact, approx, ["target", "target_seq", "match", "match_seq"], edge=0.3)
+    """Neighbours of document chunks that the banded search finds, of those that the exact one lists."""
+    d = cut(doc_chunks(spark, sf), "chunks")
+    exact = knn.chunk_neighbours(d, d, 10, max_dist=DOC_DIST).withColumn("sim", knn.similarity(F.col("dist")))
+    approx = knn.chunk_neighbours(d, d, 10, max_dist=DOC_DIST, banded=True)
+    return evaluate.recall_by_band(exact, approx, ["target", "target_seq", "match", "match_seq"], edge=0.95).withColumn("recall", r6("recall"))
 
 
 QUERIES = {f.__name__: f for f in (
-    j18_exact_knn, j18_exact_knn_cells, j19_approximate_knn, j20_volume_knn, j21_title_candidates, a1_doc_match_stats,
+    j18_exact_knn, j18_exact_knn_cells, j19_approximate_knn, j19_nearest_cells, j20_volume_knn, j21_title_candidates, a1_doc_match_stats,
     a2_volume_extents, i1_ann_candidates, i2_meta_candidates, c20_near_titles, l3_top_k, l4_neighbour_votes,
     e1_neighbour_rank, e2_volume_rank, v8_recall_counts, v8_false_positives, v9_condition_sweep, v10_recall_by_band)}
 
+# Neighbours of document chunks: all, and those that share a bucket of sign bits.
+_DOC = {
+    **chunk_ctes(300),
+    "counts": """SELECT t.htid, seq, token, CAST(sum(count) AS BIGINT) AS n FROM fx_token t JOIN chunk_pages p ON p.htid = t.htid AND p.page = t.page GROUP BY ALL""",
+    "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * {fx.sign_sql()}) AS FLOAT)::DOUBLE AS x
+      FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, 64)) AS pos FROM counts) GROUP BY htid, seq, pos""",
+    "vecs": "SELECT htid, seq, list(x ORDER BY pos) AS vec, sqrt(sum(x * x)) AS n FROM comps GROUP BY htid, seq",
+    "cells": f"SELECT htid, seq, unnest({bands_sql(64, *width_for(DOC_DIST))}) AS cell FROM vecs",
+    "near": f"""SELECT * FROM (SELECT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq,
+        round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM vecs a, vecs b
+      WHERE a.htid <> b.htid OR a.seq <> b.seq) WHERE dist <= {DOC_DIST}""",
+    "met": """SELECT DISTINCT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq FROM cells a JOIN cells b ON a.cell = b.cell""",
+    "top": """SELECT *, row_number() OVER (PARTITION BY target, target_seq ORDER BY dist, match, match_seq) - 1 AS rank FROM near QUALIFY rank < 10""",
+    "found": """SELECT near.*, row_number() OVER (PARTITION BY target, target_seq ORDER BY dist, match, match_seq) - 1 AS rank
+      FROM near JOIN met USING (target, target_seq, match, match_seq) QUALIFY rank < 10""",
+}
 _NOT_SELF = "(target <> match OR target_seq <> match_seq)"
 _STATS = {"nn": knn_sql(N, "true"), "best": BEST.replace("FROM nn", "FROM nn WHERE dist <= 1.25"), "ext": EXT, "ds": DOCSTATS}
 _DS_COLS = f"target, match, count, length, {q6('mean')}, {q6('prop_target')}, {q6('prop_match')}"
@@ -172,12 +199,16 @@ _TITLE = """SELECT match, target, 'meta' AS note FROM tn WHERE dist <= 0.35 AND
   (SELECT target FROM tn WHERE rank = 24 AND dist < 0.3))"""
 
 ORACLE = {
+    "j19_approximate_knn": sql(f"SELECT target, target_seq, match, match_seq, rank, {q6('dist')} FROM found", "fx_token", **_DOC),
+    "v10_recall_by_band": sql(f"""SELECT CASE WHEN 1 - dist * dist / 2 > 0.95 THEN '> 0.95' ELSE '<= 0.95' END AS band, count(*) AS neighbours,
+        count(hit) AS found, {q6('count(hit) / count(*)', 'recall')} FROM top LEFT JOIN (SELECT target, target_seq, match, match_seq, 1 AS hit FROM found)
+        USING (target, target_seq, match, match_seq) GROUP BY 1""", "fx_token", **_DOC),
     "j21_title_candidates": sql(_TITLE, "fx_meta", **fx.title_views()),
     "i2_meta_candidates": sql(f"SELECT target, match, 'author' AS note FROM {ring('author', 20)} UNION ALL SELECT target, match, note FROM ({_TITLE})",
                               "fx_meta", **fx.title_views()),
     "c20_near_titles": sql(f"""SELECT target, match, {q6('dist * dist / 2', 'cos_dist')} FROM (SELECT *, row_number() OVER (PARTITION BY target
-        ORDER BY dist, match) AS r FROM tn WHERE target <> match AND dist <= sqrt(0.1)) WHERE r <= 30 AND dist * dist / 2 < 0.05""",
-        "fx_meta", **fx.title_views()),
+        ORDER BY dist, match) AS r FROM tn WHERE target <> match) WHERE r <= 30 AND dist * dist / 2 < 0.05""",
+        "fx_meta", **fx.title_views(max_dist=0.1 ** 0.5)),
     "j18_exact_knn": sql(f"SELECT target, target_seq, match, match_seq, rank, {q6('dist')} FROM nn", "fx_chunk", nn=knn_sql(N, _NOT_SELF)),
     "j18_exact_knn_cells": sql(f"SELECT target, target_seq, match, match_seq, rank, {q6('dist')} FROM nn WHERE dist <= 1.3", "fx_chunk", nn=knn_sql(N, _NOT_SELF)),
     "j20_volume_knn": sql(f"""SELECT target, match, match_seq, target_seq, {q6('dist')} FROM nn

@@ -10,18 +10,23 @@ from catalog.windows import chunk_ctes
 from textkin.functions import labels
 from textkin.operators import candidates, evaluate, export, score, vectorize
 from textkin.operators import tokens as tk
+from textkin.operators.bands import bands_sql, width_for
 from textkin.plans import relate
 from textkin.plans.features import feature_table
 from textkin.schemas import JUDGMENTS, LABELS
 from textkin.session import cut
 
 
-def related_documents(spark, sf, chunk_size=500, dims=160):
+_FLAG_DIMS = 160
+_FLAG_DIST = 0.25
+
+
+def related_documents(spark, sf, chunk_size=500, dims=_FLAG_DIMS):
     """Flagship: whole texts to chunk vectors, neighbours, match statistics, metadata."""
     d = fx.docs(spark, sf)
     tokens = cut(tk.token_list(d), "tokens")
     chunks = cut(vectorize.hash_project(tk.chunk_token_list(tokens, chunk_size), dims=dims), "chunks")
-    pairs = candidates.ann_candidates(chunks, n=30, min_count=2, max_dist=0.6)
+    pairs = candidates.ann_candidates(chunks, n=300, min_count=2, max_dist=_FLAG_DIST)
     m = d.select("htid", "lang", "source")
     return (
         pairs.join(m.toDF("target", "target_lang", "target_source"), "target")
@@ -71,7 +76,7 @@ def i5_relate_volumes(spark, sf):
     for col in ("description", "rights_date_used", "oclc_num", "isbn"):
         m = m.withColumn(col, F.lit(None).cast("long" if col == "rights_date_used" else "string"))
     out = relate.relate(c, m, c.select("htid").distinct(), lambda f: score.predict_with(_linear_model, f, 100, 128),
-                        matrix_size=10, n=12, min_count=2, max_dist=1.25)
+                        matrix_size=10, n=12, min_count=2, max_dist=1.25, exact=True)
     return out.select("target", "candidate", "guess", F.round("relatedness", 4).alias("relatedness"))
 
 
@@ -187,16 +192,18 @@ A20_VIEWS = dict(
     simi="""SELECT *, row_number() OVER (PARTITION BY target ORDER BY relatedness DESC, candidate) AS rn FROM j
       WHERE NOT coalesce(author = t_author, false) AND relatedness > 0.15 QUALIFY rn <= 20""")
 
-_FLAG_DIMS = 160
 FLAGSHIP = {
     **chunk_ctes(500),
     "counts": """SELECT t.htid, seq, token, CAST(sum(count) AS BIGINT) AS n FROM fx_token t JOIN chunk_pages p ON p.htid = t.htid AND p.page = t.page GROUP BY ALL""",
     "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * {fx.sign_sql()}) AS FLOAT) AS x
       FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, {_FLAG_DIMS})) AS pos FROM counts) GROUP BY htid, seq, pos""",
     "vecs": """SELECT htid, seq, list(x::DOUBLE ORDER BY pos) AS vec, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM comps GROUP BY htid, seq""",
-    "nn": """SELECT * FROM (SELECT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq,
-        round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM vecs a, vecs b)
-      WHERE dist <= 0.6 QUALIFY row_number() OVER (PARTITION BY target, target_seq ORDER BY dist, match, match_seq) <= 30""",
+    "cells": f"SELECT htid, seq, unnest({bands_sql(_FLAG_DIMS, *width_for(_FLAG_DIST))}) AS cell FROM vecs",
+    "nn": f"""SELECT * FROM (SELECT target, target_seq, match, match_seq,
+        round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM (
+          SELECT DISTINCT x.htid AS target, x.seq AS target_seq, y.htid AS match, y.seq AS match_seq FROM cells x JOIN cells y ON x.cell = y.cell)
+        JOIN vecs a ON a.htid = target AND a.seq = target_seq JOIN vecs b ON b.htid = match AND b.seq = match_seq)
+      WHERE dist <= {_FLAG_DIST} QUALIFY row_number() OVER (PARTITION BY target, target_seq ORDER BY dist, match, match_seq) <= 300""",
     "ext": "SELECT htid, count(*) AS length FROM vecs GROUP BY htid",
     "ds": """SELECT target, match, count, mean, count / t.length AS prop_target, count / m.length AS prop_match, t.length AS tl FROM (
         SELECT target, match, count(*) AS count, avg(dist) AS mean FROM (SELECT target, match, match_seq, min(dist) AS dist FROM nn GROUP BY ALL) GROUP BY ALL)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textkin.operators import knn
+from textkin.operators import bands, knn
 from textkin.operators.candidates import doc_match_stats, volume_extents
 
 
@@ -92,3 +92,38 @@ def test_min_count_is_lowered_to_the_target_length(spark):
     nn = knn.chunk_neighbours(df, df, 5, max_dist=0.1, drop_self=False)
     s = {(r["target"], r["match"]) for r in doc_match_stats(nn, volume_extents(df), min_count=2).collect()}
     assert ("a", "b") in s and ("b", "a") not in s and ("b", "b") in s
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_banded_search_finds_what_shares_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(bands, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 64))
+    vecs = np.vstack([b + rng.normal(size=(9, 64)) * 0.12 for b in base] + [np.repeat(base[:1], 40, axis=0), np.zeros((1, 64)), rng.normal(size=(60, 64))])
+    rows, df = table(spark, vecs)
+    found = got(knn.chunk_neighbours(df, df, 50, max_dist=0.3, banded=True))
+    usable = [r for r in rows if any(r[2])]
+    want = brute(usable, 50, 0.3)
+    assert len(want) > 500 and {r[:4] for r in found} <= {r[:4] for r in want}
+    assert len(found) >= 0.99 * len(want)
+    some = df.where("htid < 'v004'")
+    part = got(knn.chunk_neighbours(some, df, 50, max_dist=0.3, banded=True))
+    assert {r[:4] for r in part} == {r[:4] for r in found if r[0] < "v004"}
+
+
+def test_banded_search_compares_few_pairs(spark):
+    """Pairs that share a bucket, of all pairs of the flagship's chunks."""
+    from catalog.neighbours import doc_chunks
+
+    d = doc_chunks(spark, "/root/testdata/sf0.01", 500, 160)
+    width, n = bands.width_for(0.25)
+    cells = d.select("htid", "seq", F.explode(bands.band_keys(F.col("vec"), 160, width, n)).alias("cell"))
+    sizes = cells.groupBy("cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    assert sizes < 0.05 * d.count() ** 2
+
+
+def test_band_widths():
+    assert bands.width_for(0.25) == (15, 20) and bands.width_for(1.2)[0] == 4 and bands.width_for(1.2)[1] > 20
+    for width, n in ((15, 20), (4, 70)):
+        at = bands.band_components(50, width, n)
+        assert len(at) == n and all(len(b) == width for b in at) and {c for b in at for c in b} == set(range(50))

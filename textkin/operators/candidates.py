@@ -75,10 +75,13 @@ def strong_candidates(stats: DataFrame, prop=0.5) -> DataFrame:
 
 
 def ann_candidates(chunks: DataFrame, targets: DataFrame = None, n=300, min_count=2, max_dist=0.25,
-                   min_prop_match=None, probes=None) -> DataFrame:
-    """Chunk-based candidates of all targets, the targets themselves left out."""
+                   min_prop_match=None, exact=False) -> DataFrame:
+    """Chunk-based candidates of all targets, the targets themselves left out.
+
+    Chunks are found by bands of sign bits; ``exact`` compares every pair instead.
+    """
     wanted = chunks if targets is None else chunks.join(targets.select("htid").distinct(), "htid", "left_semi")
-    nn = chunk_neighbours(wanted, chunks, n, max_dist, probes, drop_self=False)
+    nn = chunk_neighbours(wanted, chunks, n, max_dist, drop_self=False, banded=not exact)
     stats = doc_match_stats(nn, volume_extents(chunks), min_count)
     return filter_stats(stats, min_prop_match=min_prop_match).where("match <> target")
 
@@ -102,7 +105,7 @@ def same_author_candidates(meta: DataFrame, targets: DataFrame = None, max_resul
 
 
 def title_candidates(meta: DataFrame, targets: DataFrame = None, max_dist=0.35, n=25, wider=100, widen_below=0.3,
-                     max_results=300, dims=50, probes=None) -> DataFrame:
+                     dims=50, exact=False) -> DataFrame:
     """Volumes with a similar title.
 
     25 neighbours, or 100 where even the 25th is closer than .3; cut at
@@ -110,12 +113,12 @@ def title_candidates(meta: DataFrame, targets: DataFrame = None, max_dist=0.35,
     """
     vecs = title_vectors(meta, dims)
     wanted = vecs if targets is None else vecs.join(targets.select("htid").distinct(), "htid", "left_semi")
-    nn = knn_join(wanted, vecs, wider, keys=("htid",), probes=probes, drop_self=False)
+    nn = knn_join(wanted, vecs, wider, keys=("htid",), max_dist=max_dist, drop_self=False, banded=not exact)
     # rank counts the volume itself, as the list of n results does
     far = nn.where((F.col("rank") == n - 1) & (F.col("dist") < widen_below)).select("t_htid", F.lit(True).alias("wide"))
     kept = nn.join(far, "t_htid", "left").where((F.col("rank") < n) | F.col("wide"))
     return kept.where(
-        (F.col("dist") <= max_dist) & (F.col("rank") < max_results) & (F.col("t_htid") != F.col("m_htid"))
+        (F.col("dist") <= max_dist) & (F.col("t_htid") != F.col("m_htid"))
     ).select(F.col("m_htid").alias("match"), F.col("t_htid").alias("target"), F.lit("meta").alias("note"))
 
 
@@ -224,11 +227,11 @@ def random_matches(meta: DataFrame, targets: DataFrame, k: int, seed=1234) -> Da
     return top_per_group(found, ["target"], ["i"], k).select("target", "match", F.lit("random").alias("rule"))
 
 
-def near_titles(meta: DataFrame, targets: DataFrame = None, cutoff=0.05, n=100, dims=50) -> DataFrame:
+def near_titles(meta: DataFrame, targets: DataFrame = None, cutoff=0.05, n=100, dims=50, exact=False) -> DataFrame:
     """Nearest titles under a cosine-distance cut-off: ``target, match, cos_dist``."""
     vecs = title_vectors(meta, dims)
     wanted = vecs if targets is None else vecs.join(targets.select("htid").distinct(), "htid", "left_semi")
-    nn = knn_join(wanted, vecs, n, keys=("htid",), max_dist=(2 * cutoff) ** 0.5)
+    nn = knn_join(wanted, vecs, n, keys=("htid",), max_dist=(2 * cutoff) ** 0.5, banded=not exact)
     return nn.select(F.col("t_htid").alias("target"), F.col("m_htid").alias("match"),
                      (F.col("dist") * F.col("dist") / 2).alias("cos_dist")).where(F.col("cos_dist") < cutoff)
 

@@ -3,8 +3,10 @@
 Vectors are cut into Voronoi cells around sampled pivots. A target is sent to
 the cells that can hold one of its neighbours and is compared there block by
 block. With ``probes=None`` the cells come from triangle-inequality bounds and
-the result is exact; with ``probes=p`` only the p nearest cells are searched,
-which is the approximate mode for very large collections.
+the result is exact; with ``probes=p`` only the p nearest cells are searched. In
+many dimensions the bounds exclude little, so very large collections are
+searched with ``banded=True`` (``operators/bands.py``), the default of all
+candidate plans.
 
 Equal vectors are collapsed before the join (each keeps the ``n + 1`` smallest
 ids, all a result of size n can use) and expanded after it, so a large group of
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.functions.ids import shuffle_key
+from textkin.operators.bands import banded_hits
 from textkin.operators.ranks import top_per_group
 from textkin.session import cut
 
@@ -159,8 +162,21 @@ def _cell_stats(assigned: DataFrame, n_cells: int):
     return counts, radius, near
 
 
+def _lists(hits, assigned, keys, rep_cols, want):
+    """``(vid, nn)``: the best ``want`` ids of every target, from hits between distinct vectors."""
+    best = top_per_group(hits, ["tvid"], ["dist", *rep_cols], want, rank_col="k")
+    # The k-th vector can fill at most the places k..want of a list.
+    expanded = best.join(assigned.select(F.col("vid").alias("mvid"), "ids"), "mvid").select(
+        "tvid", "dist", F.explode(F.slice("ids", F.lit(1), F.lit(want + 1) - F.col("k"))).alias("m")
+    ).select("tvid", "dist", "m.*")
+    m_keys = ["m_" + k for k in keys]
+    final = top_per_group(expanded, ["tvid"], ["dist", *m_keys], want)
+    return final.groupBy(F.col("tvid").alias("vid")).agg(
+        F.sort_array(F.collect_list(F.struct("dist", *m_keys))).alias("nn"))
+
+
 def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"), vec="vec",
-              max_dist=None, probes=None, pivots=None, self_join=None):
+              max_dist=None, probes=None, pivots=None, self_join=None, banded=False):
     """Neighbour lists per distinct target vector, and the target ids.
 
     Returns ``(lists, target_ids)``: ``lists`` is ``(vid, nn)`` with ``nn`` the
@@ -173,7 +189,7 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
     raw = cut(_with_vid(corpus, keys, vec), "corpus")
     t_raw = raw if self_join else cut(_with_vid(targets, keys, vec), "targets")
     n_rows = raw.count()
-    n_pivots = pivots or max(1, min(MAX_PIVOTS, n_rows // ROWS_PER_CELL))
+    n_pivots = pivots or max(2, min(MAX_PIVOTS, n_rows // ROWS_PER_CELL))
     rep_cols = [f"r{i}" for i in range(len(keys))]
     ids = F.sort_array(F.collect_list(F.struct(*[F.col(k).alias("m_" + k) for k in keys])))
     distinct = (
@@ -181,6 +197,21 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
         .groupBy("vid").agg(F.first("vec").alias("vec"), ids.alias("ids"))
         .withColumns({r: F.col("ids")[0]["m_" + k] for r, k in zip(rep_cols, keys)})
     )
+    if banded:
+        if max_dist is None:
+            raise ValueError("a banded search needs max_dist")
+        assigned = cut(distinct, "distinct")
+        members = assigned.select("vid", "vec", *rep_cols, F.lit(True).alias("c"))
+        if self_join:
+            members = members.withColumn("t", F.lit(True))
+        else:
+            asked = t_raw.groupBy("vid").agg(F.first("vec").alias("t_vec"))
+            members = members.join(asked, "vid", "full").select(
+                "vid", F.coalesce("vec", "t_vec").alias("vec"), *rep_cols, F.coalesce("c", F.lit(False)).alias("c"),
+                F.col("t_vec").isNotNull().alias("t"))
+        size = raw.select(F.size("vec").alias("d")).first()
+        hits = banded_hits(cut(members, "members"), want, max_dist, rep_cols, size["d"] if size else 1, DIST_DIGITS)
+        return _lists(hits, assigned, keys, rep_cols, want), t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
     if n_pivots > 1:
         pivot_rows = _pivot_matrix(raw, keys, n_pivots)
         fit = max(1, MAX_PIVOT_BYTES // (8 * pivot_rows.shape[1]))
@@ -226,27 +257,18 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
     block = ["cell", "tb", "cb"]
     hits = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(
         _comparer(want, max_dist, rep_cols), schema)
-    best = top_per_group(hits, ["tvid"], ["dist", *rep_cols], want, rank_col="k")
-    # The k-th vector can fill at most the places k..want of a list.
-    expanded = best.join(assigned.select(F.col("vid").alias("mvid"), "ids"), "mvid").select(
-        "tvid", "dist", F.explode(F.slice("ids", F.lit(1), F.lit(want + 1) - F.col("k"))).alias("m")
-    ).select("tvid", "dist", "m.*")
-    m_keys = ["m_" + k for k in keys]
-    final = top_per_group(expanded, ["tvid"], ["dist", *m_keys], want)
-    lists = final.groupBy(F.col("tvid").alias("vid")).agg(
-        F.sort_array(F.collect_list(F.struct("dist", *m_keys))).alias("nn"))
-    return lists, t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
+    return _lists(hits, assigned, keys, rep_cols, want), t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
 
 
 def knn_join(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"), vec="vec",
-             max_dist=None, probes=None, pivots=None, drop_self=True) -> DataFrame:
+             max_dist=None, probes=None, pivots=None, drop_self=True, banded=False) -> DataFrame:
     """``n`` nearest corpus chunks of every target chunk.
 
     Output: ``t_<key>..., m_<key>..., dist, rank`` with dist the angular distance
     sqrt(2 - 2 cos) and rank counted from 0 in (dist, id) order.
     """
     keys = list(keys)
-    lists, ids = knn_lists(targets, corpus, n, keys, vec, max_dist, probes, pivots)
+    lists, ids = knn_lists(targets, corpus, n, keys, vec, max_dist, probes, pivots, banded=banded)
     nn = F.col("nn")
     if drop_self:
         def other(s):

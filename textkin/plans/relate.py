@@ -12,8 +12,8 @@ from textkin.sources.sinks import remaining
 
 
 def candidate_pairs(chunks: DataFrame, meta: DataFrame, targets: DataFrame, n=300, min_count=3, max_dist=0.25,
-                    probes=None, **meta_options) -> DataFrame:
-    ann = ann_candidates(chunks, targets, n, min_count, max_dist, probes=probes)
+                    exact=False, **meta_options) -> DataFrame:
+    ann = ann_candidates(chunks, targets, n, min_count, max_dist, exact=exact)
     return all_candidates(ann, meta_candidates(meta, targets, **meta_options))
 
 
