@@ -63,7 +63,7 @@ def c7_alignment_runs(spark, sf):
 def c10_run_lengths(spark, sf):
     p, c = next_books(spark, sf), chunks(spark, sf)
     cells = cut(compare.similarity_cells(p, c), "cells")
-    return align.run_lengths(p, cells, [0.1, 0.2, 0.3])
+    return align.run_lengths(p, cells, [0.1, 0.2, 0.3, 0.4])
 
 
 def c11_matrix_stats(spark, sf):
@@ -89,7 +89,33 @@ def c13_page_counts(spark, sf):
 def c14_all_stats(spark, sf):
     from textkin.plans.features import pair_statistics
 
-    return pair_statistics(next_books(spark, sf), chunks(spark, sf), run_thresholds=[0.1, 0.2], distance_thresholds=[0.7, 0.8])
+    return pair_statistics(next_books(spark, sf), chunks(spark, sf), others={"half": halves(spark, sf)})
+
+
+def halves(spark, sf):
+    """Another kind of vectors of the same chunks: the first half of their components."""
+    return chunks(spark, sf).withColumn("vec", F.slice("vec", 1, 32))
+
+
+def c14_two_kinds(spark, sf):
+    """The distance statistics and the quantiles of both kinds of vectors."""
+    from textkin.plans.features import pair_statistics
+
+    s = pair_statistics(next_books(spark, sf), chunks(spark, sf), distance_thresholds=[0.7, 0.8], others={"half": halves(spark, sf)})
+    return s.select("left", "right", "l_size", "r_size", "min_size", *r6s(*C11_VALUES), *r6s(
+        *[f"{k}{x}_quantile_{i}" for k in ("", "half_") for x in "lr" for i in range(10)]))
+
+
+def c5_unrolled_jaccard(spark, sf):
+    m = compare.unrolled_cells(fx.doc_pairs(spark, sf), doc_cells(spark, sf), 6)
+    return m.select("left", "right", F.posexplode("sim_x").alias("i", "x")).select(
+        "left", "right", "i", F.round(F.col("x").cast("double") + 1e-9, 4).alias("x"))
+
+
+def x2_cells_where(spark, sf):
+    """Cells of the distance matrices under a predicate."""
+    cells = compare.cells_where(compare.distance_cells(next_books(spark, sf), chunks(spark, sf)), lambda d: (d < 0.8) | (d > 1.2))
+    return cells.select("left", "right", "left_seq", "right_seq", r6("dist"))
 
 
 def c15_run_statistics(spark, sf):
@@ -155,7 +181,7 @@ QUERIES = {f.__name__: f for f in (
     c1_distance_cells, c2_recentred_cells, c3_median_centred, c4_similarity_cells, c5_unrolled_matrix, c6_page_jaccard,
     c7_alignment_runs, c10_run_lengths, c11_matrix_stats, c12_margin_quantiles, c13_page_counts, c14_all_stats,
     c15_run_statistics, c16_run_slopes, c17_mean_vector_features, c18_derived_stats, c19_title_distances, f13_set_jaccard,
-    j29_runs_with_words, l9_four_points)}
+    j29_runs_with_words, l9_four_points, c5_unrolled_jaccard, c14_two_kinds, x2_cells_where)}
 
 PAIRS = """SELECT DISTINCT a.htid AS "left", b.htid AS "right" FROM fx_chunk a JOIN fx_chunk b
   ON CAST(substr(b.htid, 3) AS BIGINT) = CAST(substr(a.htid, 3) AS BIGINT) + 1"""
@@ -183,6 +209,7 @@ def _stats_sql(thresholds):
       FROM ranked JOIN sizes USING ("left", "right") GROUP BY ALL"""
 
 
+_QUANTILES = ", ".join(q6(f"quantile_cont(d, {i / 10}) FILTER (side = '{s}')", "{p}" + f"{s}_quantile_{i}") for s in "lr" for i in range(10))
 _STATS = {**_CELLS, "margins": MARGINS, "ranked": RANKED, "sizes": SIZES}
 JACC = {
     "pages": """SELECT htid, page, row_number() OVER (PARTITION BY htid ORDER BY page) - 1 AS idx, CAST(sum(n) AS BIGINT) AS n_tokens,
@@ -221,6 +248,17 @@ ORACLE = {
         FROM (SELECT pairs.*, unnest(range(0, 144)) AS i FROM pairs) p LEFT JOIN cells c
         ON c."left" = p."left" AND c."right" = p."right" AND (left_seq - 1) * 12 + right_seq - 1 = i""", "fx_chunk", **_CELLS),
     "c6_page_jaccard": sql(f'SELECT "left", "right", left_seq, right_seq, {q6("sim")} FROM jcells', "fx_token", "fx_pairs", **JACC),
+    "c5_unrolled_jaccard": sql("""SELECT p."left", p."right", CAST(i AS INTEGER) AS i,
+        coalesce(round(sim::FLOAT::DOUBLE + 1e-9, 4), round(0.0::DOUBLE + 1e-9, 4)) AS x
+        FROM (SELECT DISTINCT fx_pairs.*, unnest(range(0, 36)) AS i FROM fx_pairs) p LEFT JOIN jcells c
+        ON c."left" = p."left" AND c."right" = p."right" AND left_seq < 6 AND right_seq < 6 AND left_seq * 6 + right_seq = i""", "fx_token", "fx_pairs", **JACC),
+    "c14_two_kinds": sql(f"""SELECT s."left", s."right", l_size, r_size, min_size, {", ".join(q6(c) for c in C11_VALUES)}, q.* EXCLUDE ("left", "right"), h.* EXCLUDE ("left", "right")
+        FROM ({_stats_sql([0.7, 0.8])}) s
+        JOIN (SELECT "left", "right", {_QUANTILES.format(p="")} FROM margins GROUP BY ALL) q ON q."left" = s."left" AND q."right" = s."right"
+        JOIN (SELECT "left", "right", {_QUANTILES.format(p="half_")} FROM hmargins GROUP BY ALL) h ON h."left" = s."left" AND h."right" = s."right\"""",
+        "fx_chunk", **_STATS, hcells=CELLS.replace("l.vec::DOUBLE[], r.vec::DOUBLE[]", "l.vec[1:32]::DOUBLE[], r.vec[1:32]::DOUBLE[]"),
+        hmargins=MARGINS.replace("FROM cells", "FROM hcells")),
+    "x2_cells_where": sql(f'SELECT "left", "right", left_seq, right_seq, {q6("dist")} FROM cells WHERE dist < 0.8 OR dist > 1.2', "fx_chunk", **_CELLS),
     "c11_matrix_stats": sql(f"""SELECT "left", "right", l_size, r_size, min_size, {", ".join(q6(c) for c in C11_VALUES)}
         FROM ({_stats_sql([0.7, 0.8])})""", "fx_chunk", **_STATS),
     "c12_margin_quantiles": sql(f"""SELECT "left", "right", {", ".join(q6(f"quantile_cont(d, {i / 10}) FILTER (side = '{s}')", f"{s}_quantile_{i}") for s in "lr" for i in range(10))}

@@ -241,9 +241,12 @@ def sign_sql(h="h", pos="pos"):
             f"OR instr('2367abef', {digit}) > 0 AND {pos} % 4 = 2 OR instr('13579bdf', {digit}) > 0 AND {pos} % 4 = 3 THEN 1 ELSE -1 END")
 
 
-def title_views(dims=50, max_dist=0.35):
-    """Title vectors of ``fx_meta`` (cleaning leaves its titles as they are) and the distances of those that share a bucket."""
-    width, bands = width_for(max_dist)
+def title_views(dims=50, max_dist=None):
+    """Title vectors of ``fx_meta`` (cleaning leaves its titles as they are) and their distances.
+
+    With ``max_dist``: the distances up to there of titles that share a bucket of the banded search.
+    """
+    buckets = bands_sql(dims, *width_for(max_dist)) if max_dist else "[0]"
     return {
         "tw": r"""SELECT title, '<' || w || '>' AS w FROM (SELECT title, unnest(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+')) AS w
           FROM (SELECT DISTINCT title FROM fx_meta)) WHERE w <> ''""",
@@ -252,10 +255,10 @@ def title_views(dims=50, max_dist=0.35):
         "tc": f"""SELECT title, pos, CAST(sum(c * {sign_sql()}) AS FLOAT)::DOUBLE AS x FROM (SELECT title, c, sha1(g || '#0') AS h,
           unnest(range(0, {dims})) AS pos FROM tg) GROUP BY ALL""",
         "tv": "SELECT title, list(x ORDER BY pos) AS vec, sqrt(sum(x * x)) AS n FROM tc GROUP BY title",
-        "tb": f"SELECT title, unnest({bands_sql(dims, width, bands)}) AS cell FROM tv",
+        "tb": f"SELECT title, unnest({buckets}) AS cell FROM tv",
         "td": """SELECT t1, t2, list_dot_product(a.vec, b.vec) / (a.n * b.n) AS cos FROM (
           SELECT DISTINCT x.title AS t1, y.title AS t2 FROM tb x JOIN tb y ON x.cell = y.cell) JOIN tv a ON a.title = t1 JOIN tv b ON b.title = t2""",
         "tn": """SELECT *, row_number() OVER (PARTITION BY target ORDER BY dist, match) - 1 AS rank FROM (
           SELECT a.htid AS target, b.htid AS match, dist FROM (SELECT *, round(sqrt(greatest(0, 2 - 2 * cos)), 7) AS dist FROM td)
-          JOIN fx_meta a ON a.title = t1 JOIN fx_meta b ON b.title = t2 WHERE dist <= """ + repr(max_dist) + ")",
+          JOIN fx_meta a ON a.title = t1 JOIN fx_meta b ON b.title = t2 WHERE dist <= """ + repr(max_dist or 2.0) + ")",
     }

@@ -187,6 +187,12 @@ def j23_author_truth(spark, sf):
     return evaluate.author_truth_sizes(truth(spark, sf), shops(spark, sf))
 
 
+def j23_author_pairs(spark, sf):
+    """The pairs themselves, for the targets of the truth."""
+    t = truth(spark, sf)
+    return evaluate.author_truth_pairs(t, shops(spark, sf), t.select(F.col("left").alias("htid")))
+
+
 def j24_rating_lists(spark, sf):
     m = fx.meta(spark, sf)
     t = sample_rows(m.select("htid"), 20, ["htid"])
@@ -244,7 +250,7 @@ QUERIES = {f.__name__: f for f in (
     j1_join_metadata, j2_both_metadata, j3_relabel_pairs, j4_same_cluster_edges, j5_merge_labels,
     j6_internal_coherence, j7_members_meta_stats, j8_chunks_left_meta, j9_truth_left_results, j10_outer_compare,
     j11_natural_join, j12_semi_join, j13_anti_join, j14_range_lookup, j15_id_lookup, j16_paired_distance,
-    j17_random_pairs, j22_same_author, j23_author_truth, j24_rating_lists, j25_code_alignment, j26_similar_codes,
+    j17_random_pairs, j22_same_author, j23_author_truth, j23_author_pairs, j24_rating_lists, j25_code_alignment, j26_similar_codes,
     j27_similar_pairs, j28_zip_vectors, j30_first_author, j31_top_with_metadata, j32_expand_volumes)}
 
 STATS_BY_WORK = """SELECT work_id, count(*) AS label_count, count(*) FILTER (us_gov_doc_flag = 1) AS gov_count,
@@ -321,6 +327,9 @@ ORACLE = {
     "j23_author_truth": sql("""SELECT l.htid AS "left", (SELECT count(*) FROM shops r WHERE r.author = l.author AND r.htid <> l.htid
           AND NOT EXISTS (SELECT 1 FROM truth g WHERE g."left" = l.htid AND g."right" = r.htid)) AS author_truth
         FROM shops l WHERE l.htid IN (SELECT "left" FROM truth)""", "fx_chunk", shops=SHOPS, truth=TRUTH),
+    "j23_author_pairs": sql("""SELECT l.htid AS "left", r.htid AS "right", 'author' AS judgment FROM shops l JOIN shops r ON r.author = l.author AND r.htid <> l.htid
+        WHERE l.htid IN (SELECT "left" FROM truth) AND NOT EXISTS (SELECT 1 FROM truth g WHERE g."left" = l.htid AND g."right" = r.htid)""",
+        "fx_chunk", shops=SHOPS, truth=TRUTH),
     "j24_rating_lists": sql("""SELECT target, match, min(rule) AS rule FROM (SELECT * FROM init UNION ALL SELECT * FROM auth UNION ALL SELECT * FROM rnd)
         GROUP BY target, match""", "fx_meta",
         t="SELECT htid FROM fx_meta ORDER BY md5('1234|' || htid), htid LIMIT 20",

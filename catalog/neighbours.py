@@ -203,9 +203,9 @@ ORACLE = {
     "v10_recall_by_band": sql(f"""SELECT CASE WHEN 1 - dist * dist / 2 > 0.95 THEN '> 0.95' ELSE '<= 0.95' END AS band, count(*) AS neighbours,
         count(hit) AS found, {q6('count(hit) / count(*)', 'recall')} FROM top LEFT JOIN (SELECT target, target_seq, match, match_seq, 1 AS hit FROM found)
         USING (target, target_seq, match, match_seq) GROUP BY 1""", "fx_token", **_DOC),
-    "j21_title_candidates": sql(_TITLE, "fx_meta", **fx.title_views()),
+    "j21_title_candidates": sql(_TITLE, "fx_meta", **fx.title_views(max_dist=0.35)),
     "i2_meta_candidates": sql(f"SELECT target, match, 'author' AS note FROM {ring('author', 20)} UNION ALL SELECT target, match, note FROM ({_TITLE})",
-                              "fx_meta", **fx.title_views()),
+                              "fx_meta", **fx.title_views(max_dist=0.35)),
     "c20_near_titles": sql(f"""SELECT target, match, {q6('dist * dist / 2', 'cos_dist')} FROM (SELECT *, row_number() OVER (PARTITION BY target
         ORDER BY dist, match) AS r FROM tn WHERE target <> match) WHERE r <= 30 AND dist * dist / 2 < 0.05""",
         "fx_meta", **fx.title_views(max_dist=0.1 ** 0.5)),

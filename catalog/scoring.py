@@ -8,11 +8,11 @@ from catalog.fixtures import q6, q6s, r6, r6s, sql
 from catalog.joins import next_books, shops
 from catalog.windows import chunk_ctes
 from textkin.functions import labels
-from textkin.operators import candidates, evaluate, export, score, vectorize
+from textkin.operators import candidates, compare, evaluate, export, score, vectorize
 from textkin.operators import tokens as tk
 from textkin.operators.bands import bands_sql, width_for
 from textkin.plans import relate
-from textkin.plans.features import feature_table
+from textkin.plans.features import feature_table, pair_statistics
 from textkin.schemas import JUDGMENTS, LABELS
 from textkin.session import cut
 
@@ -80,20 +80,39 @@ def i5_relate_volumes(spark, sf):
     return out.select("target", "candidate", "guess", F.round("relatedness", 4).alias("relatedness"))
 
 
-FEATURES = ["p_swsm", "p_swde", "p_wp_dv", "p_partof", "p_contains", "p_overlaps"]
+def judged_statistics(spark, sf):
+    """Statistics of document pairs over two kinds of chunk vectors, judged: copies and versions (SWSM) and others (RANDDIFF)."""
+    tokens = cut(fx.tokens(spark, sf), "tokens")
+    counted = cut(tk.chunk_token_list(tokens, 100), "counted")
+    wide, narrow = (cut(vectorize.hash_project(counted, dims=d), "chunks") for d in (64, 32))
+    same = fx.doc_pairs(spark, sf).withColumn("judgment", F.lit("SWSM"))
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    name = lambda c: F.concat(F.lit("d."), c.cast("string"))
+    other = d.select(name(F.col("doc_id")).alias("left"), name(F.col("doc_id") + 7).alias("right")).join(
+        d.select(name(F.col("doc_id")).alias("right")), "right", "left_semi").join(same, ["left", "right"], "left_anti")
+    judged = cut(same.unionByName(other.select("left", "right").withColumn("judgment", F.lit("RANDDIFF"))), "judged")
+    stats = compare.derived_stats(pair_statistics(judged.select("left", "right"), wide, run_thresholds=[0.5, 0.6, 0.7, 0.8],
+                                                  distance_thresholds=[0.1, 0.3, 0.5], others={"srp": narrow}))
+    stats = stats.join(judged, ["left", "right"])
+    return cut(stats.fillna(0.0, subset=score.feature_columns(stats)), "stats")
 
 
 def _training(spark, sf):
-    rel = fx.predictions(spark, sf).withColumn("judgment", labels.guess())
-    train, test = score.hash_split(rel, ["target", "candidate"], (0.8, 0.2))
-    return train, test
+    return score.hash_split(judged_statistics(spark, sf), ["left", "right"], (0.8, 0.2))
 
 
 def i6_train_forest(spark, sf):
-    """A forest trained on hash-split pairs, judged on the rest: confusion counts."""
+    """A forest for every subset of the features, trained on hash-split pairs and judged on the rest: confusion counts."""
     train, test = _training(spark, sf)
-    model = score.train_classifier(train, FEATURES, kind="forest", numTrees=8, maxDepth=6, seed=1)
-    return _confusion(model, test)
+    out = None
+    for subset in score.FEATURE_SETS:
+        features = score.feature_columns(train, subset)
+        if not features:
+            raise ValueError(f"no features in {subset}")
+        model = score.train_classifier(train, features, kind="forest", numTrees=4, maxDepth=4, seed=1)
+        part = _confusion(model, test).withColumn("subset", F.lit(subset))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _confusion(model, test):
@@ -104,8 +123,9 @@ def _confusion(model, test):
 
 def i7_feature_importances(spark, sf):
     train, _ = _training(spark, sf)
-    model = score.train_classifier(train, FEATURES, kind="forest", numTrees=5, maxDepth=5, seed=1)
-    return score.feature_importances(model, FEATURES, spark)
+    features = score.feature_columns(train)
+    model = score.train_classifier(train, features, kind="forest", numTrees=5, maxDepth=5, seed=1)
+    return score.feature_importances(model, features, spark)
 
 
 def i8_classification_report(spark, sf):
@@ -126,7 +146,7 @@ def i9_split(spark, sf):
 
 def i10_decision_tree(spark, sf):
     train, test = _training(spark, sf)
-    return _confusion(score.train_classifier(train, FEATURES, kind="tree", maxDepth=4, seed=1), test)
+    return _confusion(score.train_classifier(train, score.feature_columns(train), kind="tree", maxDepth=4, seed=1), test)
 
 
 def i11_group_features(spark, sf):

@@ -44,16 +44,15 @@ def matrices():
         yield f"p{k}", m.round(6)
 
 
-@pytest.mark.parametrize("max_cells", [2_000_000, 5])
 @pytest.mark.parametrize("threshold", [0.2, 0.35])
-def test_runs_equal_the_dense_algorithm(spark, threshold, max_cells):
+def test_runs_equal_the_dense_algorithm(spark, threshold):
     cells, want = [], {}
     for name, m in matrices():
         cells += [(name, "r", i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])]
         want[name] = dense_runs(m, threshold, 3, 0.0)
     df = spark.createDataFrame(cells, "left string, right string, left_seq int, right_seq int, sim double")
     got = {}
-    for r in align.alignment_runs(df, threshold, 3, max_cells=max_cells).collect():
+    for r in align.alignment_runs(df, threshold, 3).collect():
         got.setdefault(r["left"], {}).setdefault(r["run_num"], set()).add((r["left_seq"], r["right_seq"]))
     for name, runs in want.items():
         assert got.get(name, {}) == runs

@@ -2,20 +2,16 @@
 
 Only cells above the threshold can carry a score, so the kernel works on those
 cells alone. The greedy extraction is sequential inside one pair; pairs are the
-parallel axis, and a pair with very many strong cells is first split into parts
-that share no row, column or neighbouring cell and so cannot affect each other.
+parallel axis.
 """
 
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.operators.ranks import running_total
-from textkin.session import cut
-
-MAX_CELLS = 200_000  # strong cells of one pair aligned in one task without splitting
 
 
 def extract_runs(cells: dict, threshold: float):
@@ -49,93 +45,64 @@ def extract_runs(cells: dict, threshold: float):
         yield -s, run
 
 
-RUN_FIELDS = "k:array<long>,peak:array<double>,start_l:array<long>,start_r:array<long>,l:array<long>,r:array<long>,s:array<double>"
+RUN_FIELDS = "k:array<long>,l:array<long>,r:array<long>,s:array<double>"
 
 
-def _aligner(threshold, min_length, min_strength):
-    """Runs of many pairs per call: one entry per cell of a kept run, one with l = -1 for any other run."""
-    names = ["k", "peak", "start_l", "start_r", "l", "r", "s"]
+def _aligner(min_length, min_strength):
+    """Runs of many pairs per call: one entry per cell of a kept run."""
+    names = ["k", "l", "r", "s"]
 
-    def one(left, right, sim):
+    def one(threshold, left, right, sim):
         cells = dict(zip(zip(left.tolist(), right.tolist()), sim.tolist()))
         rows = []
-        for k, (peak, run) in enumerate(extract_runs(cells, threshold)):
-            head = (k, peak, run[0][0], run[0][1])
+        for k, (_, run) in enumerate(extract_runs(cells, threshold)):
             if len(run) > min_length and sum(c[2] for c in run) > min_strength:
-                rows.extend((*head, *c) for c in run)
-            else:
-                rows.append((*head, -1, -1, 0.0))
-        return [list(c) for c in zip(*rows)]
+                rows.extend((k, *c) for c in run)
+        return [list(c) for c in zip(*rows)] or [[]] * len(names)
 
     @F.pandas_udf(f"struct<{RUN_FIELDS}>")
-    def align(left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*x) for x in zip(left, right, sim)], columns=names)
+    def align(threshold: pd.Series, left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(threshold, left, right, sim)], columns=names)
 
     return align
 
 
-def _split(strong: DataFrame) -> DataFrame:
-    """Part number of every strong cell of the pairs too large for one task."""
-    from textkin.operators.graph import connected_components
-
-    def node(kind, seq):
-        return F.concat_ws("|", "left", "right", F.lit(kind), seq.cast("string"))
-
-    # Two cells meet when they share a row or a column, or one is the other's diagonal neighbour.
-    row, col = node("r", F.col("left_seq")), node("c", F.col("right_seq"))
-    links = strong.select(row.alias("src"), col.alias("dst"))
-    up = strong.select("left", "right", (F.col("left_seq") + 1).alias("left_seq"), (F.col("right_seq") + 1).alias("right_seq"))
-    diagonal = strong.join(up, ["left", "right", "left_seq", "right_seq"], "left_semi").select(
-        node("r", F.col("left_seq")).alias("src"), node("r", F.col("left_seq") - 1).alias("dst"))
-    labels = connected_components(links.unionByName(diagonal))
-    return strong.withColumn("id", row).join(labels, "id").drop("id").withColumnRenamed("label", "part")
+def threshold_runs(cells: DataFrame, thresholds, min_length=3, min_strength=0.0) -> DataFrame:
+    """``alignment_runs`` at several thresholds in one pass over the cells: ``(threshold, left, right, run_num, ...)``.
 
-
-def alignment_runs(cells: DataFrame, threshold=0.05, min_length=3, min_strength=0.0, max_cells=MAX_CELLS) -> DataFrame:
+    The extraction is sequential inside a pair, so the strong cells of a pair are one row; they are at most the product
+    of the two volumes' numbers of pages.
+    """
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    strong = cells.where(F.col("sim") > float(min(thresholds))).select(
+        "left", "right", F.col("left_seq").cast("long").alias("left_seq"), F.col("right_seq").cast("long").alias("right_seq"), "sim",
+        F.explode(F.filter(levels, lambda t: F.col("sim") > t)).alias("threshold"))
+    packed = strong.groupBy("left", "right", "threshold").agg(F.collect_list(F.struct("left_seq", "right_seq", "sim")).alias("c"))
+    found = packed.select("threshold", "left", "right", _aligner(min_length, min_strength)(
+        "threshold", "c.left_seq", "c.right_seq", "c.sim").alias("f"))
+    runs = found.select("threshold", "left", "right", F.explode(F.arrays_zip(
+        *[F.col("f." + c).alias(c) for c in ("k", "l", "r", "s")])).alias("x"))
+    return runs.select("threshold", "left", "right", F.col("x.k").alias("run_num"), F.col("x.l").alias("left_seq"),
+                       F.col("x.r").alias("right_seq"), F.col("x.s").alias("sim"))
+
+
+def alignment_runs(cells: DataFrame, threshold=0.05, min_length=3, min_strength=0.0) -> DataFrame:
     """Runs with more than ``min_length`` cells and total similarity above ``min_strength``.
 
     ``cells`` is ``(left, right, left_seq, right_seq, sim)``. Output rows carry
     ``run_num``, which counts all runs of the pair in order of extraction, kept or not.
     """
-    strong = cells.where(F.col("sim") > threshold).select(
-        "left", "right", F.col("left_seq").cast("long").alias("left_seq"),
-        F.col("right_seq").cast("long").alias("right_seq"), "sim")
-    strong = cut(strong, "strong")
-    sizes = strong.groupBy("left", "right").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > max_cells)
-    parts = strong.join(big, ["left", "right"], "left_anti").withColumn("part", F.lit(""))
-    if not big.isEmpty():
-        parts = parts.unionByName(_split(strong.join(big, ["left", "right"], "left_semi")))
-    keys = ["left", "right", "part"]
-    packed = parts.groupBy(*keys).agg(F.collect_list(F.struct("left_seq", "right_seq", "sim")).alias("c"))
-    found = packed.select(*keys, _aligner(threshold, min_length, min_strength)(
-        "c.left_seq", "c.right_seq", "c.sim").alias("f"))
-    fields = [f.split(":")[0] for f in RUN_FIELDS.split(",")]
-    runs = cut(found.select(*keys, F.explode(F.arrays_zip(*[F.col("f." + c).alias(c) for c in fields])).alias("x")).select(
-        *keys, "x.k", "x.peak", "x.start_l", "x.start_r", F.when(F.col("x.l") >= 0, F.col("x.l")).alias("left_seq"),
-        F.col("x.r").alias("right_seq"), F.col("x.s").alias("sim")), "runs")
-    kept = runs.where("left_seq IS NOT NULL")
-    out = ["left", "right", "run_num", "left_seq", "right_seq", "sim"]
-    plain = kept.where("part = ''").withColumn("run_num", F.col("k")).select(*out)
-    # Removal only ever zeroes cells, so starting scores fall from run to run and
-    # sorting by them restores the order across parts. One row per run is numbered.
-    order = Window.partitionBy("left", "right").orderBy(F.desc("peak"), "start_l", "start_r")
-    heads = ["left", "right", "part", "k", "peak", "start_l", "start_r"]
-    numbers = runs.where("part <> ''").select(*heads).distinct().withColumn(
-        "run_num", (F.row_number().over(order) - 1).cast("long"))
-    split = kept.where("part <> ''").join(
-        numbers.select("left", "right", "part", "k", "run_num"), ["left", "right", "part", "k"]).select(*out)
-    return plain.unionByName(split)
+    return threshold_runs(cells, [threshold], min_length, min_strength).drop("threshold")
 
 
 def run_lengths(pairs: DataFrame, cells: DataFrame, thresholds) -> DataFrame:
     """Aligned cells per pair at several thresholds, one column each."""
-    out = pairs.select("left", "right").distinct()
-    for t in thresholds:
-        name = f"sw_{round(1000 - t * 1000):04d}_len"
-        n = alignment_runs(cells, threshold=t).groupBy("left", "right").agg(F.count("*").alias(name))
-        out = out.join(n, ["left", "right"], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    return out
+    found = threshold_runs(cells, thresholds)
+    named = {t: f"sw_{round(1000 - t * 1000):04d}_len" for t in thresholds}
+    counts = found.groupBy("left", "right").agg(*[
+        F.count_if(F.col("threshold") == float(t)).alias(n) for t, n in named.items()])
+    out = pairs.select("left", "right").distinct().join(counts, ["left", "right"], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in named.values()})
 
 
 def run_statistics(runs: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:

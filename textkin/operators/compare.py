@@ -151,6 +151,23 @@ def unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFra
     )
 
 
+def unrolled_cells(pairs: DataFrame, cells: DataFrame, max_size=50) -> DataFrame:
+    """``unrolled_matrix`` from cells ``(left, right, left_seq, right_seq, sim)`` numbered from 0, such as page Jaccard cells.
+
+    Cells that are not listed are 0; those beyond the size are dropped before the shuffle.
+    """
+    near = cells.where((F.col("left_seq") < max_size) & (F.col("right_seq") < max_size))
+    at = (F.col("left_seq") * max_size + F.col("right_seq")).cast("int")
+    listed = near.groupBy("left", "right").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), F.col("sim").cast("float").alias("x")))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(max_size * max_size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float")))
+    return pairs.select("left", "right").distinct().join(listed, ["left", "right"], "left").select("left", "right", full.alias("sim_x"))
+
+
+def cells_where(cells: DataFrame, predicate) -> DataFrame:
+    """Cells whose value satisfies ``predicate(column)``; the value is the column ``dist`` or ``sim``."""
+    return cells.where(predicate(F.col("dist" if "dist" in cells.columns else "sim")))
+
+
 # ---- summaries of the distance matrix -------------------------------------
 
 def margins(pairs: DataFrame, chunks: DataFrame):
@@ -191,15 +208,12 @@ def matrix_stats(pairs: DataFrame, chunks: DataFrame, thresholds=DISTANCE_THRESH
     minima, totals = margins(pairs, chunks)
     shares = [F.avg((F.col("dist") < t).cast("double")).alias("prop_dist_" + threshold_name(t)) for t in thresholds]
     per = minima.groupBy("left", "right", "side").agg(
-        F.count("*").alias("size"), F.avg("dist").alias("mean_min_dist"), *shares)
+        F.count("*").alias("size"), F.avg("dist").alias("mean_min_dist"), F.sort_array(F.collect_list("dist")).alias("minima"), *shares)
     size = per.groupBy("left", "right").agg(F.min("size").alias("min_size"))
-    # Equal minima are counted first and ranked as one, in narrow distance bands.
-    valued = minima.groupBy("left", "right", "side", "dist").agg(F.count("*").alias("c"))
-    ranked = running_total(valued, ["left", "right", "side"], "dist", "c", "upto", block=1 / 4096)
-    used = F.least("c", F.greatest(F.col("min_size") - (F.col("upto") - F.col("c")), F.lit(0)))
-    trunc = ranked.join(size, ["left", "right"]).groupBy("left", "right", "side").agg(
-        (F.sum(F.col("dist") * used) / F.max("min_size")).alias("trunc_dist"))
-    per = per.join(trunc, ["left", "right", "side"])
+    # A side has one minimum per chunk of a volume: few enough to sort in one row.
+    least = F.slice("minima", F.lit(1), F.col("min_size").cast("int"))
+    per = per.join(size, ["left", "right"]).withColumn(
+        "trunc_dist", F.aggregate(least, F.lit(0.0), lambda s, x: s + x) / F.col("min_size"))
     names = ["size", "mean_min_dist", "trunc_dist"] + ["prop_dist_" + threshold_name(t) for t in thresholds]
     wide = per.groupBy("left", "right").agg(*[
         F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s.lower()}_{n}") for s in ("L", "R") for n in names])
@@ -207,14 +221,13 @@ def matrix_stats(pairs: DataFrame, chunks: DataFrame, thresholds=DISTANCE_THRESH
                      ["left", "right"]).withColumn("min_size", F.least("l_size", "r_size"))
 
 
-def margin_quantiles(pairs: DataFrame, chunks: DataFrame, quantiles=QUANTILES) -> DataFrame:
-    """Quantiles of row and column minima: one column per side and quantile."""
+def margin_quantiles(pairs: DataFrame, chunks: DataFrame, quantiles=QUANTILES, prefix="") -> DataFrame:
+    """Quantiles of row and column minima: one column per side and quantile, named after ``prefix``."""
     minima, _ = margins(pairs, chunks)
-    counts = minima.groupBy("left", "right", "side", "dist").agg(F.count("*").alias("c"))
-    q = weighted_quantiles(counts, ["left", "right", "side"], "dist", "c", quantiles)
+    q = minima.groupBy("left", "right", "side").agg(F.percentile("dist", F.array(*[F.lit(float(v)) for v in quantiles])).alias("q"))
     return q.groupBy("left", "right").agg(*[
-        F.max(F.when((F.col("side") == s) & (F.round("q", 4) == v), F.col("value"))).alias(
-            f"{s.lower()}_quantile_{round(v * 10):d}") for s in ("L", "R") for v in quantiles])
+        F.max(F.when(F.col("side") == s, F.col("q")[i])).alias(f"{prefix}{s.lower()}_quantile_{round(v * 10):d}")
+        for s in ("L", "R") for i, v in enumerate(quantiles)])
 
 
 def page_count_stats(pairs: DataFrame, meta: DataFrame) -> DataFrame:

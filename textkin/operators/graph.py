@@ -87,12 +87,12 @@ def _move(edges, degrees, comm, m2, resolution, turn):
         F.col("own")).alias("c"))
 
 
-def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001, resolution=1.0,
-            max_rounds=20, max_levels=10) -> DataFrame:
+def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001, resolution=1.0) -> DataFrame:
     """Communities by greedy modularity (Blondel et al. 2008) as DataFrame rounds.
 
     Two hash halves of the nodes move in turn, which stops neighbours from
-    swapping places; a round is kept only if modularity rises. Output
+    swapping places; a round is kept only if modularity rises by ``tolerance``.
+    Modularity is at most 1, so rounds and levels end by themselves. Output
     ``(id, label)`` with the smallest member id as label.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -104,20 +104,19 @@ def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001
     labels = cut(nodes.select("id", F.col("id").alias("label")), "labels")
     if not m2:
         return labels
-    for _ in range(max_levels):
+    while True:
         degrees = cut(level.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degrees")
         comm = degrees.select("id", F.col("id").alias("c"))
         start = q = _modularity(level, comm, m2, resolution)
-        idle = 0
-        for i in range(max_rounds):
+        idle = i = 0
+        while idle < 2:
             moved = cut(_move(level, degrees, comm, m2, resolution, i % 2), "moves")
             new_q = _modularity(level, moved, m2, resolution)
             if new_q >= q + tolerance:
                 comm, q, idle = moved, new_q, 0
             else:
                 idle += 1
-                if idle == 2:
-                    break
+            i += 1
         if q < start + tolerance:
             break
         labels = cut(labels.join(comm.toDF("label", "c"), "label").select("id", F.col("c").alias("label")), "labels")

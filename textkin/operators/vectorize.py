@@ -5,6 +5,8 @@ A vector table is ``(htid, seq, vec array<float>)`` plus optional page range.
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,18 @@ def collect_components(long: DataFrame, keys, col="vec") -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(col))
 
 
-def hash_project(counts: DataFrame, keys=("htid", "seq"), dims=640, log=True, short_groups=False) -> DataFrame:
+def hash_project(counts: DataFrame, keys=("htid", "seq"), dims=640, log=True) -> DataFrame:
     """Stable random projection of token counts ``(keys, token, count)``.
 
     Dimension i of a token has the sign of bit i of its digest chain; a vector
     is the sum of sign times ln(1 + count). A group is projected in token-hash
     blocks whose partial vectors are added, so no large group is held whole. The
     number of blocks follows from ``chunk_tokens`` where the table has it, else
-    from a count; ``short_groups`` says that none is needed (titles, names).
+    from a count.
     """
     keys = list(keys)
     weight = F.log1p(F.col("count")) if log else F.col("count").cast("double")
-    if short_groups:
-        sized = counts.withColumn("_n", F.lit(1))
-    elif "chunk_tokens" in counts.columns:
+    if "chunk_tokens" in counts.columns:
         sized = counts.withColumnRenamed("chunk_tokens", "_n")
     else:
         sized = counts.join(counts.groupBy(*keys).agg(F.count("count").alias("_n")), keys)
@@ -69,8 +69,6 @@ def hash_project(counts: DataFrame, keys=("htid", "seq"), dims=640, log=True, sh
     )
     sigs = F.transform("ts.token", lambda t: _signature(t, dims))
     partial = rows.withColumn("v", _project(dims)(sigs, F.col("ts.w"))).select(*keys, "v")
-    if short_groups:
-        return partial.select(*keys, F.col("v").cast("array<float>").alias("vec"))
     # One partial vector per 20,000 tokens of a group: a short list.
     total = F.reduce(F.collect_list("v"), F.array_repeat(F.lit(0.0), dims),
                      lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
@@ -127,7 +125,7 @@ def title_vectors(meta: DataFrame, dims=50, full_weight=0.3, clean_weight=0.7, k
         forms.select("title", F.col("f.w").alias("w"), F.explode(tx.char_ngrams(F.col("f.form"))).alias("token"))
         .groupBy("title", "token").agg(F.sum("w").alias("count"))
     )
-    vecs = hash_project(grams, keys=("title",), dims=dims, log=False, short_groups=True)
+    vecs = hash_project(grams, keys=("title",), dims=dims, log=False)
     return meta.select(*keep, "title").join(vecs, "title").select(*keep, "title", "vec")
 
 
@@ -145,7 +143,7 @@ def field_vectors(meta: DataFrame, fields: dict, keep=("htid",)) -> DataFrame:
             .select(col, F.explode(tx.char_ngrams(F.col(col))).alias("token"))
             .groupBy(col, "token").agg(F.count("*").alias("count"))
         )
-        part = hash_project(grams, keys=(col,), dims=dims, short_groups=True).withColumnRenamed("vec", "v_" + name)
+        part = hash_project(grams, keys=(col,), dims=dims).withColumnRenamed("vec", "v_" + name)
         base = base.join(part, col, "left").withColumn(
             "v_" + name, F.coalesce("v_" + name, F.array_repeat(F.lit(0.0).cast("float"), dims)))
     return base.select(*keep, F.concat(*["v_" + n for n in fields]).alias("vec"))
@@ -233,18 +231,15 @@ def zip_mismatches(a: DataFrame, b: DataFrame, keys=("htid", "seq")) -> DataFram
 # ---- summaries ----------------------------------------------------------
 
 def mean_vectors(df: DataFrame, keys=("htid",), vec="vec") -> DataFrame:
-    """Component-wise mean per group, summed map-side."""
-    keys = list(keys)
-    long = df.select(*keys, F.posexplode(vec).alias("pos", "x")).groupBy(*keys, "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("x"))
-    return collect_components(long, keys, vec)
+    """Component-wise mean per group; a task sends one vector per group."""
+    means = Summarizer.mean(array_to_vector(F.col(vec)))
+    return df.where(F.col(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(means).alias(vec))
 
 
 def sum_vectors(df: DataFrame, keys, vec="vec") -> DataFrame:
-    keys = list(keys)
-    long = df.select(*keys, F.posexplode(vec).alias("pos", "x")).groupBy(*keys, "pos").agg(
-        F.sum(F.col("x").cast("double")).alias("x"))
-    return collect_components(long, keys, vec)
+    """Component-wise sum per group; a task sends one vector per group."""
+    sums = Summarizer.sum(array_to_vector(F.col(vec)))
+    return df.where(F.col(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(sums).alias(vec))
 
 
 def median_components(df: DataFrame, keys, vec="vec") -> DataFrame:

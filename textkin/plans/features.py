@@ -8,9 +8,10 @@ from textkin.session import cut
 
 
 def pair_statistics(pairs: DataFrame, chunks: DataFrame, run_thresholds=compare.RUN_THRESHOLDS,
-                    distance_thresholds=compare.DISTANCE_THRESHOLDS, quantiles=True) -> DataFrame:
+                    distance_thresholds=compare.DISTANCE_THRESHOLDS, quantiles=True, others: dict = None) -> DataFrame:
     """One wide row of statistics per pair.
 
+    ``others``: further kinds of chunk vectors by name; their quantiles get the name as prefix (``srp_l_quantile_0``).
     Alignment needs only cells above the lowest threshold, so just those are
     kept; they are written once and read for every threshold.
     """
@@ -19,6 +20,8 @@ def pair_statistics(pairs: DataFrame, chunks: DataFrame, run_thresholds=compare.
              compare.matrix_stats(pairs, chunks, distance_thresholds)]
     if quantiles:
         parts.append(compare.margin_quantiles(pairs, chunks))
+    for name, vectors in (others or {}).items():
+        parts.append(compare.margin_quantiles(pairs, vectors, prefix=name + "_"))
     return compare.join_stats(parts)
 
 
