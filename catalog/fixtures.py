@@ -163,7 +163,8 @@ FROM embeddings"""
 # ---- token lists (from documents) -----------------------------------------
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").withColumn(
+    """The given table is one file with one row group, which one task would read and count alone; so it is dealt out."""
+    return table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism).withColumn(
         "htid", F.concat(F.lit("d."), F.col("doc_id").cast("string")))
 
 

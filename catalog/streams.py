@@ -5,8 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.fixtures import q6s, r6s, sql
-from catalog.joins import CLEAN, clusters
+from catalog.aggregates import STD
+from catalog.filters import RELATED_SQL
+from catalog.fixtures import q6, q6s, r6s, sql
+from catalog.joins import clusters
 from catalog.scans import scratch
 from textkin.schemas import LABELS
 from textkin.sources import sinks
@@ -39,7 +41,8 @@ def t2_reciprocal_view(spark, sf):
     _, sums = _ingested(spark, sf)
     base = scratch(spark, "base")
     ingest.compact(spark, sums, base)
-    return ingest.reciprocal_view(spark, sums, base).select("target", "candidate", "count", *r6s(*LABELS))
+    return ingest.reciprocal_view(spark, sums, base, include_std=True).select(
+        "target", "candidate", "count", *r6s(*LABELS, "relatedness", "std_diff"))
 
 
 def k13_export_tables(spark, sf):
@@ -61,6 +64,6 @@ ORACLE = {
     "t1_incremental_ingest": sql("""SELECT least(target, candidate) AS target, greatest(target, candidate) AS candidate, target > candidate AS flipped,
         round(CASE WHEN target > candidate THEN p_contains ELSE p_partof END + 1e-10, 6) AS p_partof,
         round(CASE WHEN target > candidate THEN p_partof ELSE p_contains END + 1e-10, 6) AS p_contains FROM fx_rel""", "fx_rel"),
-    "t2_reciprocal_view": sql(f"SELECT target, candidate, count, {q6s(*LABELS)} FROM clean", "fx_rel", clean=CLEAN),
+    "t2_reciprocal_view": sql(f"SELECT target, candidate, count, {q6s(*LABELS)}, {q6(RELATED_SQL, 'relatedness')}, {q6('std_diff')} FROM s", "fx_rel", s=STD),
     "k13_export_tables": sql("SELECT htid, author || '/' || title AS man_id, title AS work_id FROM fx_meta", "fx_meta"),
 }

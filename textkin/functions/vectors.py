@@ -26,17 +26,6 @@ def angular(cos: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * cos))
 
 
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(doubles(a), lambda x: x / n)
-
-
-def usable(a: Column) -> Column:
-    """True for vectors with a finite, positive norm and no NaN component."""
-    n = norm(a)
-    return (n > 0) & (n < float("inf")) & ~F.isnan(n)
-
-
 def has_nan(a: Column) -> Column:
     return F.exists(a, lambda x: F.isnan(x))
 
@@ -49,10 +38,6 @@ def difference(a: Column, b: Column) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
 
 
-def weighted_sum(a: Column, wa: float, b: Column, wb: float) -> Column:
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x * wa + y * wb)
-
-
 def set_jaccard(a: Column, b: Column) -> Column:
     inter = F.size(F.array_intersect(a, b))
     return inter / F.greatest(F.size(F.array_union(a, b)), F.lit(1))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from textkin.functions.text import text_tokens
 from textkin.operators.ranks import positions, running_total
-from textkin.session import cut, spread
+from textkin.session import cut
 
 
 def token_list(docs: DataFrame, htid="htid", text="text", page_break="\n") -> DataFrame:
     """Split whole texts into pages and count lower-case tokens per page."""
-    texts = spread(docs.select(F.col(htid).alias("htid"), F.col(text).alias("text")))
+    texts = docs.select(F.col(htid).alias("htid"), F.col(text).alias("text"))
     pages = texts.select("htid", F.posexplode(F.split("text", page_break)).alias("page0", "body"))
     return (
         pages.select("htid", (F.col("page0") + 1).alias("page"),

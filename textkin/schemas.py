@@ -41,12 +41,6 @@ PAIRS = T.StructType([
     T.StructField("left", T.StringType()), T.StructField("right", T.StringType()),
     T.StructField("judgment", T.StringType()), T.StructField("notes", T.StringType()),
 ])
-PREDICTIONS = T.StructType(
-    [T.StructField("target", T.StringType()), T.StructField("candidate", T.StringType())]
-    + [T.StructField(c, T.FloatType()) for c in LABELS]
-    + [T.StructField("guess", T.StringType()), T.StructField("relatedness", T.FloatType()),
-       T.StructField("flipped", T.BooleanType())]
-)
 CATALOGUE_AUTHORS = T.StructType([
     T.StructField("author_id", T.StringType()), T.StructField("name", T.StringType()),
 ])
@@ -61,8 +55,3 @@ CATALOGUE_BOOKS = T.StructType([
     T.StructField("publication_year", T.StringType()),
     T.StructField("edition_information", T.StringType()),
 ])
-VECTORS = T.StructType([
-    T.StructField("htid", T.StringType()), T.StructField("seq", T.IntegerType()),
-    T.StructField("start_page", T.IntegerType()), T.StructField("end_page", T.IntegerType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-])

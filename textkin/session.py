@@ -57,16 +57,3 @@ def cut(df: DataFrame, name="cut", replaces=()) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer partitions than the cluster has cores.
-
-    A single-file input is read by one task; heavy per-row work after it would
-    stay there. Inputs with enough splits are returned unchanged, unshuffled, as
-    are inputs whose plan holds a shuffle already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,15 +1,20 @@
 """Incremental ingest of prediction files with Structured Streaming."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkin.functions.labels import canonical
+from textkin.functions.labels import canonical, relatedness
 from textkin.schemas import LABELS
 from textkin.sources.files import list_dir
 from textkin.sources.sinks import append_batch
 from textkin.sources.tables import target_from_path
 
 
+SUMS = [*LABELS, "relatedness", *[c + "_sq" for c in LABELS]]
+
+
 def prediction_stream(spark: SparkSession, path: str, schema, files_per_batch=1000, suffix=r"\.predictions\.parquet") -> DataFrame:
     """Stream of prediction files; every file is read once, its target comes from its path."""
     raw = (
@@ -20,9 +25,11 @@ def prediction_stream(spark: SparkSession, path: str, schema, files_per_batch=10
 
 
 def partial_sums(flipped: DataFrame) -> DataFrame:
-    """Sums and counts per pair: the mergeable form of the reciprocal mean."""
+    """Sums, sums of squares and counts per pair: the mergeable form of reciprocal means and of their disagreement."""
+    x = {c: F.col(c).cast("double") for c in LABELS}
     return flipped.groupBy("target", "candidate").agg(
-        *[F.sum(F.col(c).cast("double")).alias(c) for c in LABELS], F.count("*").alias("count"))
+        *[F.sum(v).alias(c) for c, v in x.items()], F.sum(relatedness()).alias("relatedness"),
+        *[F.sum(v * v).alias(c + "_sq") for c, v in x.items()], F.count("*").alias("count"))
 
 
 def ingest(stream: DataFrame, table: str, sums: str, checkpoint: str):
@@ -74,10 +81,13 @@ def _read_sums(spark, sums, base, batches):
 
 def _merge(parts: DataFrame) -> DataFrame:
     return parts.groupBy("target", "candidate").agg(
-        *[F.sum(c).alias(c) for c in LABELS], F.sum("count").alias("count"))
+        *[F.sum(c).alias(c) for c in SUMS], F.sum("count").alias("count"))
 
 
-def reciprocal_view(spark: SparkSession, sums: str, base: str = None, min_count=2) -> DataFrame:
-    """Current reciprocal means over everything ingested so far."""
+def reciprocal_view(spark: SparkSession, sums: str, base: str = None, min_count=2, include_std=False) -> DataFrame:
+    """Current reciprocal means over everything ingested so far; ``std_diff`` adds up the labels' standard deviations."""
     merged = _merge(_read_sums(spark, sums, base, _batches(spark, sums))).where(F.col("count") >= min_count)
-    return merged.select("target", "candidate", *[(F.col(c) / F.col("count")).alias(c) for c in LABELS], "count")
+    means = [(F.col(c) / F.col("count")).alias(c) for c in [*LABELS, "relatedness"]]
+    spread = [F.sqrt(F.greatest(F.lit(0.0), F.col(c + "_sq") / F.col("count") - F.pow(F.col(c) / F.col("count"), 2))) for c in LABELS]
+    std = [reduce(lambda a, b: a + b, spread).alias("std_diff")] if include_std else []
+    return merged.select("target", "candidate", *means, *std, "count")
