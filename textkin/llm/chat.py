@@ -189,9 +189,9 @@ def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", mi
         return odd.unionByName(rows.where("conv is not null and major is not null").select(
             "*", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("begins")))
     rows = rows.where("conv is not null and major is not null").withColumn("seg", F.floor(F.col("major") / segment))
-    # What stands before a segment's first line: whether it is blank.
-    last = rows.groupBy("conv", (F.col("seg")).alias("seg")).agg(F.max(F.struct("major", "minor", (F.trim("line") == "").alias("blank"))).alias("x"))
-    several = rows.select("conv", "seg").distinct().groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    # Transcripts of one segment are decoded as they are; those of several need the states at the segments' borders first.
+    several = rows.select("conv", "seg").distinct().groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select("conv")
+    several = cut(several, "several")
 
     def found(table, entry, goal, before):
         text = table["line"].to_pylist()
@@ -203,20 +203,22 @@ def recover_roles(lines: DataFrame, model: Model, conv="conv", major="major", mi
                          "role": pa.array([model.roles[s // 2] for s in path]), "begins": pa.array(begins.astype(np.int32)),
                          "local": pa.array(np.cumsum(begins).astype(np.int32)), "seg": table["seg"]})
 
-    if not several:
-        decoded = rows.groupBy("conv", "seg").applyInArrow(lambda t: found(_ordered(t), -1, None, False), DECODED)
-    else:
-        before = last.select("conv", "seg", "x.blank").withColumn("blank", F.lag("blank", 1, False).over(W.partitionBy("conv").orderBy("seg")))
-        rows = rows.join(before, ["conv", "seg"])
-        states = _border_states(cut(rows, "lines"), model, fan)
-        joined = rows.join(states, ["conv", "seg"])
-        decoded = joined.groupBy("conv", "seg").applyInArrow(
-            lambda t: found(_ordered(t), t["entry"][0].as_py(), t["goal"][0].as_py(), t["blank"][0].as_py()), DECODED)
-    decoded = cut(decoded, "decoded")
+    turn = F.col("local").cast("long") - 1
+    out = rows.join(several, "conv", "left_anti").select("conv", "major", "minor", "line", "seg").groupBy("conv", "seg").applyInArrow(
+        lambda t: found(_ordered(t), -1, None, False), DECODED).withColumn("turn", turn)
+
+    long = rows.join(several, "conv", "left_semi")
+    # What stands before a segment's first line: whether it is blank.
+    last = long.groupBy("conv", "seg").agg(F.max(F.struct("major", "minor", (F.trim("line") == "").alias("blank"))).alias("x"))
+    before = last.select("conv", "seg", "x.blank").withColumn("blank", F.lag("blank", 1, False).over(W.partitionBy("conv").orderBy("seg")))
+    long = cut(long.join(before, ["conv", "seg"]), "lines")
+    states = _border_states(long, model, fan)
+    decoded = cut(long.join(states, ["conv", "seg"]).groupBy("conv", "seg").applyInArrow(
+        lambda t: found(_ordered(t), t["entry"][0].as_py(), t["goal"][0].as_py(), t["blank"][0].as_py()), DECODED), "decoded")
     per = decoded.groupBy("conv", "seg").agg(F.sum("begins").alias("n"))
     offset = per.select("conv", "seg", (F.sum("n").over(W.partitionBy("conv").orderBy("seg")) - F.col("n")).alias("off"))
-    out = decoded.join(offset, ["conv", "seg"]).select(
-        "conv", "major", "minor", "line", (F.col("off") + F.col("local") - 1).cast("long").alias("turn"), "role", (F.col("begins") == 1).alias("begins"))
+    far = decoded.join(offset, ["conv", "seg"]).withColumn("turn", turn + F.col("off")).drop("off")
+    out = out.unionByName(far).select("conv", "major", "minor", "line", "turn", "role", (F.col("begins") == 1).alias("begins"))
     return out.unionByName(odd.select(out.columns))
 
 

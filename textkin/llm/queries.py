@@ -83,12 +83,12 @@ STYLES = [{"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
 
 def raw_turns(spark, sf):
     """``conversations`` as raw transcripts have them: a style per conversation, and no marker on a fifth of the turns."""
-    style = F.crc32(F.concat(F.lit("style"), F.col("conv_id").cast("string"))) % len(STYLES)
+    style = F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(len(STYLES)))
     marker = F.lit("")
     for k, marks in enumerate(STYLES):
         for role, mark in marks.items():
             marker = F.when((style == k) & (F.col("role") == role), mark).otherwise(marker)
-    bare = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) % 5 == 0
+    bare = F.pmod(F.xxhash64(F.lit("bare"), "conv_id", "turn"), F.lit(5)) == 0
     text = F.concat(F.when(bare, "").otherwise(F.coalesce(marker, F.lit(""))), F.coalesce("text", F.lit("")))
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", F.split(text, "\n", -1).alias("lines"))
 
