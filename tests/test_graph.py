@@ -66,6 +66,8 @@ def test_pagerank_sums_to_one_and_prefers_the_centre(spark):
     assert sum(v for (c, _), v in r.items() if c == 2) == pytest.approx(1.0)
     assert max((v, k) for k, v in r.items() if k[0] == 1)[1] == (1, "a")
     assert r[2, "z"] < r[2, "x"] == pytest.approx(r[2, "y"])
+    settled = {(x["cluster"], x["htid"]): x["rank"] for x in representative.pagerank(members, edges, tolerance=1e-9).collect()}
+    assert settled.keys() == r.keys() and all(abs(settled[k] - r[k]) < 1e-2 for k in r)
 
 
 def fold_reference(pairs, thresholds):

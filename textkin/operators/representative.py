@@ -8,12 +8,13 @@ from textkin.operators.vectorize import mean_vectors, median_vectors, sum_vector
 from textkin.session import cut
 
 
-def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, rounds_per_cut=5) -> DataFrame:
+def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, rounds_per_cut=5, tolerance=None) -> DataFrame:
     """Weighted PageRank inside every cluster, all clusters together.
 
     ``members`` is ``(cluster, htid)``, ``edges`` ``(cluster, target, candidate,
     w)`` and undirected. Ranks add up to 1 per cluster; volumes without edges
-    spread their rank over the cluster.
+    spread their rank over the cluster. With a ``tolerance`` the rounds go on until no rank changes by more in
+    ``rounds_per_cut`` of them; ranks change by the factor ``damping`` less each round, so they do.
     """
     edges = cut(edges.select("cluster", "target", "candidate", "w"), "edges")
     both = edges.select("cluster", F.col("target").alias("src"), F.col("candidate").alias("dst"), "w").unionByName(
@@ -28,7 +29,9 @@ def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, roun
         .join(out.select("cluster", F.col("src").alias("htid"), F.lit(False).alias("sink")), ["cluster", "htid"], "left")
         .select("cluster", "htid", "n", F.coalesce("sink", F.lit(True)).alias("sink")), "nodes")
     rank = nodes.select("cluster", "htid", (F.lit(1.0) / F.col("n")).alias("rank"))
-    for i in range(rounds):
+    before, done = cut(rank, "ranks"), 0
+    rank = before
+    while tolerance is not None or done < rounds:
         here = nodes.join(rank, ["cluster", "htid"])
         loose = here.groupBy("cluster").agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("loose"))
         arriving = (
@@ -41,8 +44,14 @@ def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, roun
                 (1 - damping) / F.col("n")
                 + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
         )
-        if (i + 1) % rounds_per_cut == 0 or i == rounds - 1:
+        done += 1
+        if done % rounds_per_cut == 0 or (tolerance is None and done == rounds):
             rank = cut(rank, "ranks")
+            if tolerance is not None:
+                change = rank.join(before.withColumnRenamed("rank", "old"), ["cluster", "htid"]).agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                if change is None or change <= tolerance:
+                    break
+                before = rank
     return rank
 
 
