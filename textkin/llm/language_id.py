@@ -119,8 +119,8 @@ def predict(docs: DataFrame, model: Model, text="text", keep=("doc_id",)) -> Dat
     """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.prior))
     kept = docs.select(*keep)
-    pred, score, source = fresh(kept, "lang_pred"), fresh(kept, "score"), fresh(kept, "text")
-    kept = docs.select(*keep, F.col(text).alias(source))
+    pred, score, source = fresh(kept, "lang_pred"), fresh(kept, "score"), text if text in keep else fresh(kept, "text")
+    read = kept if text in keep else docs.select(*keep, F.col(text).alias(source))
 
     def run(batches):
         model = Model(*held.value)
@@ -135,5 +135,5 @@ def predict(docs: DataFrame, model: Model, text="text", keep=("doc_id",)) -> Dat
                     langs[i] = model.langs[k]
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + [pa.array(langs), pa.array(scores)], [*keep, pred, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return kept.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return read.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")

@@ -127,14 +127,15 @@ def mix_to_targets(docs: DataFrame, id="doc_id", text="text", dims=None, targets
     cells = cut(cells_of(docs, dims, tokens), "cells")
     raked = rake(cells, targets or flat_targets(cells, dims, flatten), rounds)
     keys = {d: fresh(docs, f"cell_{d}") for d in dims}
+    own = {d: fresh(docs, f"own_{d}") for d in dims}
     p, weight, n, sampled = (fresh(docs, c) for c in ("p", "weight", "tokens", "sampled"))
     factors = cut(raked.withColumn("factor", F.col("w") / F.col("n")), "factors")
     c = calibrate(factors, keep)
     rate = F.col("factor") * F.lit(c)
     lookup = factors.select(*[F.col(d).alias(keys[d]) for d in dims], F.least(rate, F.lit(1.0)).alias(p),
                             F.greatest(rate, F.lit(1.0)).alias(weight))
-    tagged = docs.withColumns({n: tokens} | {f"{keys[d]}_own": F.coalesce(e.cast("string"), F.lit(NO_VALUE)) for d, e in dims.items()})
-    same = reduce(lambda a, b: a & b, [F.col(f"{k}_own") == F.col(k) for k in keys.values()])
+    tagged = docs.withColumns({n: tokens} | {own[d]: F.coalesce(e.cast("string"), F.lit(NO_VALUE)) for d, e in dims.items()})
+    same = reduce(lambda a, b: a & b, [F.col(own[d]) == F.col(keys[d]) for d in dims])
     joined = join_lookup(tagged, lookup, same, "inner", "rates")
-    new = [F.col(f"{keys[d]}_own").alias(d) for d in dims if d.lower() not in {c.lower() for c in docs.columns}]
+    new = [F.col(own[d]).alias(d) for d in dims if d.lower() not in {c.lower() for c in docs.columns}]
     return joined.select(*docs.columns, n, *new, p, weight).withColumn(sampled, draw(F.col(id), seed) < F.col(p))

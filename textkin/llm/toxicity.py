@@ -312,7 +312,7 @@ def score(docs: DataFrame, grammar: Grammar, text="text", keep=("doc_id",)) -> D
     held = docs.sparkSession.sparkContext.broadcast(grammar.fields())
     kept = docs.select(*keep)
     names = [fresh(kept, n) for n in ("score", "predicted")]
-    source = fresh(kept, "text")
+    source = text if text in keep else fresh(kept, "text")
 
     def run(batches):
         own = Grammar(*held.value)
@@ -321,4 +321,5 @@ def score(docs: DataFrame, grammar: Grammar, text="text", keep=("doc_id",)) -> D
             yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col(text).alias(source)).mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
+    read = kept if text in keep else docs.select(*keep, F.col(text).alias(source))
+    return read.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
