@@ -2,7 +2,8 @@
 
 * ``write_archives`` writes one record per page. Of pages with equal payloads (at least ``min_bytes`` long) the one with the
   smallest id is a ``response``, the others are ``revisit`` records without payload that refer to it. A record is a line of
-  Spark's text sink whose line separator is the blank line that ends WARC records. Archives hold about ``ARCHIVE_BYTES``.
+  Spark's text sink whose line separator is the blank line that ends WARC records. Archives hold about ``ARCHIVE_BYTES``
+  and are compressed with gzip; offsets and lengths in the index are those of the uncompressed records.
 * ``read_archives`` reads the files whole, checks every payload against its digest and returns the captures of each
   archive as a run sorted by URL key, timestamp and id.
 * ``merge_index`` deals the runs to ranges of (URL key, timestamp, id) and merges the slices of each range with a loser
@@ -15,6 +16,7 @@ responses if the id is the smallest. No rows give no archives and no captures. O
 """
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -93,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, id="page_id", url="url", html="h
     rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "payload_digest"))
     role = roles(rows, min_bytes).repartition(archives, "role_key")
     rows = rows.repartition(archives, "key").join(role.hint("merge"), F.col("key") == F.col("role_key"))
-    rows.select(_record().alias("value")).write.option("lineSep", END).text(path)
+    rows.select(_record().alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -134,7 +136,7 @@ def _read(batches):
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"]):
             out = []
-            for offset, length, headers, payload in parse_archive(content.as_buffer().to_pybytes()):
+            for offset, length, headers, payload in parse_archive(gzip.decompress(content.as_buffer())):
                 told, revisit = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"] == "revisit"
                 if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != told:
                     raise ValueError(f"{path} at {offset}: payload doesn't match its digest")
