@@ -11,7 +11,8 @@ size; each pair of blocks returns at most k rows per query. Vectors of different
 
 Nulls and edges: vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no part.
 Candidates with the query's own id are left out, also where an id repeats; repeated candidate rows with an id and vector count
-once. Fewer than k candidates give fewer rows. Ties go to the smaller id. Other columns are not read.
+once. Fewer than k candidates give fewer rows. Ties go to the smaller id. Scores beyond a long integer stay at its ends. Other
+columns are not read.
 """
 
 import numpy as np
@@ -27,7 +28,7 @@ SCALE = 256
 PIVOTS = 32
 #: Vectors of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 2048, 512
-#: Candidates whose exact scores are computed at once.
+#: Candidates with the largest bounds that are evaluated first; later steps are four times the one before.
 STEP = 64
 
 PACKED = "dim int, block long, ids binary, vectors binary, table binary"
@@ -87,31 +88,52 @@ class _Side:
         self.ids = np.frombuffer(ids.as_buffer(), np.int64)
         self.v = np.frombuffer(vectors.as_buffer(), np.int64).reshape(-1, dim)
         self.table = np.frombuffer(table.as_buffer(), np.float64).reshape(len(self.ids), -1)
-        self.f = self.v.astype(np.float64)
-        self.square = (self.f ** 2).sum(axis=1)
+        self.square = (self.v.astype(np.float64) ** 2).sum(axis=1)
 
 
-def products(queries, candidates):
-    """Exact integer inner products. Floats are exact below 2**53; larger ones are computed as Python integers."""
-    largest = max(int(np.abs(queries).max(initial=0)), 1) * max(int(np.abs(candidates).max(initial=0)), 1) * candidates.shape[1]
-    if largest < 1 << 53:
-        return (candidates.astype(np.float64) @ queries.astype(np.float64)).astype(np.int64)
-    return candidates.astype(object) @ queries.astype(object)
+def exact_kind(a, b):
+    """A type in which all inner products of the rows of two integer matrices are exact."""
+    largest = np.prod([max(float(np.abs(x.astype(np.float64)).max(initial=0)), 1.0) for x in (a, b)]) * a.shape[1]
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else object
 
 
-def _floors(queries, held, dim, k):
+def upper_bounds(q: _Side, c: _Side):
+    """Upper bound of every inner product, from the largest difference of distances to a pivot."""
+    gap, part = np.zeros((len(q.ids), len(c.ids))), np.empty((len(q.ids), len(c.ids)))
+    for p in range(c.table.shape[1]):
+        np.subtract.outer(q.table[:, p], c.table[:, p], out=part)
+        np.maximum(gap, np.abs(part, out=part), out=gap)
+    gap = np.maximum(gap * (1 - 1e-12) - 1e-5, 0)  # distances are rounded
+    bound = (q.square[:, None] + c.square[None] - gap ** 2) / 2
+    return bound + 1 + np.abs(bound) * 1e-12
+
+
+def _floors(q, held, dim, k):
     """For each query the k-th best score among the pivots with other ids, which no better candidate falls below."""
     ids, pivots = held[dim]
     order = np.argsort(ids, kind="stable")
     ids, pivots = ids[order], pivots[order].astype(np.int64)
     first = np.concatenate([[True], ids[1:] != ids[:-1]])  # one vector per id
     ids, pivots = ids[first], pivots[first]
-    out = np.full(len(queries.ids), -np.inf)
-    for i, (id_, v) in enumerate(zip(queries.ids, queries.v)):
-        scores = np.sort(products(v, pivots[ids != id_]).astype(np.float64))
-        if len(scores) >= k:
-            out[i] = scores[-k]
-    return out
+    kind = exact_kind(q.v, pivots)
+    scores = (q.v.astype(kind) @ pivots.astype(kind).T).astype(np.float64)
+    scores[q.ids[:, None] == ids[None]] = -np.inf
+    return np.sort(scores, axis=1)[:, -k] if len(ids) >= k else np.full(len(q.ids), -np.inf)
+
+
+def _longs(scores):
+    """Scores as long integers; larger ones stay at the end of the range."""
+    return (np.clip(scores, -(1 << 63), (1 << 63) - 1) if scores.dtype == object else scores).astype(np.int64)
+
+
+def _best(ids, scores, k):
+    """The ``k`` best of distinct ids; an id that repeats counts with its best score."""
+    if len(scores) > 4 * k and len(np.unique(ids)) == len(ids):
+        keep = scores >= np.partition(scores, -k)[-k]
+        ids, scores = ids[keep], scores[keep]
+    order = np.lexsort((ids, -scores))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+    return ids[order], scores[order]
 
 
 def _eliminate(held, k):
@@ -121,26 +143,22 @@ def _eliminate(held, k):
                 dim = batch["dim"][row].as_py()
                 q = _Side(batch["q_ids"][row], batch["q_vectors"][row], batch["q_table"][row], dim)
                 c = _Side(batch["ids"][row], batch["vectors"][row], batch["table"][row], dim)
-                floors = _floors(q, held.value, dim, k)
+                kind = exact_kind(q.v, c.v)
+                qv, cv = q.v.astype(kind), c.v.astype(kind)
+                bounds, floors = upper_bounds(q, c), _floors(q, held.value, dim, k)
                 found = []
                 for i in range(len(q.ids)):
-                    gap = np.abs(c.table - q.table[i]).max(axis=1)
-                    gap = np.maximum(gap * (1 - 1e-12) - 1e-5, 0)  # distances are rounded
-                    bound = (q.square[i] + c.square - gap ** 2) / 2
-                    bound += 1 + np.abs(bound) * 1e-12
-                    left = np.flatnonzero((bound >= floors[i]) & (c.ids != q.ids[i]))
-                    left = left[np.argsort(-bound[left], kind="stable")]
-                    ids, scores, least = np.empty(0, np.int64), np.empty(0, np.int64), floors[i]
-                    for at in range(0, len(left), STEP):
-                        if bound[left[at]] < least:
-                            break
-                        part = left[at:at + STEP]
-                        ids, scores = np.append(ids, c.ids[part]), np.append(scores, products(q.v[i], c.v[part]))
-                        best = np.lexsort((ids, -scores))
-                        best = best[np.sort(np.unique(ids[best], return_index=True)[1])[:k]]  # an id may repeat
-                        ids, scores = ids[best], scores[best]
+                    bound, least = bounds[i], floors[i]
+                    left = np.flatnonzero((bound >= least) & (c.ids != q.ids[i]))
+                    left = left[np.argsort(-bound[left])]
+                    ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+                    at, step = 0, STEP
+                    while at < len(left) and bound[left[at]] >= least:
+                        part = left[at:at + step]
+                        ids, scores = _best(np.append(ids, c.ids[part]), np.append(scores, _longs(cv[part] @ qv[i])), k)
                         if len(ids) == k:
                             least = max(least, float(scores[-1]))
+                        at, step = at + step, 4 * step
                     found.append((np.full(len(ids), q.ids[i]), ids, scores))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[x] for f in found]).astype(np.int64)) for x in range(3)],
@@ -158,10 +176,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id="vec_id", vector="embedding
     dims = [int(d) for d in held.value]
     packed = asked.where(F.size("v").isin(dims)) if dims else asked.where("false")
     packed = cut(packed.mapInArrow(_pack(held, QUERY_BLOCK), PACKED).toDF("dim", "q_block", "q_ids", "q_vectors", "q_table"), "queries")
-    # Pairs of block numbers are made first and dealt evenly; the packed vectors follow them.
+    # Pairs of block numbers are made first; the packed vectors follow them, those of the many blocks of candidates last.
     pairs = blocks.select("dim", "block").join(packed.select("dim", "q_block"), "dim")
-    pairs = pairs.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "q_block")
-    met = pairs.join(blocks.drop("dim"), "block").join(packed.drop("dim"), "q_block")
+    met = pairs.join(packed.drop("dim"), "q_block").join(blocks.drop("dim"), "block")
     scores = met.mapInArrow(_eliminate(held, k), SCORES).distinct()
     best = scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
