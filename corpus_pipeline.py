@@ -18,8 +18,11 @@ def clean(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Documents without the boilerplate lines of their source."""
-    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    """Documents without the boilerplate lines of their source.
+
+    Copies are the next stage's work: they count as one page here, and a text that is all boilerplate goes on whole.
+    """
+    return line_dedup.drop_boilerplate(docs, distinct=True, spare=True).select(*docs.columns)
 
 
 def unique(spark, docs, sf_dir):

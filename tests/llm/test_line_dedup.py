@@ -37,3 +37,14 @@ def test_long_pages_and_the_join_without_broadcast(spark, monkeypatch):
     long = "\n".join(f"l{i}" for i in range(50_000))
     got = run(spark, [(i, "a", "menu\n" + long + str(i)) for i in range(3)] + [(9, "a", "menu")], ratio=0.9, min_pages=2)
     assert got[9] == ("", 1, 1) and got[0] == (long + "0", 50_001, 1)
+
+
+def test_copies_count_once_and_pages_of_boilerplate_are_spared(spark):
+    copy = "long text\n\nof a copy"
+    rows = [(i, "a", copy) for i in range(6)] + [(10 + i, "a", f"menu\npage {i}") for i in range(6)] + [(20, "a", " menu\n")]
+    got = run(spark, rows, distinct=True, spare=True)
+    assert {got[i] for i in range(6)} == {(copy, 3, 0)} and got[10] == ("page 0", 2, 1) and got[20] == (" menu\n", 2, 0)
+    assert run(spark, rows, distinct=True)[20] == ("", 2, 1) and run(spark, rows, spare=True)[0] == (copy, 3, 0)
+    assert run(spark, rows)[0] == ("", 3, 2)
+    # Five rows, but four texts.
+    assert run(spark, [(i, "a", f"same\n{min(i, 3)}") for i in range(5)], distinct=True)[0] == ("same\n0", 2, 0)

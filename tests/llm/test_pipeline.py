@@ -36,3 +36,14 @@ def test_the_whole_pipeline(spark, sf):
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 20 < len(ids) < 200
+
+
+def test_one_document_of_a_copy_group_survives_with_its_text(spark, sf):
+    stages = dict(corpus_pipeline.STAGES)
+    copy = "a text that was copied many times\nwith a second line of its own words"
+    rows = [(i, copy, "h") for i in range(10)] + [(10 + i, copy + f" {i}", "k") for i in range(6)]
+    rows += [(100 + i, "menu\n" + " ".join(f"w{i}x{j}" for j in range(12)), h) for i in range(40) for h in ("hk"[i % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in stages["near dedup"](spark, stages["line dedup"](spark, docs, sf), sf).collect()}
+    assert out[0] == copy and not set(out) & set(range(1, 10))
+    assert all(out[100 + i] == rows[16 + i][1].split("\n")[1] for i in range(40))
