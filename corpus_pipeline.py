@@ -37,7 +37,8 @@ def untested(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """Documents drawn by raked weights, with tokens, topic, probability and weight."""
-    return mixing.mix_to_targets(docs).where("sampled").drop("sampled")
+    drawn = fresh(docs, "sampled")
+    return mixing.mix_to_targets(docs).where(F.col(drawn)).drop(drawn)
 
 
 STAGES = [("toxicity", clean), ("line dedup", lines), ("near dedup", unique), ("decontamination", untested), ("mixing", mix)]

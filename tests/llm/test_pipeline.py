@@ -47,3 +47,14 @@ def test_one_document_of_a_copy_group_survives_with_its_text(spark, sf):
     out = {r.doc_id: r.text for r in stages["near dedup"](spark, stages["line dedup"](spark, docs, sf), sf).collect()}
     assert out[0] == copy and not set(out) & set(range(1, 10))
     assert all(out[100 + i] == rows[16 + i][1].split("\n")[1] for i in range(40))
+
+
+def test_the_draw_has_effect_beside_a_column_named_sampled(spark, sf):
+    mix = dict(corpus_pipeline.STAGES)["mixing"]
+    docs = table(spark, sf, "documents")
+    want = sorted(r.doc_id for r in mix(spark, docs, sf).collect())
+    assert 0 < len(want) < docs.count()
+    for own in (True, "x"):
+        got = mix(spark, docs.selectExpr("*", f"{own!r} AS Sampled"), sf)
+        assert "Sampled" in got.columns and "sampled_" not in got.columns
+        assert sorted(r.doc_id for r in got.collect()) == want and {r.Sampled for r in got.collect()} == {own}
