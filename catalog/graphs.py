@@ -34,7 +34,13 @@ def g3_cluster_all(spark, sf):
 
 
 def g4_fold_to_works(spark, sf):
-    ref, _, _ = works.volumes_to_works(clean(spark, sf), thresholds=[0.99, 0.93, 0.86, 0.77], method="components")
+    """Communities over all thresholds, on both levels."""
+    ref, _, _ = works.volumes_to_works(clean(spark, sf))
+    return ref.select("htid", "man_id", "work_id")
+
+
+def g4_fold_by_components(spark, sf):
+    ref, _, _ = works.volumes_to_works(clean(spark, sf), method="components")
     return ref.select("htid", "man_id", "work_id")
 
 
@@ -88,7 +94,7 @@ def g9_coherence(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_components, g1_communities, g2_single_clusters, g3_cluster_all, g4_fold_to_works, g5_pagerank, g6_member_distances,
+    g1_components, g1_communities, g2_single_clusters, g3_cluster_all, g4_fold_to_works, g4_fold_by_components, g5_pagerank, g6_member_distances,
     g7_best_copies, g7_best_by_network, g8_cluster_history, g9_coherence)}
 
 _STRONG = "SELECT target, candidate FROM clean WHERE p_swsm > 0.77"

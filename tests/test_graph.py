@@ -126,3 +126,33 @@ def test_best_copy_is_nearest_and_null_without_open_copies(spark):
     r = {x["cluster"]: x for x in representative.best_copies(d, {"best": ("dist", "min")}).collect()}
     assert (r[1]["best"], r[1]["best_pd"]) == ("a", "c")
     assert (r[2]["best"], r[2]["best_pd"]) == ("x", None)
+
+
+def test_registered_folding_takes_all_thresholds_and_communities(spark, monkeypatch):
+    from catalog import graphs
+
+    p = {("a", "b"): 0.975, ("b", "c"): 0.94, ("a", "c"): 0.0}  # c joins only where 0.97 is skipped
+    groups = [[f"{g}{i}" for i in range(6)] for g in "xy"]
+    p |= {(g[j], g[i]): 0.995 for g in groups for i in range(6) for j in range(i)}
+    p |= {(x, y): 0.995 if (x, y) == ("x0", "y0") else 0.1 for x in groups[0] for y in groups[1]}
+    pdf = pd.DataFrame([(*k, x) for k, x in p.items()], columns=["target", "candidate", "p_swsm"])
+    pdf[[c for c in LABELS if c != "p_swsm"]] = 0.0
+    pdf["count"] = 2
+    df = spark.createDataFrame(pdf[["target", "candidate", *LABELS, "count"]])
+    monkeypatch.setattr(graphs, "clean", lambda spark, sf: df)
+
+    def folded(query):
+        rows = query(spark, None).collect()
+        assert sorted(r.htid for r in rows) == sorted({x for k in p for x in k})
+        assert len({(r.man_id, r.work_id) for r in rows}) == len({r.man_id for r in rows})
+        return {r.htid: r.work_id for r in rows}
+
+    def modularity(label):
+        strong = [k for k, x in p.items() if x > 0.99]
+        ends = [label[x] for k in strong for x in k]
+        return sum(label[a] == label[b] for a, b in strong) / len(strong) - sum((ends.count(c) / len(ends)) ** 2 for c in set(ends))
+
+    chains, groups = folded(graphs.g4_fold_by_components), folded(graphs.g4_fold_to_works)
+    assert chains["a"] == chains["b"] != chains["c"] and groups["a"] == groups["b"] != groups["c"]
+    assert chains["x0"] == chains["y0"] and {groups[f"x{i}"] for i in range(6)} == {"x0"} and {groups[f"y{i}"] for i in range(6)} == {"y0"}
+    assert modularity(groups) > 0.4 > modularity(chains)
