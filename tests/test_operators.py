@@ -237,3 +237,19 @@ def test_class_samples_do_not_depend_on_the_layout(spark):
     first = {r["id"] for r in score.sample_classes(df, {"a": 0.5}, ["id"]).collect()}
     assert first == {r["id"] for r in score.sample_classes(df.repartition(7), {"a": 0.5}, ["id"]).collect()}
     assert 30 < len(first) < 70 and all(i % 4 == 0 for i in first)
+
+
+def test_code_rows_hold_every_code(spark, sf):
+    from catalog import sinks
+    from catalog.joins import _keyed
+
+    books = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "book_id long, code string")
+    volumes = spark.createDataFrame([("v1", "a"), ("v2", "b"), ("v2", "b"), ("v3", "c")], "htid string, code string")
+    links = spark.createDataFrame([(1, 3), (2, 3), (3, 9), (1, 2)], "book_id long, similar_id long")
+    rows = sorted(map(tuple, crosswalk.code_rows(books, volumes, links).collect()), key=str)
+    assert rows == sorted([("a", 1, None, None), ("a", 2, None, None), ("b", 3, None, None), ("c", 4, None, None), ("a", None, "v1", None),
+                           ("b", None, "v2", None), ("c", None, "v3", None), ("a", None, None, "b"), ("a", None, None, "a")], key=str)
+    b, v = crosswalk.align(*_keyed(spark, sf))
+    written = sinks.k9_code_rows(spark, sf)
+    assert {r.htid for r in written.where("htid is not null").collect()} == {r.htid for r in v.collect()}
+    assert {r.book_id for r in written.where("book_id is not null").collect()} == {r.book_id for r in b.collect()}
