@@ -12,6 +12,9 @@ text is one shingle) are among the document's.
    signatures. Documents with too few words for an item are no candidates.
 4. Candidates are confirmed on the full sets of item and document.
 
+An item of fewer than five words is one shingle that only a document of exactly these words has; it is not searched inside
+longer texts.
+
 Nulls and edges: null or empty items and documents have no shingles and take part in nothing. Rows with a null id are not
 searched; they stay in ``decontaminate``. Rows that repeat an id count as one. No rows, no rows. Other columns are not read.
 """
