@@ -72,3 +72,13 @@ def test_held_out_roles(spark):
     got = queries.recovered_lines(spark, sf).drop("turn")
     both = got.join(truth, (F.col("conv") == F.col("c")) & (F.col("major") == F.col("turn"))).where(F.crc32(F.col("conv").cast("string")) % 4 == 2)
     assert both.agg(F.avg((F.col("role") == F.col("true")).cast("int"))).first()[0] > 0.85
+
+
+def test_rows_without_transcript_or_major_are_rendered_one_by_one(spark):
+    rows = [(None, 1, 0, "Q: a"), (None, 1, 0, "Q: a"), (None, None, 0, "b"), (1, None, 0, "Q: c"), (1, None, 1, "d"), (1, 0, 0, "Rules: e"), (None, 2, 0, None)]
+    got = chat.render(chat.recover_roles(lines(spark, rows), model(spark)))
+    assert got.columns == ["conv", "turn", "role", "n_lines", "rendered"]
+    one = lambda x: f"<|unknown|>\n{x}\n<|end|>"
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(
+        [(c, 0, None, 1, one(x)) for c, x in [(None, "a"), (None, "a"), (None, "b"), (None, ""), (1, "c"), (1, "d")]]
+        + [(1, 0, "system", 1, "<|system|>\ne\n<|end|>")], got.schema).collect()))

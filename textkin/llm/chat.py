@@ -258,10 +258,13 @@ def _border_states(rows, model, fan):
 
 
 def render(recovered: DataFrame) -> DataFrame:
-    """``(conv, turn, role, n_lines, rendered)``: one canonical turn per row."""
+    """``(conv, turn, role, n_lines, rendered)``: one canonical turn per row. Rows without transcript id or major are turns of their own."""
     marker = F.regexp_replace("line", MARKER, "")
     text = F.when(F.col("begins"), F.trim(marker)).otherwise(F.col("line"))
+    # Rows without transcript or major get a number of their own to be grouped by; a union would decode all lines twice.
+    own = F.when(F.col("conv").isNull() | F.col("major").isNull(), F.monotonically_increasing_id())
     # A turn's lines are joined in order; a turn is no larger than the row it becomes.
-    rows = recovered.groupBy("conv", "turn", "role").agg(F.array_sort(F.collect_list(F.struct("major", "minor", text.alias("text")))).alias("lines"))
+    rows = recovered.withColumn("own", own).groupBy("conv", "turn", "role", "own").agg(
+        F.array_sort(F.collect_list(F.struct("major", "minor", text.alias("text")))).alias("lines"))
     return rows.select("conv", "turn", "role", F.size("lines").cast("long").alias("n_lines"),
                        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.array_join("lines.text", "\n"), F.lit("\n<|end|>")).alias("rendered"))
