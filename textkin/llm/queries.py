@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textkin.llm import chat, decontaminate, language_id, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
+from textkin.llm import chat, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
 from textkin.llm.tables import table
 from textkin.session import shared_dir
 
@@ -239,11 +239,49 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
+def op13_filter_audit(spark, sf):
+    """Every count of the five filters in all their orders, per source."""
+    return filter_audit.audit(filter_audit.flag_documents(table(spark, sf, "documents"), table(spark, sf, "labels")))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, part, text, regexp_extract_all(text, '{WORD}') AS ws FROM t),
+first AS MATERIALIZED (SELECT text, min(doc_id) AS lowest FROM t GROUP BY text),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS MATERIALIZED (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM (
+    SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+           (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+           + 4 * (100 * (length(w.text) - length(regexp_replace(w.text, '[A-Z]', '', 'g'))) > 2 * length(w.text))::INT
+           + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > f.lowest, false)::INT AS mask
+    FROM w JOIN first f ON f.text = w.text LEFT JOIN l ON l.doc_id = w.doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT '' AS filter_order, 0 AS taken
+           UNION ALL SELECT filter_order || x, taken + bit FROM orders, letters WHERE taken & bit = 0),
+steps AS MATERIALIZED (
+  SELECT o.filter_order, s.step, l.bit, p.taken AS earlier
+  FROM orders o, (SELECT unnest(range(1, 6))::INT AS step) s, letters l, orders p
+  WHERE length(o.filter_order) = 5 AND l.x = substr(o.filter_order, s.step, 1) AND p.filter_order = substr(o.filter_order, 1, s.step - 1)),
+counts AS MATERIALIZED (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counts
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_near_dedup": op2_near_dedup, "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity,
     "op7_mix_to_targets": op7_mix_to_targets, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate,
-    "op10_line_dedup": op10_line_dedup}
+    "op10_line_dedup": op10_line_dedup,
+    "op13_filter_audit": op13_filter_audit}
 ORACLE = {
     "op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op7_mix_to_targets": OP7_SQL,
-    "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL,
+    "op13_filter_audit": OP13_SQL}
