@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textkin.llm import chat, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
+from textkin.llm import (chat, conversation_repair, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, substring_dedup,
+                         topk, toxicity, warc)
 from textkin.llm.tables import table
 from textkin.session import shared_dir
 
@@ -239,6 +240,78 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
+def damaged(turns):
+    """``conversations`` with faults: a twentieth each without row, text, sentence ends, as two rows, or with another role."""
+    def word(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn"))) % 20
+    rows = turns.select("conv_id", "turn", word("role").alias("role"), word("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf):
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    turns = table(spark, sf, "conversations")
+    return conversation_repair.summarise(conversation_repair.repair(damaged(turns)), turns)
+
+
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({0}) + 1),
+  lambda i: [ascii(substr({0}, i::INT, 1))::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT]))),
+  lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT)"""
+
+OP12_SQL = f"""
+WITH RECURSIVE ids AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+keyed AS (SELECT i.cid, c.turn, coalesce(c.role, ' ') AS role, coalesce(c.text, ' ') AS text,
+          coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(c.turn::VARCHAR, ' ') AS key
+          FROM conversations c JOIN ids i ON i.conv_id IS NOT DISTINCT FROM c.conv_id),
+kinds AS MATERIALIZED (SELECT *, {_CRC.format('key')} % 20 AS kind FROM keyed),
+after AS MATERIALIZED (
+  SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink
+  FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM after)),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN ink = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+         left(role, 1) AS initial FROM numbered),
+stats AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (NOT coalesce(before || initial IN ('su', 'ua', 'au'), true)) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY cid ORDER BY i) AS before FROM f) GROUP BY cid),
+-- States: 0 start, 1 after system, 2 after user, 3 after assistant.
+inserts AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:\n'),
+  (0, 3, 4, 'II', 'user:\nassistant:\n'), (1, 2, 2, 'I', 'user:\n'), (1, 3, 4, 'II', 'user:\nassistant:\n'), (2, 3, 2, 'I', 'assistant:\n'),
+  (3, 2, 2, 'I', 'user:\n')) t(a, b, price, edits, lines)),
+ops AS (SELECT * FROM (VALUES ('K', 's', 0, 1, 0, ''), ('K', 'u', 0, 2, 0, ''), ('K', 'u', 1, 2, 0, ''), ('K', 'a', 2, 3, 0, ''), ('K', 'u', 3, 2, 0, ''),
+  ('R', '', 0, 2, 2, 'user'), ('R', '', 1, 2, 2, 'user'), ('R', '', 2, 3, 2, 'assistant'), ('R', '', 3, 2, 2, 'user'),
+  ('D', '', 0, 0, 3, ''), ('D', '', 1, 1, 3, ''), ('D', '', 2, 2, 3, ''), ('D', '', 3, 3, 3, '')) t(op, initial, a, b, price, role)),
+dp AS (
+  SELECT cid, 0::BIGINT AS i, 0 AS s, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS x FROM ids
+  UNION ALL
+  SELECT p.cid, f.i, o.b AS s, min({{'cost': p.x.cost + n.price + o.price + (o.op <> 'D' AND f.fault = 't')::INT,
+    'audit': p.x.audit || n.edits || o.op,
+    'lines': p.x.lines || n.lines || CASE o.op WHEN 'K' THEN f.role || ':' || f.text || chr(10) WHEN 'R' THEN o.role || ':' || f.text || chr(10) ELSE '' END}}) AS x
+  FROM dp p JOIN f ON f.cid = p.cid AND f.i = p.i + 1 JOIN inserts n ON n.a = p.s
+  JOIN ops o ON o.a = n.b AND (o.op = 'D' OR f.fault NOT IN ('b', 'd') AND (o.op = 'R' OR o.initial = f.initial))
+  GROUP BY p.cid, f.i, o.b),
+last AS (SELECT cid, max(i) AS i FROM dp GROUP BY cid),
+ended AS (
+  SELECT p.cid, min({{'cost': p.x.cost + n.price, 'audit': p.x.audit || n.edits, 'lines': p.x.lines || n.lines}}) AS x
+  FROM dp p JOIN last l ON l.cid = p.cid AND l.i = p.i JOIN inserts n ON n.a = p.s WHERE n.b IN (0, 3) GROUP BY p.cid)
+SELECT ids.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal, e.x.cost AS cost, e.x.audit AS audit,
+       sha256(left(e.x.lines, greatest(length(e.x.lines) - 1, 0))) AS repaired_sha256
+FROM ids JOIN ended e USING (cid) LEFT JOIN stats s USING (cid)
+"""
+
+
 def op13_filter_audit(spark, sf):
     """Every count of the five filters in all their orders, per source."""
     return filter_audit.audit(filter_audit.flag_documents(table(spark, sf, "documents"), table(spark, sf, "labels")))
@@ -280,8 +353,8 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity,
     "op7_mix_to_targets": op7_mix_to_targets, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
-    "op13_filter_audit": op13_filter_audit}
+    "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
 ORACLE = {
     "op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op7_mix_to_targets": OP7_SQL,
     "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL,
-    "op13_filter_audit": OP13_SQL}
+    "op12_conversation_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}
