@@ -4,8 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textkin.llm import (chat, conversation_repair, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, substring_dedup,
-                         topk, toxicity, warc)
+from textkin.llm import (chat, conversation_repair, decontaminate, filter_audit, language_id, line_dedup, mixing, near_dedup, packing,
+                         substring_dedup, topk, toxicity, warc)
 from textkin.llm.tables import table
 from textkin.session import shared_dir
 
@@ -240,6 +240,18 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS n_lines,
 FROM split
 """
 
+#: Tokenizer file and end id of packed documents.
+PACK_TOKENIZER, PACK_END = "word_bpe_49k.json", 2
+
+
+def op11_packing(spark, sf):
+    """Pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    out = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(PACK_TOKENIZER), PACK_END)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def damaged(turns):
     """``conversations`` with faults: a twentieth each without row, text, sentence ends, as two rows, or with another role."""
     def word(c):
@@ -353,7 +365,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup, "op5_top_k": op5_top_k, "op6_toxicity": op6_toxicity,
     "op7_mix_to_targets": op7_mix_to_targets, "op8_warc": op8_warc, "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
-    "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
+    "op11_packing": op11_packing, "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
 ORACLE = {
     "op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op7_mix_to_targets": OP7_SQL,
     "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL,
