@@ -48,3 +48,14 @@ def test_copies_count_once_and_pages_of_boilerplate_are_spared(spark):
     assert run(spark, rows)[0] == ("", 3, 2)
     # Five rows, but four texts.
     assert run(spark, [(i, "a", f"same\n{min(i, 3)}") for i in range(5)], distinct=True)[0] == ("same\n0", 2, 0)
+
+
+def test_rows_of_one_page_count_once(spark):
+    from textkin.llm.line_dedup import boilerplate
+
+    rows = [("a", f"menu\nshared\nown {i}", 1 if i < 6 else None) for i in range(6)] + [("a", f"menu\npage {i}", None) for i in range(6)]
+    df = spark.createDataFrame(rows, "host string, text string, g long")
+    found = {r.host: len(r.line_keys) for r in boilerplate(df, host="host", page="g").collect()}
+    assert found == {"a": 1}  # seven pages hold the menu, one the shared line
+    assert {r.host: len(r.line_keys) for r in boilerplate(df, host="host", distinct=True).collect()} == {"a": 2}
+    assert boilerplate(df.where("g = 1"), host="host", page="g").collect() == []

@@ -5,8 +5,8 @@ never counted nor dropped. A line is dropped on a host if at least ``min_pages``
 divided by all pages of the host exceeds ``ratio``.
 
 Nulls and edges: rows without host or text come back as they were, with 0 lines dropped (null text: 0 lines). Repeated
-rows are pages of their own, unless ``distinct`` counts equal texts of a host once. A page of nothing but boilerplate keeps
-its row, with empty text, or as it was with ``spare``. Tables without rows give no rows. All other columns pass through,
+rows are pages of their own, unless ``distinct`` counts equal texts of a host once, or ``page`` names a column whose equal values
+stand for one page (null: the text). A page of nothing but boilerplate keeps its row, with empty text, or as it was with ``spare``. Tables without rows give no rows. All other columns pass through,
 whatever their names.
 """
 
@@ -24,18 +24,21 @@ def _keys(text):
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def boilerplate(docs: DataFrame, host="source", text="text", ratio=RATIO, min_pages=MIN_PAGES, distinct=False) -> DataFrame:
-    """``(host, line_keys)`` of the hosts that have boilerplate; ``distinct`` counts equal texts of a host as one page.
+def boilerplate(docs: DataFrame, host="source", text="text", ratio=RATIO, min_pages=MIN_PAGES, distinct=False, page=None) -> DataFrame:
+    """``(host, line_keys)`` of the hosts that have boilerplate; ``distinct`` counts equal texts of a host as one page, ``page``
+    the rows of a host that agree in that column. A line of a page counts where any of its rows holds it.
 
     A host's list is bounded: its lines fill at most the lines of an average page divided by ``ratio``. Lines are
     counted before the shuffle, so a host with a third of all pages sends each line once per task.
     """
-    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where("host is not null and text is not null")
+    own_text = F.xxhash64(text)
+    same = F.when(F.col(page).isNotNull(), F.xxhash64(F.lit("page"), F.col(page))).otherwise(own_text) if page else own_text
+    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"), same.alias("page"))
+    pages = pages.where("host is not null and text is not null")
     own = F.explode(F.array_compact(F.array_distinct(_keys(F.col("text"))))).alias("line")
-    if distinct:
+    if distinct or page:
         # Lines stand for their page by its hash, so no text is shuffled.
-        page = F.xxhash64("text").alias("page")
-        lines, pages = pages.select("host", page, own).distinct(), pages.select("host", page).distinct()
+        lines, pages = pages.select("host", "page", own).distinct(), pages.select("host", "page").distinct()
     else:
         lines = pages.select("host", own)
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -45,15 +48,17 @@ def boilerplate(docs: DataFrame, host="source", text="text", ratio=RATIO, min_pa
 
 
 def drop_boilerplate(docs: DataFrame, host="source", text="text", ratio=RATIO, min_pages=MIN_PAGES,
-                     n_lines="n_lines", n_dropped="n_dropped", distinct=False, spare=False) -> DataFrame:
+                     n_lines="n_lines", n_dropped="n_dropped", distinct=False, spare=False, bad_lines=None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and the lines counted before and dropped.
 
     The names of the two counts get underscores if ``docs`` has such columns. ``distinct``: copies of a text count as one
-    page of their host. ``spare``: a page that would lose all its non-blank lines is left as it was.
+    page of their host. ``spare``: a page that would lose all its non-blank lines is left as it was. ``bad_lines``: the table
+    that ``boilerplate`` gave, where it was made with other arguments.
     """
     n_lines, n_dropped = fresh(docs, n_lines), fresh(docs, n_dropped)
     key, bad, kept = (fresh(docs, n) for n in ("host_key", "line_keys", "kept_lines"))
-    lookup = boilerplate(docs, host, text, ratio, min_pages, distinct).toDF(key, bad)
+    lookup = boilerplate(docs, host, text, ratio, min_pages, distinct) if bad_lines is None else bad_lines
+    lookup = lookup.toDF(key, bad)
     lines = F.split(F.col(text), "\n", -1)
     keep = F.filter(lines, lambda x: ~F.coalesce(
         F.array_contains(F.col(bad), F.when(F.trim(x) != "", F.xxhash64(F.trim(x)))), F.lit(False)))
