@@ -58,3 +58,31 @@ def test_the_draw_has_effect_beside_a_column_named_sampled(spark, sf):
         got = mix(spark, docs.selectExpr("*", f"{own!r} AS Sampled"), sf)
         assert "Sampled" in got.columns and "sampled_" not in got.columns
         assert sorted(r.doc_id for r in got.collect()) == want and {r.Sampled for r in got.collect()} == {own}
+
+
+def test_near_copies_keep_the_lines_they_share(spark, sf):
+    stages = dict(corpus_pipeline.STAGES)
+    shared = [" ".join(f"s{j}x{k}" for k in range(9)) for j in range(14)]
+    rows = [(i, "\n".join([*shared, f"own line {i} of this copy"]), "h") for i in range(20)]
+    rows += [(100 + i, "\n".join(["menu of the site", *[" ".join(f"w{i}x{j}x{k}" for k in range(9)) for j in range(6)]]), "h") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in stages["near dedup"](spark, stages["line dedup"](spark, docs, sf), sf).collect()}
+    assert out[0] == rows[0][1] and not set(out) & set(range(1, 20))
+    assert all(out[100 + i] == rows[20 + i][1].split("\n", 1)[1] for i in range(100))
+
+
+def test_odd_rows_pass_every_stage(spark, sf):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, None, None, None), (None, text, "en", "h"), (1, "", "en", "h"), (1, "", "en", "h"), (2, None, None, "h"), (3, text, "de", None),
+            (3, text, "de", None), (4, " \n ", "en", "h"), (5, "long " * 60_000, "en", "h"), (6, text + " more", None, "h")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    odd = plain.selectExpr("*", *[f"'x' AS {c}" for c in ("predicted", "score", "near_copies", "line_keys", "component_id", "kept", "tokens", "topic", "n_lines")])
+    for name, stage in corpus_pipeline.STAGES:
+        got, other = stage(spark, plain, sf).collect(), stage(spark, odd, sf).collect()
+        ids = sorted(str(r.doc_id) for r in got)
+        assert ids == sorted(str(r.doc_id) for r in other)
+        assert stage(spark, plain.where("false"), sf).collect() == []
+        if name in ("toxicity", "line dedup", "decontamination"):
+            assert len(got) == len(rows)
+        if name == "near dedup":
+            assert ids.count("None") == 2 and ids.count("1") == 2 and ids.count("3") == 2 and ids.count("6") == 0
