@@ -1,20 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, confirmed on full shingle sets.
 
-An item is contained in a document if at least ``percent`` % of its distinct 5-word shingles (ASCII lower case; a shorter
-text is one shingle) are among the document's.
-
-1. Items are partitioned by size. Items of at most ``SLOTS`` shingles keep all; in larger ones the minimum and the
-   maximum under ``SLOTS / 2`` permutations pick the shingles of the signature. Whether a document holds such a shingle is
-   a draw whose mean is the containment itself, however long the document is.
-2. Each partition has its own number of signature shingles that must be found: the share asked for where all are kept,
-   else that share less 6.5 standard deviations (a miss has a probability under 1e-9).
+An item is contained in a document if at least ``percent`` % of its distinct 5-word shingles (ASCII lower case) are among the
+document's. An item of one to four words is contained where these words stand in a row.
+
+1. Items are partitioned by size, at powers of two. A partition has one signature length, three quarters of its smallest size, up to
+   ``SLOTS``: the shingles with the smallest and with the largest hash values (MinHash by bottom and top k of one
+   permutation, so that they differ). Items of fewer than ``SMALLEST`` shingles, too few to choose from, keep all.
+2. Each item has its own threshold of signature shingles that a document must hold. A document that contains it lacks at most
+   ``n - ceil(n * percent / 100)`` of its n shingles; where the signature is longer than that, the rest of it must be
+   there and nothing is missed. Longer items (from 128 shingles at 75 %) ask for the share less 6.5 standard deviations of
+   a draw, which misses less than 1e-9, but for one shingle at least.
 3. Documents pass a bit filter of all signature shingles, whose size is bounded; the few hits are joined with the
    signatures. Documents with too few words for an item are no candidates.
 4. Candidates are confirmed on the full sets of item and document.
 
-An item of fewer than five words is one shingle that only a document of exactly these words has; it is not searched inside
-longer texts.
-
 Nulls and edges: null or empty items and documents have no shingles and take part in nothing. Rows with a null id are not
 searched; they stay in ``decontaminate``. Rows that repeat an id count as one. No rows, no rows. Other columns are not read.
 """
@@ -24,51 +23,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkin.llm.near_dedup import _ADD, _MUL
 from textkin.llm.tables import join_lookup
 from textkin.llm.words import U64, blocks, mix, shingle_sets, windows, words_of
 from textkin.session import cut
 
 SHINGLE = 5
 PERCENT = 75
-SLOTS = 64
+#: Most shingles of a signature, and the size from which items have one.
+SLOTS, SMALLEST = 64, 8
 #: Bits of the filter per signature shingle, and its bounds in bytes.
 FILTER_BITS = 32
 FILTER_BYTES = (1 << 13, 1 << 26)
 FILTER_TASKS = 4
 HASHES = 4
+PERMUTATION = 0x3C79AC492BA7B653
 
-ITEMS = "item long, item_id long, n_item long, need int, picked array<long>, shingles binary"
+ITEMS = "item long, item_id long, n_item long, short int, need int, picked array<long>, shingles binary"
 HITS = "doc_id long, n_words long, shingle long"
 FOUND = "doc_id long, item_id long, shared long, n_item long"
 
 
+def slots(n: int) -> int:
+    """Signature length of the size partition of an item of ``n`` shingles."""
+    low = 1 << (n.bit_length() - 1)
+    return n if n < SMALLEST else min(SLOTS, 3 * low // 4)
+
+
 def needed(n: int, percent=PERCENT) -> int:
     """Signature shingles that a document must hold to be a candidate for an item of ``n`` shingles."""
-    if n <= SLOTS:
-        return max(1, -(-percent * n // 100))
-    p = percent / 100
-    return max(1, int(np.floor(SLOTS * p - 6.5 * np.sqrt(SLOTS * p * (1 - p)))))
+    k, lacking, p = slots(n), n + (-percent * n // 100), percent / 100
+    return max(1, k - lacking, int(np.floor(k * p - 6.5 * np.sqrt(k * p * (1 - p)))) if n >= SMALLEST else 1)
 
 
 def picked(shingles: np.ndarray) -> np.ndarray:
-    """Shingles of the signature: all, or those with the smallest and the largest value under each permutation."""
-    if len(shingles) <= SLOTS:
-        return shingles
-    x = (shingles >> U64(32)).astype(np.uint32)
-    v = x[None] * _MUL[:SLOTS // 2, None] + _ADD[:SLOTS // 2, None]
-    return shingles[np.concatenate([v.argmin(axis=1), v.argmax(axis=1)])]
+    """The signature: shingles with the smallest and the largest values under a permutation."""
+    k = slots(len(shingles))
+    order = np.argsort(mix(shingles ^ U64(PERMUTATION)), kind="stable")
+    return shingles[np.concatenate([order[:k - k // 2], order[len(order) - k // 2:]])]
 
 
 def _items(percent):
     def run(batches):
         for batch in blocks(batches, "text"):
-            for item, item_id, s in zip(batch["item"].to_pylist(), batch["item_id"].to_pylist(), shingle_sets(words_of(batch["text"]), SHINGLE)):
+            words = words_of(batch["text"])
+            for item, item_id, n, s in zip(batch["item"].to_pylist(), batch["item_id"].to_pylist(), words.counts().tolist(), shingle_sets(words, SHINGLE)):
                 if len(s):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([item], pa.int64()), pa.array([item_id], pa.int64()), pa.array([len(s)], pa.int64()),
-                        pa.array([needed(len(s), percent)], pa.int32()), pa.array([picked(s).view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([s.tobytes()], pa.binary())], ["item", "item_id", "n_item", "need", "picked", "shingles"])
+                        pa.array([n if n < SHINGLE else 0], pa.int32()), pa.array([needed(len(s), percent)], pa.int32()), pa.array([picked(s).view(np.int64)], pa.list_(pa.int64())),
+                        pa.array([s.tobytes()], pa.binary())], ["item", "item_id", "n_item", "short", "need", "picked", "shingles"])
     return run
 
 
@@ -96,22 +99,22 @@ def _filter(picked_rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _search(held):
+def _runs(words, hashes, k):
+    """Hashes of all runs of ``k`` words that lie in one text, as ``shingle_sets`` gives them, and their texts."""
+    w = windows(hashes, k)
+    own = np.flatnonzero(words.left()[:len(w)] >= k)
+    return w[own] ^ U64(k if k < SHINGLE else 0), np.repeat(np.arange(len(words.first) - 1), words.counts())[own]
+
+
+def _search(held, lengths):
+    """Signature shingles in documents; ``lengths``: numbers of words of the short items."""
     def run(batches):
         bits = held.value
         size = 8 * len(bits)
         for batch in blocks(batches, "text"):
             words = words_of(batch["text"])
-            h = words.hashes(lower=True)
-            w = windows(h, SHINGLE)
-            own = np.arange(len(w))
-            inside = words.left()[:len(w)] >= SHINGLE
-            own, doc_of = own[inside], np.repeat(np.arange(batch.num_rows), words.counts())
-            counts = words.counts()
-            short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-            values = [w[own], *[windows(h[words.first[i]:words.first[i + 1]], int(counts[i])) ^ U64(counts[i]) for i in short]]
-            docs = np.concatenate([doc_of[own], short])
-            values = np.concatenate(values)
+            h, counts = words.hashes(lower=True), words.counts()
+            values, docs = map(np.concatenate, zip(*[_runs(words, h, k) for k in [SHINGLE, *lengths]]))
             for k in range(HASHES):
                 hit = _bit(values, k, size)
                 keep = (bits[hit >> U64(3)] >> (U64(7) - (hit & U64(7))).astype(np.uint8) & 1).astype(bool)
@@ -127,7 +130,12 @@ def _search(held):
 def _confirm(percent):
     def run(batches):
         for batch in blocks(batches, "text"):
-            sets = shingle_sets(words_of(batch["text"]), SHINGLE)
+            words = words_of(batch["text"])
+            h, sets = words.hashes(lower=True), shingle_sets(words, SHINGLE)
+            for i, k in enumerate(batch["short"].to_pylist()):
+                if k:
+                    own = h[words.first[i]:words.first[i + 1]]
+                    sets[i] = np.unique(windows(own, k) ^ U64(k))
             shared = np.array([len(np.intersect1d(s, np.frombuffer(x.as_buffer(), U64), assume_unique=True))
                                for s, x in zip(sets, batch["shingles"])], np.int64)
             keep = pa.array(100 * shared >= percent * batch["n_item"].to_numpy())
@@ -142,17 +150,16 @@ def contained_items(docs: DataFrame, bench: DataFrame, id="doc_id", text="text",
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     items = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     items = cut(items.distinct().withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(_items(percent), ITEMS), "items")
-    signature = items.select("item", "n_item", "need", F.explode(F.array_distinct("picked")).alias("shingle"))
-    times = items.select("item", F.explode("picked").alias("shingle")).groupBy("item", "shingle").agg(F.count("*").alias("slots"))
+    signature = items.select("item", "n_item", "need", F.explode("picked").alias("shingle"))
     n = signature.count()
+    lengths = sorted(r["short"] for r in items.where("short > 0").select("short").distinct().collect())  # at most four
     held = docs.sparkSession.sparkContext.broadcast(_filter(signature, n))
-    hits = texts.mapInArrow(_search(held), HITS)
-    signature = signature.join(times, ["item", "shingle"])
+    hits = texts.mapInArrow(_search(held, lengths), HITS)
     met = join_lookup(hits, signature, "shingle", "inner", "item_signatures").where(F.col("n_words") >= F.col("n_item") * percent / 100)
-    met = met.dropDuplicates(["doc_id", "item", "shingle"]).groupBy("doc_id", "item").agg(F.sum("slots").alias("slots"), F.first("need").alias("need"))
-    candidates = met.where("slots >= need").select("doc_id", "item")
-    wanted = join_lookup(candidates, items.select("item", "item_id", "n_item", "shingles"), "item", "inner", "item_sets")
-    found = join_lookup(texts, wanted, "doc_id", "inner", "candidates").select("doc_id", "text", "item_id", "n_item", "shingles")
+    met = met.dropDuplicates(["doc_id", "item", "shingle"]).groupBy("doc_id", "item").agg(F.count("*").alias("held"), F.first("need").alias("need"))
+    candidates = met.where("held >= need").select("doc_id", "item")
+    wanted = join_lookup(candidates, items.select("item", "item_id", "n_item", "short", "shingles"), "item", "inner", "item_sets")
+    found = join_lookup(texts, wanted, "doc_id", "inner", "candidates").select("doc_id", "text", "item_id", "n_item", "short", "shingles")
     best = found.mapInArrow(_confirm(percent), FOUND).groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("shared") / F.col("n_item")).alias("part"), "shared", "n_item")).alias("best"))
     return best.select("doc_id", "item_id", "best.shared", "best.n_item")

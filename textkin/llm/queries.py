@@ -201,19 +201,26 @@ def op9_decontaminate(spark, sf):
     return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-def _shingles_sql(source, id):
-    return f"""SELECT {id}, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle
-    FROM (SELECT {id}, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS ws
-          FROM {source})"""
+def _words_sql(source, id):
+    return f"""SELECT {id}, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS ws
+    FROM {source}"""
+
+
+def _runs_sql(source, id):
+    """Distinct runs of each length of interest; a run's length is that of a short item, or five."""
+    return f"""SELECT DISTINCT {id}, k, array_to_string(ws[i:i + k - 1], ' ') AS run
+    FROM (SELECT {id}, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM {source}, lengths WHERE len(ws) >= k)"""
 
 
 OP9_SQL = f"""
-WITH i AS MATERIALIZED ({_shingles_sql("benchmark", "item_id")}),
-d AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}),
+WITH iw AS MATERIALIZED ({_words_sql("benchmark", "item_id")}),
+dw AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
+lengths AS (SELECT DISTINCT least(len(ws), 5) AS k FROM iw WHERE len(ws) > 0),
+i AS MATERIALIZED (SELECT r.* FROM ({_runs_sql("iw", "item_id")}) r JOIN iw USING (item_id) WHERE r.k = least(len(ws), 5)),
+d AS MATERIALIZED ({_runs_sql("dw", "doc_id")}),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
 SELECT d.doc_id, i.item_id, count(*) AS shared, n.n_item
-FROM d JOIN i ON i.shingle = d.shingle JOIN n ON n.item_id = i.item_id
+FROM d JOIN i ON i.run = d.run AND i.k = d.k JOIN n ON n.item_id = i.item_id
 GROUP BY d.doc_id, i.item_id, n.n_item HAVING 100 * count(*) >= {decontaminate.PERCENT} * n.n_item
 """
 
