@@ -82,3 +82,19 @@ def test_rows_without_transcript_or_major_are_rendered_one_by_one(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(
         [(c, 0, None, 1, one(x)) for c, x in [(None, "a"), (None, "a"), (None, "b"), (None, ""), (1, "c"), (1, "d")]]
         + [(1, 0, "system", 1, "<|system|>\ne\n<|end|>")], got.schema).collect()))
+
+
+def test_more_roles_than_are_told_apart(spark):
+    rows = [(c, 0, f"role{c:03}", [f"r{c}: hello"]) for c in range(205)] + [(c, 1, "user", ["Q: a"]) for c in range(205)]
+    m = chat.fit(spark.createDataFrame(rows, "conv long, turn long, role string, lines array<string>"))
+    assert len(m.roles) == 201 and "user" in m.roles and chat.RARE in m.roles and m.move.shape == (402, 402)
+
+
+def test_turns_that_many_rows_repeat(spark):
+    once = [(1, 0, "user", ["Q: a"]), (1, 1, "assistant", ["A: b", "c"]), (1, 2, "user", ["Q: d"])]
+    rows = spark.createDataFrame([r for r in once for _ in range(1000)], "conv long, turn long, role string, lines array<string>")
+    m = chat.fit(rows.withColumn("last", F.lit("x")).withColumn("blank", F.lit(1)).withColumn("x", F.lit(2)))
+    want = chat.fit(spark.createDataFrame(once, rows.schema))
+    # Counts are a thousandfold: (1000 + smoothing) of (1000 + 4 * smoothing) moves from the end of an assistant's turn to the user.
+    assert m.roles == want.roles and np.isclose(np.exp(m.move[1, 2]), 1000.5 / 1002) and np.isclose(np.exp(want.move[1, 2]), 1.5 / 3)
+    assert chat.decode(m, m.steps(["Q: x", "A: y"])) == chat.decode(want, want.steps(["Q: x", "A: y"]))

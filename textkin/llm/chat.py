@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from textkin.session import cut
 
 SEGMENT, FAN = 64, 256
-MAX_MARKERS = 200
+#: Markers and roles that are told apart; the rarer ones are one value, ``*``.
+MAX_MARKERS, MAX_ROLES = 200, 200
 SMOOTHING = 0.5
 MARKER = r"^\s*(?:<\|\s*(\p{L}+)\s*\|>|#{2,}\s*(\p{L}+)\s*:?|\[(\p{L}+)\]|(\p{L}+)\s*:)"
 LENGTHS = (1, 20, 80, 160, 320, 640, 1280)
@@ -75,11 +76,16 @@ def _logs(counts, axis):
 def fit(turns: DataFrame, conv="conv", turn="turn", role="role", lines="lines") -> Model:
     """A model from turns ``(conv, turn, role, lines)`` whose ``lines`` are as transcripts have them.
 
-    Only counts reach the driver: of states and moves, and of feature values per state, the rarest markers being one value.
+    Only counts reach the driver: of states and moves, and of feature values per state, the rarest markers being one value, as
+    are the rarest roles. Of rows that repeat a turn each one counts, but only one, the last in order, stands before the next turn.
     """
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(lines).alias("lines"))
     rows = rows.where("conv is not null and turn is not null and role is not null and size(lines) > 0")
-    roles = sorted(r["role"] for r in rows.select("role").distinct().limit(MAX_MARKERS).collect())
+    ranked = rows.groupBy("role").count().orderBy(F.desc("count"), "role").limit(MAX_ROLES + 1).collect()
+    roles = sorted(r["role"] for r in ranked[:MAX_ROLES])
+    if len(ranked) > MAX_ROLES:
+        rows = rows.withColumn("role", F.when(F.col("role").isin(*roles), F.col("role")).otherwise(RARE))
+        roles = sorted({*roles, RARE})
     place, n = {r: i for i, r in enumerate(roles)}, 2 * len(roles)
     start, move = np.zeros(n), np.zeros((n, n))
     # Moves within turns depend on the number of lines; moves between turns need the turn before, by an equi-join.
@@ -87,7 +93,10 @@ def fit(turns: DataFrame, conv="conv", turn="turn", role="role", lines="lines")
         b = 2 * place[r["role"]]
         move[b, b + 1] += r["one"]
         move[b + 1, b + 1] += r["on"]
-    ends = rows.select("conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last"), (F.size("lines") > 1).alias("long"))
+    # One row per turn, so that a turn that many rows repeat is joined once.
+    closing = rows.groupBy("conv", (F.col("turn") + 1).alias("turn")).agg(
+        F.max(F.struct(F.col("role").alias("last"), (F.size("lines") > 1).alias("long"), (F.trim(F.element_at("lines", -1)) == "").alias("blank"))).alias("x"))
+    ends = closing.select("conv", "turn", "x.last", "x.long")
     pairs = rows.select("conv", "turn", "role").join(ends, ["conv", "turn"], "left").groupBy("role", "last", "long").count()
     for r in pairs.collect():
         to = 2 * place[r["role"]]
@@ -110,7 +119,7 @@ def fit(turns: DataFrame, conv="conv", turn="turn", role="role", lines="lines")
                 yield pa.RecordBatch.from_pydict({"state": pa.array(s, pa.int32()), "feature": pa.array(k, pa.int32()), "value": pa.array(v), "n": pa.array(list(seen.values()), pa.int64())})
 
     # The line before a turn is the last one of the turn before; it is blank if that turn ends so.
-    last = rows.select("conv", (F.col("turn") + 1).alias("turn"), (F.trim(F.element_at("lines", -1)) == "").alias("blank"))
+    last = closing.select("conv", "turn", "x.blank")
     told = rows.join(last, ["conv", "turn"], "left").select("role", "lines", F.coalesce("blank", F.lit(False)).alias("blank"))
     counted = told.mapInArrow(observe, "state int, feature int, value string, n long").groupBy("state", "feature", "value").agg(F.sum("n").alias("n"))
     counted = cut(counted, "observations")
