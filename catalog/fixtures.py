@@ -7,7 +7,7 @@ with the DataFrame API, the SQL side as common table expressions.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkin.operators.bands import bands_sql, width_for
+from textkin.operators.bands import bands_sql
 from textkin.operators import tokens as tk
 from textkin.schemas import LABELS
 
@@ -247,7 +247,7 @@ def title_views(dims=50, max_dist=None):
 
     With ``max_dist``: the distances up to there of titles that share a bucket of the banded search.
     """
-    buckets = bands_sql(dims, *width_for(max_dist)) if max_dist else "[0]"
+    buckets = bands_sql(dims, max_dist) if max_dist else "[0]"
     return {
         "tw": r"""SELECT title, '<' || w || '>' AS w FROM (SELECT title, unnest(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+')) AS w
           FROM (SELECT DISTINCT title FROM fx_meta)) WHERE w <> ''""",

@@ -9,7 +9,7 @@ from catalog.sets import ring
 from catalog.windows import chunk_ctes
 from textkin.operators import candidates, evaluate, knn, vectorize
 from textkin.operators import tokens as tk
-from textkin.operators.bands import bands_sql, width_for
+from textkin.operators.bands import bands_sql
 from textkin.session import cut
 
 N = 12
@@ -60,7 +60,7 @@ def j18_exact_knn_cells(spark, sf):
 
 
 def j19_approximate_knn(spark, sf):
-    """Search by bands of sign bits, over document chunk vectors."""
+    """Search by bands of random hyperplanes, over document chunk vectors."""
     d = doc_chunks(spark, sf)
     return knn.chunk_neighbours(d, d, 10, max_dist=DOC_DIST, banded=True).select(
         "target", "target_seq", "match", "match_seq", "rank", r6("dist"))
@@ -91,7 +91,7 @@ def a2_volume_extents(spark, sf):
 
 
 def i1_ann_candidates(spark, sf):
-    return candidates.ann_candidates(chunks(spark, sf), n=N, min_count=2, max_dist=1.25, min_prop_match=0.03, exact=True).select(
+    return candidates.ann_candidates(chunks(spark, sf), min_count=2, max_dist=1.25, min_prop_match=0.03).select(
         "target", "match", "count", "length", r6("mean"), r6("prop_target"), r6("prop_match"))
 
 
@@ -168,14 +168,14 @@ QUERIES = {f.__name__: f for f in (
     a2_volume_extents, i1_ann_candidates, i2_meta_candidates, c20_near_titles, l3_top_k, l4_neighbour_votes,
     e1_neighbour_rank, e2_volume_rank, v8_recall_counts, v8_false_positives, v9_condition_sweep, v10_recall_by_band)}
 
-# Neighbours of document chunks: all, and those that share a bucket of sign bits.
+# Neighbours of document chunks: all, and those that share a bucket.
 _DOC = {
     **chunk_ctes(300),
     "counts": """SELECT t.htid, seq, token, CAST(sum(count) AS BIGINT) AS n FROM fx_token t JOIN chunk_pages p ON p.htid = t.htid AND p.page = t.page GROUP BY ALL""",
     "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * {fx.sign_sql()}) AS FLOAT)::DOUBLE AS x
       FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, 64)) AS pos FROM counts) GROUP BY htid, seq, pos""",
     "vecs": "SELECT htid, seq, list(x ORDER BY pos) AS vec, sqrt(sum(x * x)) AS n FROM comps GROUP BY htid, seq",
-    "cells": f"SELECT htid, seq, unnest({bands_sql(64, *width_for(DOC_DIST))}) AS cell FROM vecs",
+    "cells": f"SELECT htid, seq, unnest({bands_sql(64, DOC_DIST)}) AS cell FROM vecs",
     "near": f"""SELECT * FROM (SELECT a.htid AS target, a.seq AS target_seq, b.htid AS match, b.seq AS match_seq,
         round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM vecs a, vecs b
       WHERE a.htid <> b.htid OR a.seq <> b.seq) WHERE dist <= {DOC_DIST}""",
@@ -215,7 +215,7 @@ ORACLE = {
         QUALIFY row_number() OVER (PARTITION BY target, match, match_seq ORDER BY dist, target_seq) = 1""", "fx_chunk", nn=knn_sql(N)),
     "a1_doc_match_stats": sql(f"SELECT {_DS_COLS} FROM ds WHERE count >= least(2, tl)", "fx_chunk", **_STATS),
     "a2_volume_extents": sql(EXT, "fx_chunk"),
-    "i1_ann_candidates": sql(f"SELECT {_DS_COLS} FROM ds WHERE count >= least(2, tl) AND prop_match >= 0.03 AND target <> match", "fx_chunk", **_STATS),
+    "i1_ann_candidates": sql(f"SELECT {_DS_COLS} FROM ds WHERE count >= least(2, tl) AND prop_match >= 0.03 AND target <> match", "fx_chunk", **{**_STATS, "nn": knn_sql(300)}),
     "l3_top_k": sql("SELECT target, target_seq, match, match_seq FROM nn", "fx_chunk", nn=knn_sql(5, _NOT_SELF)),
     "l4_neighbour_votes": sql("""SELECT target, match, hits FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hits DESC, match) AS r
           FROM (SELECT target, match, count(*) AS hits FROM nn GROUP BY target, match))

@@ -10,7 +10,7 @@ from catalog.windows import chunk_ctes
 from textkin.functions import labels
 from textkin.operators import candidates, compare, evaluate, export, score, vectorize
 from textkin.operators import tokens as tk
-from textkin.operators.bands import bands_sql, width_for
+from textkin.operators.bands import bands_sql
 from textkin.plans import relate
 from textkin.plans.features import feature_table, pair_statistics
 from textkin.schemas import JUDGMENTS, LABELS
@@ -75,8 +75,8 @@ def i5_relate_volumes(spark, sf):
     m = shops(spark, sf)
     for col in ("description", "rights_date_used", "oclc_num", "isbn"):
         m = m.withColumn(col, F.lit(None).cast("long" if col == "rights_date_used" else "string"))
-    out = relate.relate(c, m, c.select("htid").distinct(), lambda f: score.predict_with(_linear_model, f, 100, 128),
-                        matrix_size=10, n=12, min_count=2, max_dist=1.25, exact=True)
+    out = relate.relate(c, m, c.select("htid").distinct(), lambda f: score.predict_with(_linear_model, f, 150 * 150, 128),
+                        min_count=2, max_dist=1.25)
     return out.select("target", "candidate", "guess", F.round("relatedness", 4).alias("relatedness"))
 
 
@@ -218,7 +218,7 @@ FLAGSHIP = {
     "comps": f"""SELECT htid, seq, pos, CAST(sum(ln(1 + n) * {fx.sign_sql()}) AS FLOAT) AS x
       FROM (SELECT htid, seq, n, sha1(token || '#0') AS h, unnest(range(0, {_FLAG_DIMS})) AS pos FROM counts) GROUP BY htid, seq, pos""",
     "vecs": """SELECT htid, seq, list(x::DOUBLE ORDER BY pos) AS vec, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM comps GROUP BY htid, seq""",
-    "cells": f"SELECT htid, seq, unnest({bands_sql(_FLAG_DIMS, *width_for(_FLAG_DIST))}) AS cell FROM vecs",
+    "cells": f"SELECT htid, seq, unnest({bands_sql(_FLAG_DIMS, _FLAG_DIST)}) AS cell FROM vecs",
     "nn": f"""SELECT * FROM (SELECT target, target_seq, match, match_seq,
         round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.vec, b.vec) / (a.n * b.n))), 7) AS dist FROM (
           SELECT DISTINCT x.htid AS target, x.seq AS target_seq, y.htid AS match, y.seq AS match_seq FROM cells x JOIN cells y ON x.cell = y.cell)

@@ -111,19 +111,70 @@ def test_banded_search_finds_what_shares_a_bucket(spark, monkeypatch, block):
     assert {r[:4] for r in part} == {r[:4] for r in found if r[0] < "v004"}
 
 
+def met_pairs(members, max_dist, dims):
+    """Comparisons of the banded search, as a share of all pairs."""
+    cells = bands.buckets(members, max_dist, dims).select(F.explode("cells").alias("key"))
+    cells = cells.groupBy(F.shiftright("key", 1)).agg(F.sum(F.col("key") % 2).alias("own"), F.sum(1 - F.col("key") % 2).alias("guest"))
+    n = members.count()
+    return cells.agg(F.sum(F.col("own") * (F.col("own") - 1) / 2 + F.col("own") * F.col("guest"))).first()[0] / (n * (n - 1) / 2)
+
+
+def members(df):
+    return df.select(F.concat("htid", "seq").alias("vid"), F.lit(True).alias("t"), F.lit(True).alias("c"), "vec")
+
+
 def test_banded_search_compares_few_pairs(spark):
     """Pairs that share a bucket, of all pairs of the flagship's chunks."""
     from catalog.neighbours import doc_chunks
 
     d = doc_chunks(spark, "/root/testdata/sf0.01", 500, 160)
-    width, n = bands.width_for(0.25)
-    cells = d.select("htid", "seq", F.explode(bands.band_keys(F.col("vec"), 160, width, n)).alias("cell"))
-    sizes = cells.groupBy("cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
-    assert sizes < 0.05 * d.count() ** 2
-
-
-def test_band_widths():
-    assert bands.width_for(0.25) == (15, 20) and bands.width_for(1.2)[0] == 4 and bands.width_for(1.2)[1] > 20
-    for width, n in ((15, 20), (4, 70)):
-        at = bands.band_components(50, width, n)
-        assert len(at) == n and all(len(b) == width for b in at) and {c for b in at for c in b} == set(range(50))
+    assert met_pairs(members(d), 0.25, 160) < 0.05
+
+
+@pytest.mark.parametrize("spread", [0.3, 0.6])
+def test_vectors_that_share_a_large_part(spark, spread):
+    """As averaged word vectors: a common direction, and components of unequal size. Near pairs are spread over all lengths."""
+    rng = np.random.default_rng(6)
+    scale = np.linspace(0.5, 1.5, 64) / 8
+    common = rng.normal(size=64)
+    common /= np.linalg.norm(common)
+    base = common + rng.normal(size=(500, 64)) * scale * spread
+    near = base[:400] + rng.normal(size=(400, 64)) / 8 * rng.uniform(0.02, 0.25, size=(400, 1))
+    rows, df = table(spark, np.vstack([base, near]))
+    found = {r[:4] for r in got(knn.chunk_neighbours(df, df, 900, max_dist=0.25, banded=True))}
+    want = {r[:4] for r in brute(rows, 900, 0.25)}
+    assert found <= want and len(found) >= 0.95 * len(want) > 500
+    assert bands.mean_direction(members(df), 64) @ common > bands.OFFSET
+    share = met_pairs(members(df), 0.25, 64)
+    assert share < (0.1 if spread == 0.6 else 1.0)
+
+
+def test_vectors_at_every_length_from_the_mean(spark, monkeypatch):
+    """Layers: owners meet guests from the layers above, and the rest near the mean is compared in full."""
+    rng = np.random.default_rng(9)
+    common = np.r_[np.ones(32) / 4, np.zeros(32)]
+    way = rng.normal(size=(300, 64))
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    base = common + way * rng.uniform(0.05, 1.5, size=(300, 1))
+    rows, df = table(spark, np.vstack([base, base + rng.normal(size=base.shape) * 0.01]))
+    found = {r[:4] for r in got(knn.chunk_neighbours(df, df, 600, max_dist=0.2, banded=True))}
+    want = {r[:4] for r in brute(rows, 600, 0.2)}
+    assert found <= want and len(found) >= 0.98 * len(want)
+
+
+def test_distances_without_useful_bands_compare_all(spark):
+    rng = np.random.default_rng(5)
+    rows, df = table(spark, rng.normal(size=(150, 16)))
+    assert bands.layers(1.25, False) == [(0.0, 0, 1)]
+    assert got(knn.chunk_neighbours(df, df, 20, max_dist=1.25, banded=True)) == brute(rows, 20, 1.25)
+
+
+def test_band_choices():
+    for angle in (0.05, 0.25, 0.5, 0.8):
+        width, n = bands.bands_for(angle)
+        agree = (1 - angle / np.pi) ** width
+        assert (1 - agree) ** n <= bands.MISSED and n <= bands.MAX_BANDS and n / 2 ** width <= bands.MET
+    assert bands.bands_for(1.4) is None
+    low = [r[0] for r in bands.layers(0.25, True)]
+    assert low == sorted(low, reverse=True) and low[-1] == 0 and low[-2] > 0.25
+    assert (bands.planes(8, 40)[:20] == bands.planes(8, 20)).all()

@@ -78,7 +78,7 @@ def ann_candidates(chunks: DataFrame, targets: DataFrame = None, n=300, min_coun
                    min_prop_match=None, exact=False) -> DataFrame:
     """Chunk-based candidates of all targets, the targets themselves left out.
 
-    Chunks are found by bands of sign bits; ``exact`` compares every pair instead.
+    Chunks are found by bands of random hyperplanes; ``exact`` compares every pair instead.
     """
     wanted = chunks if targets is None else chunks.join(targets.select("htid").distinct(), "htid", "left_semi")
     nn = chunk_neighbours(wanted, chunks, n, max_dist, drop_self=False, banded=not exact)
