@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textkin.operators import bands, knn
+from textkin.operators import bands, exact, knn
 from textkin.operators.candidates import doc_match_stats, volume_extents
 
 
@@ -50,7 +50,41 @@ def test_exact_matches_brute_force_with_a_hot_group_of_copies(clouds, options):
 def test_blocks_do_not_change_the_result(clouds, monkeypatch):
     rows, df = clouds
     monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
-    assert got(knn.chunk_neighbours(df, df, 5, pivots=4)) == brute(rows, 5)
+    monkeypatch.setattr(exact, "BLOCK_ROWS", 16)
+    for options in ({"pivots": 4}, {"pivots": 1}, {"pivots": 40, "max_dist": 0.6}):
+        assert got(knn.chunk_neighbours(df, df, 5, **options)) == brute(rows, 5, options.get("max_dist"))
+    assert got(knn.chunk_neighbours(df, df, 5, pivots=4, probes=4)) == brute(rows, 5)
+    some = df.where("htid < 'v003'")
+    assert got(knn.chunk_neighbours(some, df, 5, pivots=4)) == {r for r in brute(rows, 5) if r[0] < "v003"}
+
+
+def test_bounds_rule_out_most_blocks_of_clustered_data(spark, monkeypatch):
+    monkeypatch.setattr(exact, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 40))
+    vecs = np.vstack([c + rng.normal(size=(80, 40)) * 0.35 for c in centres])
+    rows, df = table(spark, vecs)
+    corpus = df.select(F.concat("htid", "seq").alias("vid"), "vec", "htid", "seq")
+    u = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    found = exact.Blocks(corpus, u[::40])
+    asked = found.corpus.select("vid", "vec", "block", "slot")
+    d = np.sort(np.sqrt(np.maximum(0, 2 - 2 * u @ u.T)), axis=1)
+    home = {(r.vid): (r.block, r.slot) for r in asked.collect()}
+    bounds = spark.createDataFrame([(f"{r[0]}{r[1]}", float(d[i, 12])) for i, r in enumerate(rows)], "tvid string, bound double")
+    pairs = exact.open_pairs(found, asked, bounds).collect()
+    pieces = int(found.slots.sum())
+    sent = {(tuple(p.home), (p.block, p.slot)) for p in pairs}
+    assert pieces >= 24 and len(set(home.values())) == pieces
+    assert len(sent) < 0.5 * pieces * (pieces - 1) and len(pairs) < 0.3 * len(rows) * pieces
+    assert got(knn.chunk_neighbours(df, df, 12, pivots=24)) == brute(rows, 12)
+
+
+def test_empty_and_unusable_corpora(spark):
+    _, df = table(spark, [[0.0, 0.0], [float("nan"), 1.0]])
+    for some in (df, df.where("false")):
+        assert knn.chunk_neighbours(some, some, 3).collect() == []
+    with pytest.raises(ValueError):
+        knn.chunk_neighbours(df, df, 3, probes=2)
 
 
 def test_self_is_kept_when_asked(clouds):

@@ -1,12 +1,9 @@
 """Nearest-neighbour joins over chunk vectors.
 
-Vectors are cut into Voronoi cells around sampled pivots. A target is sent to
-the cells that can hold one of its neighbours and is compared there block by
-block. With ``probes=None`` the cells come from triangle-inequality bounds and
-the result is exact; with ``probes=p`` only the p nearest cells are searched. In
-many dimensions the bounds exclude little, so very large collections are
-searched with ``banded=True`` (``operators/bands.py``), the default of all
-candidate plans.
+Exact by default: blocks of vectors around sampled pivots, of which a target meets those that bounds do not rule out
+(``operators/exact.py``). With ``probes=p`` and a number of ``pivots`` only the cells of a target's p nearest pivots are
+searched. In many dimensions the bounds exclude little, so very large collections are searched with ``banded=True``
+(``operators/bands.py``), the default of all candidate plans.
 
 Equal vectors are collapsed before the join (each keeps the ``n + 1`` smallest
 ids, all a result of size n can use) and expanded after it, so a large group of
@@ -23,33 +20,15 @@ from pyspark.sql import functions as F
 
 from textkin.functions.ids import shuffle_key
 from textkin.operators.bands import banded_hits
+from textkin.operators.exact import MAX_CELLS, chord, exact_hits, stacked, unit_rows
 from textkin.operators.ranks import top_per_group
 from textkin.session import cut
 
 BLOCK_ROWS = 2048
-ROWS_PER_CELL = 1024
-MAX_PIVOTS = 4096
-MAX_PIVOT_BYTES = 32 << 20
-NEAR_PER_CELL = 64
+ROWS_PER_CELL = 2048
 DIST_DIGITS = 7  # distances are rounded so that copies tie exactly
 
 
-def _unit_rows(m: np.ndarray):
-    norms = np.sqrt((m * m).sum(axis=1))
-    ok = np.isfinite(norms) & (norms > 0)
-    m[ok] /= norms[ok, None]
-    m[~ok] = 0
-    return m, ok
-
-
-def _stack(series: pd.Series):
-    return _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in series]))
-
-
-def _chord(a, b):
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
-
-
 def _with_vid(df: DataFrame, keys, vec: str) -> DataFrame:
     """Chunk ids, vector, and a 128-bit key of the vector's contents."""
     return df.select(
@@ -61,8 +40,8 @@ def _with_vid(df: DataFrame, keys, vec: str) -> DataFrame:
 def _assigner(pivots):
     @F.pandas_udf("struct<cell:int,d:double>")
     def assign(vecs: pd.Series) -> pd.DataFrame:
-        m, ok = _stack(vecs)
-        d = _chord(m, pivots)
+        m, ok = stacked(vecs)
+        d = chord(m, pivots)
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": np.where(ok, cell, -1).astype("int32"),
                              "d": d[np.arange(len(cell)), cell]})
@@ -70,37 +49,14 @@ def _assigner(pivots):
     return assign
 
 
-def _prober(pivots, counts, radius, near, want, max_dist, probes):
-    """Cells a target has to visit.
-
-    ``near`` holds per cell the smallest distances of its members to the pivot;
-    d(t, pivot) + near bounds the distance to that many neighbours from above.
-    A cell is skipped only if its ball or its half-space lies beyond the bound.
-    """
-    between = _chord(pivots, pivots)
-
-    def exact_cells(row):
-        order = np.argsort(row)
-        bound = np.inf if max_dist is None else max_dist
-        closest = order[:32]
-        uppers = (row[closest, None] + near[closest]).ravel()
-        if len(uppers) >= want:
-            bound = min(bound, np.partition(uppers, want - 1)[want - 1])
-        own = order[0]
-        gap = between[own] * 2.0
-        plane = np.divide(row * row - row[own] ** 2, gap, out=np.zeros_like(row), where=gap > 1e-9)
-        low = np.maximum(row - radius, plane)
-        return np.nonzero((low <= bound + 1e-6) & (counts > 0))[0].tolist()
+def _prober(pivots, probes):
+    """The cells of the ``probes`` pivots nearest to a target."""
+    k = min(probes, len(pivots))
 
     @F.pandas_udf("array<int>")
     def probe(vecs: pd.Series) -> pd.Series:
-        m, ok = _stack(vecs)
-        d = _chord(m, pivots)
-        if probes is not None:
-            k = min(probes, len(pivots))
-            cells = np.argpartition(d, k - 1, axis=1)[:, :k].tolist()
-        else:
-            cells = [exact_cells(row) for row in d]
+        m, ok = stacked(vecs)
+        cells = np.argpartition(chord(m, pivots), k - 1, axis=1)[:, :k].tolist()
         return pd.Series([c if good else [] for c, good in zip(cells, ok)])
 
     return probe
@@ -111,7 +67,7 @@ def _comparer(n, max_dist, rep_cols):
 
     def rows_of(table):
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return _unit_rows(flat.astype(np.float64).reshape(table.num_rows, -1))
+        return unit_rows(flat.astype(np.float64).reshape(table.num_rows, -1))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -120,7 +76,7 @@ def _comparer(n, max_dist, rep_cols):
         else:
             right = right.sort_by([(c, "ascending") for c in rep_cols])
             (t, t_ok), (c, c_ok) = rows_of(left), rows_of(right)
-            dist = _chord(t, c).round(DIST_DIGITS)
+            dist = chord(t, c).round(DIST_DIGITS)
             dist[~t_ok] = np.inf
             dist[:, ~c_ok] = np.inf
             limit = np.full(len(t), 4.0 if max_dist is None else max_dist)
@@ -141,25 +97,14 @@ def _comparer(n, max_dist, rep_cols):
 
 
 def _pivot_matrix(raw: DataFrame, keys, n_pivots: int) -> np.ndarray:
-    """A bounded sample of distinct vectors, on the driver."""
+    """A bounded sample of distinct vectors, on the driver; any direction where there are none."""
     rows = (
         raw.orderBy(shuffle_key(*[F.col(k) for k in keys], seed=7), *keys)
         .limit(2 * n_pivots).select("vid", "vec").collect()
     )
     distinct = {r["vid"]: r["vec"] for r in rows}
-    m, ok = _unit_rows(np.array(list(distinct.values()), dtype=np.float64))
-    return m[ok][:n_pivots]
-
-
-def _cell_stats(assigned: DataFrame, n_cells: int):
-    counts, radius = np.zeros(n_cells, dtype=np.int64), np.zeros(n_cells)
-    near = np.full((n_cells, NEAR_PER_CELL), np.inf)
-    for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():
-        counts[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
-    closest = top_per_group(assigned.select("cell", "d"), ["cell"], ["d"], NEAR_PER_CELL)
-    for r in closest.groupBy("cell").agg(F.sort_array(F.collect_list("d")).alias("ds")).collect():
-        near[r["cell"], :len(r["ds"])] = r["ds"]
-    return counts, radius, near
+    m, ok = unit_rows(np.array(list(distinct.values()) or [[1.0]], dtype=np.float64))
+    return m[ok][:n_pivots] if ok.any() else unit_rows(np.ones((1, m.shape[1])))[0]
 
 
 def _lists(hits, assigned, keys, rep_cols, want):
@@ -188,8 +133,9 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
     # Read several times below, so the inputs' own plans run once.
     raw = cut(_with_vid(corpus, keys, vec), "corpus")
     t_raw = raw if self_join else cut(_with_vid(targets, keys, vec), "targets")
-    n_rows = raw.count()
-    n_pivots = pivots or max(2, min(MAX_PIVOTS, n_rows // ROWS_PER_CELL))
+    if probes is not None and not pivots:
+        raise ValueError("a search of the nearest cells needs the number of pivots")
+    n_pivots = pivots or max(1, min(MAX_CELLS, raw.count() // ROWS_PER_CELL))
     rep_cols = [f"r{i}" for i in range(len(keys))]
     ids = F.sort_array(F.collect_list(F.struct(*[F.col(k).alias("m_" + k) for k in keys])))
     distinct = (
@@ -212,28 +158,20 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
         size = raw.select(F.size("vec").alias("d")).first()
         hits = banded_hits(cut(members, "members"), want, max_dist, rep_cols, size["d"] if size else 1, DIST_DIGITS)
         return _lists(hits, assigned, keys, rep_cols, want), t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
-    if n_pivots > 1:
-        pivot_rows = _pivot_matrix(raw, keys, n_pivots)
-        fit = max(1, MAX_PIVOT_BYTES // (8 * pivot_rows.shape[1]))
-        pivot_rows = pivot_rows[:fit]
-    if n_pivots > 1 and len(pivot_rows) > 1:
-        n_cells = len(pivot_rows)
-        at = _assigner(pivot_rows)(F.col("vec"))
-        assigned = cut(distinct.withColumn("a", at).select(
-            "vid", "vec", "ids", *rep_cols, F.col("a.cell").alias("cell"), F.col("a.d").alias("d")
-        ).where("cell >= 0"), "cells")
-        counts, radius, near = _cell_stats(assigned, n_cells)
-        t_distinct = assigned if self_join else t_raw.groupBy("vid").agg(F.first("vec").alias("vec"))
-        cells = _prober(pivot_rows, counts, radius, near, want, max_dist, probes)(F.col("vec"))
-        probed = cut(t_distinct.select("vid", "vec", cells.alias("cells")), "probes")
-        t_counts = np.zeros(n_cells, dtype=np.int64)
-        for r in probed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
-            t_counts[r["cell"]] = r["count"]
-    else:
-        assigned = cut(distinct.withColumn("cell", F.lit(0)), "cells")
-        t_distinct = assigned if self_join else t_raw.groupBy("vid").agg(F.first("vec").alias("vec"))
-        probed = t_distinct.select("vid", "vec", F.array(F.lit(0)).alias("cells"))
-        counts, t_counts = np.array([n_rows]), np.array([t_raw.count()])
+    ids_of = t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
+    pivot_rows = _pivot_matrix(raw, keys, n_pivots)
+    if probes is None:
+        asked = None if self_join else t_raw.groupBy("vid").agg(F.first("vec").alias("vec"))
+        assigned, hits = exact_hits(distinct, asked, pivot_rows, want, max_dist, rep_cols, DIST_DIGITS)
+        return _lists(hits, assigned, keys, rep_cols, want), ids_of
+    assigned = cut(distinct.withColumn("a", _assigner(pivot_rows)(F.col("vec"))).select(
+        "vid", "vec", "ids", *rep_cols, F.col("a.cell").alias("cell")).where("cell >= 0"), "cells")
+    t_distinct = assigned if self_join else t_raw.groupBy("vid").agg(F.first("vec").alias("vec"))
+    probed = cut(t_distinct.select("vid", "vec", _prober(pivot_rows, probes)(F.col("vec")).alias("cells")), "probes")
+    counts, t_counts = (np.zeros(len(pivot_rows), dtype=np.int64) for _ in range(2))
+    for rows, n in ((assigned, counts), (probed.select(F.explode("cells").alias("cell")), t_counts)):
+        for r in rows.groupBy("cell").count().collect():  # one row per pivot
+            n[r["cell"]] = r["count"]
 
     c_blocks = F.lit(np.maximum(1, -(-counts // BLOCK_ROWS)).tolist())
     t_blocks = F.lit(np.maximum(1, -(-t_counts // BLOCK_ROWS)).tolist())
@@ -257,7 +195,7 @@ def knn_lists(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"
     block = ["cell", "tb", "cb"]
     hits = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(
         _comparer(want, max_dist, rep_cols), schema)
-    return _lists(hits, assigned, keys, rep_cols, want), t_raw.select("vid", *[F.col(k).alias("t_" + k) for k in keys])
+    return _lists(hits, assigned, keys, rep_cols, want), ids_of
 
 
 def knn_join(targets: DataFrame, corpus: DataFrame, n: int, keys=("htid", "seq"), vec="vec",
