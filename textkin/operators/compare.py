@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from textkin.operators.tokens import page_totals
 from textkin.operators.vectorize import mean_vectors, median_vectors, weighted_quantiles
 
 BLOCK = 64
+#: Pages of a block of page sets, and columns of a 0/1 matrix of tokens that one product takes.
+PAGE_BLOCK, TOKEN_COLUMNS = 256, 16384
 
 # ---- fixed values -------------------------------------------------------
 DISTANCE_THRESHOLDS = [0.002, 0.005, 0.01, 0.02, 0.03]
@@ -291,39 +295,84 @@ def page_sets(tokens: DataFrame) -> DataFrame:
         page_index(tokens).select("htid", "page", "idx"), ["htid", "page"]).select("htid", "idx", "token")
 
 
-def _pair_members(pairs: DataFrame, sets: DataFrame, drop_common: int) -> DataFrame:
-    """Page tokens of both sides of every pair, without the pair's most frequent tokens."""
-    p = pairs.select("left", "right").distinct()
-    sides = p.select("left", "right", F.explode(F.array(
-        F.struct(F.lit("L").alias("side"), F.col("left").alias("htid")),
-        F.struct(F.lit("R").alias("side"), F.col("right").alias("htid")))).alias("s"))
-    rows = sides.select("left", "right", "s.side", "s.htid").join(sets, "htid").drop("htid")
-    if not drop_common:
-        return rows
-    df = rows.groupBy("left", "right", "token").agg(F.count("*").alias("df"))
-    common = top_per_group(df, ["left", "right"], [F.desc("df"), "token"], drop_common)
-    return rows.join(common.drop("df"), ["left", "right", "token"], "left_anti")
+def page_blocks(sets: DataFrame) -> DataFrame:
+    """Token ids (64-bit hashes) of up to ``PAGE_BLOCK`` consecutive pages of a volume per row, with the page of each."""
+    packed = sets.groupBy("htid", F.floor(F.col("idx") / PAGE_BLOCK).alias("blk")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", F.xxhash64("token").alias("id")))).alias("c"))
+    return packed.select("htid", "blk", F.col("c.idx").alias("pages"), F.col("c.id").alias("ids"))
+
+
+def common_tokens(pairs: DataFrame, sets: DataFrame, drop_common: int) -> DataFrame:
+    """Ids of each pair's most frequent tokens: ``(left, right, common)``. Pages are counted per volume first."""
+    df = sets.groupBy("htid", "token").agg(F.count("*").alias("df"))
+    sides = pairs.select("left", "right", F.explode(F.array("left", "right")).alias("htid"))
+    both = sides.join(df, "htid").groupBy("left", "right", "token").agg(F.sum("df").alias("df"))
+    top = top_per_group(both, ["left", "right"], [F.desc("df"), "token"], drop_common)
+    # At most ``drop_common`` ids per pair.
+    return top.groupBy("left", "right").agg(F.collect_list(F.xxhash64("token")).alias("common"))
+
+
+def _page_jaccard(lpages, lids, rpages, rids, common):
+    """Non-zero cells of two blocks of pages: left page, right page, similarity."""
+    if len(common):
+        keep = ~np.isin(lids, common)
+        lpages, lids = lpages[keep], lids[keep]
+        keep = ~np.isin(rids, common)
+        rpages, rids = rpages[keep], rids[keep]
+    shared = np.intersect1d(lids, rids)
+    if not len(shared):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    sides = []
+    for pages, ids in ((lpages, lids), (rpages, rids)):
+        own, row, size = np.unique(pages, return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(shared, ids), len(shared) - 1)
+        sides.append((own, row, size, at, shared[at] == ids))
+    (lown, lrow, lsize, lat, lhit), (rown, rrow, rsize, rat, rhit) = sides
+    both = np.zeros((len(lown), len(rown)))
+    for low in range(0, len(shared), TOKEN_COLUMNS):
+        n = min(TOKEN_COLUMNS, len(shared) - low)
+        l, r = np.zeros((len(lown), n), dtype=np.float32), np.zeros((len(rown), n), dtype=np.float32)
+        for m, row, at, hit in ((l, lrow, lat, lhit), (r, rrow, rat, rhit)):
+            hit = hit & (at >= low) & (at < low + n)
+            m[row[hit], at[hit] - low] = 1
+        both += l @ r.T
+    i, j = np.nonzero(both)
+    inter = both[i, j]
+    return lown[i], rown[j], inter / np.maximum(lsize[i] + rsize[j] - inter, 1)
 
 
 def jaccard_cells(pairs: DataFrame, sets: DataFrame, drop_common=DROP_COMMON) -> DataFrame:
     """Non-zero cells of the page-by-page Jaccard matrix of every pair.
 
     ``sets`` is ``(htid, idx, token)``; every cell not listed is 0. ``drop_common``
-    removes the tokens found on most pages of the two volumes.
+    removes the tokens found on most pages of the two volumes. Pages meet in pairs of blocks, as products of 0/1 matrices over
+    the tokens that both blocks hold, so no row stands for a token of two pages.
     """
-    rows = _pair_members(pairs, sets, drop_common)
-    sizes = rows.groupBy("left", "right", "side", "idx").agg(F.count("*").alias("n"))
-    l = rows.where("side = 'L'").select("left", "right", "token", F.col("idx").alias("left_seq"))
-    r = rows.where("side = 'R'").select("left", "right", "token", F.col("idx").alias("right_seq"))
-    inter = l.join(r, ["left", "right", "token"]).groupBy("left", "right", "left_seq", "right_seq").agg(
-        F.count("*").alias("inter"))
-    ls = sizes.where("side = 'L'").select("left", "right", F.col("idx").alias("left_seq"), F.col("n").alias("ln"))
-    rs = sizes.where("side = 'R'").select("left", "right", F.col("idx").alias("right_seq"), F.col("n").alias("rn"))
-    return (
-        inter.join(ls, ["left", "right", "left_seq"]).join(rs, ["left", "right", "right_seq"])
-        .select("left", "right", "left_seq", "right_seq",
-                (F.col("inter") / F.greatest(F.col("ln") + F.col("rn") - F.col("inter"), F.lit(1))).alias("sim"))
-    )
+    p = pairs.select("left", "right").distinct()
+    blocks = page_blocks(sets)
+    rows = p.join(blocks.select(F.col("htid").alias("left"), F.col("pages").alias("lpages"), F.col("ids").alias("lids")), "left")
+    rows = rows.join(blocks.select(F.col("htid").alias("right"), F.col("pages").alias("rpages"), F.col("ids").alias("rids")), "right")
+    rows = rows.join(common_tokens(p, sets, drop_common), ["left", "right"], "left") if drop_common else rows.withColumn(
+        "common", F.lit(None).cast("array<long>"))
+    types = {f.name: f.dataType.simpleString() for f in p.schema}
+
+    def run(batches):
+        def values(batch, name):
+            column = batch[name]
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+        for batch in batches:
+            cells = [_page_jaccard(*x) for x in zip(*[values(batch, c) for c in ("lpages", "lids", "rpages", "rids", "common")])]
+            if not cells:
+                continue
+            row = pa.array(np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells]))
+            l, r, sim = (np.concatenate(x) for x in zip(*cells))
+            yield pa.RecordBatch.from_arrays([batch["left"].take(row), batch["right"].take(row), pa.array(l, pa.int64()), pa.array(r, pa.int64()), pa.array(sim)],
+                                             ["left", "right", "left_seq", "right_seq", "sim"])
+
+    return rows.select("left", "right", "lpages", "lids", "rpages", "rids", "common").mapInArrow(
+        run, f"left {types['left']}, right {types['right']}, left_seq long, right_seq long, sim double")
 
 
 def four_points(pairs: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
