@@ -56,6 +56,11 @@ def c6_page_jaccard(spark, sf):
     return doc_cells(spark, sf).select("left", "right", "left_seq", "right_seq", r6("sim"))
 
 
+def c7_score_matrix(spark, sf):
+    """Scores of the local alignment of every document pair's pages."""
+    return align.score_cells(doc_cells(spark, sf), threshold=0.2).select("left", "right", "left_seq", "right_seq", r6("score"))
+
+
 def c7_alignment_runs(spark, sf):
     return align.alignment_runs(doc_cells(spark, sf), threshold=0.2, min_length=3)
 
@@ -179,7 +184,7 @@ def l9_four_points(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     c1_distance_cells, c2_recentred_cells, c3_median_centred, c4_similarity_cells, c5_unrolled_matrix, c6_page_jaccard,
-    c7_alignment_runs, c10_run_lengths, c11_matrix_stats, c12_margin_quantiles, c13_page_counts, c14_all_stats,
+    c7_score_matrix, c7_alignment_runs, c10_run_lengths, c11_matrix_stats, c12_margin_quantiles, c13_page_counts, c14_all_stats,
     c15_run_statistics, c16_run_slopes, c17_mean_vector_features, c18_derived_stats, c19_title_distances, f13_set_jaccard,
     j29_runs_with_words, l9_four_points, c5_unrolled_jaccard, c14_two_kinds, x2_cells_where)}
 
@@ -248,6 +253,18 @@ ORACLE = {
         FROM (SELECT pairs.*, unnest(range(0, 144)) AS i FROM pairs) p LEFT JOIN cells c
         ON c."left" = p."left" AND c."right" = p."right" AND (left_seq - 1) * 12 + right_seq - 1 = i""", "fx_chunk", **_CELLS),
     "c6_page_jaccard": sql(f'SELECT "left", "right", left_seq, right_seq, {q6("sim")} FROM jcells', "fx_token", "fx_pairs", **JACC),
+    # One diagonal of the matrix per step; a step keeps the diagonal before it, and a row that outlives empty diagonals.
+    "c7_score_matrix": sql(f'''SELECT l AS "left", r AS "right", i AS left_seq, j AS right_seq, {q6("score")} FROM diagonals WHERE i + j = step''',
+        "fx_token", "fx_pairs", **JACC,
+        strong="""SELECT "left" AS l, "right" AS r, left_seq::BIGINT AS i, right_seq::BIGINT AS j, sim FROM jcells WHERE sim > 0.2""",
+        diagonals="""SELECT -1::BIGINT AS step, '' AS l, '' AS r, -9::BIGINT AS i, -9::BIGINT AS j, 0.0::DOUBLE AS score
+          UNION ALL SELECT step + 1, l, r, i, j, score FROM (
+            SELECT w.step, s.l, s.r, s.i, s.j, s.sim - 0.2 + coalesce(max(w2.score), 0) AS score
+            FROM (SELECT step FROM diagonals WHERE i = -9) w JOIN strong s ON s.i + s.j = w.step + 1
+            LEFT JOIN diagonals w2 ON w2.l = s.l AND w2.r = s.r AND w2.i IN (s.i, s.i - 1) AND w2.j IN (s.j, s.j - 1)
+            GROUP BY w.step, s.l, s.r, s.i, s.j, s.sim
+            UNION ALL SELECT step, l, r, i, j, score FROM diagonals WHERE i + j = step
+            UNION ALL SELECT step, l, r, i, j, score FROM diagonals WHERE i = -9 AND step < (SELECT max(i + j) FROM strong))"""),
     "c5_unrolled_jaccard": sql("""SELECT p."left", p."right", CAST(i AS INTEGER) AS i,
         coalesce(round(sim::FLOAT::DOUBLE + 1e-9, 4), round(0.0::DOUBLE + 1e-9, 4)) AS x
         FROM (SELECT DISTINCT fx_pairs.*, unnest(range(0, 36)) AS i FROM fx_pairs) p LEFT JOIN jcells c

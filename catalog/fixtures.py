@@ -216,7 +216,8 @@ def sql(body: str, *views: str, **extra: str) -> str:
     for v in views:
         add(v)
     ctes = [f"{v} AS ({VIEWS[v]})" for v in order] + [f"{k} AS ({q})" for k, q in extra.items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    recursive = "RECURSIVE " if any(f"FROM {k}" in q for k, q in extra.items()) else ""
+    return (f"WITH {recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
 # ---- document pairs (copies and versions start with the same line) ----------

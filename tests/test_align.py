@@ -58,6 +58,27 @@ def test_runs_equal_the_dense_algorithm(spark, threshold):
         assert got.get(name, {}) == runs
 
 
+def dense_scores(sim, t):
+    sw = np.zeros((sim.shape[0] + 1, sim.shape[1] + 1))
+    for i in range(sim.shape[0]):
+        for j in range(sim.shape[1]):
+            if sim[i, j] > t:
+                sw[i + 1, j + 1] = sim[i, j] - t + max(sw[i, j + 1], sw[i + 1, j], sw[i, j])
+    return sw[1:, 1:]
+
+
+@pytest.mark.parametrize("tile", [5, 256])
+def test_scores_in_tiles_equal_the_dense_matrix(spark, tile):
+    cells = [(name, "r", i, j, float(m[i, j])) for name, m in matrices() for i in range(m.shape[0]) for j in range(m.shape[1])]
+    df = spark.createDataFrame(cells + [("p0", "r", 90, 90, float("nan")), ("p0", "r", 91, 91, None), ("far", "r", 700, 3, 0.9)],
+                               "left string, right string, left_seq int, right_seq int, sim double")
+    got = {(r.left, r.left_seq, r.right_seq): r.score for r in align.score_cells(df, 0.2, tile).collect()}
+    want = {(name, i, j): x for name, m in matrices() for (i, j), x in np.ndenumerate(dense_scores(m, 0.2)) if x > 0}
+    want["far", 700, 3] = 0.7
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert align.score_cells(df.where("sim < 0"), 0.2).collect() == []
+
+
 def test_slopes_and_statistics(spark):
     cells = [("a", "b", i, i + 2, 0.9) for i in range(10)]
     df = spark.createDataFrame(cells, "left string, right string, left_seq int, right_seq int, sim double")

@@ -1,17 +1,77 @@
-"""Alignment runs: local alignment over the strong cells of a similarity matrix.
+"""Alignment: scores and runs over the strong cells of a similarity matrix.
 
-Only cells above the threshold can carry a score, so the kernel works on those
-cells alone. The greedy extraction is sequential inside one pair; pairs are the
-parallel axis.
+Only cells above the threshold can carry a score, so the kernels work on those cells alone. Scores are computed in tiles, one
+diagonal of tiles after the other for all pairs at once; a tile hands its last row, last column and corner on to its
+neighbours. The greedy extraction of runs is sequential inside one pair; pairs are the parallel axis.
 """
 
 import heapq
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.operators.ranks import running_total
+from textkin.session import cut
+
+#: Rows and columns of a tile of the score matrix.
+TILE = 256
+
+
+def _tile_scores(threshold):
+    """Scores of one tile's cells, given those of the cells beside it."""
+
+    def run(cells: pa.Table, beside: pa.Table) -> pa.Table:
+        score = dict(zip(zip(beside["i"].to_pylist(), beside["j"].to_pylist()), beside["score"].to_pylist()))
+        cells = cells.sort_by([("i", "ascending"), ("j", "ascending")])
+        out = []
+        for i, j, sim in zip(*[cells[c].to_pylist() for c in ("i", "j", "sim")]):
+            best = max(score.get((i - 1, j), 0.0), score.get((i, j - 1), 0.0), score.get((i - 1, j - 1), 0.0))
+            score[i, j] = sim - threshold + best
+            out.append(score[i, j])
+        return cells.select(["left", "right", "i", "j"]).append_column("score", pa.array(out, pa.float64()))
+
+    return run
+
+
+def score_cells(cells: DataFrame, threshold=0.05, tile=TILE) -> DataFrame:
+    """Local-alignment scores ``(left, right, left_seq, right_seq, score)`` of all cells above ``threshold``; other cells score 0.
+
+    A cell adds its similarity less the threshold to the best score above it, left of it or diagonally before it. Null and NaN
+    similarities are no cells. Rounds: the number of diagonals of tiles of the largest pair that has strong cells there.
+    """
+    strong = cells.where((F.col("sim") > float(threshold)) & ~F.isnan("sim")).select(
+        "left", "right", F.col("left_seq").cast("long").alias("i"), F.col("right_seq").cast("long").alias("j"), "sim")
+    strong = cut(strong.withColumns({"ti": F.floor(F.col("i") / tile), "tj": F.floor(F.col("j") / tile)}), "strong")
+    keys = ["left", "right", "ti", "tj"]
+    types = {f.name: f.dataType.simpleString() for f in strong.schema}
+    schema = f"left {types['left']}, right {types['right']}, i long, j long, score double"
+    done = []
+    last = (F.col("i") % tile == tile - 1, F.col("j") % tile == tile - 1)
+
+    def handed(found):
+        """Cells at a tile's end, for the tiles below, to the right and diagonally behind."""
+        at = {"ti": F.floor(F.col("i") / tile), "tj": F.floor(F.col("j") / tile)}
+        to = F.filter(F.array(*[F.when(on, F.struct((at["ti"] + a).alias("ti"), (at["tj"] + b).alias("tj")))
+                                for on, a, b in ((last[0], 1, 0), (last[1], 0, 1), (last[0] & last[1], 1, 1))]), lambda x: x.isNotNull())
+        return found.where(last[0] | last[1]).select("left", "right", F.explode(to).alias("to"), "i", "j", "score").select(
+            "left", "right", "to.ti", "to.tj", "i", "j", "score")
+
+    diagonals = sorted(r[0] for r in strong.select(F.col("ti") + F.col("tj")).distinct().collect())  # one number per diagonal
+    for d in diagonals:
+        now = strong.where(F.col("ti") + F.col("tj") == d)
+        beside = [handed(f) for k, f in done if k in (d - 1, d - 2)]
+        none = strong.sparkSession.createDataFrame([], f"left {types['left']}, right {types['right']}, ti long, tj long, i long, j long, score double")
+        beside = none if not beside else beside[0] if len(beside) == 1 else beside[0].unionByName(beside[1])
+        # A tile without strong cells returns nothing, whatever is handed to it.
+        beside = beside.where(F.col("ti") + F.col("tj") == d)
+        found = now.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInArrow(_tile_scores(float(threshold)), schema)
+        done.append((d, cut(found, "scores")))
+    out = strong.where("false").select("left", "right", "i", "j", F.lit(0.0).alias("score"))
+    for _, found in done:
+        out = out.unionByName(found)
+    return out.select("left", "right", F.col("i").alias("left_seq"), F.col("j").alias("right_seq"), "score")
 
 
 def extract_runs(cells: dict, threshold: float):
