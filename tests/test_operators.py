@@ -90,6 +90,24 @@ def test_projection_blocks_add_up(spark, monkeypatch):
     assert len(whole) == 200 and np.allclose(whole, parts, atol=1e-4)
 
 
+def test_running_totals_through_three_levels(spark):
+    n = 1024 * 3 + 7
+    df = spark.range(n).selectExpr("id AS i", "id % 5 AS n")
+    got = {r.i: r.t for r in ranks.running_total(df, [], "i", "n", "t", block=1, levels=3).collect()}
+    want = np.cumsum(np.arange(n) % 5)
+    assert got == {i: int(x) for i, x in enumerate(want)}
+    spread = df.selectExpr("i * 1024 * 1024 AS i", "n")
+    assert sorted(r.t for r in ranks.running_total(spread, [], "i", "n", "t", block=1, levels=3).collect()) == sorted(want.tolist())
+
+
+def test_blocks_of_equal_depth_around_an_extreme_value(spark):
+    rows = [(0, float(x), 1) for x in np.random.default_rng(3).normal(size=20_000)] + [(0, 1e12, 1), (0, -1e15, 1), (1, 5.0, 3), (1, None, 1)]
+    df = spark.createDataFrame(rows, "k int, x double, c long")
+    for keys, many in ((["k"], 256), ([], 1024)):
+        sizes = [r["count"] for r in vectorize.depth_blocks(df, keys, "x", "c").where("k = 0").groupBy("_blk").count().collect()]
+        assert max(sizes) <= 2 * 20_002 / many and len(sizes) > 0.9 * many
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(4)
     vals = {"a": rng.normal(size=301), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([5.0])}

@@ -22,12 +22,12 @@ def volume_ranges(chunks: DataFrame) -> DataFrame:
     """Contiguous integer ranges of chunk ids per volume, in id order.
 
     The running sum runs over one row per volume, placed by the distributed
-    numbering, so nothing is ordered in a single task.
+    numbering, as a tree of block sums, so nothing is ordered in a single task.
     """
     from textkin.operators.ranks import running_total
 
     ext = shuffled_positions(volume_extents(chunks), [], ["htid"])
-    total = running_total(ext.withColumn("_g", F.lit(0)), ["_g"], "pos", "length", "end")
+    total = running_total(ext, [], "pos", "length", "end", levels=3)
     return total.select("htid", (F.col("end") - F.col("length")).alias("min"),
                         (F.col("end") - 1).alias("max"), "length")
 

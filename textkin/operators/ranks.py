@@ -60,18 +60,34 @@ def global_positions(df: DataFrame, ids, pos="pos") -> DataFrame:
     return shuffled_positions(df, [], ids, pos=pos)
 
 
-def running_total(df: DataFrame, keys, order: str, value: str, out: str, block=1024) -> DataFrame:
+def _sums_before(per: DataFrame, keys, at: str, value: str, fan: int, levels: int) -> DataFrame:
+    """``(keys, at, _off)``: the sum of ``value`` over smaller ``at`` of the group, by a tree of sums.
+
+    Every level adds up ``fan`` neighbouring entries, so below the top no window holds more than ``fan`` rows.
+    """
+    if not levels:
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return per.select(*keys, at, F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_off"))
+    up = f"_up{levels}"
+    placed = per.withColumn(up, F.floor(F.col(at) / fan))
+    above = _sums_before(placed.groupBy(*keys, up).agg(F.sum(value).alias("_sum")), keys, up, "_sum", fan, levels - 1)
+    inside = Window.partitionBy(*keys, up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.select(*keys, at, up, F.coalesce(F.sum(value).over(inside), F.lit(0)).alias("_in"))
+    return own.join(above, [*keys, up]).select(*keys, at, (F.col("_in") + F.col("_off")).alias("_off"))
+
+
+def running_total(df: DataFrame, keys, order: str, value: str, out: str, block=1024, levels=0) -> DataFrame:
     """Inclusive running sum over a numeric order column.
 
     Blocks of ``block`` order units are summed first; the prefix over blocks plus
     the running sum inside a block is the result. One row per (keys, order) is
-    expected.
+    expected. Where a group may be the whole table, ``levels`` gives the tree of block sums so many more levels of 1024
+    entries each; with three, the top one has an entry for 10^12 order units.
     """
     keys = list(keys)
     d = df.withColumn("_blk", F.floor(F.col(order) / block))
     per = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_s"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    offsets = _sums_before(per, keys, "_blk", "_s", 1024, levels)
     inside = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0)
     return (

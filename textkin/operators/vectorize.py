@@ -261,24 +261,42 @@ def median_vectors(df: DataFrame, keys, vec="vec") -> DataFrame:
     return collect_components(median_components(df, keys, vec), list(keys), vec)
 
 
+def depth_blocks(counts: DataFrame, keys, value: str, count: str) -> DataFrame:
+    """``counts`` with ``_blk``, blocks of a group's rows of nearly equal size in the order of ``value``, and ``_n``, the group's sum of ``count``.
+
+    The blocks' edges are quantiles of a mergeable sketch, so extreme values don't empty the other blocks. A row finds
+    its block in two steps, among every ``step``-th edge and then among those between two of them.
+    """
+    step = 16 if keys else 32
+    blocks = step * step
+    edges = F.percentile_approx(value, [k / blocks for k in range(1, blocks)], 16 * blocks).alias("_edges")
+    stats = [edges, F.sum(count).alias("_n")]
+    if keys:
+        rows = counts.join(counts.groupBy(*keys).agg(*stats), keys)
+    else:
+        whole = counts.agg(F.struct(*stats)).scalar()
+        rows = counts.withColumn("_e", whole).select(*counts.columns, "_e.*")
+
+    def below(from_, n, every):
+        at = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.get("_edges", (from_ + k * every - 1).cast("int")))
+        return F.size(F.filter(at, lambda e: e < F.col(value)))
+
+    coarse = F.when(F.col(value).isNull(), 0).otherwise(below(F.lit(0), step - 1, step))
+    rows = rows.withColumn("_coarse", coarse)
+    fine = F.when(F.col(value).isNull(), 0).otherwise(below(F.col("_coarse") * step, step - 1, 1))
+    return rows.withColumn("_blk", F.col("_coarse") * step + fine).drop("_coarse", "_edges")
+
+
 def weighted_quantiles(counts: DataFrame, keys, value: str, count: str, qs) -> DataFrame:
     """Exact linear-interpolation quantiles of counted values per group.
 
     Output ``(keys, q, value)``. Without keys the whole table is one group. Values
-    are split into equal-width blocks between the group's extremes; block totals
+    are split into blocks of equal depth; block totals
     locate the block holding each wanted rank, and only rows of those blocks are
     ordered.
     """
     keys = list(keys)
-    stats = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("_n")]
-    if keys:
-        sized, blocks = counts.join(counts.groupBy(*keys).agg(*stats), keys), 256
-    else:
-        whole = counts.agg(F.struct(*stats)).scalar()
-        sized, blocks = counts.withColumn("_e", whole).select(value, count, "_e.*"), 4096
-    width = F.col("_hi") - F.col("_lo")
-    blocked = sized.withColumn("_blk", F.when(width > 0, F.least(
-        F.floor((F.col(value) - F.col("_lo")) / width * blocks), F.lit(blocks - 1))).otherwise(F.lit(0)))
+    blocked = depth_blocks(counts, keys, value, count)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     per = (
         blocked.groupBy(*keys, "_blk").agg(F.sum(count).alias("_c"), F.max("_n").alias("_n"))
