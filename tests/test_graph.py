@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textkin.operators import graph, representative
+from textkin.operators import graph, local_graph, representative
 from textkin.plans import works
 from textkin.schemas import LABELS
 
@@ -28,7 +28,7 @@ def union_find(edges):
     return {x: find(x) for x in list(parent)}
 
 
-def test_components_with_a_hub_and_a_chain(spark):
+def test_components_with_a_hub_and_a_chain(spark, monkeypatch):
     random.seed(5)
     edges = [("n000", f"n{i:03d}") for i in range(1, 60)]
     edges += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
@@ -36,6 +36,10 @@ def test_components_with_a_hub_and_a_chain(spark):
     df = spark.createDataFrame(edges, "src string, dst string").repartition(3)
     got = {r["id"]: r["label"] for r in graph.connected_components(df).collect()}
     assert got == union_find([(a, b) for a, b in edges if a != b])
+    for size in (7, 200_000):
+        monkeypatch.setattr(local_graph, "FOREST_EDGES", size)
+        assert {r["id"]: r["label"] for r in graph.connected_components(df, forests=True).collect()} == got
+    assert graph.connected_components(df.where("src = 'none'"), forests=True).collect() == []
 
 
 def test_louvain_finds_planted_groups(spark):
@@ -48,6 +52,46 @@ def test_louvain_finds_planted_groups(spark):
     assert {i: l for i, l in got.items()} == {i: i.split("_")[0] + "_00" for i in got}
 
 
+def modularity(edges, label):
+    m, total, inner = sum(w for _, _, w in edges), {}, 0.0
+    for a, b, w in edges:
+        inner += w * (label[a] == label[b])
+        for x in (a, b):
+            total[label[x]] = total.get(label[x], 0.0) + w
+    return inner / m - sum((t / (2 * m)) ** 2 for t in total.values())
+
+
+def test_components_are_worked_on_apart_and_large_ones_in_rounds(spark, monkeypatch):
+    random.seed(4)
+    edges = []
+    for g in range(12):  # components of several communities
+        for b in range(3):
+            edges += [(f"g{g:02d}b{b}n{i}", f"g{g:02d}b{b}n{j}", 1.0 + (i + j) % 3) for i in range(6) for j in range(i) if random.random() < 0.8]
+        edges += [(f"g{g:02d}b{b}n1", f"g{g:02d}b{(b + 1) % 3}n2", 0.5) for b in range(3)]
+    edges += [(f"big{i:02d}", f"big{j:02d}", 1.0) for i in range(40) for j in range(i) if i // 10 == j // 10 or (i + j) % 37 == 0]
+    df = spark.createDataFrame(edges, "src string, dst string, w double")
+    found, q = {}, {}
+    for limit in (100_000, 100):
+        monkeypatch.setattr(graph, "LOCAL_EDGES", limit)
+        found[limit] = {r["id"]: r["label"] for r in graph.louvain(df, weight="w").collect()}
+        q[limit] = modularity(edges, found[limit])
+        assert all(min(x for x in found[limit] if found[limit][x] == c) == c for c in found[limit].values())
+    assert {x: c for x, c in found[100].items() if x[0] == "g"} == {x: c for x, c in found[100_000].items() if x[0] == "g"}
+    planted = {x: x[:5] if x[0] == "g" else x[:4] for x in found[100]}
+    assert min(q.values()) >= modularity(edges, planted) - 0.02
+
+
+def test_communities_are_connected():
+    random.seed(9)
+    edges = [(a, b, 1.0) for a in range(60) for b in range(a) if random.random() < 0.07]
+    label = local_graph.communities(*zip(*edges), 2.0 * len(edges))
+    for c in set(label.values()):
+        inside = [(a, b) for a, b, _ in edges if label[a] == label[b] == c]
+        assert sum(x == c for x in label.values()) == 1 or len(set(union_find(inside).values())) == 1 and len(union_find(inside)) == sum(x == c for x in label.values())
+    assert modularity(edges, label) > 0.25
+    assert local_graph.communities([], [], [], 1.0) == {}
+
+
 def test_every_volume_gets_one_label(spark):
     preds = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f")], "target string, candidate string")
     strong = preds.where("target = 'a'")

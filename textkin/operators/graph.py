@@ -8,22 +8,31 @@ results independent of partitioning and of row order.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from textkin.functions.labels import canonical
+from textkin.operators import local_graph
 from textkin.operators.ranks import global_positions
 from textkin.schemas import LABELS
-from textkin.session import cut
+from textkin.session import cut, remove
 
 MAX_ROUNDS = 50
+#: Edges of components that one task works on; a component of more is worked on by all tasks in rounds.
+LOCAL_EDGES = 100_000
 
 
-def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_ROUNDS, forests=False) -> DataFrame:
     """``(id, label)`` for every id with an edge; label is the smallest id reached.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): neighbours
     are only ever reduced by a minimum per node, so a hub is aggregated map-side
-    and re-joined as one row.
+    and re-joined as one row. ``forests``: tasks first replace their edges by links to the smallest node of each tree, which
+    saves rounds.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
+    if forests:
+        kind = e.schema["u"].dataType.simpleString()
+        e = e.mapInArrow(local_graph.forest, f"u {kind}, v {kind}").distinct()
     e = cut(e, "edges")
     nodes = cut(e.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "nodes")
 
@@ -38,15 +47,18 @@ def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=MAX_
         pulled = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    for _ in range(max_rounds):
-        e = cut(small_star(large_star(e)), "star", replaces=[e])
-        # Done when every node has one link, to a node without any.
+    def settled(e):
+        """Every node has one link, to a node without any."""
         split = e.groupBy("u").agg(F.count("*").alias("links")).where("links > 1").select("u")
         deep = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-        if split.unionByName(deep).isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        return split.unionByName(deep).isEmpty()
+
+    done, turn = forests and settled(e), 0
+    while not done:
+        if turn == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        e = cut(small_star(large_star(e)), "star", replaces=[e])
+        done, turn = settled(e), turn + 1
     return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select(
         "id", F.coalesce("label", "id").alias("label"))
 
@@ -87,50 +99,80 @@ def _move(edges, degrees, comm, m2, resolution, turn):
         F.col("own")).alias("c"))
 
 
-def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001, resolution=1.0) -> DataFrame:
-    """Communities by greedy modularity (Blondel et al. 2008) as DataFrame rounds.
+def _rounds(level: DataFrame, m2: float, tolerance: float, resolution: float) -> DataFrame:
+    """Communities of components too large for a task, in rounds over all tasks: ``(id, label)``.
 
-    Two hash halves of the nodes move in turn, which stops neighbours from
+    ``level`` holds both directions of every edge. Two hash halves of the nodes move in turn, which stops neighbours from
     swapping places; a round is kept only if modularity rises by ``tolerance``.
-    Modularity is at most 1, so rounds and levels end by themselves. Output
-    ``(id, label)`` with the smallest member id as label.
+    Modularity is at most 1, so rounds and levels end by themselves.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    one = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("w")).where("src <> dst")
-    sym = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    level = cut(sym.groupBy("src", "dst").agg(F.sum("w").alias("w")), "graph")
-    m2 = level.agg(F.sum("w").alias("x")).first()["x"]
     nodes = level.select(F.col("src").alias("id")).distinct()
     labels = cut(nodes.select("id", F.col("id").alias("label")), "labels")
-    if not m2:
-        return labels
     while True:
         degrees = cut(level.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degrees")
-        comm = degrees.select("id", F.col("id").alias("c"))
+        comm = cut(degrees.select("id", F.col("id").alias("c")), "moves")
         start = q = _modularity(level, comm, m2, resolution)
         idle = i = 0
         while idle < 2:
             moved = cut(_move(level, degrees, comm, m2, resolution, i % 2), "moves")
             new_q = _modularity(level, moved, m2, resolution)
             if new_q >= q + tolerance:
+                remove(level.sparkSession, comm.cut_path)
                 comm, q, idle = moved, new_q, 0
             else:
+                remove(level.sparkSession, moved.cut_path)
                 idle += 1
             i += 1
         if q < start + tolerance:
             break
-        labels = cut(labels.join(comm.toDF("label", "c"), "label").select("id", F.col("c").alias("label")), "labels")
+        labels = cut(labels.join(comm.toDF("label", "c"), "label").select("id", F.col("c").alias("label")), "labels", replaces=[labels])
         level = cut(
             level.join(comm.toDF("src", "cs"), "src").join(comm.toDF("dst", "cd"), "dst")
-            .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")), "graph")
+            .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")), "graph", replaces=[level, degrees, comm])
     smallest = labels.groupBy("label").agg(F.min("id").alias("low"))
     return labels.join(smallest, "label").select("id", F.col("low").alias("label"))
 
 
+def louvain(edges: DataFrame, src="src", dst="dst", weight=None, tolerance=0.001, resolution=1.0) -> DataFrame:
+    """Communities by greedy modularity (Blondel et al. 2008), split where they are not connected: ``(id, label)``.
+
+    Gains depend on the rest of the graph by its total weight alone, so components are worked on apart from each other: those of up
+    to ``LOCAL_EDGES`` edges whole, many to a task, larger ones in rounds over all tasks. The label is the smallest member id.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), w.alias("w")).where("a <> b")
+    graph = cut(one.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")), "graph")
+    total, n = graph.agg(F.sum("w"), F.count("*")).first()
+    kind = graph.schema["src"].dataType.simpleString()
+    if not total:
+        return graph.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("label"))
+    m2 = 2.0 * total
+
+    def local(t: pa.Table) -> pa.Table:
+        found = local_graph.communities(*[t[c].to_pylist() for c in ("src", "dst", "w")], m2, resolution)
+        return pa.table({"id": pa.array(list(found), t.schema.field("src").type), "label": pa.array(list(found.values()), t.schema.field("src").type)})
+
+    if n <= LOCAL_EDGES:  # one part, whatever its components
+        return graph.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(local, f"id {kind}, label {kind}")
+    parts = connected_components(graph, forests=True).toDF("src", "part")
+    placed = cut(graph.join(parts, "src"), "placed")
+    sizes = cut(placed.groupBy("part").agg(F.count("*").alias("n")), "sizes")
+    small, large = sizes.agg(F.sum(F.when(F.col("n") <= LOCAL_EDGES, F.col("n"))), F.count_if(F.col("n") > LOCAL_EDGES)).first()
+    told = placed.join(sizes, "part")
+    tasks = max(1, -(-(small or 0) // LOCAL_EDGES))
+    own = told.where(F.col("n") <= LOCAL_EDGES).withColumn("task", F.pmod(F.xxhash64("part"), F.lit(tasks)))
+    out = own.groupBy("task").applyInArrow(local, f"id {kind}, label {kind}")
+    if large:
+        big = told.where(F.col("n") > LOCAL_EDGES).select("src", "dst", "w")
+        both = cut(big.unionByName(big.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "graph")
+        out = out.unionByName(_rounds(both, m2, tolerance, resolution))
+    return out
+
+
 def communities(edges: DataFrame, method="louvain", **options) -> DataFrame:
     """Cluster label of every volume with a strong edge; ``components`` is the baseline."""
     if method == "components":
-        return connected_components(edges, "target", "candidate")
+        return connected_components(edges, "target", "candidate", forests=True)
     return louvain(edges, "target", "candidate", **options)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textkin.functions import vectors as vx
 from textkin.operators.vectorize import mean_vectors, median_vectors, sum_vectors
-from textkin.session import cut
+from textkin.session import cut, remove
 
 
 def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, rounds_per_cut=5, tolerance=None) -> DataFrame:
@@ -29,6 +29,7 @@ def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, roun
         .join(out.select("cluster", F.col("src").alias("htid"), F.lit(False).alias("sink")), ["cluster", "htid"], "left")
         .select("cluster", "htid", "n", F.coalesce("sink", F.lit(True)).alias("sink")), "nodes")
     rank = nodes.select("cluster", "htid", (F.lit(1.0) / F.col("n")).alias("rank"))
+    # Only the newest cut of the ranks is kept.
     before, done = cut(rank, "ranks"), 0
     rank = before
     while tolerance is not None or done < rounds:
@@ -46,12 +47,13 @@ def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, roun
         )
         done += 1
         if done % rounds_per_cut == 0 or (tolerance is None and done == rounds):
-            rank = cut(rank, "ranks")
+            rank, change = cut(rank, "ranks"), None
             if tolerance is not None:
                 change = rank.join(before.withColumnRenamed("rank", "old"), ["cluster", "htid"]).agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if change is None or change <= tolerance:
-                    break
-                before = rank
+            remove(rank.sparkSession, before.cut_path)
+            before = rank
+            if tolerance is not None and (change is None or change <= tolerance):
+                break
     return rank
 
 
