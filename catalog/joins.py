@@ -228,8 +228,9 @@ def j27_similar_pairs(spark, sf):
 def j28_zip_vectors(spark, sf):
     c = fx.chunk_vectors(spark, sf)
     a, b = c.where("label <> 3"), c.where("label <> 7")
-    zipped = vectorize.zip_vectors(a, b).select("htid", "seq", F.size("vec").alias("dims"), F.lit("both").alias("state"))
-    return zipped.unionByName(vectorize.zip_mismatches(a, b).select("htid", "seq", F.lit(0).alias("dims"), F.col("missing_from").alias("state")))
+    zipped = vectorize.zip_vectors(a, b).select("htid", "seq", F.lit("both").alias("state"), F.posexplode("vec").alias("pos", "x"))
+    missing = vectorize.zip_mismatches(a, b).select("htid", "seq", F.col("missing_from").alias("state"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("float").alias("x"))
+    return zipped.unionByName(missing).select("htid", "seq", "state", "pos", F.round(F.col("x").cast("double") + 1e-10, 6).alias("x"))
 
 
 def j30_first_author(spark, sf):
@@ -352,8 +353,9 @@ ORACLE = {
         FROM codes c GROUP BY code""", "fx_meta", "fx_books", "fx_edges", **KEYED),
     "j27_similar_pairs": sql("""SELECT DISTINCT l.htid AS "left", r.htid AS "right", 'GRSIM' AS relationship FROM vo l JOIN codes USING (code)
         JOIN vo r ON r.code = similar_code WHERE l.htid <> r.htid AND CAST(split_part(l.htid, '.', 2) AS BIGINT) % 20 = 0""", "fx_meta", "fx_books", "fx_edges", **KEYED),
-    "j28_zip_vectors": sql("""SELECT htid, seq, 128 AS dims, 'both' AS state FROM fx_chunk WHERE label NOT IN (3, 7)
-        UNION ALL SELECT htid, seq, 0, CASE label WHEN 3 THEN 'left' ELSE 'right' END FROM fx_chunk WHERE label IN (3, 7)""", "fx_chunk"),
+    "j28_zip_vectors": sql("""SELECT htid, seq, 'both' AS state, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, round(unnest(v)::DOUBLE + 1e-10, 6) AS x
+        FROM (SELECT htid, seq, list_concat(vec, vec) AS v FROM fx_chunk WHERE label NOT IN (3, 7))
+        UNION ALL SELECT htid, seq, CASE label WHEN 3 THEN 'left' ELSE 'right' END, NULL, NULL FROM fx_chunk WHERE label IN (3, 7)""", "fx_chunk"),
     "j30_first_author": sql("SELECT book_id, title, author_id FROM fx_books", "fx_books"),
     "j31_top_with_metadata": sql("""SELECT target, count, title FROM (SELECT target, count(*) AS count FROM fx_rel GROUP BY target
         ORDER BY count DESC, target LIMIT 300) JOIN fx_meta ON htid = target""", "fx_rel", "fx_meta"),

@@ -49,12 +49,16 @@ def k13_export_tables(spark, sf):
     """Two tables written, all but the largest exported, the export read back."""
     tag = uuid.uuid4().hex[:8]
     small, large = f"works_{tag}", f"pairs_{tag}"
-    for name, df in ((small, clusters(spark, sf)), (large, fx.predictions(spark, sf))):
-        df.write.option("path", scratch(spark, name)).saveAsTable(name)
-    others = [t.name for t in spark.catalog.listTables() if t.name not in (small, large)]
     path = scratch(spark, "export")
-    done = sinks.export_tables(spark, path, skip=[sinks.largest_table(spark), large, *others])
-    assert done == [small], done
+    try:
+        for name, df in ((small, clusters(spark, sf)), (large, fx.predictions(spark, sf))):
+            df.write.option("path", scratch(spark, name)).saveAsTable(name)
+        others = [t.name for t in spark.catalog.listTables() if t.name not in (small, large)]
+        done = sinks.export_tables(spark, path, skip=[sinks.largest_table(spark), large, *others])
+        assert done == [small], done
+    finally:
+        for name in (small, large):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     return spark.read.parquet(f"{path}/{small}")
 
 
