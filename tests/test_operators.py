@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textkin.functions import labels
-from textkin.operators import candidates, compare, crosswalk, evaluate, export, ranks, score, synthesis, vectorize
+from textkin.operators import candidates, compare, crosswalk, evaluate, export, medians, ranks, score, synthesis, vectorize
 from textkin.operators import tokens as tk
 from textkin.schemas import JUDGMENTS, LABELS
 
@@ -108,6 +108,22 @@ def test_blocks_of_equal_depth_around_an_extreme_value(spark):
         assert max(sizes) <= 2 * 20_002 / many and len(sizes) > 0.9 * many
 
 
+def test_medians_in_one_slot_and_digit_by_digit(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    groups = {"odd": rng.normal(size=(31, 3)), "even": rng.normal(size=(40, 3)) * 1e6, "hot": np.repeat([[1.5, -2.0, 0.0]], 45, axis=0),
+              "one": np.array([[7.0, -0.0, 1e-300]]), None: rng.integers(-3, 3, size=(50, 3)).astype(float)}
+    groups["even"][:3, 0] = [np.inf, -np.inf, 1e300]
+    rows = [(k, 1, [float(x) for x in v], "x") for k, m in groups.items() for v in m] + [("odd", 1, None, "x")]
+    df = spark.createDataFrame(rows, "k string, k2 int, vec array<double>, slots string").repartition(4)
+    for size in (1024, 8):
+        monkeypatch.setattr(medians, "SLOT_ROWS", size)
+        got = {r.k: r.vec for r in medians.median_vectors(df, ["k", "k2"]).collect()}
+        assert got.keys() == groups.keys() and all(np.allclose(got[k], np.median(m, axis=0), rtol=1e-15) for k, m in groups.items())
+    assert medians.median_vectors(df.where("false"), ["k"]).collect() == []
+    x = np.array([-np.inf, -3.5, -0.0, 0.0, 1e-310, 2.0, np.inf])
+    assert (np.diff(medians.ordered(x).astype(object)) > 0).all() and (medians.unordered(medians.ordered(x)) == x).all()
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(4)
     vals = {"a": rng.normal(size=301), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([5.0])}

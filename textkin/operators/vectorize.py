@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textkin.functions import text as tx
 from textkin.functions import vectors as vx
+from textkin.operators.medians import median_vectors
 from textkin.operators.tokens import chunk_pages, count_by_chunk, page_extents
 from textkin.session import cut
 
@@ -79,8 +80,8 @@ def embed_words(counts: DataFrame, words: DataFrame, keys=("htid", "seq"), stop_
                 min_count=1, log=True) -> DataFrame:
     """Weighted sum of word vectors over a token list, unit length.
 
-    ``words`` is ``(word, vec)``. Components are summed with map-side partial
-    aggregation; the join stays a plain equi-join so that a large vocabulary is
+    ``words`` is ``(word, vec)``. Whole vectors are summed, weighted, one per group and task before the shuffle; the join
+    stays a plain equi-join so that a large vocabulary is
     never forced into a broadcast.
     """
     keys = list(keys)
@@ -88,13 +89,10 @@ def embed_words(counts: DataFrame, words: DataFrame, keys=("htid", "seq"), stop_
     if stop_words is not None:
         c = c.join(stop_words, c["token"] == stop_words["word"], "left_anti")
     weight = F.log1p(F.col("count")) if log else F.col("count").cast("double")
-    long = (
-        c.select(*keys, "token", weight.alias("w"))
-        .join(words.select(F.col("word").alias("token"), F.col("vec").alias("wv")), "token")
-        .select(*keys, "w", F.posexplode("wv").alias("pos", "c"))
-        .groupBy(*keys, "pos").agg(F.sum(F.col("w") * F.col("c")).alias("x"))
-    )
-    return unit_vectors(collect_components(long, keys), keep_type=False)
+    met = c.select(*keys, "token", weight.alias("w")).join(
+        words.where(F.col("vec").isNotNull()).select(F.col("word").alias("token"), F.col("vec").alias("wv")), "token")
+    sums = Summarizer.sum(array_to_vector(F.transform("wv", lambda x: x * F.col("w"))))
+    return unit_vectors(met.groupBy(*keys).agg(vector_to_array(sums).alias("vec")), keep_type=False)
 
 
 def vectorise_volumes(tokens: DataFrame, words: DataFrame = None, chunk_size=10000, dims=640) -> DataFrame:
@@ -243,22 +241,8 @@ def sum_vectors(df: DataFrame, keys, vec="vec") -> DataFrame:
 
 
 def median_components(df: DataFrame, keys, vec="vec") -> DataFrame:
-    """Exact component-wise median in long form ``(keys, pos, x)``.
-
-    Equal values are counted map-side first and the counts are summed along the
-    value order, block by block, so the values of a hot group never meet in one
-    task.
-    """
-    keys = list(keys)
-    vals = df.select(*keys, F.posexplode(vec).alias("pos", "x")).withColumn(
-        "x", F.col("x").cast("double"))
-    return weighted_quantiles(vals.groupBy(*keys, "pos", "x").agg(F.count("*").alias("c")),
-                              [*keys, "pos"], "x", "c", [0.5]).select(
-        *keys, "pos", F.col("value").alias("x"))
-
-
-def median_vectors(df: DataFrame, keys, vec="vec") -> DataFrame:
-    return collect_components(median_components(df, keys, vec), list(keys), vec)
+    """Exact component-wise median in long form ``(keys, pos, x)``."""
+    return median_vectors(df, keys, vec).select(*keys, F.posexplode(vec).alias("pos", "x"))
 
 
 def depth_blocks(counts: DataFrame, keys, value: str, count: str) -> DataFrame:
