@@ -302,14 +302,40 @@ def page_blocks(sets: DataFrame) -> DataFrame:
     return packed.select("htid", "blk", F.col("c.idx").alias("pages"), F.col("c.id").alias("ids"))
 
 
+def _most_common(k):
+    """Ids of the ``k`` tokens on most pages of two volumes; of equally common ones those first in order."""
+
+    def of(left, right):
+        ids, df, words = (pa.concat_arrays([x.field(n) for x in (left, right)]) for n in ("id", "df", "token"))
+        own, first, at = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        df = np.bincount(at, weights=df.to_numpy(), minlength=len(own))
+        if len(own) <= k:
+            return own
+        least = -np.partition(-df, k - 1)[k - 1]
+        more, ties = np.flatnonzero(df > least), np.flatnonzero(df == least)
+        order = pc.sort_indices(pc.cast(words.take(pa.array(first[ties])), pa.binary())).to_numpy()
+        return own[np.concatenate([more, ties[order[:k - len(more)]]])]
+
+    def run(batches):
+        for batch in batches:
+            found = [of(l.values, r.values) for l, r in zip(batch["l"], batch["r"])]
+            yield pa.RecordBatch.from_arrays([batch["left"], batch["right"], pa.array(found, pa.list_(pa.int64()))], ["left", "right", "common"])
+
+    return run
+
+
 def common_tokens(pairs: DataFrame, sets: DataFrame, drop_common: int) -> DataFrame:
-    """Ids of each pair's most frequent tokens: ``(left, right, common)``. Pages are counted per volume first."""
-    df = sets.groupBy("htid", "token").agg(F.count("*").alias("df"))
-    sides = pairs.select("left", "right", F.explode(F.array("left", "right")).alias("htid"))
-    both = sides.join(df, "htid").groupBy("left", "right", "token").agg(F.sum("df").alias("df"))
-    top = top_per_group(both, ["left", "right"], [F.desc("df"), "token"], drop_common)
-    # At most ``drop_common`` ids per pair.
-    return top.groupBy("left", "right").agg(F.collect_list(F.xxhash64("token")).alias("common"))
+    """Ids of each pair's most frequent tokens: ``(left, right, common)``.
+
+    Pages are counted per volume first; a volume's vocabulary is one row, so no row stands for a token of a pair.
+    """
+    df = sets.groupBy("htid", "token").agg(F.count("*").alias("df")).groupBy("htid").agg(
+        F.collect_list(F.struct(F.xxhash64("token").alias("id"), "df", "token")).alias("v"))
+    met = pairs.join(df.select(F.col("htid").alias("left"), F.col("v").alias("l")), "left").join(
+        df.select(F.col("htid").alias("right"), F.col("v").alias("r")), "right")
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return met.select("left", "right", "l", "r").mapInArrow(
+        _most_common(drop_common), f"left {types['left']}, right {types['right']}, common array<long>")
 
 
 def _page_jaccard(lpages, lids, rpages, rids, common):
