@@ -44,7 +44,7 @@ def c5_unrolled_matrix(spark, sf):
 def doc_cells(spark, sf, drop_common=20):
     """Page Jaccard cells of the document pairs, written once: several operators read them."""
     t = cut(fx.tokens(spark, sf), "tokens")
-    sets = cut(compare.page_sets(t), "sets")
+    sets = cut(compare.page_sets(t), "sets", replaces=[t])
     return cut(compare.jaccard_cells(fx.doc_pairs(spark, sf), sets, drop_common), "cells")
 
 

@@ -108,7 +108,7 @@ def cc_sql(body, *views, **extra):
     """A query over ``walk(id, reach)``, the reachability of the strong edges."""
     q = sql(body, *views, **extra, strong=_STRONG, nb=_NB, nodes=_NODES, walk=WALK, comp=_CC)
     # comp and walk come after the query's own views; recursion needs the keyword.
-    return q.replace("WITH ", "WITH RECURSIVE ", 1)
+    return q if q.startswith("WITH RECURSIVE") else q.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def pagerank_sql(rounds=15):
