@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from textkin.llm import toxicity
 from textkin.llm.toxicity import _grammar, fit, outputs, score
@@ -25,6 +26,83 @@ def test_the_composed_machine_marks_matches():
     assert clause_outputs("blorpy", [("blor", True)]) == {"insult": 1} and clause_outputs("blor", [("blor", True)]) == {}
 
 
+KINDS = {"blorp": "insult", "kill": "threat", "you": "target", "not": "negation", "said": "report", "stone": "other"}
+
+
+def by_hand(tokens):
+    """The grammar's rules on one clause, each over the whole clause in turn."""
+    kinds = [KINDS[t] for t in tokens]
+    found, insults, targets, denied, reported = {}, 0, False, 0, False
+    for i, kind in enumerate(kinds):
+        match, seen = None, "target" in kinds[:i]
+        if kind == "insult":
+            match, insults = "pile" if insults else "insult", insults + 1
+            match = f"aimed {match}" if targets else match
+        elif kind == "threat" and seen or kind == "target" and not seen and i and kinds[i - 1] == "threat":
+            match = "aimed threat"  # a threat without a target before it counts at one right after it
+        targets = targets or kind == "target"
+        if match:
+            match = f"denied {match}" if denied else match
+            match = f"reported {match}" if reported else match
+            found[match] = found.get(match, 0) + 1
+        denied = 3 if kind == "negation" else max(0, denied - 1)
+        reported = reported or kind == "report"
+    return found
+
+
+def test_the_machine_follows_the_rules_on_random_clauses():
+    rng = random.Random(5)
+    for _ in range(1500):
+        clauses = [rng.choices(list(KINDS), k=rng.randrange(1, 9)) for _ in range(rng.randrange(1, 4))]
+        want = {}
+        for c in clauses:
+            for k, n in by_hand(c).items():
+                want[k] = want.get(k, 0) + n
+        text = rng.choice([". ", "! ", "\n", ";"]).join(" ".join(c) for c in clauses)
+        assert clause_outputs(text) == want, text
+
+
+def test_typographic_signs_separate_and_capitals_count():
+    for text in ("you \u201cblorp\u201d", "you\u00a0blorp", "you \u2014blorp\u2014", "you\u2009blorp\u2026", "you \U0001f600blorp\U0001f600", "YOU BLORP"):
+        assert clause_outputs(text) == {"aimed insult": 1}, text
+    german = (("\u00e4rger", False),)
+    for text in ("du \u00e4rger", "du \u00c4rger", "DU \u00c4RGER", "du \u201e\u00c4rger\u201c"):
+        assert clause_outputs(text, german) == {"aimed insult": 1}, text
+    assert clause_outputs("du \u0411\u041b\u041e", (("\u0431\u043b\u043e", False),)) == {"aimed insult": 1}
+    assert clause_outputs("du b\u00e4rger", german) == {}
+
+
+def test_letters_are_those_of_each_character():
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x600), rng.randrange(0x2000, 0x2100), rng.randrange(0x10000, 0x10400)]))
+                     for _ in range(200)) for _ in range(30)] + ["", "plain"]
+    for text, got in zip(texts, toxicity.letters(pa.array([None, *texts]).slice(1)).to_pylist()):
+        want = "".join(c if c < "\x80" else " " * len(c.encode()) if not c.isalpha()
+                       else c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else c for c in text)
+        assert got == want
+
+
+def test_entries_are_words_as_scores_see_them(spark):
+    rows = [(1, " ".join(f"w{chr(97 + i)}q \u201c\u00c4rgerling\u201d." for i in range(6)))] * 3 + [(0, "calm words here")] * 3
+    found = toxicity.lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert ("\u00e4rgerling", False) in found
+
+
+def test_held_out_labels_of_the_given_documents(spark):
+    """Scores of the documents that are left out of learning rank toxic ones first."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    grammar = fit(docs, labels.where(~held))
+    rows = score(docs.where(held), grammar).join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    bad, good = ([r.score for r in rows if r.toxic == t] for t in (1, 0))
+    assert len(bad) > 20 and len(good) > 200
+    auc = np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
+    caught = np.mean([r.predicted for r in rows if r.toxic == 1])
+    wrong = np.mean([r.predicted for r in rows if r.toxic == 0])
+    assert auc > 0.9 and caught > 0.75 and wrong < 0.05
+
+
 def test_marks_lower_or_raise_the_prior():
     w = dict(zip(outputs(), map(toxicity.prior_weight, outputs())))
     assert w["denied insult"] < w["insult"] < w["aimed insult"] and w["reported denied insult"] < w["reported insult"]

@@ -1,6 +1,6 @@
 """Toxicity of documents by a weighted finite-state pattern grammar.
 
-Tokens are runs of letters; each is one symbol: insult, threat, target (who is spoken to), negation, reported speech, or
+Tokens are runs of letters (``str.isalpha``) in lower case, character by character; each is one symbol: insult, threat, target (who is spoken to), negation, reported speech, or
 other. Five transducers read a clause (tokens between ``. ! ? ;`` and line ends) in a row:
 
 * insult: the first insult of a clause as it is, further ones as pile-up,
@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ FIT_TASKS = 8
 #: A lexicon entry: different words before it in toxic rows, as a share of these rows and in number at least, and toxic share of such words
 #: with classes of equal size.
 SUPPORT, LEAST, PRECISION = 0.01, 3, 0.97
-#: Longest list of entries; entries are taken by support.
-MAX_ENTRIES = 5000
 BEGINNINGS = (4, 5, 6)
 
 THREATS = "kill hurt destroy beat burn shoot stab crush strangle töten umbringen verletzen schlagen tuer frapper blesser matar golpear herir".split()
@@ -148,7 +147,7 @@ class Grammar:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How often each output occurs in the matched clauses of each text."""
-        words = words_of(texts, _NOT_LETTER)
+        words = words_of(letters(texts), _NOT_LETTER)
         out = np.zeros((len(texts), len(self.outputs)))
         symbols = self.symbols(words)
         hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
@@ -193,15 +192,74 @@ def outputs():
     return sorted({out for row in machine() for _, out in row if out.split()[-1] in BASE})
 
 
+class _Characters:
+    """A table that a process fills for itself; functions that are sent to tasks take an empty one along."""
+
+    found = None
+
+    def __reduce__(self):
+        return type(self), ()
+
+    def table(self):
+        if self.found is None:
+            self.found = np.fromiter(map(self._one, range(0x110000)), np.int64, 0x110000)
+        return self.found
+
+    @staticmethod
+    def _one(code):
+        c = chr(code)
+        if code < 128 or not c.isalpha():
+            return 0
+        low = c.lower()
+        return ord(low) if len(low) == 1 and len(low.encode()) == len(c.encode()) else code
+
+
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: For ``bytes.translate``: letters in lower case, the rest of ASCII as spaces.
+_PLAIN = bytes(0x20 if _NOT_LETTER[b] else b | 0x20 if b < 128 else b for b in range(256))
 _BREAK = np.zeros(256, np.int64)
 _BREAK[[ord(c) for c in ".!?;\n"]] = 1
 
 
+#: Of every character outside ASCII: its lower case if that is as long in UTF-8, else itself; 0 for what is no letter.
+_CHARACTERS = _Characters()
+
+
+def letters(texts: pa.Array) -> pa.Array:
+    """The texts with characters outside ASCII in lower case, or as spaces where they are no letters; nulls are empty.
+
+    Every character keeps its bytes, so offsets hold. ASCII stays as it is.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return texts
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    if data.max() < 128:
+        return texts
+    data, known = data.copy(), _CHARACTERS.table()
+    # Lead bytes of characters of two, three and four bytes, and the bits of the character in them.
+    for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + size <= len(data)]
+        if not len(at):
+            continue
+        code = (data[at] - low).astype(np.int64)
+        for i in range(1, size):
+            code = code << 6 | data[at + i] & 0x3F
+        to = known[np.minimum(code, len(known) - 1)]
+        none = to == 0
+        for i in range(size - 1, 0, -1):
+            data[at + i] = np.where(none, 0x20, 0x80 | to & 0x3F)
+            to = to >> 6
+        data[at] = np.where(none, 0x20, low | to)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+
+
 def _hashes(items):
     items = pa.array(list(items), pa.string())
-    return np.sort(words_of(items, _NOT_LETTER).hashes(lower=True)) if len(items) else np.empty(0, U64)
+    return np.sort(words_of(letters(items), _NOT_LETTER).hashes(lower=True)) if len(items) else np.empty(0, U64)
 
 
 def _among(values, known):
@@ -229,24 +287,33 @@ def sample(docs: DataFrame, labels: DataFrame, id="doc_id", text="text", label="
     return cut(texts.join(F.broadcast(chosen), "key").select("text", "toxic").repartition(FIT_TASKS), "sample")
 
 
+def _words(batches):
+    """Every word of a text once for each word that it follows, split as scores split it."""
+    for batch in blocks(batches, "text"):
+        for toxic, text in zip(batch["toxic"].to_pylist(), letters(batch["text"])):
+            words = text.as_buffer().to_pybytes().translate(_PLAIN).split()
+            pairs = sorted(set(zip(words, [b"", *words])))
+            if pairs:
+                entry, after = (pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(pairs), pa.int32()), entry, after], ["toxic", "entry", "after"])
+
+
 def lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     """``(letters, is a beginning)`` of the insult entries.
 
-    An entry is counted by the different words it follows. Insults follow any word; the rare words of a passage that
+    An entry is counted by the different words it follows; the sample bounds how many reach the support. Insults follow any word; the rare words of a passage that
     toxic texts copied from each other always follow the same one and prove nothing.
     """
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return []
-    words = rows.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")).alias("words"))
-    each = cut(words.select("toxic", F.explode(F.transform("words", lambda w, i: F.struct(
-        w.alias("entry"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("after")))).alias("w")).select("toxic", "w.*").distinct(), "words")
+    each = cut(rows.mapInArrow(_words, "toxic int, entry string, after string").distinct(), "words")
 
     def chosen(each):
         counted = each.groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
         bad, good = F.col("bad") / totals[1], F.col("good") / totals[0]
         found = counted.where((F.col("bad") >= max(LEAST, SUPPORT * totals[1])) & (bad / (bad + good) >= PRECISION))
-        return found.orderBy(F.desc("bad"), "entry").limit(MAX_ENTRIES).select("entry")
+        return found.select("entry")
 
     whole = cut(chosen(each), "insults")
     # Beginnings must earn their place with words that are no entries yet.
