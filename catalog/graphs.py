@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import q6, q6s, r6, r6s, sql
 from catalog.joins import CLEAN, CLUSTERS, STATS_BY_WORK, WORK_PAIRS, _work_predictions, clean, clusters, rel
-from textkin.operators import graph, relations, representative
+from textkin.operators import centrality, graph, relations, representative
 from textkin.plans import works
 
 
@@ -54,7 +54,7 @@ def _edges(spark, sf):
 
 
 def g5_pagerank(spark, sf):
-    return representative.pagerank(_members(spark, sf), _edges(spark, sf)).select("cluster", "htid", r6("rank"))
+    return centrality.pagerank(_members(spark, sf), _edges(spark, sf)).select("cluster", "htid", r6("rank"))
 
 
 def _book_members(spark, sf):
@@ -78,7 +78,7 @@ def g7_best_copies(spark, sf):
 
 
 def g7_best_by_network(spark, sf):
-    r = representative.pagerank(_members(spark, sf), _edges(spark, sf))
+    r = centrality.pagerank(_members(spark, sf), _edges(spark, sf))
     return representative.best_copies(r.join(fx.meta(spark, sf).select("htid", "access"), "htid"), {"best_network": ("rank", "max")})
 
 

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textkin.operators import graph, local_graph, representative
+from textkin.operators import centrality, graph, local_graph, representative
 from textkin.plans import works
 from textkin.schemas import LABELS
+from textkin.session import bucketed, drop_bucketed, shuffle_parts
 
 
 def union_find(edges):
@@ -105,15 +106,77 @@ def test_pagerank_sums_to_one_and_prefers_the_centre(spark):
     members = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, x) for x in "xyz"], "cluster int, htid string")
     edges = spark.createDataFrame([(1, "a", "b", 1.0), (1, "a", "c", 1.0), (1, "a", "d", 1.0), (2, "x", "y", 0.5)],
                                   "cluster int, target string, candidate string, w double")
-    r = {(x["cluster"], x["htid"]): x["rank"] for x in representative.pagerank(members, edges, rounds=30).collect()}
+    r = {(x["cluster"], x["htid"]): x["rank"] for x in centrality.pagerank(members, edges, rounds=30).collect()}
     assert sum(v for (c, _), v in r.items() if c == 1) == pytest.approx(1.0)
     assert sum(v for (c, _), v in r.items() if c == 2) == pytest.approx(1.0)
     assert max((v, k) for k, v in r.items() if k[0] == 1)[1] == (1, "a")
     assert r[2, "z"] < r[2, "x"] == pytest.approx(r[2, "y"])
-    settled = {(x["cluster"], x["htid"]): x["rank"] for x in representative.pagerank(members, edges, tolerance=1e-9).collect()}
+    settled = {(x["cluster"], x["htid"]): x["rank"] for x in centrality.pagerank(members, edges, tolerance=1e-9).collect()}
     assert settled.keys() == r.keys() and all(abs(settled[k] - r[k]) < 1e-2 for k in r)
 
 
+def ranks_by_hand(members, edges, rounds, damping=0.85):
+    """Rounds of one cluster after the other, as a dense matrix."""
+    out = {}
+    for c in {c for c, _ in members}:
+        ids = sorted({x for k, x in members if k == c})
+        at = {x: i for i, x in enumerate(ids)}
+        flow, n = np.zeros((len(ids), len(ids))), len(ids)
+        total = np.zeros(n)
+        for k, a, b, w in edges:
+            for s, d in ((a, b), (b, a)):
+                if k == c and a != b and w > 0 and s in at:
+                    total[at[s]] += w
+                    if d in at:
+                        flow[at[d], at[s]] += w
+        flow = flow / np.where(total > 0, total, 1)
+        x = np.full(n, 1 / n)
+        for _ in range(rounds):
+            got = flow @ x
+            x = (1 - damping) / n + damping * (got + (x.sum() - got.sum()) / n)
+        out |= {(c, i): r for i, r in zip(ids, x)}
+    return out
+
+
+def test_pagerank_whole_and_in_rounds_are_the_same(spark):
+    rng = np.random.default_rng(4)
+    members = [(c, f"v{i:03d}") for c in range(4) for i in range((5, 40, 90, 1)[c])] + [(1, "v000")]
+    edges = [(c, f"v{a:03d}", f"v{b:03d}", float(w)) for c, n, k in ((0, 3, 4), (1, 36, 80), (2, 91, 200)) for a, b, w in
+             zip(rng.integers(0, n, k), rng.integers(0, n, k), rng.random(k))]
+    edges += [(2, "v000", f"v{i:03d}", 0.5) for i in range(1, 80)]  # a hub
+    edges += [(2, "v001", "v002", 0.0), (2, "v001", "v002", None), (9, "x", "y", 1.0)]
+    m = spark.createDataFrame([*members, (None, "v001"), (1, None)], "cluster int, htid string")
+    e = spark.createDataFrame(edges, "cluster int, target string, candidate string, w double")
+    tables = len(spark.catalog.listTables())
+    want = ranks_by_hand(members, [x for x in edges if x[3] is not None], 4)
+    for options in ({}, {"local_rows": 60}, {"local_rows": 0, "hub_edges": 30}):
+        rows = centrality.pagerank(m, e, rounds=4, **options).collect()
+        got = {(r["cluster"], r["htid"]): r["rank"] for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    settled = [centrality.pagerank(m, e, tolerance=1e-2, step=3, local_rows=n).collect() for n in (0, 1000)]
+    a, b = ({(r["cluster"], r["htid"]): r["rank"] for r in rows} for rows in settled)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-2 for k in a)
+    assert centrality.pagerank(m.limit(0), e).collect() == [] and centrality.pagerank(m, e.limit(0), rounds=2).count() == len(want)
+    assert len(spark.catalog.listTables()) == tables
+
+
+def test_a_round_of_pagerank_shuffles_once(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = shuffle_parts(spark)
+        flows = bucketed(spark.range(500).selectExpr("id % 3 AS cluster", "id % 50 AS src", "id % 49 AS dst", "0.1D AS share"), "flows", ["cluster", "src"], parts)
+        state = bucketed(spark.range(150).selectExpr("id % 3 AS cluster", "id % 50 AS htid", "0.02D AS v", "array(0.02D) AS vectors"), "ranks", ["cluster", "htid"], parts)
+        plan = centrality._next(state, flows, 0.85)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange ") == 1
+    finally:
+        drop_bucketed(flows)
+        drop_bucketed(state)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def fold_reference(pairs, thresholds):
     """Base pairs re-aggregated from scratch in every pass, for both levels."""
     ids = sorted(set(pairs["target"]) | set(pairs["candidate"]))

@@ -1,60 +1,10 @@
-"""Best copy of every cluster: network centrality, centroid and median."""
+"""Best copy of every cluster by scores; distances to its centroid and median."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.functions import vectors as vx
 from textkin.operators.vectorize import mean_vectors, median_vectors, sum_vectors
-from textkin.session import cut, remove
-
-
-def pagerank(members: DataFrame, edges: DataFrame, rounds=15, damping=0.85, rounds_per_cut=5, tolerance=None) -> DataFrame:
-    """Weighted PageRank inside every cluster, all clusters together.
-
-    ``members`` is ``(cluster, htid)``, ``edges`` ``(cluster, target, candidate,
-    w)`` and undirected. Ranks add up to 1 per cluster; volumes without edges
-    spread their rank over the cluster. With a ``tolerance`` the rounds go on until no rank changes by more in
-    ``rounds_per_cut`` of them; ranks change by the factor ``damping`` less each round, so they do.
-    """
-    edges = cut(edges.select("cluster", "target", "candidate", "w"), "edges")
-    both = edges.select("cluster", F.col("target").alias("src"), F.col("candidate").alias("dst"), "w").unionByName(
-        edges.select("cluster", F.col("candidate").alias("src"), F.col("target").alias("dst"), "w"))
-    flows = both.where("src <> dst AND w > 0").groupBy("cluster", "src", "dst").agg(F.sum("w").alias("w"))
-    out = flows.groupBy("cluster", "src").agg(F.sum("w").alias("out"))
-    flows = cut(flows.join(out, ["cluster", "src"]).select(
-        "cluster", "src", "dst", (F.col("w") / F.col("out")).alias("share")), "flows")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    nodes = cut(
-        members.select("cluster", "htid").join(sizes, "cluster")
-        .join(out.select("cluster", F.col("src").alias("htid"), F.lit(False).alias("sink")), ["cluster", "htid"], "left")
-        .select("cluster", "htid", "n", F.coalesce("sink", F.lit(True)).alias("sink")), "nodes")
-    rank = nodes.select("cluster", "htid", (F.lit(1.0) / F.col("n")).alias("rank"))
-    # Only the newest cut of the ranks is kept.
-    before, done = cut(rank, "ranks"), 0
-    rank = before
-    while tolerance is not None or done < rounds:
-        here = nodes.join(rank, ["cluster", "htid"])
-        loose = here.groupBy("cluster").agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("loose"))
-        arriving = (
-            flows.join(rank.withColumnRenamed("htid", "src"), ["cluster", "src"])
-            .groupBy("cluster", F.col("dst").alias("htid")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        )
-        rank = (
-            nodes.join(loose, "cluster").join(arriving, ["cluster", "htid"], "left")
-            .select("cluster", "htid", (
-                (1 - damping) / F.col("n")
-                + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
-        )
-        done += 1
-        if done % rounds_per_cut == 0 or (tolerance is None and done == rounds):
-            rank, change = cut(rank, "ranks"), None
-            if tolerance is not None:
-                change = rank.join(before.withColumnRenamed("rank", "old"), ["cluster", "htid"]).agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            remove(rank.sparkSession, before.cut_path)
-            before = rank
-            if tolerance is not None and (change is None or change <= tolerance):
-                break
-    return rank
 
 
 def member_distances(members: DataFrame, chunks: DataFrame) -> DataFrame:

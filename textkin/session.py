@@ -57,3 +57,29 @@ def cut(df: DataFrame, name="cut", replaces=()) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    """Partitions of a shuffle before any are joined, which is the number of buckets that needs none."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or parts)
+
+
+def bucketed(df: DataFrame, name: str, keys, buckets: int, dealt=False) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in buckets by ``keys``, for joins without a shuffle.
+
+    ``dealt``: its partitions hold whole buckets already. ``drop_bucketed`` removes the table.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df = df if dealt else df.repartition(buckets, *keys)
+    df.write.bucketBy(buckets, *keys).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.table_name, out.cut_path = table, path
+    return out
+
+
+def drop_bucketed(df: DataFrame):
+    """Drop a table that ``bucketed`` wrote, files and all."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+    remove(df.sparkSession, df.cut_path)
