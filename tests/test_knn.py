@@ -212,3 +212,33 @@ def test_band_choices():
     low = [r[0] for r in bands.layers(0.25, True)]
     assert low == sorted(low, reverse=True) and low[-1] == 0 and low[-2] > 0.25
     assert (bands.planes(8, 40)[:20] == bands.planes(8, 20)).all()
+
+
+def test_only_the_best_of_each_target_leave_a_unit(clouds, monkeypatch):
+    """Pieces of 16 rows: one list per target and run of the corpus, and one copy of a vector per run that meets it."""
+    rows, df = clouds
+    monkeypatch.setattr(exact, "BLOCK_ROWS", 16)
+    corpus = knn._with_vid(df, ["htid", "seq"], "vec").groupBy("vid").agg(
+        F.first("vec").alias("vec"), F.min(F.struct("htid", "seq")).alias("r")).select("vid", "vec", F.col("r.htid").alias("r0"), F.col("r.seq").alias("r1"))
+    pivots = np.random.default_rng(1).normal(size=(4, 12))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    distinct = corpus.count()
+    _, hits = exact.exact_hits(corpus, None, pivots, 6, None, ["r0", "r1"], 7)
+    assert hits.count() == 6 * distinct
+    monkeypatch.setattr(exact, "CORPUS", 40)
+    monkeypatch.setattr(exact, "TILE", 8)
+    _, hits = exact.exact_hits(corpus, None, pivots, 6, None, ["r0", "r1"], 7)
+    assert 6 * distinct < hits.count() <= 6 * distinct * -(-distinct // 24)
+    for options in ({"pivots": 4}, {"pivots": 1, "max_dist": 0.6}, {"pivots": 4, "probes": 4}):
+        assert got(knn.chunk_neighbours(df, df, 5, **options)) == brute(rows, 5, options.get("max_dist"))
+
+
+def test_open_blocks_are_found_without_a_row_per_target_and_block(clouds):
+    rows, df = clouds
+    corpus = df.select(F.concat("htid", "seq").alias("vid"), "vec")
+    u = np.array([r[2] for r in rows])
+    found = exact.Blocks(corpus, u[::20] / np.linalg.norm(u[::20], axis=1, keepdims=True))
+    asked = found.corpus.select("vec", F.lit(4.0).alias("bound"), F.lit(0).cast("long").alias("run")).coalesce(1)
+    opened = asked.mapInArrow(exact._opened(found), "run long, place long").collect()
+    assert sorted(r.place for r in opened) == list(range(len(found.blocks)))
+    assert sorted(found.chain().tolist()) == list(range(len(found.blocks)))
