@@ -8,7 +8,7 @@ from catalog.joins import next_books
 from catalog.sets import ring
 from textkin.functions.vectors import set_jaccard
 from textkin.operators import align, candidates, compare
-from textkin.session import cut
+from textkin.session import bucketed, cut, drop_bucketed, shuffle_parts
 
 
 def chunks(spark, sf):
@@ -43,13 +43,22 @@ def c5_unrolled_matrix(spark, sf):
 
 def doc_cells(spark, sf, drop_common=20):
     """Page Jaccard cells of the document pairs, written once: several operators read them."""
-    t = cut(fx.tokens(spark, sf), "tokens")
-    sets = cut(compare.page_sets(t), "sets", replaces=[t])
-    return cut(compare.jaccard_cells(fx.doc_pairs(spark, sf), sets, drop_common), "cells")
+    return cells_and_pages(spark, sf, drop_common)[0]
 
 
-def page_sizes(spark, sf):
-    return fx.tokens(spark, sf).groupBy("htid").agg(F.count_distinct("page").alias("n"))
+def cells_and_pages(spark, sf, drop_common=20):
+    """The cells, and the pages that hold tokens, from one token table; tokens and page sets go once both are written."""
+    t = fx.token_table(spark, sf)
+    pages = cut(compare.page_index(t).select("htid", "idx", "n_tokens"), "pages")
+    sets = bucketed(compare.page_sets(t), "sets", ["htid"], shuffle_parts(spark), dealt=True)
+    drop_bucketed(t)
+    cells = cut(compare.jaccard_cells(fx.doc_pairs(spark, sf), sets, drop_common), "cells")
+    drop_bucketed(sets)
+    return cells, pages
+
+
+def page_sizes(pages):
+    return pages.groupBy("htid").agg(F.count("*").alias("n"))
 
 
 def c6_page_jaccard(spark, sf):
@@ -124,14 +133,14 @@ def x2_cells_where(spark, sf):
 
 
 def c15_run_statistics(spark, sf):
-    cells = doc_cells(spark, sf)
+    cells, pages = cells_and_pages(spark, sf)
     runs = align.alignment_runs(cells, threshold=0.2)
-    return align.run_statistics(runs, cells, page_sizes(spark, sf))
+    return align.run_statistics(runs, cells, page_sizes(pages))
 
 
 def c16_run_slopes(spark, sf):
-    pages = compare.page_index(fx.tokens(spark, sf)).select("htid", "idx", "n_tokens")
-    return align.run_slopes(align.alignment_runs(doc_cells(spark, sf), threshold=0.2), pages)
+    cells, pages = cells_and_pages(spark, sf)
+    return align.run_slopes(align.alignment_runs(cells, threshold=0.2), pages)
 
 
 def c17_mean_vector_features(spark, sf):
@@ -169,16 +178,17 @@ def j29_runs_with_words(spark, sf):
     """Matched cells with the running token counts of both pages."""
     from textkin.operators.ranks import running_total
 
-    pages = compare.page_index(fx.tokens(spark, sf)).select("htid", "idx", "n_tokens")
+    cells, pages = cells_and_pages(spark, sf)
     words = running_total(pages, ["htid"], "idx", "n_tokens", "words").select("htid", "idx", "words")
-    cells = doc_cells(spark, sf).where("sim > 0.2")
+    cells = cells.where("sim > 0.2")
     return cells.join(words.toDF("left", "left_seq", "left_words"), ["left", "left_seq"]).join(
         words.toDF("right", "right_seq", "right_words"), ["right", "right_seq"]).select(
         "left", "right", "left_seq", "right_seq", "left_words", "right_words")
 
 
 def l9_four_points(spark, sf):
-    f = compare.four_points(fx.doc_pairs(spark, sf), doc_cells(spark, sf), page_sizes(spark, sf))
+    cells, pages = cells_and_pages(spark, sf)
+    f = compare.four_points(fx.doc_pairs(spark, sf), cells, page_sizes(pages))
     return f.select("left", "right", *r6s("sim_at_quarter_length", "sim_at_half_length", "sim_at_full_length", "sim_at_double_length"))
 
 

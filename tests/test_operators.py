@@ -286,3 +286,26 @@ def test_code_rows_hold_every_code(spark, sf):
     written = sinks.k9_code_rows(spark, sf)
     assert {r.htid for r in written.where("htid is not null").collect()} == {r.htid for r in v.collect()}
     assert {r.book_id for r in written.where("book_id is not null").collect()} == {r.book_id for r in b.collect()}
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_tokens_dealt_by_volume_are_not_shuffled_again(spark):
+    from textkin.operators import compare, tokens, vectorize
+    from textkin.session import bucketed, drop_bucketed
+
+    docs = spark.createDataFrame([("a", "one two\n\nthree two one four\nfive"), ("b", "six"), ("c", "")], "htid string, text string").repartition(4, "htid")
+    t = bucketed(tokens.token_list(docs), "tokens", ["htid"], 4, dealt=True)
+    assert _exchanges(compare.page_sets(t)) == []
+    assert {tuple(r) for r in compare.page_sets(t).collect()} == {
+        ("a", 0, "one"), ("a", 0, "two"), ("a", 1, "three"), ("a", 1, "two"), ("a", 1, "one"), ("a", 1, "four"), ("a", 2, "five"), ("b", 0, "six")}
+    pages = spark.createDataFrame([("a", 1, 1, 2), ("a", 3, 2, 5), ("a", 4, 2, 5), ("b", 1, 1, 1)], "htid string, page int, seq int, chunk_tokens long")
+    counted = tokens.count_by_chunk(t, pages)
+    assert {tuple(r) for r in counted.collect()} == {
+        ("a", 1, "one", 1, 2), ("a", 1, "two", 1, 2), ("a", 2, "three", 1, 5), ("a", 2, "two", 1, 5), ("a", 2, "one", 1, 5), ("a", 2, "four", 1, 5),
+        ("a", 2, "five", 1, 5), ("b", 1, "six", 1, 1)}
+    assert all("token" not in line for line in _exchanges(vectorize.hash_project(counted, dims=8)))
+    drop_bucketed(t)

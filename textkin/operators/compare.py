@@ -291,8 +291,9 @@ def page_index(tokens: DataFrame) -> DataFrame:
 
 def page_sets(tokens: DataFrame) -> DataFrame:
     """(htid, idx, token): a token list holds each token of a page once."""
-    return tokens.select("htid", "page", "token").join(
-        page_index(tokens).select("htid", "page", "idx"), ["htid", "page"]).select("htid", "idx", "token")
+    pages = page_totals(tokens).groupBy("htid").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return tokens.select("htid", "page", "token").join(pages, "htid").select(
+        "htid", (F.array_position("pages", F.col("page")) - 1).alias("idx"), "token")
 
 
 def page_blocks(sets: DataFrame) -> DataFrame:
@@ -376,10 +377,10 @@ def jaccard_cells(pairs: DataFrame, sets: DataFrame, drop_common=DROP_COMMON) ->
     """
     p = pairs.select("left", "right").distinct()
     blocks = page_blocks(sets)
+    # The common tokens come first: they are short, while pages of both sides would be sent once more to meet them.
+    p = common_tokens(p, sets, drop_common) if drop_common else p.withColumn("common", F.lit(None).cast("array<long>"))
     rows = p.join(blocks.select(F.col("htid").alias("left"), F.col("pages").alias("lpages"), F.col("ids").alias("lids")), "left")
     rows = rows.join(blocks.select(F.col("htid").alias("right"), F.col("pages").alias("rpages"), F.col("ids").alias("rids")), "right")
-    rows = rows.join(common_tokens(p, sets, drop_common), ["left", "right"], "left") if drop_common else rows.withColumn(
-        "common", F.lit(None).cast("array<long>"))
     types = {f.name: f.dataType.simpleString() for f in p.schema}
 
     def run(batches):
