@@ -242,3 +242,14 @@ def test_open_blocks_are_found_without_a_row_per_target_and_block(clouds):
     opened = asked.mapInArrow(exact._opened(found), "run long, place long").collect()
     assert sorted(r.place for r in opened) == list(range(len(found.blocks)))
     assert sorted(found.chain().tolist()) == list(range(len(found.blocks)))
+
+
+def test_distances_without_bands_are_searched_exactly(clouds, monkeypatch):
+    rows, df = clouds
+
+    def none(*args):
+        raise AssertionError("every pair by blocks, with a list from each")
+
+    assert bands.says_nothing(1.25) and not bands.says_nothing(0.4)
+    monkeypatch.setattr(knn, "banded_hits", none)
+    assert got(knn.chunk_neighbours(df, df, 7, 1.25, banded=True)) == brute(rows, 7, 1.25)
