@@ -309,3 +309,31 @@ def test_tokens_dealt_by_volume_are_not_shuffled_again(spark):
         ("a", 2, "five", 1, 5), ("b", 1, "six", 1, 1)}
     assert all("token" not in line for line in _exchanges(vectorize.hash_project(counted, dims=8)))
     drop_bucketed(t)
+
+
+def test_pairs_of_members_are_written_out_after_the_last_shuffle(spark, monkeypatch):
+    from textkin.operators import members
+
+    monkeypatch.setattr(members, "MEMBERS", 2)
+    v = [(f"v{i}", "ab"[i % 2]) for i in range(9)]
+    meta = spark.createDataFrame([(i, g) for i, g in v] + [("x", None)], "htid string, author string")
+    truth = spark.createDataFrame([("v0", "v2"), ("v0", "v4"), ("v0", "v1"), ("v3", "v5"), ("v3", "v5")], "left string, right string")
+    targets = spark.createDataFrame([("v0",), ("v3",), ("x",), ("gone",)], "htid string")
+    listed = {("v0", "v2"), ("v0", "v4"), ("v3", "v5")}
+    want = {(a, b) for a, g in v for b, h in v if a in ("v0", "v3") and g == h and a != b} - listed
+    out = evaluate.author_truth_pairs(truth, meta, targets)
+    rows = [(r.left, r.right) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert not any("right" in line and "left" in line for line in _exchanges(out))
+    # A volume with two authors is paired with both, once.
+    twice = meta.unionByName(spark.createDataFrame([("v0", "b"), ("v1", "a")], "htid string, author string"))
+    rows = [(r.left, r.right) for r in evaluate.author_truth_pairs(truth, twice, targets).collect()]
+    assert len(rows) == len(set(rows)) and {r for a, r in rows if a == "v0"} == {"v1", "v3", "v5", "v6", "v7", "v8"} - {"v1"}
+
+    links = spark.createDataFrame([("a", "b"), ("a", "a")], "group string, other string")
+    ids = spark.createDataFrame(v, "id string, group string")
+    for more in ([], [("v1", "a")]):
+        both = v + more
+        some = ids.unionByName(spark.createDataFrame(more, ids.schema)) if more else ids
+        rows = [tuple(r) for r in members.linked_pairs(some, some, links).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == {(x, y) for x, g in both for y, _ in both if g == "a" and x != y}
