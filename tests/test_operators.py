@@ -337,3 +337,19 @@ def test_pairs_of_members_are_written_out_after_the_last_shuffle(spark, monkeypa
         some = ids.unionByName(spark.createDataFrame(more, ids.schema)) if more else ids
         rows = [tuple(r) for r in members.linked_pairs(some, some, links).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == {(x, y) for x, g in both for y, _ in both if g == "a" and x != y}
+
+
+def test_records_meet_lists_of_members(spark, monkeypatch):
+    """Only a code's own members are collected one by one; those of similar codes come as lists."""
+    from textkin.operators import members
+
+    monkeypatch.setattr(members, "MEMBERS", 2)
+    books = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(12)], "book_id long, code string")
+    volumes = spark.createDataFrame([(f"v{i}", "ab"[i % 2]) for i in range(10)] + [("v0", "b")], "htid string, code string")
+    similar = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "c")], "code string, similar_code string")
+    out = crosswalk.records_of(books, volumes, similar, volumes)
+    got = {r.code: (r.book_ids, r.htid, r.similar_books, r.similar_htids) for r in out.collect()}
+    evens, odds = [f"v{i}" for i in range(0, 10, 2)], [f"v{i}" for i in range(1, 10, 2)]
+    assert got == {"a": ([0, 3, 6, 9], evens, [0, 1, 3, 4, 6, 7, 9, 10], sorted(evens + odds)), "b": ([1, 4, 7, 10], ["v0", *odds], [2, 5, 8, 11], [])}
+    assert "collect_set(id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 2
