@@ -353,3 +353,19 @@ def test_records_meet_lists_of_members(spark, monkeypatch):
     assert got == {"a": ([0, 3, 6, 9], evens, [0, 1, 3, 4, 6, 7, 9, 10], sorted(evens + odds)), "b": ([1, 4, 7, 10], ["v0", *odds], [2, 5, 8, 11], [])}
     assert "collect_set(id" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 2
+
+
+def test_wide_matrices_take_part_in_no_join(spark):
+    from textkin.plans.features import feature_table
+
+    chunks = spark.createDataFrame([(f"v{i}", s, [float(i + 1), float(s)]) for i in range(4) for s in (1, 2)], "htid string, seq int, vec array<float>")
+    pairs = spark.createDataFrame([("v0", "v1", "SWSM"), ("v2", "v3", "DIFF"), ("v2", "gone", "DIFF")], "left string, right string, judgment string")
+    out = feature_table(pairs, chunks, matrix_size=3)
+    assert out.columns[:5] == ["left", "right", "judgment", "sim_x", "wem_x"]
+    rows = {(r.left, r.right): r for r in out.collect()}
+    assert set(rows) == {("v0", "v1"), ("v2", "v3")} and all(len(r.sim_x) == 9 and len(r.wem_x) == 4 for r in rows.values())
+    cos = (1 * 2 + 1 * 1) / ((1 + 1) ** 0.5 * (4 + 1) ** 0.5)
+    assert abs(rows["v0", "v1"].sim_x[0] - cos) < 1e-6 and rows["v0", "v1"].sim_x[2] == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = min(i for i, line in enumerate(plan) if "unroll(" in line)
+    assert not any("Join" in line for line in plan[:made])

@@ -134,6 +134,11 @@ def unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFra
     Chunks beyond the size are dropped before any shuffle, so a side is at most
     ``max_size`` vectors.
     """
+    return with_unrolled_matrix(pairs.select("left", "right").distinct(), chunks, max_size)
+
+
+def with_unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFrame:
+    """``pairs`` with all their columns and ``sim_x``, made after the joins: matrices are wide and never take part in one."""
     side = chunks.where(F.col("seq") <= max_size).groupBy("htid").agg(
         F.sort_array(F.collect_list(F.struct("seq", F.col("vec").cast("array<float>").alias("vec")))).alias("c"))
     side = side.select("htid", F.col("c.seq").alias("seqs"), F.flatten("c.vec").alias("flat"))
@@ -149,9 +154,8 @@ def unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFra
         return pd.Series(out)
 
     return (
-        pairs.select("left", "right").distinct()
-        .join(side.toDF("left", "lseqs", "lflat"), "left").join(side.toDF("right", "rseqs", "rflat"), "right")
-        .select("left", "right", unroll("lflat", "lseqs", "rflat", "rseqs").alias("sim_x"))
+        pairs.join(side.toDF("left", "lseqs", "lflat"), "left").join(side.toDF("right", "rseqs", "rflat"), "right")
+        .select(*pairs.columns, unroll("lflat", "lseqs", "rflat", "rseqs").alias("sim_x"))
     )
 
 

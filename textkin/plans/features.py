@@ -32,10 +32,11 @@ def feature_table(pairs: DataFrame, chunks: DataFrame, save_sim=True, save_wem=T
     Training and inference call this same function.
     """
     out = pairs
-    if save_sim:
-        out = out.join(compare.unrolled_matrix(pairs, chunks, matrix_size), ["left", "right"])
     if save_wem:
         out = out.join(compare.mean_vector_features(pairs, chunks, wem_form), ["left", "right"])
     if save_stats:
         out = out.join(pair_statistics(pairs, chunks), ["left", "right"])
+    if save_sim:
+        out = compare.with_unrolled_matrix(out, chunks, matrix_size)
+        out = out.select(*pairs.columns, "sim_x", *[c for c in out.columns if c not in pairs.columns and c != "sim_x"])
     return out
