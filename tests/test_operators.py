@@ -369,3 +369,37 @@ def test_wide_matrices_take_part_in_no_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     made = min(i for i, line in enumerate(plan) if "unroll(" in line)
     assert not any("Join" in line for line in plan[:made])
+
+
+def test_words_meet_blocks_of_groups_not_every_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{g}", s, f"w{w}", int(rng.integers(1, 9))) for g in range(12) for s in (1, 2) for w in {0, *rng.integers(1, 40, 15).tolist()}]
+    rows += [("big", 1, f"w{w}", 2) for w in range(60)]
+    vecs = {f"w{w}": rng.normal(size=3).tolist() for w in range(50)}
+    counts = spark.createDataFrame(rows, "htid string, seq int, token string, count long")
+    words = spark.createDataFrame([*vecs.items(), ("none", None)], "word string, vec array<double>")
+    stop = spark.createDataFrame([("w3",)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(vectorize, "EMBED_ROWS", 25, raising=False)
+    try:
+        out = vectorize.embed_words(counts, words, stop_words=stop, min_count=2)
+        # Counts are not dealt by their words, so a word of every group is in no task more often than there are blocks.
+        assert not any("hashpartitioning(token" in line for line in _exchanges(out))
+        got = {(r.htid, r.seq): r.vec for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {}
+    for g, s, w, n in rows:
+        if n >= 2 and w in vecs and w != "w3":
+            want[g, s] = want.get((g, s), 0) + np.log1p(n) * np.array(vecs[w])
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose(got[k], v / np.linalg.norm(v))
+
+
+def test_pages_find_their_chunk_by_bisection(spark):
+    for n in (1, 2, 7, 8, 9, 33):
+        pages = spark.createDataFrame([("a", 10 * s + p, s, 5) for s in range(1, n + 1) for p in (0, 4)], "htid string, page int, seq int, chunk_tokens long")
+        t = spark.createDataFrame([("a", p, f"t{p}", 1) for p in range(0, 10 * n + 20)], "htid string, page int, token string, count long")
+        got = {r.token: r.seq for r in tk.count_by_chunk(t, pages).collect()}
+        assert got == {f"t{10 * s + p}": s for s in range(1, n + 1) for p in range(5)}
