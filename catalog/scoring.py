@@ -14,7 +14,7 @@ from textkin.operators.bands import bands_sql
 from textkin.plans import relate
 from textkin.plans.features import feature_table, pair_statistics
 from textkin.schemas import JUDGMENTS, LABELS
-from textkin.session import cut
+from textkin.session import bucketed, cut, drop_bucketed, shuffle_parts
 
 
 _FLAG_DIMS = 160
@@ -80,11 +80,18 @@ def i5_relate_volumes(spark, sf):
     return out.select("target", "candidate", "guess", F.round("relatedness", 4).alias("relatedness"))
 
 
+def judged_chunks(tokens):
+    """Two kinds of vectors of the same chunks. The counts stay dealt by volume, as ``tokens`` are; that table is dropped."""
+    counted = bucketed(tk.chunk_token_list(tokens, 100), "counted", ["htid"], shuffle_parts(tokens.sparkSession), dealt=True)
+    drop_bucketed(tokens)
+    chunks = [cut(vectorize.hash_project(counted, dims=d), "chunks") for d in (64, 32)]
+    drop_bucketed(counted)
+    return chunks
+
+
 def judged_statistics(spark, sf):
     """Statistics of document pairs over two kinds of chunk vectors, judged: copies and versions (SWSM) and others (RANDDIFF)."""
-    tokens = cut(fx.tokens(spark, sf), "tokens")
-    counted = cut(tk.chunk_token_list(tokens, 100), "counted")
-    wide, narrow = (cut(vectorize.hash_project(counted, dims=d), "chunks") for d in (64, 32))
+    wide, narrow = judged_chunks(fx.token_table(spark, sf))
     same = fx.doc_pairs(spark, sf).withColumn("judgment", F.lit("SWSM"))
     d = fx.table(spark, sf, "documents").select("doc_id")
     name = lambda c: F.concat(F.lit("d."), c.cast("string"))

@@ -403,3 +403,21 @@ def test_pages_find_their_chunk_by_bisection(spark):
         t = spark.createDataFrame([("a", p, f"t{p}", 1) for p in range(0, 10 * n + 20)], "htid string, page int, token string, count long")
         got = {r.token: r.seq for r in tk.count_by_chunk(t, pages).collect()}
         assert got == {f"t{10 * s + p}": s for s in range(1, n + 1) for p in range(5)}
+
+
+def test_judged_chunks_do_not_deal_token_counts_again(spark, sf, monkeypatch):
+    from catalog import fixtures, scoring
+    from textkin import session
+
+    seen = []
+
+    def cut(df, name):
+        seen.append(_exchanges(df))
+        return session.cut(df, name)
+
+    monkeypatch.setattr(scoring, "cut", cut)
+    wide, narrow = scoring.judged_chunks(fixtures.token_table(spark, sf))
+    assert len(seen) == 2 and not any("token" in line for lines in seen for line in lines)
+    rows = {(r.htid, r.seq): r.vec for r in wide.collect()}
+    assert rows and all(len(v) == 64 for v in rows.values())
+    assert {(r.htid, r.seq) for r in narrow.collect()} == set(rows)
