@@ -1,6 +1,9 @@
 """Neighbour joins against brute force."""
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +256,28 @@ def test_distances_without_bands_are_searched_exactly(clouds, monkeypatch):
     assert bands.says_nothing(1.25) and not bands.says_nothing(0.4)
     monkeypatch.setattr(knn, "banded_hits", none)
     assert got(knn.chunk_neighbours(df, df, 7, 1.25, banded=True)) == brute(rows, 7, 1.25)
+
+
+def test_vectors_of_a_large_bucket_are_sent_once_per_band(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=64) + rng.normal(size=(2500, 64)) * 1e-6
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(vecs)], "vid string, vec array<double>")
+    df = df.withColumns({"t": F.lit(True), "c": F.lit(True)})
+
+    def count(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"tvid": [uuid.uuid4().hex], "mvid": ["sent"], "dist": [float(b.num_rows)]})
+        return run
+
+    monkeypatch.setattr(bands, "_compare", count)
+    sent = bands.banded_hits(df, 5, 0.4, [], 64, 7).where("mvid = 'sent'").agg(F.sum("dist")).first()[0]
+    assert 0 < sent <= len(vecs) * bands.layers(0.4, True)[0][2] + len(vecs) * bands.layers(0.4, False)[0][2]
+
+
+def test_tiles_of_a_block_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(bands, "TILE", 64, raising=False)
+    rng = np.random.default_rng(9)
+    rows, df = table(spark, np.repeat(rng.normal(size=(6, 64)), 20, axis=0) + rng.normal(size=(120, 64)) * 0.02)
+    found = got(knn.chunk_neighbours(df, df, 7, max_dist=0.4, banded=True))
+    assert len(found) > 700 and found <= brute(rows, 7, 0.4)
