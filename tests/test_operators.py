@@ -421,3 +421,32 @@ def test_judged_chunks_do_not_deal_token_counts_again(spark, sf, monkeypatch):
     rows = {(r.htid, r.seq): r.vec for r in wide.collect()}
     assert rows and all(len(v) == 64 for v in rows.values())
     assert {(r.htid, r.seq) for r in narrow.collect()} == set(rows)
+
+
+def test_matrices_leave_a_worker_a_few_at_a_time():
+    """10,000 narrow rows of pairs gave one batch of 900 MB of matrices."""
+    import pyarrow as pa
+
+    one = {"left": "a", "right": "b", "l_flat": [1.0, 2.0], "l_seqs": [1], "r_flat": [2.0, 1.0], "r_seqs": [2]}
+    batch = pa.RecordBatch.from_pylist([one] * 500)
+    out = list(compare.unrolled(150)[0](iter([batch])))
+    assert sum(b.num_rows for b in out) == 500 and max(b.nbytes for b in out) <= 5 << 20
+    x = out[0]["sim_x"][0].values.to_numpy()
+    assert len(x) == 22500 and abs(x[1] - 0.8) < 1e-6 and np.count_nonzero(x) == 1
+
+
+def test_pairs_meet_sides_that_a_block_asks_for_once(spark, monkeypatch):
+    """All pairs of 60 ids, one id with 500 partners, and ids without a side; repeats stay."""
+    from textkin.operators import members
+
+    monkeypatch.setattr(members, "MET_PAIRS", 64)
+    rows = [(f"v{i}", f"v{j}", i) for i in range(60) for j in range(60)] + [("hot", f"v{j}", 0) for j in range(500)] + [("none", "v1", 1), ("v1", None, 1), ("v1", "v2", 1)]
+    pairs = spark.createDataFrame(rows, "left string, right string, k int")
+    sides = spark.createDataFrame([(f"v{i}", [float(i)]) for i in range(450)] + [("hot", [7.0])], "htid string, x array<float>")
+    got = members.with_sides(pairs, sides)
+    have = dict([(f"v{i}", float(i)) for i in range(450)] + [("hot", 7.0)])
+    want = sorted((l, r, k, have[l], have[r]) for l, r, k in rows if l in have and r in have)
+    assert sorted((r.left, r.right, r.k, r.l_x[0], r.r_x[0]) for r in got.collect()) == want
+    dealt = members._dealt(pairs, len(rows), 62, 500, 64)
+    asked = dealt.select("_b", "_s", F.explode(F.array("left", "right")).alias("id")).distinct().count()
+    assert asked < len(rows) / 2 and dealt.groupBy("_b", "_s").count().agg(F.max("count")).first()[0] < 256

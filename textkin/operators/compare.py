@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.functions import vectors as vx
+from textkin.operators.members import with_sides
 from textkin.operators.ranks import positions, running_total, top_per_group
 from textkin.operators.tokens import page_totals
 from textkin.operators.vectorize import mean_vectors, median_vectors, weighted_quantiles
@@ -24,6 +25,8 @@ from textkin.operators.vectorize import mean_vectors, median_vectors, weighted_q
 BLOCK = 64
 #: Pages of a block of page sets, and columns of a 0/1 matrix of tokens that one product takes.
 PAGE_BLOCK, TOKEN_COLUMNS = 256, 16384
+#: Bytes of the unrolled matrices that leave a task's worker at a time.
+MATRIX_BYTES = 4 << 20
 
 # ---- fixed values -------------------------------------------------------
 DISTANCE_THRESHOLDS = [0.002, 0.005, 0.01, 0.02, 0.03]
@@ -139,24 +142,38 @@ def unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFra
 
 def with_unrolled_matrix(pairs: DataFrame, chunks: DataFrame, max_size=50) -> DataFrame:
     """``pairs`` with all their columns and ``sim_x``, made after the joins: matrices are wide and never take part in one."""
+    return with_sides(pairs, matrix_sides(chunks, max_size), unrolled(max_size))
+
+
+def matrix_sides(chunks: DataFrame, max_size: int) -> DataFrame:
+    """``(htid, seqs, flat)``: the chunks of a volume that a matrix of ``max_size`` takes."""
     side = chunks.where(F.col("seq") <= max_size).groupBy("htid").agg(
         F.sort_array(F.collect_list(F.struct("seq", F.col("vec").cast("array<float>").alias("vec")))).alias("c"))
-    side = side.select("htid", F.col("c.seq").alias("seqs"), F.flatten("c.vec").alias("flat"))
+    return side.select("htid", F.col("c.seq").alias("seqs"), F.flatten("c.vec").alias("flat"))
 
-    @F.pandas_udf("array<float>")
-    def unroll(l: pd.Series, ls: pd.Series, r: pd.Series, rs: pd.Series) -> pd.Series:
-        out = []
-        for lf, lq, rf, rq in zip(l, ls, r, rs):
-            full = np.zeros((max_size, max_size), dtype=np.float32)
-            sim = 1.0 - _block_matrix(lf, len(lq), rf, len(rq), None, "cosine")
-            full[np.ix_(np.asarray(lq) - 1, np.asarray(rq) - 1)] = np.nan_to_num(sim)
-            out.append(full.ravel())
-        return pd.Series(out)
 
-    return (
-        pairs.join(side.toDF("left", "lseqs", "lflat"), "left").join(side.toDF("right", "rseqs", "rflat"), "right")
-        .select(*pairs.columns, unroll("lflat", "lseqs", "rflat", "rseqs").alias("sim_x"))
-    )
+def unrolled(max_size: int):
+    """``sim_x`` of pairs that meet their ``matrix_sides``."""
+    return _unrolled(max_size), ("seqs", "flat"), "sim_x", "array<float>"
+
+
+def _unrolled(max_size: int):
+    """Matrices of rows with two sides, sent on a few at a time: a batch of narrow rows would give gigabytes of them."""
+    rows, size, uses = max(1, MATRIX_BYTES // (4 * max_size * max_size)), max_size * max_size, ("l_flat", "l_seqs", "r_flat", "r_seqs")
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                full = np.zeros((part.num_rows, max_size, max_size), dtype=np.float32)
+                for out, lf, lq, rf, rq in zip(full, *[[x.values.to_numpy(zero_copy_only=False) for x in part[c]] for c in uses]):
+                    sim = 1.0 - _block_matrix(lf, len(lq), rf, len(rq), None, "cosine")
+                    out[np.ix_(lq - 1, rq - 1)] = np.nan_to_num(sim)
+                sims = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * size, pa.array(full.ravel()))
+                keep = [c for c in part.schema.names if c not in uses]
+                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, sims], [*keep, "sim_x"])
+
+    return run
 
 
 def unrolled_cells(pairs: DataFrame, cells: DataFrame, max_size=50) -> DataFrame:
@@ -251,14 +268,20 @@ def page_count_stats(pairs: DataFrame, meta: DataFrame) -> DataFrame:
 
 def mean_vector_features(pairs: DataFrame, chunks: DataFrame, form="mean_diff") -> DataFrame:
     """Book-level features: mean and difference of mean vectors, or their concatenation."""
-    m = mean_vectors(chunks)
-    l, r = F.col("lv"), F.col("rv")
+    met = with_sides(pairs.select("left", "right").distinct(), mean_sides(chunks))
+    return met.select("left", "right", mean_feature(form))
+
+
+def mean_sides(chunks: DataFrame) -> DataFrame:
+    """``(htid, mean)``: the mean vector of every volume."""
+    return mean_vectors(chunks).select("htid", F.col("vec").alias("mean"))
+
+
+def mean_feature(form: str):
+    """``wem_x`` of a pair that met its ``mean_sides``."""
+    l, r = F.col("l_mean"), F.col("r_mean")
     parts = (vx.mean_of(l, r), vx.difference(l, r)) if form == "mean_diff" else (l, r)
-    return (
-        pairs.select("left", "right").distinct()
-        .join(m.toDF("left", "lv"), "left").join(m.toDF("right", "rv"), "right")
-        .select("left", "right", F.concat(*parts).alias("wem_x"))
-    )
+    return F.concat(*parts).alias("wem_x")
 
 
 def derived_stats(stats: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """From pair features to judged relationships: models, scores, profiles."""
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,21 +91,29 @@ def predict(model, rows: DataFrame) -> DataFrame:
 def predict_with(model_factory: Callable, features: DataFrame, sim_size: int, wem_size: int, batch_size=256) -> DataFrame:
     """Any batch model as a plug-in: ``model_factory()`` returns ``f(sim, wem) -> (n, 10)``.
 
-    The factory runs once per Python worker, so weights are loaded there.
+    The factory runs once per Python worker, so weights are loaded there. Features are read where Arrow put them; no copy of a batch is made.
     """
-    def make():
-        f = model_factory()
-
-        def predict_batch(sim: np.ndarray, wem: np.ndarray) -> np.ndarray:
-            return np.asarray(f(sim, wem), dtype=np.float32)
-
-        return predict_batch
-
-    run = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=[[sim_size], [wem_size]])
-    out = features.withColumn("_p", run("sim_x", "wem_x"))
-    return out.select(*[c for c in features.columns if c not in ("sim_x", "wem_x")],
-                      *[F.get("_p", i).alias(c) for i, c in enumerate(LABELS)])
+    key, keep = uuid.uuid4(), [c for c in features.columns if c not in ("sim_x", "wem_x")]
+
+    def matrix(column, size):
+        if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), size)).as_py():
+            raise ValueError(f"features of another length than {size}")
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+    def run(batches):
+        f = ModelCache.get(key)
+        if not f:
+            ModelCache.add(key, f := model_factory())
+        for batch in batches:
+            part = None
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                p = np.asarray(f(matrix(part["sim_x"], sim_size), matrix(part["wem_x"], wem_size)), dtype=np.float32)
+                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, *[pa.array(x) for x in p.T]], [*keep, *LABELS])
+            del batch, part  # the next one is read before this name is bound again
+
+    kinds = [f"`{c}` {features.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` float" for c in LABELS]
+    return features.select(*keep, "sim_x", "wem_x").mapInArrow(run, ", ".join(kinds))
 
 
 def several_candidates(pairs: DataFrame) -> DataFrame:

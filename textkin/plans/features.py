@@ -1,9 +1,12 @@
 """Pair list to feature table: matrices, mean vectors and statistics in one job."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkin.operators import align, compare
+from textkin.operators.members import with_sides
 from textkin.session import cut
 
 
@@ -31,12 +34,10 @@ def feature_table(pairs: DataFrame, chunks: DataFrame, save_sim=True, save_wem=T
 
     Training and inference call this same function.
     """
-    out = pairs
-    if save_wem:
-        out = out.join(compare.mean_vector_features(pairs, chunks, wem_form), ["left", "right"])
-    if save_stats:
-        out = out.join(pair_statistics(pairs, chunks), ["left", "right"])
-    if save_sim:
-        out = compare.with_unrolled_matrix(out, chunks, matrix_size)
-        out = out.select(*pairs.columns, "sim_x", *[c for c in out.columns if c not in pairs.columns and c != "sim_x"])
-    return out
+    out = pairs.join(pair_statistics(pairs, chunks), ["left", "right"]) if save_stats else pairs
+    stats = [c for c in out.columns if c not in pairs.columns]
+    kinds = [compare.matrix_sides(chunks, matrix_size)] * save_sim + [compare.mean_sides(chunks)] * save_wem
+    if not kinds:
+        return out
+    met = with_sides(out, reduce(lambda a, b: a.join(b, "htid"), kinds), compare.unrolled(matrix_size) if save_sim else None)
+    return met.select(*pairs.columns, *["sim_x"] * save_sim, *[compare.mean_feature(wem_form)] * save_wem, *stats)
