@@ -161,7 +161,7 @@ def _unrolled(max_size: int):
     """Matrices of rows with two sides, sent on a few at a time: a batch of narrow rows would give gigabytes of them."""
     rows, size, uses = max(1, MATRIX_BYTES // (4 * max_size * max_size)), max_size * max_size, ("l_flat", "l_seqs", "r_flat", "r_seqs")
 
-    def run(batches):
+    def unroll(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
@@ -173,7 +173,7 @@ def _unrolled(max_size: int):
                 keep = [c for c in part.schema.names if c not in uses]
                 yield pa.RecordBatch.from_arrays([*part.select(keep).columns, sims], [*keep, "sim_x"])
 
-    return run
+    return unroll
 
 
 def unrolled_cells(pairs: DataFrame, cells: DataFrame, max_size=50) -> DataFrame:
