@@ -450,3 +450,23 @@ def test_pairs_meet_sides_that_a_block_asks_for_once(spark, monkeypatch):
     dealt = members._dealt(pairs, len(rows), 62, 500, 64)
     asked = dealt.select("_b", "_s", F.explode(F.array("left", "right")).alias("id")).distinct().count()
     assert asked < len(rows) / 2 and dealt.groupBy("_b", "_s").count().agg(F.max("count")).first()[0] < 256
+
+
+def test_records_are_not_shuffled(spark, monkeypatch):
+    """Lists of similar codes are gathered after the last join, in several blocks, whatever codes share."""
+    monkeypatch.setattr(crosswalk, "RECORD_IDS", 300)
+    books = spark.createDataFrame([(i, f"c{i % 7}") for i in range(70)], "book_id long, code string")
+    volumes = spark.createDataFrame([(f"v{i}", f"c{i % 9}") for i in range(90)] + [(None, "c1")], "htid string, code string")
+    links = {(a, b) for a in range(7) for b in range(9) if (a * b) % 3 != 1} | {(1, 1)}
+    similar = spark.createDataFrame([(f"c{a}", f"c{b}") for a, b in sorted(links)] * 2, "code string, similar_code string")
+    out = crosswalk.records_of(books, volumes, similar, books.select("code"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = min(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    assert not any("Join" in line or "Aggregate" in line or "Repartition" in line for line in plan[:made])
+    got = {r.code: r for r in out.collect()}
+    assert set(got) == {f"c{a}" for a in range(7)}
+    for a in range(7):
+        near, r = {b for x, b in links if x == a}, got[f"c{a}"]
+        assert r.book_ids == list(range(a, 70, 7)) and r.htid == sorted(f"v{i}" for i in range(a, 90, 9))
+        assert r.similar_books == [i for i in range(70) if i % 7 in near]
+        assert r.similar_htids == sorted(f"v{i}" for i in range(90) if i % 9 in near)
