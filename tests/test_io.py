@@ -145,3 +145,18 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_tokens_of_feature_files_are_dealt_by_page(spark, tmp_path):
+    """Pages are shuffled, not a row per token, and counts by volume need no further shuffle. A page may come in several records."""
+    import json
+
+    page = lambda n, **counts: {"seq": f"{n:08d}", "body": {"tokenPosCount": {k: v for k, v in counts.items()}}}
+    rows = [{"id": "a", "features": {"pages": [page(1, The={"DT": 2, "NN": 1}, the={"DT": 4}, x={}), page(2, y={"NN": 1})]}},
+            {"id": "a", "features": {"pages": [page(1, the={"DT": 1}), {"seq": "00000003"}]}}, {"id": "b", "features": {"pages": []}}]
+    (tmp_path / "f.json").write_text("\n".join(map(json.dumps, rows)))
+    out = tables.feature_tokens(tables.read_features(spark, str(tmp_path)))
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, "the", 8), ("a", 1, "x", 0), ("a", 2, "y", 1)]
+    plan = out.groupBy("htid").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and min(i for i, line in enumerate(plan) if "explode(counts" in line) < shuffles[0]
