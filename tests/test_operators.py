@@ -470,3 +470,23 @@ def test_records_are_not_shuffled(spark, monkeypatch):
         assert r.book_ids == list(range(a, 70, 7)) and r.htid == sorted(f"v{i}" for i in range(a, 90, 9))
         assert r.similar_books == [i for i in range(70) if i % 7 in near]
         assert r.similar_htids == sorted(f"v{i}" for i in range(90) if i % 9 in near)
+
+
+def test_volumes_are_vectorised_where_their_counts_are(spark, sf, monkeypatch):
+    """Counts are written in buckets: neither kind of vector shuffles them row by row, and no table stays behind."""
+    from catalog import fixtures
+
+    plans, cut = {}, vectorize.cut
+    monkeypatch.setattr(vectorize, "cut", lambda df, name="cut", replaces=(): plans.update({name: _exchanges(df)}) or cut(df, name, replaces))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = {t.name for t in spark.catalog.listTables()}
+    try:
+        tokens = fixtures.token_table(spark, sf)
+        words = cut(tokens.select(F.col("token").alias("word")).distinct().withColumn("vec", F.array(F.lit(1.0), F.length("word").cast("double"))))
+        out = vectorize.vectorise_volumes(tokens, words, 300, 16, drop_tokens=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {t.name for t in spark.catalog.listTables()} <= before
+    assert len(plans["srp"]) == 1  # the sum of a chunk's partial vectors
+    assert not any("_part" in line or "hashpartitioning(token" in line for line in plans["glove"])
+    assert {r.kind: r.n for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()}.keys() == {"srp", "glove"}
