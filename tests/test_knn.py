@@ -281,3 +281,15 @@ def test_tiles_of_a_block_find_the_same(spark, monkeypatch):
     rows, df = table(spark, np.repeat(rng.normal(size=(6, 64)), 20, axis=0) + rng.normal(size=(120, 64)) * 0.02)
     found = got(knn.chunk_neighbours(df, df, 7, max_dist=0.4, banded=True))
     assert len(found) > 700 and found <= brute(rows, 7, 0.4)
+
+
+def test_buckets_are_found_once_and_hold_numbers(spark):
+    """Ids and vectors are not shuffled to find which buckets are shared, nor is a vector's bucket list made more than once."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"some-long-id-{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 64)))], "vid string, vec array<double>")
+    hits = bands.banded_hits(df.withColumns({"t": F.lit(True), "c": F.lit(True)}), 5, 0.4, [], 64, 7)
+    assert hits.where("tvid = mvid AND dist = 0").count() == 60
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "keys(" not in plan
+    joined = [line for line in plan.splitlines() if "Generate explode(cells" in line or "Generate explode(" in line and "cells" in line]
+    assert joined and not any("vid" in line or "vec" in line for line in joined)
